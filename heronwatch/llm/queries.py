@@ -12,6 +12,12 @@ from .storage import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.query(table(spark, sf_dir, "documents"))
 
@@ -31,6 +37,7 @@ def op10_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash_forest": op1_minhash_forest,
     "op2_line_quality": op2_line_quality,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_range_shards": op10_range_shards,
