@@ -107,19 +107,18 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(ranges(prefix(BYTE_VALUES[data]), start, end) + (end - start).astype(np.uint64))
 
 
+def slide(a: np.ndarray, w: int, pick) -> np.ndarray:
+    """``pick`` (a binary ufunc) over every window of ``w`` entries."""
+    span = 1
+    while span * 2 <= w:
+        a = pick(a[:-span], a[span:])
+        span *= 2
+    return pick(a[: len(a) - (w - span)], a[w - span :]) if w > span else a
+
+
 def opened(h: np.ndarray, w: int) -> np.ndarray:
     """Mask of the positions that hold the minimum of some window of ``w`` entries."""
-    n = len(h)
-    if n < w:
-        return np.zeros(n, bool)
-
-    def slide(a: np.ndarray, pick) -> np.ndarray:
-        span = 1
-        while span * 2 <= w:
-            a = pick(a[:-span], a[span:])
-            span *= 2
-        return pick(a[: len(a) - (w - span)], a[w - span :]) if w > span else a
-
-    low = slide(h, np.minimum)
+    if len(h) < w:
+        return np.zeros(len(h), bool)
     pad = np.zeros(w - 1, np.uint64)
-    return slide(np.concatenate([pad, low, pad]), np.maximum) == h
+    return slide(np.concatenate([pad, slide(h, w, np.minimum), pad]), w, np.maximum) == h

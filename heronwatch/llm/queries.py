@@ -22,6 +22,18 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.query(table(spark, sf_dir, "documents"))
 
 
+def op7_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import passages
+
+    return passages.query(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffixes
+
+    return suffixes.query(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,7 +51,9 @@ def op10_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_line_quality": op2_line_quality,
+    "op7_cover_anchors": op7_cover_anchors,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_suffix_sort": op9_suffix_sort,
     "op10_range_shards": op10_range_shards,
 }
 
