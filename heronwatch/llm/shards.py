@@ -101,12 +101,11 @@ def by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
         .withColumn("place", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     )
     target = total / shards
-    groups = (
-        rows.groupBy("text_key").agg(F.sum("size").alias("group_size"), F.count("*").alias("copies"))
-        .where((F.col("copies") > 1) & (F.col("group_size") <= target / 20)).select("text_key")
-    )
     # A small group takes the place of its first record: its range may end within the group.
-    heads = placed.join(groups, "text_key", "left_semi").groupBy("text_key").agg(F.min("place").alias("group_place"))
+    heads = (
+        placed.groupBy("text_key").agg(F.min("place").alias("group_place"), F.sum("size").alias("group_size"), F.count("*").alias("copies"))
+        .where((F.col("copies") > 1) & (F.col("group_size") <= target / 20)).select("text_key", "group_place")
+    )
     placed = materialize(
         placed.join(heads, "text_key", "left")
         .withColumn("shard", F.least(F.floor(F.coalesce("group_place", "place") * shards / total), F.lit(shards - 1)).cast("int"))
