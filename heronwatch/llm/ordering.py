@@ -10,7 +10,7 @@ from .storage import materialize
 
 def ranked(df: DataFrame, order: list[str], sums: dict[str, str] | None = None) -> DataFrame:
     """``df`` with ``rank`` (from 0, by ``order``) and, for each name in ``sums``, the total of
-    that column over all earlier rows.
+    that integer column over all earlier rows.
 
     Rows are range-partitioned by ``order``; the driver sees one total for each partition.
     Order nulls must not matter to the caller: they come first. Ties are ranked in any order.
@@ -23,8 +23,7 @@ def ranked(df: DataFrame, order: list[str], sums: dict[str, str] | None = None)
     for r in per:
         rows.append((r["_part"], *(at[n] for n in names)))
         at = {n: at[n] + (r[n] or 0) for n in names}
-    kinds = {n: df.schema[c].dataType.simpleString() for n, c in sums.items()}
-    schema = "_part int, _rank long" + "".join(f", _{n} {'double' if kinds[n] == 'double' else 'long'}" for n in sums)
+    schema = "_part int, _rank long" + "".join(f", _{n} long" for n in sums)
     starts = df.sparkSession.createDataFrame(rows, schema)
     w = Window.partitionBy("_part").orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)

@@ -22,6 +22,12 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.query(table(spark, sf_dir, "documents"))
 
 
+def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.query(table(spark, sf_dir, "documents"))
+
+
 def op7_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import passages
 
@@ -51,6 +57,7 @@ def op10_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_line_quality": op2_line_quality,
+    "op6_cube_mix": op6_cube_mix,
     "op7_cover_anchors": op7_cover_anchors,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_sort": op9_suffix_sort,
