@@ -22,6 +22,12 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.query(table(spark, sf_dir, "documents"))
 
 
+def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text
+
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -57,6 +63,7 @@ def op10_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_line_quality": op2_line_quality,
+    "op3_site_templates": op3_site_templates,
     "op6_cube_mix": op6_cube_mix,
     "op7_cover_anchors": op7_cover_anchors,
     "op8_byte_bpe": op8_byte_bpe,
