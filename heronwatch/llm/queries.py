@@ -28,6 +28,12 @@ def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lookup_sketch
+
+    return lookup_sketch.query(table(spark, sf_dir, "documents"))
+
+
 def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_line_quality": op2_line_quality,
     "op3_site_templates": op3_site_templates,
+    "op5_lookup_sketch": op5_lookup_sketch,
     "op6_cube_mix": op6_cube_mix,
     "op7_cover_anchors": op7_cover_anchors,
     "op8_byte_bpe": op8_byte_bpe,
