@@ -28,6 +28,12 @@ def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import masked_lm
+
+    return masked_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lookup_sketch
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_line_quality": op2_line_quality,
     "op3_site_templates": op3_site_templates,
+    "op4_masked_lm": op4_masked_lm,
     "op5_lookup_sketch": op5_lookup_sketch,
     "op6_cube_mix": op6_cube_mix,
     "op7_cover_anchors": op7_cover_anchors,
