@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import U, mix, prefix, ranges
-from .repeats import LAST, Shape, cover_positions, keyed, spans
+from .repeats import LAST, Shape, cover_positions, keyed, marked, removed, spans
 
 WINDOW = 50
 #: A difference cover of the integers modulo 31.
@@ -36,33 +36,18 @@ def equal_windows(contents: list[bytes], n: np.ndarray) -> np.ndarray:
     return np.unique(mix(ranges(p, first, first + WINDOW) + U(1)), return_inverse=True)[1]
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """key, tag, text and ``spans`` (of words, null if none) of every row of ``docs``."""
-    texts = keyed(docs)
-    found = spans(texts, SHAPE, equal_windows).groupBy("key", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return texts.join(found, ["key", "tag"], "left").select("key", "tag", "text", "spans")
-
-
-def removed_mask(found: list | None, n: int) -> np.ndarray:
-    gone = np.zeros(n + 1, np.int32)
-    for x in found or ():
-        gone[x["start"]] += 1
-        gone[x["end"]] -= 1
-    return np.cumsum(gone)[:n] > 0
-
-
 def query(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [], [], []
-            for text, found in zip(batch.column(1), batch.column(2), strict=True):
+            for tag, text, found in zip(*batch.columns[1:], strict=True):
                 words = text.as_py().encode().split()
                 gone = 0
                 total = len(words)
                 if found.is_valid:
-                    mask = removed_mask(found.as_py(), total)
+                    mask = removed(found.as_py(), tag.as_py(), total, WINDOW)
                     gone = int(mask.sum())
                     words = [w for w, x in zip(words, mask.tolist(), strict=True) if not x]
                 out[0].append(total)
@@ -70,7 +55,7 @@ def query(docs: DataFrame) -> DataFrame:
                 out[2].append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in out)], names=["key", "n_words", "n_removed", "kept_sha256"])
 
-    done = marked(docs).select("key", "text", "spans").mapInArrow(run, "key long, n_words long, n_removed long, kept_sha256 string")
+    done = marked(keyed(docs), SHAPE, equal_windows).mapInArrow(run, "key long, n_words long, n_removed long, kept_sha256 string")
     return done.select(F.nullif("key", F.lit(LAST)).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
@@ -80,10 +65,9 @@ def keep(docs: DataFrame) -> DataFrame:
     A text that loses nothing stays as it is, white space included. In a cut text, each
     removed word takes the white space after it along. ``n_chars``, if there, is set anew.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = spans(keyed(docs), SHAPE, equal_windows).groupBy("key", "tag").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    own = docs.withColumns({"key_": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "tag_": F.hash(text)})
-    joined = own.join(found, (own["key_"] == found["key"]) & (own["tag_"] == found["tag"]), "left").select(*[own[c] for c in docs.columns], "_spans")
+    found = spans(keyed(docs), SHAPE, equal_windows).groupBy("key").agg(F.collect_list(F.struct("start", "end", "tag")).alias("spans"))
+    own = docs.withColumns({"key ": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "tag ": F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    joined = own.join(found, own["key "] == found["key"], "left").select(*[own[c] for c in docs.columns], "tag ", "spans")
     where = docs.columns.index("text")
     names = docs.columns
 
@@ -93,16 +77,15 @@ def keep(docs: DataFrame) -> DataFrame:
         words = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
         for batch in batches:
             texts, chars, stay = [], [], []
-            for text, found in zip(batch.column(where), batch.column(len(names)), strict=True):
-                t = text.as_py()
+            for text, tag, found in zip(batch.column(where), *batch.columns[len(names) :], strict=True):
+                t, left = text.as_py(), True
                 if found.is_valid:
-                    raw = t.encode()
-                    pieces = words.findall(raw)
-                    mask = removed_mask(found.as_py(), len(pieces))
-                    t = b"".join(p for p, x in zip(pieces, mask.tolist(), strict=True) if not x).decode()
-                    stay.append(not mask.all())
-                else:
-                    stay.append(True)
+                    pieces = words.findall((t or "").encode())
+                    mask = removed(found.as_py(), tag.as_py(), len(pieces), WINDOW)
+                    if mask.any():
+                        t = b"".join(p for p, x in zip(pieces, mask.tolist(), strict=True) if not x).decode()
+                        left = not mask.all()
+                stay.append(left)
                 texts.append(t)
                 chars.append(None if t is None else len(t))
             columns = list(batch.columns[: len(names)])

@@ -33,6 +33,8 @@ LAST = (1 << 63) - 1
 MOST_RUNS = 4_096
 #: Bytes of text for each bucket of anchors.
 BUCKET_BYTES = 2 << 20
+#: Bytes of text whose anchors a task packs at a time.
+SLICE_BYTES = 12 << 20
 VALUE_MASK = U((1 << 48) - 1)
 RUN_KEYS = "key long, tag int, lo int, n int"
 
@@ -45,6 +47,7 @@ class Shape:
     window: int
     gram: int  # units of a gram; window - gram + 1 grams lie in a window
     anchors: Callable[[np.ndarray, np.ndarray, Shape], tuple[np.ndarray, np.ndarray]]
+    grams_are_anchors: bool = False  # the anchors are the smallest grams of the windows
 
     @property
     def span(self) -> int:
@@ -91,33 +94,46 @@ def cover_positions(period: int, cover: tuple[int, ...]) -> Callable:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """key (doc_id, null last), tag (tells rows of one doc_id apart), text."""
+    """key (doc_id, null last), tag (tells rows of one doc_id apart, if there are any), text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.hash(text).alias("tag"), text.alias("text")
-    )
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key")
+    repeated = bool(docs.select(key).groupBy("key").count().where("count > 1").take(1))
+    return docs.select(key, (F.hash(text) if repeated else F.lit(0)).alias("tag"), text.alias("text"))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Small numbers byte by byte of their places, so that equal places compress away."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def _pack(values: np.ndarray, keys: np.ndarray) -> tuple[bytes, bytes]:
-    six = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    small = not len(keys) or (keys.min() >= -1 and keys.max() < (1 << 32) - 1)
-    return six, (b"4" + keys.astype("<u4").tobytes() if small else b"8" + keys.astype("<i8").tobytes())
+def _pack(values: np.ndarray, keys: np.ndarray, buckets: int) -> tuple[bytes, bytes]:
+    """Hashes of one bucket and their keys (-1 or more), in the order of the keys."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order] + 1
+    return _planes(values[order] // U(buckets)), _planes(np.diff(keys, prepend=0))
 
 
-def _unpack(six: bytes, keys: bytes) -> tuple[np.ndarray, np.ndarray]:
-    v = np.zeros((len(six) // 6, 8), np.uint8)
-    v[:, :6] = np.frombuffer(six, np.uint8).reshape(-1, 6)
-    k = np.frombuffer(keys, "<u4" if keys[:1] == b"4" else "<i8", offset=1).astype(np.int64)
-    return v.view("<u8").ravel(), np.where(k == (1 << 32) - 1, -1, k) if keys[:1] == b"4" else k
+def _unpack(values: bytes, keys: bytes, bucket: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    return _from_planes(values) * U(buckets) + U(bucket), np.cumsum(_from_planes(keys).astype(np.int64)) - 1
 
 
 def shared_anchors(texts: DataFrame, shape: Shape, buckets: int) -> DataFrame:
     """(key, value): anchor hashes (48 bits) of a document that other documents have, too."""
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = text_buffers(batch.column(1))
+            for x, y in chunks(offsets, SLICE_BYTES):
+                yield batch, data, offsets, x, y
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, all_data, all_offsets, x, y in slices(batches):
+            keys = batch.column(0).to_numpy(zero_copy_only=False)[x:y]
+            data, offsets = all_data[all_offsets[x] : all_offsets[y]], all_offsets[x : y + 1] - all_offsets[x]
             found = []
             for a, b in chunks(offsets):
                 values, own = units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shape.words)
@@ -146,14 +162,14 @@ def shared_anchors(texts: DataFrame, shape: Shape, buckets: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             ids, starts = np.unique(bucket[order], return_index=True)
             ends = np.append(starts[1:], len(order))
-            packed = [_pack(send_v[order[s:e]], send_k[order[s:e]]) for s, e in zip(starts, ends, strict=True)]
+            packed = [_pack(send_v[order[s:e]], send_k[order[s:e]], buckets) for s, e in zip(starts, ends, strict=True)]
             known_b, known = [], []
             if many.any():
                 spread = (mix(k[many].view(np.uint64)) % U(buckets)).astype(np.int32)
                 order = np.argsort(spread, kind="stable")
                 known_b, starts = np.unique(spread[order], return_index=True)
                 ends = np.append(starts[1:], len(order))
-                known = [_pack(v[many][order[s:e]], k[many][order[s:e]]) for s, e in zip(starts, ends, strict=True)]
+                known = [_pack(v[many][order[s:e]], k[many][order[s:e]], 1) for s, e in zip(starts, ends, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([ids, known_b]).astype(np.int32)), pa.array(np.repeat([False, True], [len(packed), len(known)])),
@@ -163,8 +179,9 @@ def shared_anchors(texts: DataFrame, shape: Shape, buckets: int) -> DataFrame:
             )
 
     def meet(table: pa.Table) -> pa.Table:
-        parts = [_unpack(a.as_py(), b.as_py()) for a, b in zip(table.column("hashes"), table.column("keys"), strict=True)]
         known = table.column("known").to_pylist()
+        bucket = table.column("bucket")[0].as_py()
+        parts = [_unpack(a, b, *((0, 1) if x else (bucket, buckets))) for a, b, x in zip(table.column("hashes").to_pylist(), table.column("keys").to_pylist(), known, strict=True)]
         done = [p for p, x in zip(parts, known, strict=True) if x]
         v = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p, x in zip(parts, known, strict=True) if not x)])
         k = np.concatenate([np.zeros(0, np.int64), *(p[1] for p, x in zip(parts, known, strict=True) if not x)])
@@ -239,6 +256,9 @@ def runs(texts: DataFrame, shared: DataFrame, shape: Shape) -> DataFrame:
                 hit = np.isin((h & VALUE_MASK) + row.astype(np.uint64) * tell, want + want_row.astype(np.uint64) * tell)
                 c, g, lo, n = _window_runs(values, own, at[hit], shape)
                 row = np.searchsorted(own, lo, "right") - 1
+                if shape.grams_are_anchors:  # then a run whose gram is not shared cannot recur
+                    hit = np.isin((g & VALUE_MASK) + row.astype(np.uint64) * tell, want + want_row.astype(np.uint64) * tell)
+                    c, g, lo, n, row = (x[hit] for x in (c, g, lo, n, row))
                 rows = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -253,8 +273,8 @@ def runs(texts: DataFrame, shared: DataFrame, shape: Shape) -> DataFrame:
 
 def contents(texts: DataFrame, firsts: DataFrame, shape: Shape) -> DataFrame:
     """``firsts`` with the content of each run: its bytes, or the hashes of its words."""
-    lists = firsts.groupBy("key", "tag").agg(F.collect_list(F.struct("gram", "lo", "n", "many")).alias("runs"))
-    joined = texts.join(lists, ["key", "tag"]).select("key", "tag", "text", "runs")
+    lists = firsts.groupBy("key").agg(F.collect_list(F.struct("gram", "lo", "n", "many", "tag")).alias("runs"))
+    joined = texts.join(lists, "key").select("key", "tag", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,6 +288,8 @@ def contents(texts: DataFrame, firsts: DataFrame, shape: Shape) -> DataFrame:
                 width = 8 if shape.words else 1
                 own_fields = fields.slice(at[a], at[b] - at[a])
                 row = np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))
+                same = own_fields.field("tag").to_numpy() == batch.column(1).to_numpy()[row + a]
+                own_fields, row = own_fields.filter(pa.array(same)), row[same]
                 lo, n = own_fields.field("lo").to_numpy(), own_fields.field("n").to_numpy()
                 s = (own[row] + lo) * width
                 e = s + (n + shape.window - 1) * width
@@ -362,17 +384,47 @@ def extended(content: DataFrame, shape: Shape, equal_windows: Callable) -> DataF
     return near.unionByName(far)
 
 
+def copies(texts: DataFrame) -> DataFrame:
+    """(key, tag, size in bytes) of the rows whose whole text a smaller document has."""
+    own = texts.select("key", "tag", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes"))
+    least = own.groupBy("hash", "bytes").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
+    return own.join(least, ["hash", "bytes"]).where("key > least").select("key", "tag", "bytes").distinct()
+
+
 def spans(texts: DataFrame, shape: Shape, equal_windows: Callable) -> DataFrame:
     """(key, tag, start, end): all units of each document that recur from a smaller one.
 
-    Spans of one document may overlap. ``texts`` is what ``keyed`` returns.
+    Spans of one document may overlap, and that of a whole text may end beyond it. ``texts`` is
+    what ``keyed`` returns. Copies of a text need no search: all of it recurs.
     """
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(1 << 20, max(256, total // BUCKET_BYTES)))
-    all_runs = runs(texts, shared_anchors(texts, shape, buckets), shape)
-    classes = all_runs.groupBy("run", "gram").agg(F.min("key").alias("least"))
-    several = classes.groupBy("gram").agg(F.count("*").alias("runs")).where("runs > 1")
-    placed = all_runs.join(classes.select("run", "least"), "run")
+    again = copies(texts)
+    shared = shared_anchors(texts, shape, buckets).join(again.select("key").distinct(), "key", "left_anti")
+    all_runs = runs(texts, shared, shape)
+    # The gram is carried by the classes alone and kept in both branches, and the conditions on
+    # key are no equalities: so both branches read the same two exchanges.
+    classes = all_runs.where("run IS NOT NULL").groupBy("run").agg(F.min("key").alias("least"), F.min("gram").alias("gram")).where("gram IS NOT NULL")
+    several = classes.groupBy("gram").agg(F.count("*").alias("runs"), F.min("least").alias("low"), F.max("least").alias("high")).where("low < high").select("gram", "runs")
+    placed = all_runs.select("run", "key", "tag", "lo", "n").join(classes, "run")
     whole = placed.where("key > least").select("key", "tag", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (shape.window - 1)).alias("end"))
-    firsts = placed.where("key = least").join(several, "gram").select("gram", "key", "tag", "lo", "n", (F.col("runs") > MOST_RUNS).alias("many"))
-    return whole.unionByName(extended(contents(texts, firsts, shape), shape, equal_windows))
+    firsts = placed.where("key <= least").join(several, "gram").select("gram", "key", "tag", "lo", "n", (F.col("runs") > MOST_RUNS).alias("many"))
+    found = whole.unionByName(extended(contents(texts, firsts, shape), shape, equal_windows))
+    return found.unionByName(again.select("key", "tag", F.lit(0).alias("start"), F.col("bytes").alias("end")))
+
+
+def marked(texts: DataFrame, shape: Shape, equal_windows: Callable) -> DataFrame:
+    """``texts`` with ``spans``, an array of (start, end, tag), null where nothing was found;
+    spans of another tag are those of another row with the doc_id."""
+    found = spans(texts, shape, equal_windows).groupBy("key").agg(F.collect_list(F.struct("start", "end", "tag")).alias("spans"))
+    return texts.join(found, "key", "left").select("key", "tag", "text", "spans")
+
+
+def removed(found: list | None, tag: int, n: int, window: int) -> np.ndarray:
+    """Mask of the ``n`` units of a row that its spans remove."""
+    gone = np.zeros(n + 1, np.int32)
+    for x in found or () if n >= window else ():
+        if x["tag"] == tag:
+            gone[x["start"]] += 1
+            gone[min(x["end"], n)] -= 1
+    return np.cumsum(gone)[:n] > 0

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import BYTE_VALUES, INVERSE, powers, prefix
-from .repeats import LAST, Shape, keyed, smallest_grams, spans
+from .repeats import LAST, Shape, keyed, marked, removed, smallest_grams
 
 WINDOW = 50
-SHAPE = Shape(words=False, window=WINDOW, gram=16, anchors=smallest_grams)
+SHAPE = Shape(words=False, window=WINDOW, gram=16, anchors=smallest_grams, grams_are_anchors=True)
 
 
 class Suffixes:
@@ -124,14 +124,13 @@ def query(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [], [], [], []
-            for text, found in zip(batch.column(1), batch.column(2), strict=True):
+            for tag, text, found in zip(*batch.columns[1:], strict=True):
                 raw, total = text.as_py().encode(), 0
-                n, cuts = len(raw), []
-                for x in sorted((x["start"], x["end"]) for x in found.as_py() or ()):
-                    if cuts and x[0] <= cuts[-1][1]:
-                        cuts[-1][1] = max(cuts[-1][1], x[1])
-                    else:
-                        cuts.append(list(x))
+                n = len(raw)
+                mask = np.zeros(n + 2, np.int8)
+                mask[1:-1] = removed(found.as_py(), tag.as_py(), n, WINDOW)
+                edges = np.flatnonzero(np.diff(mask)).tolist()
+                cuts = list(zip(edges[::2], edges[1::2], strict=True))
                 kept, at = [], 0
                 for a, b in cuts:
                     kept.append(raw[at:a])
@@ -144,8 +143,5 @@ def query(docs: DataFrame) -> DataFrame:
                 out[3].append(hashlib.sha256(b"".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in out)], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    texts = keyed(docs)
-    found = spans(texts, SHAPE, equal_windows).groupBy("key", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = texts.join(found, ["key", "tag"], "left").select("key", "text", "spans")
-    done = joined.mapInArrow(run, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    done = marked(keyed(docs), SHAPE, equal_windows).mapInArrow(run, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return done.select(F.nullif("key", F.lit(LAST)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
