@@ -103,6 +103,11 @@ class Coder:
         return coded.ids, coded.offsets
 
 
+def _lists(coded: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+
+
 def coder(ranks_path: str, pattern: str) -> Coder:
     if (ranks_path, pattern) not in _coders:
         _coders[ranks_path, pattern] = Coder(ranks_path, pattern)
@@ -132,7 +137,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
                 coded = [own.offsets(t) for t in texts]
                 columns = [pa.array([c[0] for c in coded], pa.list_(pa.int32())), pa.array([[{"start": a, "end": b} for a, b in c[1]] for c in coded], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
             else:
-                columns = [pa.array([memoryview(own.encode(t)).cast("I").tolist() for t in texts], pa.list_(pa.int32()))]
+                columns = [_lists([own.encode(t) for t in texts])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
@@ -152,6 +157,25 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str, *, ids: str = "token
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(text, T.StringType(), False)]))
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, token_ids and whether decoding gives the text back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(ranks_path, pattern)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(3).to_pylist()]
+            for first in range(0, len(texts), 500):
+                part = texts[first : first + 500]
+                coded = [own.encode(t) for t in part]
+                same = [own.decode(c) == t.encode() for c, t in zip(coded, part, strict=True)]
+                ids = _lists(coded)
+                columns = [batch.column(i)[first : first + 500] for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(c) // 4 for c in coded], pa.int64()), ids, pa.array(same)], names=["doc_id", "lang", "source", "n_tokens", "token_ids", "decoded_same"])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("lang", "source", "text")])
+    return source.mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, token_ids array<int>, decoded_same boolean")
+
+
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Per document: n_tokens, SHA-256 of the ids and of the bytes decoded from them."""
 
