@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import early_warning, people
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**people.QUERIES, **early_warning.QUERIES}
+SQL: dict[str, str] = {**people.SQL, **early_warning.SQL}
