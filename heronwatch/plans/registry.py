@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import early_warning, people
+from . import audits, early_warning, people
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**people.QUERIES, **early_warning.QUERIES}
-SQL: dict[str, str] = {**people.SQL, **early_warning.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**people.QUERIES, **early_warning.QUERIES, **audits.QUERIES}
+SQL: dict[str, str] = {**people.SQL, **early_warning.SQL, **audits.SQL}
