@@ -1,0 +1,188 @@
+"""Queries over notes and their readings, the delivery payload, the table diff and the classifier."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import redaction
+from ..operators import classify, delivery, diff, readings, rules
+from ..sources.tables import staged, work_folder
+from ..sources.testbed import LAST_MONTH, staging
+from ..streaming import notes as note_stream
+from .catalog import CATALOG
+from .early_warning import over_alerts
+from .oracle import with_tables
+from .people import table_360
+
+FIRST_NAMES = ["Ana", "Luis", "Marta", "Iker", "Sofia", "Pablo", "Elena", "Hugo"]
+LAST_NAMES = ["Soto", "Rivas", "Luna", "Prado", "Vega", "Campos", "Rojas", "Ibarra", "Nieto", "Salas", "Torres", "Mora", "Leal"]
+
+
+def _notes(spark, sf_dir):
+    return note_stream.redacted(staging(spark, sf_dir, "notes"))
+
+
+def _alerts(spark, sf_dir):
+    return staged(rules.alerts(table_360(spark, sf_dir), CATALOG).where("channel = 'talk'"))
+
+
+def notes_redacted(spark, sf_dir):
+    """Ids, e-mails and amounts masked; the content hash."""
+    return _notes(spark, sf_dir).select("note_id", "hash", F.length("text").alias("length"), F.regexp_count("text", F.lit("\\[(ID|EMAIL|AMOUNT)\\]")).cast("long").alias("masks"))
+
+
+def names_masked(spark, sf_dir):
+    """Names of the directory planted in the notes and masked again."""
+    pick = lambda names, c, n: F.element_at(F.array(*map(F.lit, names)), (F.floor(F.col(c) / n) % len(names) + 1).cast("int"))
+    people = staging(spark, sf_dir, "directory").select("person_id", F.concat(pick(FIRST_NAMES, "person_id", 1), F.lit(" "), pick(LAST_NAMES, "person_id", 8)).alias("name"))
+    known = [r[0] for r in redaction.name_dictionary(people).collect()]  # as many as first and last names allow
+    planted = staging(spark, sf_dir, "notes").join(people, "person_id").select("note_id", F.concat(F.lit("Today "), F.col("name"), F.lit(" spoke of "), F.col("name"), F.lit(". "), F.col("text")).alias("text"))
+    out = redaction.masked_names(planted, known)
+    return out.select("note_id", redaction.content_hash(F.col("text")).alias("hash"), F.size("matches").alias("matches"), F.substring("text", 1, 30).alias("start"))
+
+
+def notes_unread(spark, sf_dir):
+    """Notes of alerted people without a reading, one for each hash, at most 50."""
+    found = readings.notes_in_window(_notes(spark, sf_dir), _alerts(spark, sf_dir))
+    done = _notes(spark, sf_dir).where("note_id % 4 = 0").select("hash")
+    return readings.unread(found, done, 50).select("note_id", "person_id", "idx", "hash")
+
+
+def _readings(spark, sf_dir):
+    made = note_stream.redacted(staging(spark, sf_dir, "made_readings"))
+    one = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.array(c))
+    out = made.withColumns({"topics": F.when(F.col("tone") == "insufficient", F.array().cast("array<string>")).otherwise(one("topic")), "signals": F.when(F.col("tone") == "insufficient", F.array().cast("array<string>")).otherwise(one("signal"))})
+    return readings.judged(out.withColumn("quotes", F.when((F.col("tone") == "insufficient") & (F.col("note_id") % 2 == 0), F.array().cast("array<string>")).otherwise(F.array("quote"))))
+
+
+def readings_judged(spark, sf_dir):
+    """Readings against their rules."""
+    return _readings(spark, sf_dir).select("note_id", "idx", "tone", "reject_reason", F.concat_ws(",", "topics").alias("topics"))
+
+
+def quotes_with_masks(spark, sf_dir):
+    """The three latest quotes that still show a mask."""
+    quotes = _readings(spark, sf_dir).select("note_id", "idx", F.explode("quotes").alias("quote"))
+    return quotes.where("quote LIKE '%[%]%'").orderBy(F.desc("idx"), "note_id", "quote").limit(3)
+
+
+def latest_readings(spark, sf_dir):
+    """Each alert with the reading to show."""
+    out = readings.latest_reading(_alerts(spark, sf_dir), _readings(spark, sf_dir))
+    return out.select("person_id", "idx", "read_idx", "note_id", "tone")
+
+
+def reading_quality(spark, sf_dir):
+    """Readings against labels on a repeatable sample."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("note_id"), F.when(F.col("quality") == 1, "neutral").otherwise("negative").alias("real_tone"), F.array(F.when(F.col("toxic") == 1, "load").otherwise("team")).alias("real_topics"))
+    return readings.evaluated(_readings(spark, sf_dir), labels, 300)
+
+
+def _cards_input(spark, sf_dir):
+    rows = staged(table_360(spark, sf_dir))
+    found = rules.alerts(rows, CATALOG).where((F.col("state") == "notified") & (F.col("idx") > LAST_MONTH - 6))
+    extra = rows.select("person_id", "idx", *[c for c in ("months_since_note", "csat_avg_3m", "prod_avg_3m") if c not in found.columns])
+    found = found.join(extra, ["person_id", "idx"])
+    return delivery.with_context(delivery.with_blind_spots(readings.latest_reading(found, _readings(spark, sf_dir))))
+
+
+def blind_spots(spark, sf_dir):
+    """What each notified alert cannot know, and its steps."""
+    out = _cards_input(spark, sf_dir)
+    return out.select("person_id", "idx", F.concat_ws(" ", "blind_spots").alias("blind_spots"), F.size(delivery.sentences("rule_action")).alias("steps"), F.size("shown_topics").alias("topics"), F.size("shown_quotes").alias("quotes"))
+
+
+def cards(spark, sf_dir):
+    """The card of each notified alert of the last half year."""
+    return delivery.cards(_cards_input(spark, sf_dir), staging(spark, sf_dir, "directory"))
+
+
+def cell_diff(spark, sf_dir):
+    """The metrics against a copy with some cells changed."""
+    a = staging(spark, sf_dir, "metrics")
+    b = a.withColumns({"productivity": F.when(F.col("person_id") % 50 == 0, F.col("productivity") + 1e-6).otherwise(F.col("productivity") + 1e-12), "csat": F.when(F.col("person_id") % 64 != 0, F.col("csat")), "days_without_leave": F.when(F.col("idx") % 40 == 0, F.col("days_without_leave") + 2).otherwise(F.col("days_without_leave"))})
+    diff.check_shape(a, b)
+    return diff.cell_diff(a, b, ["person_id", "idx"]).withColumn("widest", F.round("widest", 6))
+
+
+def notes_stream(spark, sf_dir):
+    """Notes through the stream: the hashes in its sink (ST1, S5)."""
+    import uuid
+
+    folder = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    rows = staging(spark, sf_dir, "notes").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("note_id") % 60))
+    rows.write.parquet(f"{folder}/in")
+    note_stream.ingest(spark, f"{folder}/in", rows.schema, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("hash")
+
+
+LAYERS = [64, 16, 16, 10]
+
+
+def classifier(spark, sf_dir):
+    """Accuracy of two nets on rows they have not seen, by net (M1-M5, M7)."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    train, test = classify.prepared(rows, 1.0, 400)
+    out = None
+    for name, layers in (("deep", LAYERS), ("flat", [64, 10])):
+        weights, _ = classify.train(train, layers)
+        one = classify.predicted(test, weights).withColumn("net", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return classify.accuracy(staged(out), "net")
+
+
+def confusion(spark, sf_dir):
+    """Confusion matrix over all vectors (M2, M6)."""
+    train, test = classify.prepared(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 1.0, 400)
+    return classify.confusion(classify.predicted(train.unionByName(test), classify.train(train, LAYERS)[0]), 10)
+
+
+def most_confused(spark, sf_dir):
+    """The five pairs of labels mixed up most."""
+    train, test = classify.prepared(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 1.0, 400)
+    return classify.most_confused(classify.predicted(train.unionByName(test), classify.train(train, LAYERS, iterations=15)[0]))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (notes_redacted, names_masked, notes_unread, readings_judged, quotes_with_masks, latest_readings, reading_quality, blind_spots, cards, cell_diff, notes_stream, classifier, confusion, most_confused)
+}
+
+_amount = r"(?i)\$\s?\d[\d.,]*|\b\d[\d.,]*\s?(?:mil|millones|CLP|PEN|COP|MXN|BRL|USD)\b"
+_red = lambda t: f"regexp_replace(regexp_replace(regexp_replace({t}, '\\bP\\d{{5}}\\b', '[ID]', 'g'), '[\\w.+-]+@[\\w.-]+\\.\\w+', '[EMAIL]', 'g'), '{_amount}', '[AMOUNT]', 'g')"
+_topics = ", ".join(f"'{t}'" for t in readings.TOPICS)
+_tones = ", ".join(f"'{t}'" for t in readings.TONES)
+X = {
+    "nr": (("notes",), f"SELECT *, substr(sha256(r), 1, 24) AS hash FROM (SELECT * EXCLUDE text, {_red('text')} AS r FROM notes)"),
+    "talk": (("al",), "SELECT * FROM al WHERE channel = 'talk'"),
+    "rd": (("made_readings",), f"""SELECT *, CASE WHEN tone0 NOT IN ({_tones}) THEN 'tone' WHEN len(list_filter(topics, lambda x: x NOT IN ({_topics}))) > 0 THEN 'topics' WHEN len(list_filter(signals, lambda x: NOT list_contains(topics, x))) > 0 THEN 'signals'
+        WHEN len(list_filter(quotes, lambda q: NOT contains(r, q))) > 0 THEN 'quotes' WHEN NOT confidence BETWEEN 0 AND 1 THEN 'confidence' WHEN tone0 = 'insufficient' AND len(topics) + len(signals) + len(quotes) > 0 THEN 'insufficient' END AS reject_reason
+      FROM (SELECT note_id, person_id, idx, confidence, tone AS tone0, r, CASE WHEN tone = 'insufficient' THEN []::VARCHAR[] ELSE [topic] END AS topics, CASE WHEN tone = 'insufficient' OR signal = '' THEN []::VARCHAR[] ELSE [signal] END AS signals,
+        CASE WHEN tone = 'insufficient' AND note_id % 2 = 0 THEN []::VARCHAR[] ELSE [quote] END AS quotes FROM (SELECT *, {_red('text')} AS r FROM made_readings))"""),
+    "rj": (("rd",), "SELECT *, CASE WHEN reject_reason IS NULL THEN tone0 ELSE 'not processed' END AS tone, substr(sha256(r), 1, 24) AS hash FROM rd"),
+    "lr": (("talk", "rj"), "SELECT * FROM (SELECT t.*, j.idx AS read_idx, j.note_id, j.tone, j.topics, j.quotes, row_number() OVER (PARTITION BY t.person_id, t.idx ORDER BY j.idx DESC NULLS LAST, j.note_id DESC, j.hash) AS k FROM talk t LEFT JOIN rj j ON j.person_id = t.person_id AND j.idx <= t.idx AND j.idx > t.idx - 3) WHERE k = 1"),
+}
+SQL = {
+    "notes_redacted": with_tables("SELECT note_id, hash, length(r) AS length, len(regexp_extract_all(r, '\\[(ID|EMAIL|AMOUNT)\\]'))::BIGINT AS masks FROM nr", "nr", extra=X),
+    "notes_unread": over_alerts(
+        """SELECT note_id, person_id, idx, hash FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY idx, note_id) AS k FROM (SELECT n.* FROM nr n JOIN (SELECT person_id, max(idx) AS a FROM talk GROUP BY 1) t USING (person_id) WHERE idx <= a AND idx > a - 3))
+        WHERE k = 1 AND hash NOT IN (SELECT hash FROM nr WHERE note_id % 4 = 0) ORDER BY idx, note_id LIMIT 50""", "nr", "talk", extra=X,
+    ),
+    "readings_judged": with_tables("SELECT note_id, idx, tone, reject_reason, array_to_string(topics, ',') AS topics FROM rj", "rj", extra=X),
+    "quotes_with_masks": with_tables("SELECT note_id, idx, quote FROM (SELECT note_id, idx, unnest(quotes) AS quote FROM rj) WHERE quote LIKE '%[%]%' ORDER BY idx DESC, note_id, quote LIMIT 3", "rj", extra=X),
+    "latest_readings": over_alerts("SELECT person_id, idx, read_idx, note_id, tone FROM lr", "lr", extra=X),
+    "reading_quality": with_tables(
+        """SELECT count(*) AS notes, count(*) FILTER (tone = real_tone)::DOUBLE / nullif(count(*), 0) AS tone_accuracy, count(*) FILTER (list_contains(topics, real_topic))::DOUBLE / nullif(count(*), 0) AS topic_overlap, count(*) FILTER (tone = 'not processed')::DOUBLE / nullif(count(*), 0) AS not_processed
+        FROM (SELECT rj.*, CASE WHEN quality = 1 THEN 'neutral' ELSE 'negative' END AS real_tone, CASE WHEN toxic = 1 THEN 'load' ELSE 'team' END AS real_topic FROM rj JOIN labels ON doc_id = note_id ORDER BY hash, note_id LIMIT 300)""", "rj", extra=X,
+    ),
+    "blind_spots": over_alerts(
+        f"""SELECT person_id, idx, CASE WHEN b = '' THEN 'None known.' ELSE b END AS blind_spots, steps, CASE WHEN coalesce(tone IN ('not processed', 'insufficient'), true) THEN 0 ELSE len(topics[1:2]) END AS topics, CASE WHEN coalesce(tone IN ('not processed', 'insufficient'), true) THEN 0 ELSE len(quotes[1:1]) END AS quotes
+        FROM (SELECT *, concat_ws(' ', CASE WHEN coalesce(months_since_note, 99) >= 3 THEN 'No note for three months or more.' END, CASE WHEN csat_avg_3m IS NULL THEN 'No customer score.' END, CASE WHEN prod_avg_3m IS NULL THEN 'No productivity figure.' END, CASE WHEN tenure < 12 THEN 'Less than a year with us.' END) AS b,
+          CASE rule {' '.join(f"WHEN '{n}' THEN {len([x for x in __import__('re').split(delivery.SENTENCE_END, r['action']) if x.strip()])}" for n, r in CATALOG['rules'].items())} END AS steps FROM lr WHERE state = 'notified' AND idx > {LAST_MONTH - 6})""", "lr", extra=X,
+    ),
+    "cell_diff": with_tables(
+        """SELECT 'productivity' AS "column", count(*) FILTER (person_id % 50 = 0) AS differ, round(max(CASE WHEN person_id % 50 = 0 THEN 1e-6 ELSE 1e-12 END), 6)::DOUBLE AS widest FROM metrics
+        UNION ALL SELECT 'csat', count(*) FILTER (csat IS NOT NULL AND person_id % 64 = 0), 0.0 FROM metrics UNION ALL SELECT 'days_without_leave', count(*) FILTER (idx % 40 = 0), max(CASE WHEN idx % 40 = 0 THEN 2.0 ELSE 0.0 END) FROM metrics""", "metrics",
+    ),
+    "notes_stream": with_tables("SELECT DISTINCT hash FROM nr", "nr", extra=X),
+}

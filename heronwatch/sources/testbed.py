@@ -64,6 +64,30 @@ DEFINITIONS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
 }
 
+#: The metrics as a hand-kept sheet: three spellings of the month, decimal commas, stray spaces,
+#: written nulls, cells out of range, illegible months and repeated rows, all by remainders.
+_cells = """person_id * 100000 + idx AS _row,
+  CASE WHEN person_id % 11 = 0 THEN ' ' ELSE '' END || CASE WHEN person_id % 211 = 0 THEN 'X1' ELSE 'P' || lpad(CAST(person_id AS STRING), 5, '0') END || CASE WHEN person_id % 13 = 0 THEN ' ' ELSE '' END AS person_code,
+  CASE WHEN (person_id + idx) % 97 = 0 THEN '2026-13' WHEN (person_id + idx) % 3 = 0 THEN yy || '-' || lpad(CAST(mm AS STRING), 2, '0')
+    WHEN (person_id + idx) % 3 = 1 THEN substr('enefebmarabrmayjunjulagosepoctnovdic', 3 * mm - 2, 3) || '-' || yy ELSE CAST(mm AS STRING) || '/' || yy END AS month_text,
+  CASE WHEN (person_id * 3 + idx) % 41 = 0 THEN '999' WHEN (person_id * 3 + idx) % 43 = 0 THEN 'N/A' WHEN person_id % 2 = 0 THEN replace(CAST(productivity AS STRING), '.', ',') ELSE CAST(productivity AS STRING) || '%' END AS prod_text,
+  CASE WHEN (person_id + idx * 7) % 29 = 0 THEN '0' WHEN csat IS NULL THEN 's/i' ELSE CAST(csat AS STRING) END AS csat_text,
+  CASE WHEN (person_id + idx) % 5 = 0 THEN '2.5' WHEN (person_id + idx) % 17 = 0 THEN '-' ELSE CAST((person_id + idx) % 100 AS STRING) END AS nps_text,
+  CASE WHEN (person_id + idx) % 19 = 0 THEN '--' ELSE CAST(days_without_leave AS STRING) END AS days_text"""
+_dated = "SELECT m.*, CAST(CAST(floor(idx / 12) AS INT) AS STRING) AS yy, CAST(idx % 12 + 1 AS INT) AS mm FROM ({m}) m"
+DEFINITIONS["sheet"] = (
+    ("lineitem", "orders"),
+    f"""SELECT * FROM (SELECT {_cells} FROM ({_dated.format(m=DEFINITIONS["metrics"][1])}) x) a
+    UNION ALL SELECT _row + 50000 AS _row, person_code, month_text, prod_text, csat_text, nps_text, days_text FROM (SELECT {_cells} FROM ({_dated.format(m=DEFINITIONS["metrics"][1])}) y) b WHERE _row % 31 = 0""",
+)
+DEFINITIONS["made_readings"] = (
+    ("documents", "customer"),
+    """SELECT note_id, person_id, idx, text, CASE note_id % 5 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' WHEN 2 THEN 'positive' WHEN 3 THEN 'insufficient' ELSE CASE WHEN note_id % 3 = 0 THEN 'angry' ELSE 'negative' END END AS tone,
+      CASE note_id % 4 WHEN 0 THEN 'load' WHEN 1 THEN 'pay' WHEN 2 THEN 'weather' ELSE 'team' END AS topic, CASE note_id % 7 WHEN 0 THEN 'growth' WHEN 1 THEN 'load' ELSE '' END AS signal,
+      CASE WHEN note_id % 9 = 0 THEN 'never said' ELSE substr(text, 1, 20) END AS quote, CASE WHEN note_id % 10 = 0 THEN 1.2 ELSE 0.8 END AS confidence
+    FROM (""" + DEFINITIONS["notes"][1] + ") n",
+)
+
 
 def staging(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables, sql = DEFINITIONS[name]
