@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import shielded, unshielded
+
 #: Fixed values of the word and symbol definitions.
 SPACE = " \t\n\x0b\f\r"
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -140,7 +142,7 @@ def query(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns unchanged."""
     passed = judge(docs).where("kept").select("_id", "_text", "_host").distinct()
-    return docs.select("*", *row_key(docs)).join(passed, ["_id", "_text", "_host"], "left_semi").select(*docs.columns)
+    return unshielded(shielded(docs, *row_key(docs)).join(passed, ["_id", "_text", "_host"], "left_semi"), docs)
 
 
 #: DuckDB's form of ``query`` with the default limits.

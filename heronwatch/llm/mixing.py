@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import ranked
-from .storage import materialize
+from .storage import materialize, shielded, unshielded
 
 MOST_REPEATS = 3
 WEIGHTS = (1, 2, 3)
@@ -160,8 +160,8 @@ def query(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """``docs`` mixed: each row as often as it is taken, with its columns unchanged."""
     taken = copies(docs).groupBy("_order").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    own = docs.select("*", F.xxhash64("doc_id", "text", "source").alias("_order"))
+    own = shielded(docs, F.xxhash64("doc_id", "text", "source").alias("_order"))
     # Rows that repeat in every way share their copies: each gives the mean, rounded up.
     each = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    joined = own.join(taken.where("_copies > 0"), "_order").select(*docs.columns, F.explode(F.sequence(F.lit(1), each)).alias("_copy"))
-    return joined.select(*docs.columns)
+    joined = own.join(taken.where("_copies > 0"), "_order").withColumn("_copy", F.explode(F.sequence(F.lit(1), each)))
+    return unshielded(joined, docs)

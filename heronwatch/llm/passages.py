@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import U, mix, prefix, ranges
-from .repeats import LAST, Shape, cover_positions, keyed, marked, removed, spans
+from .repeats import LAST, Shape, cover_positions, key_columns, keyed, marked, removed, spans
+from .storage import shielded, unshielded
 
 WINDOW = 50
 #: A difference cover of the integers modulo 31.
@@ -65,9 +66,10 @@ def keep(docs: DataFrame) -> DataFrame:
     A text that loses nothing stays as it is, white space included. In a cut text, each
     removed word takes the white space after it along. ``n_chars``, if there, is set anew.
     """
-    found = spans(keyed(docs), SHAPE, equal_windows).groupBy("key").agg(F.collect_list(F.struct("start", "end", "tag")).alias("spans"))
-    own = docs.withColumns({"key ": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "tag ": F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    joined = own.join(found, own["key "] == found["key"], "left").select(*[own[c] for c in docs.columns], "tag ", "spans")
+    texts = keyed(docs)
+    found = spans(texts, SHAPE, equal_windows).groupBy("key").agg(F.collect_list(F.struct("start", "end", "tag")).alias("spans"))
+    own = shielded(docs, *key_columns(docs))
+    joined = own.join(found, "key", "left").select(*[f"in_{i}" for i in range(len(docs.columns))], "tag", "spans")
     where = docs.columns.index("text")
     names = docs.columns
 
@@ -93,6 +95,8 @@ def keep(docs: DataFrame) -> DataFrame:
             if "n_chars" in names:
                 at = names.index("n_chars")
                 columns[at] = pa.array(chars, pa.int64()).cast(batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=plain).filter(pa.array(stay, pa.bool_()))
 
-    return joined.mapInArrow(run, docs.schema)
+    schema = shielded(docs).schema
+    plain = schema.names
+    return unshielded(joined.mapInArrow(run, schema), docs)

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import BYTE_VALUES, INVERSE, MULT, U, chunks, mix, opened, powers, prefix, ranges, slide, text_buffers, word_bounds, word_hashes
@@ -93,12 +93,16 @@ def cover_positions(period: int, cover: tuple[int, ...]) -> Callable:
     return anchors
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """key (doc_id, null last), tag (tells rows of one doc_id apart, if there are any), text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+def key_columns(docs: DataFrame) -> list[Column]:
+    """key: doc_id, null last; tag: tells rows of one doc_id apart, where there are any."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key")
     repeated = bool(docs.select(key).groupBy("key").count().where("count > 1").take(1))
-    return docs.select(key, (F.hash(text) if repeated else F.lit(0)).alias("tag"), text.alias("text"))
+    return [key, (F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))) if repeated else F.lit(0)).alias("tag")]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """key, tag, text."""
+    return docs.select(*key_columns(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -161,14 +165,14 @@ def shared_anchors(texts: DataFrame, shape: Shape, buckets: int) -> DataFrame:
             bucket = (send_v % U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             ids, starts = np.unique(bucket[order], return_index=True)
-            ends = np.append(starts[1:], len(order))
+            ends = np.append(starts[1:], len(order))[: len(starts)]
             packed = [_pack(send_v[order[s:e]], send_k[order[s:e]], buckets) for s, e in zip(starts, ends, strict=True)]
             known_b, known = [], []
             if many.any():
                 spread = (mix(k[many].view(np.uint64)) % U(buckets)).astype(np.int32)
                 order = np.argsort(spread, kind="stable")
                 known_b, starts = np.unique(spread[order], return_index=True)
-                ends = np.append(starts[1:], len(order))
+                ends = np.append(starts[1:], len(order))[: len(starts)]
                 known = [_pack(v[many][order[s:e]], k[many][order[s:e]], 1) for s, e in zip(starts, ends, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -400,7 +404,9 @@ def spans(texts: DataFrame, shape: Shape, equal_windows: Callable) -> DataFrame:
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(1 << 20, max(256, total // BUCKET_BYTES)))
     again = copies(texts)
-    shared = shared_anchors(texts, shape, buckets).join(again.select("key").distinct(), "key", "left_anti")
+    # All rows of a doc_id that is repeated stay in the search: only some of them may be copies.
+    alone = again.join(texts.select("key").groupBy("key").count().where("count = 1"), "key", "left_semi").select("key")
+    shared = shared_anchors(texts, shape, buckets).join(alone, "key", "left_anti")
     all_runs = runs(texts, shared, shape)
     # The gram is carried by the classes alone and kept in both branches, and the conditions on
     # key are no equalities: so both branches read the same two exchanges.

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,3 +27,13 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shielded(docs: DataFrame, *extra: Column) -> DataFrame:
+    """``docs`` with its columns named in_0, in_1, ... beside ``extra``: no name can clash."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)], *extra)
+
+
+def unshielded(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from ``rows`` made by ``shielded``, under their own names."""
+    return rows.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])
