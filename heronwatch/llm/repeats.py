@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import BYTE_VALUES, INVERSE, MULT, U, chunks, mix, opened, powers, prefix, ranges, slide, text_buffers, word_bounds, word_hashes
@@ -36,6 +36,8 @@ BUCKET_BYTES = 2 << 20
 #: Bytes of text whose anchors a task packs at a time.
 SLICE_BYTES = 12 << 20
 VALUE_MASK = U((1 << 48) - 1)
+#: Bits that tell the anchors of one document apart; a false hit costs a look-up, no more.
+OWN_MASK = U((1 << 32) - 1)
 RUN_KEYS = "key long, tag int, lo int, n int"
 
 
@@ -199,7 +201,7 @@ def shared_anchors(texts: DataFrame, shape: Shape, buckets: int) -> DataFrame:
         return pa.table(
             {
                 "key": np.concatenate([k[many], *(p[1] for p in done)]),
-                "value": np.concatenate([v[many], *(p[0] for p in done)]).astype(np.int64),
+                "value": (np.concatenate([v[many], *(p[0] for p in done)]) & OWN_MASK).astype(np.int64),
             }
         )
 
@@ -240,7 +242,12 @@ def _window_runs(values: np.ndarray, own: np.ndarray, at: np.ndarray, shape: Sha
 
 
 def runs(texts: DataFrame, shared: DataFrame, shape: Shape) -> DataFrame:
-    """(run, gram, key, tag, lo, n): runs of windows over the shared anchors of each document."""
+    """(run, gram, key, tag, lo, n): runs of windows over the shared anchors of each document.
+
+    Of equal runs in one batch, only those of the smallest key carry their run and gram: the
+    others recur for sure, and have null there. So no run is sent more than once by a batch,
+    however many documents hold it.
+    """
     lists = shared.groupBy("key").agg(F.collect_list("value").alias("values"))
     joined = texts.join(lists, "key").select("key", "tag", "text", "values")
 
@@ -250,6 +257,7 @@ def runs(texts: DataFrame, shared: DataFrame, shape: Shape) -> DataFrame:
             data, offsets = text_buffers(batch.column(2))
             lists_at = batch.column(3).offsets.to_numpy()
             wanted = batch.column(3).values.to_numpy(zero_copy_only=False).view(np.uint64)
+            found = []
             for a, b in chunks(offsets):
                 values, own = units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shape.words)
                 at, h = shape.anchors(values, own, shape)
@@ -257,20 +265,29 @@ def runs(texts: DataFrame, shared: DataFrame, shape: Shape) -> DataFrame:
                 want = wanted[lists_at[a] : lists_at[b]]
                 want_row = np.repeat(np.arange(b - a), np.diff(lists_at[a : b + 1]))
                 tell = U(0x9E3779B97F4A7C15)
-                hit = np.isin((h & VALUE_MASK) + row.astype(np.uint64) * tell, want + want_row.astype(np.uint64) * tell)
+                hit = np.isin((h & OWN_MASK) + row.astype(np.uint64) * tell, want + want_row.astype(np.uint64) * tell)
                 c, g, lo, n = _window_runs(values, own, at[hit], shape)
                 row = np.searchsorted(own, lo, "right") - 1
                 if shape.grams_are_anchors:  # then a run whose gram is not shared cannot recur
-                    hit = np.isin((g & VALUE_MASK) + row.astype(np.uint64) * tell, want + want_row.astype(np.uint64) * tell)
+                    hit = np.isin((g & OWN_MASK) + row.astype(np.uint64) * tell, want + want_row.astype(np.uint64) * tell)
                     c, g, lo, n, row = (x[hit] for x in (c, g, lo, n, row))
-                rows = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(c.view(np.int64)), pa.array(g.view(np.int64)), keys.take(rows), tags.take(rows),
-                        pa.array((lo - own[row]).astype(np.int32)), pa.array(n.astype(np.int32)),
-                    ],
-                    names=["run", "gram", "key", "tag", "lo", "n"],
-                )
+                found.append((c, g & VALUE_MASK, row + a, lo - own[row], n))
+            if not found:
+                continue
+            c, g, row, lo, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            key = keys.to_numpy(zero_copy_only=False)[row]
+            _, cls = np.unique(c, return_inverse=True)
+            least = np.full(int(cls.max()) + 1 if len(cls) else 0, LAST)
+            np.minimum.at(least, cls, key)
+            later = key > least[cls]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(c.view(np.int64), mask=later), pa.array(g.view(np.int64), mask=later), keys.take(take), tags.take(take),
+                    pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)),
+                ],
+                names=["run", "gram", "key", "tag", "lo", "n"],
+            )
 
     return joined.mapInArrow(run, f"run long, gram long, {RUN_KEYS}")
 
@@ -404,16 +421,20 @@ def spans(texts: DataFrame, shape: Shape, equal_windows: Callable) -> DataFrame:
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(1 << 20, max(256, total // BUCKET_BYTES)))
     again = copies(texts)
-    # All rows of a doc_id that is repeated stay in the search: only some of them may be copies.
-    alone = again.join(texts.select("key").groupBy("key").count().where("count = 1"), "key", "left_semi").select("key")
-    shared = shared_anchors(texts, shape, buckets).join(alone, "key", "left_anti")
-    all_runs = runs(texts, shared, shape)
-    # The gram is carried by the classes alone and kept in both branches, and the conditions on
-    # key are no equalities: so both branches read the same two exchanges.
-    classes = all_runs.where("run IS NOT NULL").groupBy("run").agg(F.min("key").alias("least"), F.min("gram").alias("gram")).where("gram IS NOT NULL")
-    several = classes.groupBy("gram").agg(F.count("*").alias("runs"), F.min("least").alias("low"), F.max("least").alias("high")).where("low < high").select("gram", "runs")
-    placed = all_runs.select("run", "key", "tag", "lo", "n").join(classes, "run")
-    whole = placed.where("key > least").select("key", "tag", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (shape.window - 1)).alias("end"))
+    # Texts are dealt out by key once; the condition on tag is no equality, so that this stays
+    # the one exchange of texts that all joins by key share.
+    a = again.select(F.col("key").alias("a_key"), F.col("tag").alias("a_tag"))
+    searched = texts.join(a, (F.col("key") == F.col("a_key")) & (F.col("tag") <= F.col("a_tag")) & (F.col("tag") >= F.col("a_tag")), "left_anti")
+    every = runs(searched, shared_anchors(searched, shape, buckets), shape)
+    sure = every.where("run IS NULL").select("key", "tag", "lo", "n")
+    # A batch sends a run for one key, so a partition by run has as many rows as there are batches.
+    placed = every.where("run IS NOT NULL").withColumn("least", F.min("key").over(Window.partitionBy("run"))).where("gram IS NOT NULL")
+    # Counting every column, here as in the other branches, keeps one exchange by run for all.
+    counts = [F.count(c).alias(f"n_{c}") for c in ("tag", "lo", "n")]
+    several = placed.where("key <= least").groupBy("gram").agg(*counts, F.min("least").alias("low"), F.max("least").alias("high"))
+    several = several.where("low < high AND n_tag = n_lo AND n_lo = n_n").select("gram", F.col("n_n").alias("runs"))
+    whole = placed.where("key > least").select("key", "tag", "lo", "n").unionByName(sure)
+    whole = whole.select("key", "tag", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (shape.window - 1)).alias("end"))
     firsts = placed.where("key <= least").join(several, "gram").select("gram", "key", "tag", "lo", "n", (F.col("runs") > MOST_RUNS).alias("many"))
     found = whole.unionByName(extended(contents(texts, firsts, shape), shape, equal_windows))
     return found.unionByName(again.select("key", "tag", F.lit(0).alias("start"), F.col("bytes").alias("end")))
