@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces kept per worker before the table starts anew.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 200_000
 _coders: dict[tuple[str, str], Coder] = {}
 
 
