@@ -1,33 +1,34 @@
 """Main text of web pages, without the template of their site.
 
-A page is read into a tree of elements. Container subtrees (``div``, ``section``, lists, tables
-and the like; not paragraphs or headings) are hashed by tag, text and children. Spark counts on
-how many distinct pages of its host each hash stands; one that stands on more than
-``LEAST_SHARE`` of at least ``LEAST_PAGES`` pages is template and goes with all it holds. The
-same goes for what its tag, role or class marks as no part of an article: navigation, headers
-and footers of the site, sidebars, notices, adverts, forms, comments, scripts and styles.
+A page is read into a tree of elements. The subtrees of block elements (``div``, ``section``,
+lists, tables, paragraphs, headings and the like) are hashed by tag, text and children. One that
+stands on at least ``LEAST_PAGES`` pages of its host with different surroundings is template and
+goes with all it holds, whatever its share of the pages. The surroundings are the page's text
+less every subtree that recurs: copies of one page, or one article under rotating notices, are
+one. The same goes for what its tag, role or class marks as no part of an article: navigation,
+headers and footers of the site, sidebars, notices, adverts, forms, comments, scripts and styles.
 
 The text is that of the ``article`` or ``main`` elements, or of the body if a page has neither.
-Only (host, hash) pairs are shuffled. A null or blank page has the empty text; a host is the
-part of the url between ``//`` and the next ``/``, ``?`` or ``#``, and pages without one form
-one host; rows that repeat a page_id and html count as one page.
+A page meets only its own template subtrees, so a host may have any number of them. A null or
+blank page has the empty text; a host is the part of the url between ``//`` and the next ``/``,
+``?`` or ``#``, and pages without one form one host; rows that repeat a page_id and html count
+as one page.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import BYTE_VALUES, mix, powers
 from .storage import materialize
 
-LEAST_SHARE = 0.5
 LEAST_PAGES = 5
 
 #: Elements by their part in a page.
@@ -48,6 +49,7 @@ CUT_NAMES = frozenset(
 )
 #: An open element of the first kind ends where one of the second begins.
 BLOCKS = "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
+HASHED = CONTAINERS.union(BLOCKS)
 ENDED_BY = {
     "p": frozenset(BLOCKS), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]),
     "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody"]), "th": frozenset(["td", "th", "tr", "tbody"]),
@@ -139,9 +141,11 @@ def _hash(text: str) -> int:
     return int(mix(np.array([total], np.uint64))[0].view(np.int64))
 
 
-def subtree_hashes(root: Node) -> dict[int, int]:
-    """Hash of every container subtree that has text, by the id of its node."""
+def subtree_hashes(root: Node) -> tuple[dict[int, int], dict[int, int]]:
+    """By the id of its node: the hash of every block's subtree that has text, and of the text
+    that a block (or the root) has outside of its inner blocks."""
     found: dict[int, int] = {}
+    own: dict[int, int] = {}
     # Children before parents, without recursion: pages may nest deeply.
     order, stack = [], [root]
     while stack:
@@ -149,31 +153,63 @@ def subtree_hashes(root: Node) -> dict[int, int]:
         order.append(node)
         stack.extend(c for c in node.children if isinstance(c, Node))
     content: dict[int, str] = {}
+    outside: dict[int, str] = {}
     for node in reversed(order):
         parts = [content.pop(id(c)) if isinstance(c, Node) else " ".join(c.split()) for c in node.children]
         inner = "\x1f".join(p for p in parts if p)
-        if node.tag in CONTAINERS and inner:
-            h = _hash(f"{node.tag}\x1e{inner}")
-            found[id(node)] = h
-            inner = f"#{h}"
+        rest = [p if isinstance(c, str) else outside.pop(id(c)) for c, p in zip(node.children, parts, strict=True)]
+        text = "" if node.cut else "\x1f".join(p for p in rest if p)
+        if node.tag in HASHED and inner or node is root:
+            h = _hash(f"{node.tag}\x1e{inner}") if node is not root else 0
+            if node is not root:
+                found[id(node)] = h
+            if text:
+                own[id(node)] = _hash(text)
+            inner, text = f"#{h}", ""
         content[id(node)] = f"<{node.tag}>{inner}" if inner else ""
-    return found
+        outside[id(node)] = text
+    return found, own
 
 
-def text_of(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article's text: white space is one space, blocks are joined by one space."""
-    hashes = subtree_hashes(root) if template else {}
+def _mains(root: Node, gone: Callable[[Node], bool]) -> list[Node]:
+    """The outermost ``article`` and ``main`` elements, or the root if there are none."""
     mains, stack = [], [root]
     while stack:
         node = stack.pop()
-        if node.cut or hashes.get(id(node)) in template:
+        if gone(node):
             continue
         if node.tag in ("article", "main"):
             mains.append(node)
             continue
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    return mains or [root]
+
+
+def page_subtrees(root: Node) -> tuple[dict[int, int], int]:
+    """The distinct subtree hashes of a page with their own shown text (0 if none), and the xor of
+    all shown texts with that outside of all blocks."""
+    hashes, own = subtree_hashes(root)
+    parts = dict.fromkeys(hashes.values(), 0)
+    rest, stack = 0, _mains(root, lambda node: node.cut)
+    while stack:
+        node = stack.pop()
+        if node.cut:
+            continue
+        if id(node) in hashes:
+            parts[hashes[id(node)]] = own.get(id(node), 0)
+        elif node is root:
+            rest = own.get(id(node), 0)
+        stack.extend(c for c in node.children if isinstance(c, Node))
+    for h in parts.values():
+        rest ^= h
+    return parts, rest
+
+
+def text_of(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
+    """The article's text: white space is one space, blocks are joined by one space."""
+    hashes = subtree_hashes(root)[0] if template else {}
     out: list[str] = []
-    stack = list(reversed(mains or [root]))
+    stack: list[Node | str] = list(reversed(_mains(root, lambda node: node.cut or hashes.get(id(node)) in template)))
     while stack:
         node = stack.pop()
         if isinstance(node, str):
@@ -194,43 +230,49 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def page_key() -> Column:
+    return F.xxhash64("page_id", "html")
+
+
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, page, hash): the distinct container subtrees of each page; one row without hash
-    stands for the page itself."""
+    """(host, page, hash, own, total): the distinct subtrees of each page, the hash of the text that
+    each has outside of its inner blocks, and the xor of all such texts of the page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, keys, hashes = [], [], []
+            hosts, keys, hashes, own, totals = [], [], [], [], []
             for key, url, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own = set(subtree_hashes(parse(page or "")).values())
-                hosts += [host_of(url)] * (len(own) + 1)
-                keys += [key] * (len(own) + 1)
-                hashes += [None, *own]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "page", "hash"])
-
-    source = pages.select(F.xxhash64("page_id", "html").alias("page"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return source.mapInArrow(run, "host string, page long, hash long")
-
-
-def templates(pages: DataFrame, least_share: float = LEAST_SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, hashes): the template subtrees of each host that has any.
-
-    A subtree needs a share of the pages, so a host has no more templates than pages have
-    subtrees on average, divided by that share.
-    """
-    counted = subtrees(pages).groupBy("host", "hash").agg(F.count_distinct("page").alias("n"))
-    counted = materialize(counted.where((F.col("n") >= least_pages) | F.col("hash").isNull()))
-    sizes = counted.where("hash IS NULL").select("host", F.col("n").alias("pages"))
-    often = counted.where("hash IS NOT NULL").join(sizes, "host").where(F.col("n") > least_share * F.col("pages"))
-    return materialize(often.groupBy("host").agg(F.collect_list("hash").alias("hashes")))
-
-
-def extract(pages: DataFrame, least_share: float = LEAST_SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
+                parts, total = page_subtrees(parse(page or ""))
+                hosts += [host_of(url)] * len(parts)
+                keys += [key] * len(parts)
+                hashes += parts.keys()
+                own += parts.values()
+                totals += [total] * len(parts)
+            longs = [pa.array(x, pa.int64()) for x in (keys, hashes, own, totals)]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *longs], names=["host", "page", "hash", "own", "total"])
+
+    source = pages.select(page_key().alias("page"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return source.mapInArrow(run, "host string, page long, hash long, own long, total long")
+
+
+def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(page, hashes): the template subtrees of each page that has any."""
+    rows = materialize(subtrees(pages))
+    often = rows.groupBy("host", "hash").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= least_pages).select("host", "hash")
+    hits = materialize(rows.join(often, ["host", "hash"], "left_semi").distinct())
+    around = hits.groupBy("host", "page").agg(F.first("total").bitwiseXOR(F.bit_xor("own")).alias("around"))
+    template = (
+        hits.join(around, ["host", "page"]).groupBy("host", "hash").agg(F.count_distinct("around").alias("n"))
+        .where(F.col("n") >= least_pages).select("host", "hash")
+    )
+    return materialize(hits.join(template, ["host", "hash"], "left_semi").groupBy("page").agg(F.collect_set("hash").alias("hashes")))
+
+
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
-    found = templates(pages, least_share, least_pages)
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), "//([^/?#]*)", 1))
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    joined = source.join(found, "host", "left").select("page_id", "url", "html", "hashes")
+    found = templates(pages, least_pages).withColumnRenamed("page", "of_page")
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), page_key().alias("page"))
+    joined = source.join(found, F.col("page") == F.col("of_page"), "left").select("page_id", "url", "html", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
