@@ -1,6 +1,7 @@
 """From raw documents to token ids: five stages, each an operator of ``heronwatch.llm``.
 
-1. Quality rules: documents that are short, repetitive or mostly boilerplate lines go.
+1. Quality rules: documents that are short, repetitive or mostly boilerplate lines go; the others
+   lose their boilerplate lines.
 2. Near-duplicates: one document of each group stays (five-word shingles, similarity 0.8).
 3. Substring dedup: passages of 50 words that an earlier document has are cut out.
 4. Mixing: sources are sampled to their target weights; a row comes as often as it is taken.

@@ -4,8 +4,9 @@ Lines are normalised (lower case, digits to ``0``, white space to one space) and
 is boilerplate of its host (the ``source`` column) if it stands in more than ``max_docs``
 distinct texts there and follows more than ``max_contexts`` different lines: copies of one
 document repeat their lines in the same surroundings and do not count as boilerplate. Lines
-above both limits are removed; a document that keeps too little of itself is depleted and
-rejected, as is one that fails the base rules on length and repetition.
+above both limits are removed (``query`` counts their words, ``keep`` cuts them out); a document
+that keeps too little of itself is depleted and rejected, as is one that fails the base rules on
+length and repetition.
 
 Everything is built from DataFrame functions. Texts are not shuffled: hashes of lines are.
 A null or empty text has no words and fails the base rules; null sources form one host; rows
@@ -122,12 +123,13 @@ def boilerplate(lines: DataFrame, max_docs: int = MAX_DOCS, max_contexts: int =
 
 
 def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
-    """Per row of ``docs``: the base measures, n_line_words_removed, depleted, kept (and row keys)."""
+    """Per row of ``docs``: the base measures, n_line_words_removed, depleted, kept (and row keys);
+    cut has the places of the removed lines among those with a word."""
     lines = line_rows(docs)
     hits = lines.join(boilerplate(lines, max_docs, max_contexts).select("_host", "line"), ["_host", "line"])
     gone = (
         hits.groupBy("_id", "_text", "_host", "at").agg(F.max("words").alias("words"))
-        .groupBy("_id", "_text", "_host").agg(F.sum("words").alias("gone"))
+        .groupBy("_id", "_text", "_host").agg(F.sum("words").alias("gone"), F.collect_list("at").alias("cut"))
     )
     out = measures(docs).join(gone, ["_id", "_text", "_host"], "left").withColumn("gone", F.coalesce("gone", F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("gone")
@@ -136,13 +138,35 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_contexts: int = MAX_CON
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return judge(docs).drop("_id", "_text", "_host")
+    return judge(docs).drop("_id", "_text", "_host", "cut")
+
+
+def without_lines(text: Column, cut: Column) -> Column:
+    """``text`` less the lines at the places ``cut`` among its lines with a word."""
+
+    def rest(lines: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+        worded = F.filter(every, lambda i: F.get(lines, i).rlike(NOT_SPACE))
+        gone = let(worded, lambda at: F.transform(cut, lambda k: F.get(at, k)))
+        return F.array_join(F.transform(F.array_except(every, gone), lambda i: F.get(lines, i)), "\n")
+
+    return let(F.split(text, "\n"), rest)
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns unchanged."""
-    passed = judge(docs).where("kept").select("_id", "_text", "_host").distinct()
-    return unshielded(shielded(docs, *row_key(docs)).join(passed, ["_id", "_text", "_host"], "left_semi"), docs)
+    """The rows of ``docs`` that pass, their texts without the removed lines.
+
+    A text that loses nothing stays as it is. ``n_chars``, if there, is set anew with the text.
+    """
+    passed = judge(docs).where("kept").select("_id", "_text", "_host", "cut").dropDuplicates(["_id", "_text", "_host"])
+    rows = shielded(docs, *row_key(docs)).join(passed, ["_id", "_text", "_host"])
+    name = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    shorter, text = F.size("cut") > 0, name["text"]
+    rows = rows.withColumn(text, F.when(shorter, without_lines(F.col(text).cast("string"), F.col("cut"))).otherwise(F.col(text)))
+    if "n_chars" in name:
+        n = name["n_chars"]
+        rows = rows.withColumn(n, F.when(shorter, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return unshielded(rows, docs)
 
 
 #: DuckDB's form of ``query`` with the default limits.

@@ -1,6 +1,6 @@
 """Cases where an operator once did less than its whole job."""
 
-from heronwatch.llm import html_text
+from heronwatch.llm import html_text, line_quality
 
 
 def test_templates_on_a_fifth_of_the_pages(spark):
@@ -13,3 +13,14 @@ def test_templates_on_a_fifth_of_the_pages(spark):
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Story {i} begins. It ends on day {i * 7}." for i in range(200))
     assert {got[1000 + i] for i in range(30)} == {"One tale."} and {got[2000 + i] for i in range(30)} == {"One page. Of two lines."}
+
+
+def test_boilerplate_lines_leave_the_text(spark):
+    body = lambda i, part: " ".join(f"w{part}x{i}x{k}".translate({48 + d: 97 + d for d in range(10)}) for k in range(40))
+    text = lambda i, line: f"{body(i, 0)}\n{line}\n \n{body(i, 1)}\n"
+    rows = [(i, text(i, f"  Share this page {i} TIMES"), "a", 0) for i in range(30)] + [(100 + i, text(100 + i, "Share this page 1 times"), "b", 7) for i in range(20)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, source string, n_chars int")
+    kept = line_quality.keep(docs)
+    want = sorted([(i, t if s == "b" else f"{body(i, 0)}\n \n{body(i, 1)}\n", s) for i, t, s, _ in [*rows, rows[0]]])
+    got = sorted(map(tuple, kept.collect()))
+    assert kept.schema == docs.schema and got == [(i, t, s, len(t) if s == "a" else 7) for i, t, s in want]
