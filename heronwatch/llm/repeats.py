@@ -113,18 +113,23 @@ def _planes(x: np.ndarray) -> bytes:
 
 
 def _from_planes(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, np.uint64)
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def _pack(values: np.ndarray, keys: np.ndarray, buckets: int) -> tuple[bytes, bytes]:
-    """Hashes of one bucket and their keys (-1 or more), in the order of the keys."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order] + 1
+def _pack(values: np.ndarray, keys: np.ndarray, bare: np.ndarray, buckets: int) -> tuple[bytes, bytes]:
+    """Hashes of one bucket and their keys: first those sent without a key, then in the order of the keys."""
+    order = np.lexsort((keys, ~bare))
+    keys = keys[order][int(bare.sum()) :]
     return _planes(values[order] // U(buckets)), _planes(np.diff(keys, prepend=0))
 
 
-def _unpack(values: bytes, keys: bytes, bucket: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    return _from_planes(values) * U(buckets) + U(bucket), np.cumsum(_from_planes(keys).astype(np.int64)) - 1
+def _unpack(values: bytes, keys: bytes, bucket: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, keys and which of them came without a key; differences of keys wrap around."""
+    v, k = _from_planes(values) * U(buckets) + U(bucket), np.cumsum(_from_planes(keys).astype(np.int64))
+    n = len(v) - len(k)
+    return v, np.concatenate([np.zeros(n, np.int64), k]), np.arange(len(v)) < n
 
 
 def shared_anchors(texts: DataFrame, shape: Shape, buckets: int) -> DataFrame:
@@ -163,19 +168,20 @@ def shared_anchors(texts: DataFrame, shape: Shape, buckets: int) -> DataFrame:
             head = many.copy()
             head[1:] &= ~same
             send_v = np.concatenate([v[~many], v[head]])
-            send_k = np.concatenate([k[~many], np.full(int(head.sum()), -1)])
+            send_k = np.concatenate([k[~many], np.zeros(int(head.sum()), np.int64)])
+            bare = np.arange(len(send_v)) >= len(send_v) - int(head.sum())
             bucket = (send_v % U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             ids, starts = np.unique(bucket[order], return_index=True)
             ends = np.append(starts[1:], len(order))[: len(starts)]
-            packed = [_pack(send_v[order[s:e]], send_k[order[s:e]], buckets) for s, e in zip(starts, ends, strict=True)]
+            packed = [_pack(send_v[order[s:e]], send_k[order[s:e]], bare[order[s:e]], buckets) for s, e in zip(starts, ends, strict=True)]
             known_b, known = [], []
             if many.any():
                 spread = (mix(k[many].view(np.uint64)) % U(buckets)).astype(np.int32)
                 order = np.argsort(spread, kind="stable")
                 known_b, starts = np.unique(spread[order], return_index=True)
                 ends = np.append(starts[1:], len(order))[: len(starts)]
-                known = [_pack(v[many][order[s:e]], k[many][order[s:e]], 1) for s, e in zip(starts, ends, strict=True)]
+                known = [_pack(v[many][order[s:e]], k[many][order[s:e]], np.zeros(e - s, bool), 1) for s, e in zip(starts, ends, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([ids, known_b]).astype(np.int32)), pa.array(np.repeat([False, True], [len(packed), len(known)])),
@@ -191,13 +197,14 @@ def shared_anchors(texts: DataFrame, shape: Shape, buckets: int) -> DataFrame:
         done = [p for p, x in zip(parts, known, strict=True) if x]
         v = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p, x in zip(parts, known, strict=True) if not x)])
         k = np.concatenate([np.zeros(0, np.int64), *(p[1] for p, x in zip(parts, known, strict=True) if not x)])
+        bare = np.concatenate([np.zeros(0, bool), *(p[2] for p, x in zip(parts, known, strict=True) if not x)])
         order = np.argsort(v, kind="stable")
-        v, k = v[order], k[order]
+        v, k, bare = v[order], k[order], bare[order]
         same = v[1:] == v[:-1]
         many = np.zeros(len(v), bool)
         many[1:] |= same
         many[:-1] |= same
-        many &= k != -1
+        many &= ~bare
         return pa.table(
             {
                 "key": np.concatenate([k[many], *(p[1] for p in done)]),

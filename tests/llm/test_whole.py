@@ -1,6 +1,8 @@
 """Cases where an operator once did less than its whole job."""
 
-from heronwatch.llm import html_text, line_quality
+import pytest
+
+from heronwatch.llm import html_text, line_quality, passages, suffixes
 
 
 def test_templates_on_a_fifth_of_the_pages(spark):
@@ -24,3 +26,12 @@ def test_boilerplate_lines_leave_the_text(spark):
     want = sorted([(i, t if s == "b" else f"{body(i, 0)}\n \n{body(i, 1)}\n", s) for i, t, s, _ in [*rows, rows[0]]])
     got = sorted(map(tuple, kept.collect()))
     assert kept.schema == docs.schema and got == [(i, t, s, len(t) if s == "a" else 7) for i, t, s in want]
+
+
+@pytest.mark.parametrize("module", [passages, suffixes])
+@pytest.mark.parametrize("first", [-1, -(1 << 63), 0])
+def test_any_doc_id_gives_its_passages(spark, module, first):
+    passage = " ".join(f"p{k * 7919 % 997}" for k in range(80))
+    parts = [spark.createDataFrame([(i, t)], "doc_id long, text string") for i, t in ((first, f"{passage} ends"), (5, f"begins {passage}"))]
+    got = {r.doc_id: r.n_removed for r in module.query(parts[0].union(parts[1])).collect()}
+    assert got[first] == 0 and got[5] >= (80 if module is passages else len(passage))
