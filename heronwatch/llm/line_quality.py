@@ -1,16 +1,18 @@
 """Quality rules from lines that recur across the documents of a host.
 
-Lines are normalised (lower case, digits to ``0``, white space to one space) and hashed. A line
-is boilerplate of its host (the ``source`` column) if it stands in more than ``max_docs``
-distinct texts there and follows more than ``max_contexts`` different lines: copies of one
-document repeat their lines in the same surroundings and do not count as boilerplate. Lines
-above both limits are removed (``query`` counts their words, ``keep`` cuts them out); a document
-that keeps too little of itself is depleted and rejected, as is one that fails the base rules on
-length and repetition.
-
-Everything is built from DataFrame functions. Texts are not shuffled: hashes of lines are.
-A null or empty text has no words and fails the base rules; null sources form one host; rows
-that repeat in every way get the same result; other columns of the input are ignored.
+Lines are normalised (lower case, digits to ``0``, white space to one space) and hashed. The
+distinct documents that have a line are counted for each host (the ``source`` column); copies
+of one whole text are one document. A line is above the limits if more than ``max_docs``
+documents of the host have it and more than ``max_share`` of them. Lines above the limits are
+removed (``query`` counts their words, ``keep`` cuts them out); a document that keeps too
+little of itself is depleted and rejected, as is one that fails the base rules on length and
+repetition.
+
+Everything is built from DataFrame functions. A text is read once, into its measures and the
+hashes of its lines, which are written and shared by the later steps; ``query`` shuffles no
+text. A null or empty text has no words and fails the base rules, however long a text is, all
+of its lines count; null sources form one host; rows that repeat in every way get the same
+result; an empty table gives none; other columns of the input are ignored and may have any name.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import shielded, unshielded
+from .storage import materialize, shielded, unshielded
 
 #: Fixed values of the word and symbol definitions.
 SPACE = " \t\n\x0b\f\r"
@@ -28,8 +30,11 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 NOT_SPACE = "[^\\x20\\x09-\\x0D]"
 SYMBOLS = "#*$%&|<>"
 
+#: A line above both limits recurs: in so many documents of its host, in this share of them.
 MAX_DOCS = 20
-MAX_CONTEXTS = 20
+MAX_SHARE = 0.001
+#: Rows of recurring lines that are sent to every task, at most: 16 bytes each.
+MOST_SENT = 500_000
 #: A document that keeps less than this share of its words, or fewer words, is depleted.
 LEAST_SHARE_KEPT = 0.3
 LEAST_WORDS_KEPT = 20
@@ -72,24 +77,30 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(found)
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """Row keys, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+def measured(docs: DataFrame) -> DataFrame:
+    """Row keys, doc_id, the base measures, and ``lines``: hash and words of each line with a word."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     of_words = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeat")))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
+    line = lambda x: F.struct(F.xxhash64(normal(x)).alias("line"), F.size(F.split(F.btrim(x, F.lit(SPACE)), SPACES)).cast("long").alias("words"))
+    of_lines = let(
+        F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE)),
+        lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.transform(x, line).alias("all")),
+    )
     bare = lambda chars: F.length(F.translate(text, chars, ""))
     out = docs.select(
-        *row_key(docs), F.col("doc_id").cast("long").alias("doc_id"), of_words.alias("w"),
-        bare(SPACE).cast("long").alias("word_chars"), (F.length(text) - bare(SYMBOLS)).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        *row_key(docs), F.col("doc_id").cast("long").alias("doc_id"), of_words.alias("w"), bare(SPACE).cast("long").alias("word_chars"),
+        (F.length(text) - bare(SYMBOLS)).cast("long").alias("n_symbols"), of_lines.alias("l"),
     )
     failed = (F.col("w.n") < 50) | (100 * F.col("w.repeat") > 50 * F.col("w.n"))
     return out.select(
-        "_id", "_text", "_host", "doc_id", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
-        F.col("w.repeat").alias("n_repeat_words"), failed.alias("base_failed"),
+        *KEYS, "doc_id", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"),
+        F.col("w.repeat").alias("n_repeat_words"), failed.alias("base_failed"), F.col("l.all").alias("lines"),
     )
 
 
+KEYS = ["_id", "_text", "_host"]
+
+
 def row_key(docs: DataFrame) -> list[Column]:
     host = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     return [
@@ -103,42 +114,36 @@ def normal(line: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), SPACES, " "))
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """One row for each line with a word: its hash, that of the line before, its words."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
-    own = lambda x: F.struct(F.xxhash64(normal(x)).alias("line"), F.size(F.split(F.btrim(x, F.lit(SPACE)), SPACES)).cast("long").alias("words"))
-    rows = docs.select(*row_key(docs), F.transform(lines, own).alias("lines"))
-    rows = rows.select("_id", "_text", "_host", "lines", F.posexplode("lines").alias("at", "one"))
-    return rows.select("_id", "_text", "_host", "at", "one.line", "one.words", F.coalesce(F.get("lines", F.col("at") - 1)["line"], F.lit(0).cast("long")).alias("before"))
-
-
-def boilerplate(lines: DataFrame, max_docs: int = MAX_DOCS, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
-    """(_host, line) of the lines above the limits, with n_docs and n_contexts."""
-    return (
-        lines.groupBy("_host", "line")
-        .agg(F.count_distinct("_text").alias("n_docs"), F.count_distinct("before").alias("n_contexts"))
-        .where((F.col("n_docs") > max_docs) & (F.col("n_contexts") > max_contexts))
-    )
+def recurring(rows: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """(_host, line) of the lines above the limits; ``rows`` has _host, _text and lines."""
+    of_host = rows.select("_host", "_text").distinct().groupBy("_host").agg(F.count("*").alias("n_host"))
+    has = rows.select("_host", "_text", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+    often = has.distinct().groupBy("_host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
+    return often.join(of_host, "_host").where(F.col("n_docs") > max_share * F.col("n_host")).select("_host", "line")
 
 
-def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """Per row of ``docs``: the base measures, n_line_words_removed, depleted, kept (and row keys);
     cut has the places of the removed lines among those with a word."""
-    lines = line_rows(docs)
-    hits = lines.join(boilerplate(lines, max_docs, max_contexts).select("_host", "line"), ["_host", "line"])
+    rows = materialize(measured(docs))
+    above = materialize(recurring(rows, max_docs, max_share))
+    lines = rows.select(*KEYS, F.posexplode("lines").alias("at", "one")).select(*KEYS, "at", "one.line", "one.words")
+    # Few lines recur in a share of their host, and their number is known here; many are left to a shuffled join.
+    above = F.broadcast(above) if above.count() <= MOST_SENT else above.hint("merge")
+    hits = lines.join(above, ["_host", "line"])
+    # Rows that repeat in every way have each place several times.
     gone = (
-        hits.groupBy("_id", "_text", "_host", "at").agg(F.max("words").alias("words"))
-        .groupBy("_id", "_text", "_host").agg(F.sum("words").alias("gone"), F.collect_list("at").alias("cut"))
+        hits.groupBy(*KEYS, "at").agg(F.max("words").alias("words"))
+        .groupBy(*KEYS).agg(F.sum("words").alias("gone"), F.collect_list("at").alias("cut"))
     )
-    out = measures(docs).join(gone, ["_id", "_text", "_host"], "left").withColumn("gone", F.coalesce("gone", F.lit(0).cast("long")))
+    out = rows.drop("lines").join(gone, KEYS, "left").withColumn("gone", F.coalesce("gone", F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("gone")
     depleted = (F.col("gone") > 0) & ((left < LEAST_WORDS_KEPT) | (left < LEAST_SHARE_KEPT * F.col("n_words")))
     return out.withColumn("depleted", depleted).withColumnRenamed("gone", "n_line_words_removed").withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return judge(docs).drop("_id", "_text", "_host", "cut")
+    return judge(docs).drop(*KEYS, "cut")
 
 
 def without_lines(text: Column, cut: Column) -> Column:
@@ -158,8 +163,8 @@ def keep(docs: DataFrame) -> DataFrame:
 
     A text that loses nothing stays as it is. ``n_chars``, if there, is set anew with the text.
     """
-    passed = judge(docs).where("kept").select("_id", "_text", "_host", "cut").dropDuplicates(["_id", "_text", "_host"])
-    rows = shielded(docs, *row_key(docs)).join(passed, ["_id", "_text", "_host"])
+    passed = judge(docs).where("kept").select(*KEYS, "cut").dropDuplicates(KEYS)
+    rows = shielded(docs, *row_key(docs)).join(passed, KEYS)
     name = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
     shorter, text = F.size("cut") > 0, name["text"]
     rows = rows.withColumn(text, F.when(shorter, without_lines(F.col(text).cast("string"), F.col("cut"))).otherwise(F.col(text)))
@@ -187,10 +192,12 @@ WITH d AS (
 ), l AS (
   SELECT *, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
     len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM l0
-), l2 AS (
-  SELECT *, lag(norm) OVER (PARTITION BY rid ORDER BY pos) AS before FROM l
+), hosts AS (
+  SELECT host, count(DISTINCT t) AS texts FROM d GROUP BY host
+), often AS (
+  SELECT host, norm, count(DISTINCT t) AS texts FROM l GROUP BY host, norm
 ), freq AS (
-  SELECT host, norm FROM l2 GROUP BY host, norm HAVING count(DISTINCT t) > 20 AND count(DISTINCT coalesce(before, '')) > 20
+  SELECT often.host, norm FROM often JOIN hosts ON often.host = hosts.host WHERE often.texts > 20 AND often.texts > 0.001 * hosts.texts
 ), gone AS (
   SELECT rid, sum(words) AS n FROM l JOIN freq USING (host, norm) GROUP BY rid
 ), dup AS (

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; on one machine without it, a temporary folder."""
+    """The cluster's ``spark.checkpoint.dir``; in local mode without it, a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
