@@ -5,7 +5,10 @@ the library (bytes mapped to printable characters, merged by rank) and its ids a
 bounded table, so frequent pieces cost one lookup. Decoding reverses the byte table: ids give
 bytes, and bytes give text, so characters that were split over several ids come back whole.
 
-Nulls count as empty texts and give no ids. No shuffle takes place.
+Nulls count as empty texts and give no ids; empty tables give none. A very long text is
+encoded as a whole, alone in its piece of a batch. Rows that repeat are coded alike. Columns of
+the input may have any name; one that is named like a new column is replaced. No shuffle takes
+place.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrow import pieces
+
 #: Pieces kept per worker before the table starts anew.
 KEPT_PIECES = 200_000
 _coders: dict[tuple[str, str], Coder] = {}
@@ -131,7 +136,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks_path, pattern)
-        for batch in batches:
+        for batch in pieces(batches, where):
             texts = (t or "" for t in batch.column(where).to_pylist())
             if offsets:
                 coded = [own.offsets(t) for t in texts]
@@ -150,7 +155,7 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str, *, ids: str = "token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks_path, pattern)
-        for batch in batches:
+        for batch in pieces(batches, where):
             texts = [b"".join(map(own.tokens.__getitem__, x or ())).decode("utf-8", "replace") for x in batch.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 
@@ -162,15 +167,14 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks_path, pattern)
-        for batch in batches:
+        for batch in pieces(batches, 3):
             texts = [t or "" for t in batch.column(3).to_pylist()]
-            for first in range(0, len(texts), 500):
-                part = texts[first : first + 500]
-                coded = [own.encode(t) for t in part]
-                same = [own.decode(c) == t.encode() for c, t in zip(coded, part, strict=True)]
-                ids = _lists(coded)
-                columns = [batch.column(i)[first : first + 500] for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(c) // 4 for c in coded], pa.int64()), ids, pa.array(same)], names=["doc_id", "lang", "source", "n_tokens", "token_ids", "decoded_same"])
+            coded = [own.encode(t) for t in texts]
+            same = [own.decode(c) == t.encode() for c, t in zip(coded, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([len(c) // 4 for c in coded], pa.int64()), _lists(coded), pa.array(same, pa.bool_())],
+                names=["doc_id", "lang", "source", "n_tokens", "token_ids", "decoded_same"],
+            )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("lang", "source", "text")])
     return source.mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, token_ids array<int>, decoded_same boolean")
@@ -181,7 +185,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks_path, pattern)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             rows = [], [], []
             for t in batch.column(1).to_pylist():
                 ids = own.encode(t or "")

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import U, mix, prefix, ranges
+from .arrow import pieces
+from .hashing import U, mix, prefix, ranges, text_buffers, word_bounds
 from .repeats import LAST, Shape, cover_positions, key_columns, keyed, marked, removed, spans
 from .storage import shielded, unshielded
 
@@ -37,26 +38,30 @@ def equal_windows(contents: list[bytes], n: np.ndarray) -> np.ndarray:
     return np.unique(mix(ranges(p, first, first + WINDOW) + U(1)), return_inverse=True)[1]
 
 
+def _gone(batch: pa.RecordBatch, text: int) -> tuple[np.ndarray, ...]:
+    """(bytes, start and end of each word, words' offsets by row, which words go); tag and spans
+    are the last two columns."""
+    data, offsets = text_buffers(batch.column(text))
+    start, end, row = word_bounds(data, offsets)
+    own = np.searchsorted(row, np.arange(batch.num_rows + 1))
+    return data, start, end, own, removed(batch.column(batch.num_columns - 1), batch.column(batch.num_columns - 2), own, WINDOW)
+
+
 def query(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [], [], []
-            for tag, text, found in zip(*batch.columns[1:], strict=True):
-                words = text.as_py().encode().split()
-                gone = 0
-                total = len(words)
-                if found.is_valid:
-                    mask = removed(found.as_py(), tag.as_py(), total, WINDOW)
-                    gone = int(mask.sum())
-                    words = [w for w, x in zip(words, mask.tolist(), strict=True) if not x]
-                out[0].append(total)
-                out[1].append(gone)
-                out[2].append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in out)], names=["key", "n_words", "n_removed", "kept_sha256"])
-
-    done = marked(keyed(docs), SHAPE, equal_windows).mapInArrow(run, "key long, n_words long, n_removed long, kept_sha256 string")
+        for batch in pieces(batches, 1):
+            data, start, end, own, gone = _gone(batch, 1)
+            kept, hashes = np.flatnonzero(~gone), []
+            raw, at = data.tobytes(), np.searchsorted(kept, own)
+            for x, y in zip(at[:-1], at[1:], strict=True):
+                words = kept[x:y]
+                hashes.append(hashlib.sha256(b" ".join([raw[s:e] for s, e in zip(start[words].tolist(), end[words].tolist(), strict=True)])).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(own)), pa.array(np.diff(own) - np.diff(at)), pa.array(hashes, pa.string())], names=["key", "n_words", "n_removed", "kept_sha256"])
+
+    rows = marked(keyed(docs), SHAPE, equal_windows).select("key", "text", "tag", "spans")
+    done = rows.mapInArrow(run, "key long, n_words long, n_removed long, kept_sha256 string")
     return done.select(F.nullif("key", F.lit(LAST)).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
@@ -66,37 +71,35 @@ def keep(docs: DataFrame) -> DataFrame:
     A text that loses nothing stays as it is, white space included. In a cut text, each
     removed word takes the white space after it along. ``n_chars``, if there, is set anew.
     """
-    texts = keyed(docs)
-    found = spans(texts, SHAPE, equal_windows).groupBy("key").agg(F.collect_list(F.struct("start", "end", "tag")).alias("spans"))
+    found = spans(keyed(docs), SHAPE, equal_windows).groupBy("key").agg(F.collect_list(F.struct("tag", "at")).alias("spans"))
     own = shielded(docs, *key_columns(docs))
     joined = own.join(found, "key", "left").select(*[f"in_{i}" for i in range(len(docs.columns))], "tag", "spans")
-    where = docs.columns.index("text")
-    names = docs.columns
+    where, names = docs.columns.index("text"), docs.columns
+    schema = shielded(docs).schema
+    plain = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        words = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-        for batch in batches:
-            texts, chars, stay = [], [], []
-            for text, tag, found in zip(batch.column(where), *batch.columns[len(names) :], strict=True):
-                t, left = text.as_py(), True
-                if found.is_valid:
-                    pieces = words.findall((t or "").encode())
-                    mask = removed(found.as_py(), tag.as_py(), len(pieces), WINDOW)
-                    if mask.any():
-                        t = b"".join(p for p, x in zip(pieces, mask.tolist(), strict=True) if not x).decode()
-                        left = not mask.all()
-                stay.append(left)
-                texts.append(t)
-                chars.append(None if t is None else len(t))
+        for batch in pieces(batches, where):
+            data, start, _, words, gone = _gone(batch, where)
+            offsets = text_buffers(batch.column(where))[1]
+            # A word takes the white space after it along: up to the next word of the text, or its end.
+            row = np.repeat(np.arange(batch.num_rows), np.diff(words))
+            after = np.append(start[1:], 0)
+            last = np.flatnonzero(np.diff(row, append=-1))
+            after[last] = offsets[row[last] + 1]
+            cut = np.bincount(row[gone], minlength=batch.num_rows) > 0
+            texts = batch.column(where).to_pylist()
+            for r in np.flatnonzero(cut):
+                a, b = words[r], words[r + 1]
+                stay = np.flatnonzero(~gone[a:b]) + a
+                lead = data[offsets[r] : start[a]] if not gone[a] else data[:0]
+                texts[r] = b"".join([lead.tobytes(), *(data[x:y].tobytes() for x, y in zip(start[stay].tolist(), after[stay].tolist(), strict=True))]).decode()
+            left = ~cut | (np.bincount(row[~gone], minlength=batch.num_rows) > 0)
             columns = list(batch.columns[: len(names)])
             columns[where] = pa.array(texts, batch.schema.field(where).type)
             if "n_chars" in names:
                 at = names.index("n_chars")
-                columns[at] = pa.array(chars, pa.int64()).cast(batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=plain).filter(pa.array(stay, pa.bool_()))
+                columns[at] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=plain).filter(pa.array(left))
 
-    schema = shielded(docs).schema
-    plain = schema.names
     return unshielded(joined.mapInArrow(run, schema), docs)

@@ -6,14 +6,17 @@ Units are words or bytes. The work has four steps, none of which compares pairs
    caller says how). Each task packs its anchor hashes by bucket; a hash that several documents
    of the task share is sent once. Buckets tell which hashes stand in several documents.
 2. *Runs.* Around those anchors, windows are grouped into runs that share their smallest
-   inner gram, and a run becomes one hash of its whole content. Equal runs need one look-up:
-   all windows of a run recur if a smaller document has the same run.
+   inner gram, and a run becomes two independent 64-bit hashes of its whole content. Runs equal
+   in both need one look-up: all windows of a run recur if a smaller document has the same run.
+   A batch sends a run once, with all places where one document has it.
 3. *Extension.* Runs that hold the same gram but differ as wholes may share some windows. The
    first copies of such runs meet by gram, and the caller finds their equal windows.
 4. The windows found become removed units of the document.
 
-Texts with fewer units than a window keep everything. A null doc_id counts as larger than all
-others; rows that repeat a doc_id are parts of one document, so neither removes from the other.
+Texts with fewer units than a window keep everything; null texts are empty, and a very long text
+is cut into no pieces. A null doc_id counts as larger than all others; rows that repeat a doc_id
+are parts of one document, so neither removes from the other. An empty table gives an empty
+result, and columns other than doc_id and text may have any name.
 """
 
 from __future__ import annotations
@@ -23,9 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import pieces, released
 from .hashing import BYTE_VALUES, INVERSE, MULT, U, chunks, mix, opened, powers, prefix, ranges, slide, text_buffers, word_bounds, word_hashes
 
 LAST = (1 << 63) - 1
@@ -35,10 +40,11 @@ MOST_RUNS = 4_096
 BUCKET_BYTES = 2 << 20
 #: Bytes of text whose anchors a task packs at a time.
 SLICE_BYTES = 12 << 20
-VALUE_MASK = U((1 << 48) - 1)
+GRAM_MASK = U((1 << 48) - 1)
 #: Bits that tell the anchors of one document apart; a false hit costs a look-up, no more.
 OWN_MASK = U((1 << 32) - 1)
-RUN_KEYS = "key long, tag int, lo int, n int"
+#: Bits of an anchor hash within its bucket.
+VALUE_BITS = 32
 
 
 @dataclass(frozen=True)
@@ -107,50 +113,46 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(*key_columns(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _planes(x: np.ndarray) -> bytes:
+def _planes(x: np.ndarray, kind: str = "<u8") -> bytes:
     """Small numbers byte by byte of their places, so that equal places compress away."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return x.astype(kind).view(np.uint8).reshape(-1, int(kind[-1])).T.tobytes()
 
 
-def _from_planes(raw: bytes) -> np.ndarray:
+def _from_planes(raw: bytes, kind: str = "<u8") -> np.ndarray:
     if not raw:
         return np.zeros(0, np.uint64)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(int(kind[-1]), -1).T).view(kind).ravel().astype(np.uint64)
 
 
 def _pack(values: np.ndarray, keys: np.ndarray, bare: np.ndarray, buckets: int) -> tuple[bytes, bytes]:
     """Hashes of one bucket and their keys: first those sent without a key, then in the order of the keys."""
     order = np.lexsort((keys, ~bare))
     keys = keys[order][int(bare.sum()) :]
-    return _planes(values[order] // U(buckets)), _planes(np.diff(keys, prepend=0))
+    return _planes(values[order] // U(buckets), "<u4"), _planes(np.diff(keys, prepend=0))
 
 
 def _unpack(values: bytes, keys: bytes, bucket: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, keys and which of them came without a key; differences of keys wrap around."""
-    v, k = _from_planes(values) * U(buckets) + U(bucket), np.cumsum(_from_planes(keys).astype(np.int64))
+    v, k = _from_planes(values, "<u4") * U(buckets) + U(bucket), np.cumsum(_from_planes(keys).astype(np.int64))
     n = len(v) - len(k)
     return v, np.concatenate([np.zeros(n, np.int64), k]), np.arange(len(v)) < n
 
 
 def shared_anchors(texts: DataFrame, shape: Shape, buckets: int) -> DataFrame:
-    """(key, value): anchor hashes (48 bits) of a document that other documents have, too."""
-
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            for x, y in chunks(offsets, SLICE_BYTES):
-                yield batch, data, offsets, x, y
+    """(key, value): anchor hashes of a document that other documents have, too. ``buckets`` is a
+    power of two; with it grow the bits by which hashes are told apart."""
+    mask = U((buckets << VALUE_BITS) - 1)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, all_data, all_offsets, x, y in slices(batches):
-            keys = batch.column(0).to_numpy(zero_copy_only=False)[x:y]
-            data, offsets = all_data[all_offsets[x] : all_offsets[y]], all_offsets[x : y + 1] - all_offsets[x]
+        for batch in pieces(batches, 1, SLICE_BYTES):
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = text_buffers(batch.column(1))
             found = []
             for a, b in chunks(offsets):
                 values, own = units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shape.words)
                 at, h = shape.anchors(values, own, shape)
                 row = np.searchsorted(own, at, "right") - 1 + a
-                found.append(np.stack([h & VALUE_MASK, keys[row].view(np.uint64)]))
+                found.append(np.stack([h & mask, keys[row].view(np.uint64)]))
             if not found:
                 continue
             v, k = np.concatenate(found, axis=1)
@@ -181,7 +183,7 @@ def shared_anchors(texts: DataFrame, shape: Shape, buckets: int) -> DataFrame:
                 order = np.argsort(spread, kind="stable")
                 known_b, starts = np.unique(spread[order], return_index=True)
                 ends = np.append(starts[1:], len(order))[: len(starts)]
-                known = [_pack(v[many][order[s:e]], k[many][order[s:e]], np.zeros(e - s, bool), 1) for s, e in zip(starts, ends, strict=True)]
+                known = [_pack(v[many][order[s:e]] & OWN_MASK, k[many][order[s:e]], np.zeros(e - s, bool), 1) for s, e in zip(starts, ends, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([ids, known_b]).astype(np.int32)), pa.array(np.repeat([False, True], [len(packed), len(known)])),
@@ -216,8 +218,13 @@ def shared_anchors(texts: DataFrame, shape: Shape, buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, "key long, value long")
 
 
+def _second(values: np.ndarray) -> np.ndarray:
+    """Prefix sums of a hash that has nothing in common with the prefix polynomial."""
+    return prefix(mix(values ^ U(0xA0761D6478BD642F)))
+
+
 def _window_runs(values: np.ndarray, own: np.ndarray, at: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
-    """(run hash, gram hash, first window, windows) of the runs of windows over the anchors ``at``.
+    """(run hash, second hash, gram hash, first window, windows) of the runs of windows over the anchors ``at``.
 
     ``own`` are the rows' offsets; positions are those of the whole chunk.
     """
@@ -227,7 +234,7 @@ def _window_runs(values: np.ndarray, own: np.ndarray, at: np.ndarray, shape: Sha
     last = np.minimum(at, own[row + 1] - shape.window)
     ok = last >= first
     if not ok.any():
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+        return (np.zeros(0, np.uint64),) * 3 + (np.zeros(0, np.int64),) * 2
     diff = np.bincount(first[ok], minlength=len(values) + 1) - np.bincount(last[ok] + 1, minlength=len(values) + 1)
     p = np.flatnonzero(np.cumsum(diff) > 0)
     low = slide(h, shape.span, np.minimum)[p]
@@ -243,23 +250,60 @@ def _window_runs(values: np.ndarray, own: np.ndarray, at: np.ndarray, shape: Sha
     new[1:] = (p[1:] != p[:-1] + 1) | (g[1:] != g[:-1]) | (row[1:] != row[:-1])
     s = np.flatnonzero(new)
     lo, n = p[s], np.diff(np.append(s, len(p)))
-    pre = prefix(values)
-    c = mix(ranges(pre, lo, lo + n - 1 + shape.window) + n.astype(np.uint64) * U(MULT) + (g[s] - lo).astype(np.uint64) * U(0xD6E8FEB86659FD93))
-    return c, h[g[s]], lo, n
+    tell = n.astype(np.uint64) * U(MULT) + (g[s] - lo).astype(np.uint64) * U(0xD6E8FEB86659FD93)
+    end = lo + n - 1 + shape.window
+    c, d = (mix(ranges(x, lo, end) + tell) for x in (prefix(values), _second(values)))
+    return c, d, h[g[s]], lo, n
+
+
+def _classes(*keys: np.ndarray) -> np.ndarray:
+    """Class numbers of equal tuples, one number for each place."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of spans, those of one row that touch or overlap made one."""
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    # Rows are set apart, so that one running maximum serves all of them.
+    far = (row - row[0]) * (int(end.max()) + 1) if len(row) else row
+    reach = np.maximum.accumulate(end + far) if len(row) else end
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] + far[1:] > reach[:-1])
+    s = np.flatnonzero(new)
+    last = np.append(s[1:], len(row)) - 1
+    return row[s], start[s], (reach - far)[last] if len(row) else end
+
+
+def _lists(group: np.ndarray, values: np.ndarray, groups: int) -> pa.ListArray:
+    """``values`` (rows of one or more integers, sorted by group) as one list for each group."""
+    width = values.size // len(values) if len(values) else 1
+    ends = np.searchsorted(group, np.arange(groups + 1)) * width
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.ravel().astype(np.int32)))
+
+
+RUNS = "run long, second long, gram long, key long, tag int, n int, at array<int>"
 
 
 def runs(texts: DataFrame, shared: DataFrame, shape: Shape) -> DataFrame:
-    """(run, gram, key, tag, lo, n): runs of windows over the shared anchors of each document.
+    """(run, second, gram, key, tag, n, at): runs of windows over the shared anchors of each
+    document, ``at`` being the places where it has them.
 
-    Of equal runs in one batch, only those of the smallest key carry their run and gram: the
-    others recur for sure, and have null there. So no run is sent more than once by a batch,
-    however many documents hold it.
+    Of equal runs in one batch only those of the smallest key are sent as runs: the others recur
+    for sure. What a document has of those comes in one row with a null gram and a random run,
+    ``at`` being the start and end of each span. So a batch sends a run once, however many
+    documents hold it and however often.
     """
     lists = shared.groupBy("key").agg(F.collect_list("value").alias("values"))
     joined = texts.join(lists, "key").select("key", "tag", "text", "values")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2, SLICE_BYTES):
             keys, tags = batch.column(0), batch.column(1)
             data, offsets = text_buffers(batch.column(2))
             lists_at = batch.column(3).offsets.to_numpy()
@@ -273,39 +317,58 @@ def runs(texts: DataFrame, shared: DataFrame, shape: Shape) -> DataFrame:
                 want_row = np.repeat(np.arange(b - a), np.diff(lists_at[a : b + 1]))
                 tell = U(0x9E3779B97F4A7C15)
                 hit = np.isin((h & OWN_MASK) + row.astype(np.uint64) * tell, want + want_row.astype(np.uint64) * tell)
-                c, g, lo, n = _window_runs(values, own, at[hit], shape)
+                c, d, g, lo, n = _window_runs(values, own, at[hit], shape)
                 row = np.searchsorted(own, lo, "right") - 1
                 if shape.grams_are_anchors:  # then a run whose gram is not shared cannot recur
                     hit = np.isin((g & OWN_MASK) + row.astype(np.uint64) * tell, want + want_row.astype(np.uint64) * tell)
-                    c, g, lo, n, row = (x[hit] for x in (c, g, lo, n, row))
-                found.append((c, g & VALUE_MASK, row + a, lo - own[row], n))
+                    c, d, g, lo, n, row = (x[hit] for x in (c, d, g, lo, n, row))
+                found.append((c, d, g & GRAM_MASK, row + a, lo - own[row], n))
             if not found:
                 continue
-            c, g, row, lo, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            c, d, g, row, lo, n = (np.concatenate(x) for x in zip(*found, strict=True))
             key = keys.to_numpy(zero_copy_only=False)[row]
-            _, cls = np.unique(c, return_inverse=True)
-            least = np.full(int(cls.max()) + 1 if len(cls) else 0, LAST)
+            cls = _classes(d, c)
+            least = np.full(len(cls), LAST)
             np.minimum.at(least, cls, key)
             later = key > least[cls]
-            take = pa.array(row)
+            # Runs of the smallest keys: one row for each run and document.
+            own = np.flatnonzero(~later)
+            own = own[np.lexsort((lo[own], row[own], cls[own]))]
+            head = np.ones(len(own), bool)
+            head[1:] = (cls[own][1:] != cls[own][:-1]) | (row[own][1:] != row[own][:-1])
+            heads = own[head]
+            places = _lists(np.cumsum(head) - 1, lo[own], len(heads))
+            take = pa.array(row[heads])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(c.view(np.int64), mask=later), pa.array(g.view(np.int64), mask=later), keys.take(take), tags.take(take),
-                    pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)),
+                    *(pa.array(x[heads].view(np.int64)) for x in (c, d, g)), keys.take(take), tags.take(take), pa.array(n[heads].astype(np.int32)), places,
                 ],
-                names=["run", "gram", "key", "tag", "lo", "n"],
+                names=["run", "second", "gram", "key", "tag", "n", "at"],
             )
+            if later.any():
+                r, start, end = _merged(row[later], lo[later], lo[later] + n[later] - 1 + shape.window)
+                docs, group = np.unique(r, return_inverse=True)
+                spread = mix(keys.to_numpy(zero_copy_only=False)[docs].view(np.uint64) + U(batch.num_rows)).view(np.int64)
+                none = pa.nulls(len(docs), pa.int64())
+                take = pa.array(docs)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(spread), none, none, keys.take(take), tags.take(take), pa.nulls(len(docs), pa.int32()), _lists(group, np.stack([start, end], axis=1), len(docs))],
+                    names=["run", "second", "gram", "key", "tag", "n", "at"],
+                )
 
-    return joined.mapInArrow(run, f"run long, gram long, {RUN_KEYS}")
+    return joined.mapInArrow(run, RUNS)
+
+
+CONTENTS = "gram long, many boolean, key long, tag int, n int, at array<int>, content binary"
 
 
 def contents(texts: DataFrame, firsts: DataFrame, shape: Shape) -> DataFrame:
-    """``firsts`` with the content of each run: its bytes, or the hashes of its words."""
-    lists = firsts.groupBy("key").agg(F.collect_list(F.struct("gram", "lo", "n", "many", "tag")).alias("runs"))
+    """``firsts`` with the content of each run at its first place: its bytes, or the hashes of its words."""
+    lists = firsts.groupBy("key").agg(F.collect_list(F.struct("gram", "at", "n", "many", "tag")).alias("runs"))
     joined = texts.join(lists, "key").select("key", "tag", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2, SLICE_BYTES):
             data, offsets = text_buffers(batch.column(2))
             at = batch.column(3).offsets.to_numpy()
             fields = batch.column(3).values
@@ -318,7 +381,8 @@ def contents(texts: DataFrame, firsts: DataFrame, shape: Shape) -> DataFrame:
                 row = np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))
                 same = own_fields.field("tag").to_numpy() == batch.column(1).to_numpy()[row + a]
                 own_fields, row = own_fields.filter(pa.array(same)), row[same]
-                lo, n = own_fields.field("lo").to_numpy(), own_fields.field("n").to_numpy()
+                places = own_fields.field("at")
+                lo, n = pc.list_element(places, 0).to_numpy(zero_copy_only=False), own_fields.field("n").to_numpy()
                 s = (own[row] + lo) * width
                 e = s + (n + shape.window - 1) * width
                 raw = flat.tobytes()
@@ -326,28 +390,32 @@ def contents(texts: DataFrame, firsts: DataFrame, shape: Shape) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         own_fields.field("gram"), own_fields.field("many"), batch.column(0).take(take), batch.column(1).take(take),
-                        own_fields.field("lo"), own_fields.field("n"), pa.array([raw[x:y] for x, y in zip(s, e, strict=True)], pa.binary()),
+                        own_fields.field("n"), places, pa.array([raw[x:y] for x, y in zip(s, e, strict=True)], pa.binary()),
                     ],
-                    names=["gram", "many", "key", "tag", "lo", "n", "content"],
+                    names=["gram", "many", "key", "tag", "n", "at", "content"],
                 )
 
-    return joined.mapInArrow(run, f"gram long, many boolean, {RUN_KEYS}, content binary")
+    return joined.mapInArrow(run, CONTENTS)
 
 
-def _found(key: np.ndarray, tag: np.ndarray, start: np.ndarray, window: int) -> pa.RecordBatch:
-    """Windows as spans, those that touch or overlap in one document merged."""
-    order = np.lexsort((start, tag, key))
-    key, tag, start = key[order], tag[order], start[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] > start[:-1] + window)
-    s = np.flatnonzero(new)
-    end = start[np.append(s[1:], len(key)) - 1] + window if len(key) else start
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key[s]), pa.array(tag[s]), pa.array(start[s].astype(np.int32)), pa.array(end.astype(np.int32))], names=["key", "tag", "start", "end"]
-    )
+SPANS = "key long, tag int, at array<int>"
 
 
-SPANS = "key long, tag int, start int, end int"
+def _found(rows: pa.Table, run: np.ndarray, offset: np.ndarray, window: int) -> pa.RecordBatch:
+    """The windows at ``offset`` of the runs numbered ``run`` as spans at all places of those runs."""
+    places = rows.column("at").combine_chunks()
+    first, count = places.offsets.to_numpy(), np.diff(places.offsets.to_numpy())
+    times = count[run]
+    run, offset = np.repeat(run, times), np.repeat(offset, times)
+    inner = np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times)
+    start = places.values.to_numpy()[first[run] + inner] + offset
+    key, tag = rows.column("key").to_numpy(), rows.column("tag").to_numpy()
+    doc = _classes(tag, key)
+    d, s, e = _merged(doc[run], start, start + window)
+    has, group = np.unique(d, return_inverse=True)
+    one = np.zeros(int(doc.max()) + 1 if len(doc) else 0, np.int64)
+    one[doc] = np.arange(len(doc))
+    return pa.RecordBatch.from_arrays([pa.array(key[one[has]]), pa.array(tag[one[has]]), _lists(group, np.stack([s, e], axis=1), len(has))], names=["key", "tag", "at"])
 
 
 def extended(content: DataFrame, shape: Shape, equal_windows: Callable) -> DataFrame:
@@ -360,13 +428,13 @@ def extended(content: DataFrame, shape: Shape, equal_windows: Callable) -> DataF
         t = pa.Table.from_batches(rows)
         n = t.column("n").to_numpy()
         cls = equal_windows(t.column("content").to_pylist(), n)
-        key = np.repeat(t.column("key").to_numpy(), n)
-        tag = np.repeat(t.column("tag").to_numpy(), n)
-        start = np.repeat(t.column("lo").to_numpy() - np.cumsum(n) + n, n) + np.arange(len(key))
+        run = np.repeat(np.arange(len(n)), n)
+        key = t.column("key").to_numpy()[run]
+        offset = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
         least = np.full(int(cls.max()) + 1 if len(cls) else 0, LAST)
         np.minimum.at(least, cls, key)
         hit = key > least[cls]
-        return _found(key[hit], tag[hit], start[hit], shape.window)
+        return _found(t, run[hit], offset[hit], shape.window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -388,6 +456,7 @@ def extended(content: DataFrame, shape: Shape, equal_windows: Callable) -> DataF
                 first = cut
         if held:
             yield block(held)
+        released()
 
     few = content.where("NOT many").repartition("gram").sortWithinPartitions("gram")
     near = few.mapInArrow(run, SPANS)
@@ -398,67 +467,80 @@ def extended(content: DataFrame, shape: Shape, equal_windows: Callable) -> DataF
             joined = np.frombuffer(b"".join(batch.column("content").to_pylist()), np.uint64 if shape.words else np.uint8)
             values = joined if shape.words else BYTE_VALUES[joined]
             lens = n + shape.window - 1
-            firsts = np.repeat(np.cumsum(lens) - lens - np.cumsum(n) + n, n) + np.arange(n.sum())
-            h = ranges(prefix(values), firsts, firsts + shape.window)
-            start = np.repeat(batch.column("lo").to_numpy() - np.cumsum(n) + n, n) + np.arange(n.sum())
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            firsts = np.repeat(np.cumsum(lens) - lens, n) + offset
+            hashes = (mix(ranges(p, firsts, firsts + shape.window)).view(np.int64) for p in (prefix(values), _second(values)))
             rows = pa.array(np.repeat(np.arange(batch.num_rows), n))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(mix(h).view(np.int64)), batch.column("key").take(rows), batch.column("tag").take(rows), pa.array(start.astype(np.int32))], names=["window", "key", "tag", "start"]
+                [*map(pa.array, hashes), *(batch.column(c).take(rows) for c in ("key", "tag", "at")), pa.array(offset.astype(np.int32))],
+                names=["window", "second", "key", "tag", "at", "offset"],
             )
 
-    windows = content.where("many").mapInArrow(explode, "window long, key long, tag int, start int")
-    least = windows.groupBy("window").agg(F.min("key").alias("least"))
-    far = windows.join(least, "window").where("key > least").select("key", "tag", "start", (F.col("start") + shape.window).alias("end"))
+    # Grams of very many runs: their windows meet by two independent hashes, each group summed up in part before it is sent.
+    windows = content.where("many").mapInArrow(explode, "window long, second long, key long, tag int, at array<int>, offset int")
+    least = windows.groupBy("window", "second").agg(F.min("key").alias("least"))
+    start = lambda x: x + F.col("offset")
+    far = windows.join(least, ["window", "second"]).where("key > least").select("key", "tag", F.flatten(F.transform("at", lambda x: F.array(start(x), start(x) + shape.window))).alias("at"))
     return near.unionByName(far)
 
 
 def copies(texts: DataFrame) -> DataFrame:
-    """(key, tag, size in bytes) of the rows whose whole text a smaller document has."""
-    own = texts.select("key", "tag", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes"))
-    least = own.groupBy("hash", "bytes").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
-    return own.join(least, ["hash", "bytes"]).where("key > least").select("key", "tag", "bytes").distinct()
+    """(key, tag, size in bytes) of the rows whose whole text a smaller document has, by two
+    hashes with different seeds and the size."""
+    own = texts.select("key", "tag", F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(1), "text").alias("second"), F.octet_length("text").alias("bytes"))
+    same = ["hash", "second", "bytes"]
+    least = own.groupBy(*same).agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
+    return own.join(least, same).where("key > least").select("key", "tag", "bytes").distinct()
 
 
 def spans(texts: DataFrame, shape: Shape, equal_windows: Callable) -> DataFrame:
-    """(key, tag, start, end): all units of each document that recur from a smaller one.
+    """(key, tag, at): all units of each document that recur from a smaller one, ``at`` being
+    the start and end of each span.
 
     Spans of one document may overlap, and that of a whole text may end beyond it. ``texts`` is
     what ``keyed`` returns. Copies of a text need no search: all of it recurs.
     """
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(min(1 << 20, max(256, total // BUCKET_BYTES)))
+    buckets = 1 << max(8, (total // BUCKET_BYTES).bit_length())
     again = copies(texts)
     # Texts are dealt out by key once; the condition on tag is no equality, so that this stays
     # the one exchange of texts that all joins by key share.
     a = again.select(F.col("key").alias("a_key"), F.col("tag").alias("a_tag"))
     searched = texts.join(a, (F.col("key") == F.col("a_key")) & (F.col("tag") <= F.col("a_tag")) & (F.col("tag") >= F.col("a_tag")), "left_anti")
     every = runs(searched, shared_anchors(searched, shape, buckets), shape)
-    sure = every.where("run IS NULL").select("key", "tag", "lo", "n")
-    # A batch sends a run for one key, so a partition by run has as many rows as there are batches.
-    placed = every.where("run IS NOT NULL").withColumn("least", F.min("key").over(Window.partitionBy("run"))).where("gram IS NOT NULL")
+    # A batch sends a run once, so a partition by run has as many rows of a run as there are batches.
+    placed = every.withColumn("least", F.min("key").over(Window.partitionBy("run", "second")))
     # Counting every column, here as in the other branches, keeps one exchange by run for all.
-    counts = [F.count(c).alias(f"n_{c}") for c in ("tag", "lo", "n")]
-    several = placed.where("key <= least").groupBy("gram").agg(*counts, F.min("least").alias("low"), F.max("least").alias("high"))
-    several = several.where("low < high AND n_tag = n_lo AND n_lo = n_n").select("gram", F.col("n_n").alias("runs"))
-    whole = placed.where("key > least").select("key", "tag", "lo", "n").unionByName(sure)
-    whole = whole.select("key", "tag", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (shape.window - 1)).alias("end"))
-    firsts = placed.where("key <= least").join(several, "gram").select("gram", "key", "tag", "lo", "n", (F.col("runs") > MOST_RUNS).alias("many"))
+    counts = [F.count(c).alias(f"n_{c}") for c in ("tag", "at", "n")]
+    several = placed.where("gram IS NOT NULL AND key <= least").groupBy("gram").agg(*counts, F.min("least").alias("low"), F.max("least").alias("high"))
+    several = several.where("low < high AND n_tag = n_at AND n_at = n_n").select("gram", F.col("n_n").alias("runs"))
+    end = F.col("n") + (shape.window - 1)
+    at = F.when(F.col("gram").isNull(), F.col("at")).otherwise(F.flatten(F.transform("at", lambda x: F.array(x, x + end))))
+    whole = placed.where("gram IS NULL OR key > least").select("key", "tag", at.alias("at"))
+    firsts = placed.where("gram IS NOT NULL AND key <= least").join(several, "gram").select("gram", "key", "tag", "at", "n", (F.col("runs") > MOST_RUNS).alias("many"))
     found = whole.unionByName(extended(contents(texts, firsts, shape), shape, equal_windows))
-    return found.unionByName(again.select("key", "tag", F.lit(0).alias("start"), F.col("bytes").alias("end")))
+    return found.unionByName(again.select("key", "tag", F.array(F.lit(0), F.col("bytes")).alias("at")))
 
 
 def marked(texts: DataFrame, shape: Shape, equal_windows: Callable) -> DataFrame:
-    """``texts`` with ``spans``, an array of (start, end, tag), null where nothing was found;
-    spans of another tag are those of another row with the doc_id."""
-    found = spans(texts, shape, equal_windows).groupBy("key").agg(F.collect_list(F.struct("start", "end", "tag")).alias("spans"))
+    """``texts`` with ``spans``, an array of (tag, at), null where nothing was found; spans of
+    another tag are those of another row with the doc_id."""
+    found = spans(texts, shape, equal_windows).groupBy("key").agg(F.collect_list(F.struct("tag", "at")).alias("spans"))
     return texts.join(found, "key", "left").select("key", "tag", "text", "spans")
 
 
-def removed(found: list | None, tag: int, n: int, window: int) -> np.ndarray:
-    """Mask of the ``n`` units of a row that its spans remove."""
-    gone = np.zeros(n + 1, np.int32)
-    for x in found or () if n >= window else ():
-        if x["tag"] == tag:
-            gone[x["start"]] += 1
-            gone[min(x["end"], n)] -= 1
-    return np.cumsum(gone)[:n] > 0
+def removed(spans: pa.Array, tags: pa.Array, own: np.ndarray, window: int) -> np.ndarray:
+    """Mask of the units that spans remove; ``own`` are the offsets of the rows in units."""
+    each = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(spans)), each)
+    inner = spans.flatten()
+    places = inner.field("at")
+    pairs = places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) // 2
+    row, tag = np.repeat(row, pairs), np.repeat(inner.field("tag").to_numpy(zero_copy_only=False), pairs)
+    flat = places.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+    size = np.diff(own)
+    ok = (tag == tags.to_numpy(zero_copy_only=False)[row]) & (size[row] >= window)
+    row, flat = row[ok], flat[ok]
+    start, end = own[row] + flat[:, 0], own[row] + np.minimum(flat[:, 1], size[row])
+    gone = np.bincount(start, minlength=own[-1] + 1) - np.bincount(end, minlength=own[-1] + 1)
+    return np.cumsum(gone)[: own[-1]] > 0

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import BYTE_VALUES, INVERSE, powers, prefix
+from .arrow import pieces
+from .hashing import BYTE_VALUES, INVERSE, powers, prefix, text_buffers
 from .repeats import LAST, Shape, keyed, marked, removed, smallest_grams
 
 WINDOW = 50
@@ -122,26 +123,21 @@ def query(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [], [], [], []
-            for tag, text, found in zip(*batch.columns[1:], strict=True):
-                raw, total = text.as_py().encode(), 0
-                n = len(raw)
-                mask = np.zeros(n + 2, np.int8)
-                mask[1:-1] = removed(found.as_py(), tag.as_py(), n, WINDOW)
-                edges = np.flatnonzero(np.diff(mask)).tolist()
-                cuts = list(zip(edges[::2], edges[1::2], strict=True))
-                kept, at = [], 0
-                for a, b in cuts:
-                    kept.append(raw[at:a])
-                    total += b - a
-                    at = b
-                kept.append(raw[at:])
-                out[0].append(n)
-                out[1].append(total)
-                out[2].append(len(cuts))
-                out[3].append(hashlib.sha256(b"".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in out)], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        for batch in pieces(batches, 2):
+            data, own = text_buffers(batch.column(2))
+            gone = removed(batch.column(3), batch.column(1), own, WINDOW)
+            sums = np.concatenate([[0], np.cumsum(gone)])
+            first = gone.copy()
+            first[1:] &= ~gone[:-1]
+            edges = own[:-1][own[:-1] < len(gone)]
+            first[edges] = gone[edges]  # a run does not reach over the end of a text
+            spans = np.concatenate([[0], np.cumsum(first)])
+            kept, at = data[~gone].tobytes(), own - sums[own]
+            hashes = [hashlib.sha256(kept[x:y]).hexdigest() for x, y in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(np.diff(x).astype(np.int64)) for x in (own, sums[own], spans[own])), pa.array(hashes, pa.string())],
+                names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            )
 
     done = marked(keyed(docs), SHAPE, equal_windows).mapInArrow(run, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return done.select(F.nullif("key", F.lit(LAST)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
