@@ -1,35 +1,44 @@
 """Main text of web pages, without the template of their site.
 
-A page is read into a tree of elements. The subtrees of block elements (``div``, ``section``,
-lists, tables, paragraphs, headings and the like) are hashed by tag, text and children. One that
-stands on at least ``LEAST_PAGES`` pages of its host with different surroundings is template and
-goes with all it holds, whatever its share of the pages. The surroundings are the page's text
-less every subtree that recurs: copies of one page, or one article under rotating notices, are
-one. The same goes for what its tag, role or class marks as no part of an article: navigation,
-headers and footers of the site, sidebars, notices, adverts, forms, comments, scripts and styles.
-
-The text is that of the ``article`` or ``main`` elements, or of the body if a page has neither.
-A page meets only its own template subtrees, so a host may have any number of them. A null or
-blank page has the empty text; a host is the part of the url between ``//`` and the next ``/``,
-``?`` or ``#``, and pages without one form one host; rows that repeat a page_id and html count
-as one page.
+A page is read once, into the pieces of text of its tree: each with the hashes of the block
+subtrees (``div``, ``section``, lists, tables, paragraphs, headings and the like) that hold it.
+A subtree is hashed by tag, text and children. One that stands on at least ``LEAST_PAGES`` pages
+of its host with different surroundings is template and goes with all it holds, whatever its
+share of the pages. The surroundings are the page's text less every subtree that recurs: copies
+of one page, or one article under rotating notices, are one. Hosts with fewer pages have no
+template. What a page's tags and roles mark as no part of an article goes, too: navigation,
+headers and footers of the site, sidebars, adverts, forms, scripts and styles. Names in classes
+mark notices and reader comments, which differ from page to page; they hold for elements with
+less than half of the page's text (comments: nine tenths), so no name costs a page its article.
+
+The text is that of the ``article`` or ``main`` elements that are left, or of the body if none
+is. Pieces are written and read back; as long as the templates of all hosts are few, which is
+measured, they are sent to every task, and else each page meets its own by a shuffled join.
+
+A null or blank page has the empty text, and an empty table none; very long pages are read
+whole; a host is the part of the url between ``//`` and the next ``/``, ``?`` or ``#``, and pages
+without one form one host; rows that repeat a page_id and html count as one page and are each
+returned; columns other than page_id, url and html may have any name.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import pieces
 from .hashing import BYTE_VALUES, mix, powers
 from .storage import materialize
 
 LEAST_PAGES = 5
+#: Template subtrees of all hosts (two longs each) that are sent to every task, at most.
+MOST_SENT = 100_000
 
 #: Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,13 +49,14 @@ INLINE = frozenset(
 )
 CUT = frozenset("nav footer aside form script style noscript template iframe button select option textarea input svg math canvas object embed audio video menu dialog head title".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
-#: Names, as whole parts of a class or id, that mark what is no part of an article.
+#: Names, as whole parts of a class or id, of what differs from page to page and so is no template.
 CUT_NAMES = frozenset(
-    """ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert
-    popup modal overlay newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar
-    footer masthead topbar toolbar share sharing social related recommended trending comment comments disqus respond replies reply
-    widget widgets skip""".split()
+    """ad ads advert adverts advertisement sponsored promo banner cookie consent notice notices newsletter subscribe sidebar
+    breadcrumb breadcrumbs pagination share sharing related recommended""".split()
 )
+COMMENT_NAMES = frozenset("comment comments disqus respond replies reply".split())
+#: Shares of the page's text from which on an element is not cut by such names; readers may write more than the author.
+MOST_NAMED, MOST_COMMENTS = 0.5, 0.9
 #: An open element of the first kind ends where one of the second begins.
 BLOCKS = "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 HASHED = CONTAINERS.union(BLOCKS)
@@ -66,33 +76,32 @@ _host = re.compile(r"//([^/?#]*)")
 
 
 class Node:
-    __slots__ = ("tag", "children", "cut", "hidden")
+    __slots__ = ("tag", "children", "cut", "named")
 
-    def __init__(self, tag: str, cut: bool):
-        self.tag, self.cut, self.children = tag, cut, []
+    def __init__(self, tag: str, cut: bool, named: float):
+        self.tag, self.cut, self.named, self.children = tag, cut, named, []
 
 
-def _is_cut(tag: str, attributes: str, in_article: bool) -> bool:
+def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, float]:
+    """Whether tag, role or visibility cuts an element, and below which share of the text its names do."""
     if tag in CUT or tag == "header" and not in_article:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return True, 0.0
+    if not attributes or tag in ("html", "body", "main"):
+        return False, 0.0
+    named = 0.0
     for m in _attribute.finditer(attributes):
-        name = m[1].lower()
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
         if name in ("class", "id"):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            if not CUT_NAMES.isdisjoint(_name_parts.split(value)):
-                return True
-        elif name == "role" and (m[2] or m[3] or m[4] or "").strip().lower() in CUT_ROLES:
-            return True
-        elif name == "aria-hidden" and (m[2] or m[3] or m[4] or "").lower() == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes))
+            parts = _name_parts.split(value)
+            named = max(named, 0.0 if CUT_NAMES.isdisjoint(parts) else MOST_NAMED, 0.0 if COMMENT_NAMES.isdisjoint(parts) else MOST_COMMENTS)
+        elif name == "role" and value in CUT_ROLES or name == "aria-hidden" and value == "true":
+            return True, 0.0
+    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes)), named
 
 
 def parse(page: str) -> Node:
     """The tree of a page: children are nodes and strings, character references decoded."""
-    root = Node("#root", False)
+    root = Node("#root", False, 0.0)
     stack, at, articles = [root], 0, 0
     search, n = _token.search, len(page)
     while at < n:
@@ -122,7 +131,7 @@ def parse(page: str) -> Node:
                 break
             if open_tag in FENCES or open_tag not in ENDED_BY and open_tag not in INLINE:
                 break
-        node = Node(tag, _is_cut(tag, m[3], articles > 0))
+        node = Node(tag, *_marks(tag, m[3], articles > 0))
         stack[-1].children.append(node)
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in RAW and tag not in CONTAINERS and tag not in INLINE and tag != "p":
             continue
@@ -141,17 +150,33 @@ def _hash(text: str) -> int:
     return int(mix(np.array([total], np.uint64))[0].view(np.int64))
 
 
-def subtree_hashes(root: Node) -> tuple[dict[int, int], dict[int, int]]:
-    """By the id of its node: the hash of every block's subtree that has text, and of the text
-    that a block (or the root) has outside of its inner blocks."""
-    found: dict[int, int] = {}
-    own: dict[int, int] = {}
-    # Children before parents, without recursion: pages may nest deeply.
+def _in_order(root: Node) -> list[Node]:
+    """Parents before children, without recursion: pages may nest deeply."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack.extend(c for c in node.children if isinstance(c, Node))
+    return order
+
+
+def cut_names(order: list[Node]) -> None:
+    """Cut what its names mark, unless it holds too much of the page's text."""
+    if not any(node.named for node in order):
+        return
+    length: dict[int, int] = {}
+    for node in reversed(order):
+        length[id(node)] = 0 if node.cut else sum(length[id(c)] if isinstance(c, Node) else len(c.strip()) for c in node.children)
+    for node in order:
+        node.cut |= length[id(node)] < node.named * length[id(order[0])]
+
+
+def subtree_hashes(order: list[Node]) -> tuple[dict[int, int], dict[int, int]]:
+    """By the id of its node: the hash of every block's subtree that has text, and of the shown
+    text that a block (or the root) has outside of its inner blocks."""
+    root = order[0]
+    found: dict[int, int] = {}
+    own: dict[int, int] = {}
     content: dict[int, str] = {}
     outside: dict[int, str] = {}
     for node in reversed(order):
@@ -171,58 +196,57 @@ def subtree_hashes(root: Node) -> tuple[dict[int, int], dict[int, int]]:
     return found, own
 
 
-def _mains(root: Node, gone: Callable[[Node], bool]) -> list[Node]:
-    """The outermost ``article`` and ``main`` elements, or the root if there are none."""
-    mains, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if gone(node):
-            continue
-        if node.tag in ("article", "main"):
-            mains.append(node)
-            continue
-        stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
-    return mains or [root]
-
-
-def page_subtrees(root: Node) -> tuple[dict[int, int], int]:
-    """The distinct subtree hashes of a page with their own shown text (0 if none), and the xor of
-    all shown texts with that outside of all blocks."""
-    hashes, own = subtree_hashes(root)
-    parts = dict.fromkeys(hashes.values(), 0)
-    rest, stack = 0, _mains(root, lambda node: node.cut)
-    while stack:
-        node = stack.pop()
-        if node.cut:
-            continue
-        if id(node) in hashes:
-            parts[hashes[id(node)]] = own.get(id(node), 0)
-        elif node is root:
-            rest = own.get(id(node), 0)
-        stack.extend(c for c in node.children if isinstance(c, Node))
-    for h in parts.values():
-        rest ^= h
-    return parts, rest
-
+def read(page: str) -> tuple[list[tuple[str, tuple[int, ...], bool]], dict[int, int], int]:
+    """What a page holds: its pieces of text in order, each with the subtrees that hold it and
+    whether it is in an ``article`` or ``main``; its distinct shown subtrees with the hash of the
+    text each has outside of inner ones; and the xor of all those texts."""
+    root = parse(page)
+    order = _in_order(root)
+    cut_names(order)
+    hashes, own = subtree_hashes(order)
+    out: list[tuple[str, tuple[int, ...], bool]] = []
+    parts: dict[int, int] = {}
+    inner_parts: dict[int, int] = {}  # those in an article
+    held: list[str] = []
+    # A node is met with the subtrees and the part of the page it lies in; None ends it.
+    stack: list[tuple[Node | str | None, tuple[int, ...], bool]] = [(root, (), False)]
+
+    def close(chain: tuple[int, ...], main: bool) -> None:
+        text = " ".join("".join(held).split())
+        held.clear()
+        if text:
+            out.append((text, chain, main))
 
-def text_of(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article's text: white space is one space, blocks are joined by one space."""
-    hashes = subtree_hashes(root)[0] if template else {}
-    out: list[str] = []
-    stack: list[Node | str] = list(reversed(_mains(root, lambda node: node.cut or hashes.get(id(node)) in template)))
     while stack:
-        node = stack.pop()
+        node, chain, main = stack.pop()
         if isinstance(node, str):
-            out.append(node)
-            continue
-        if node.cut or hashes and hashes.get(id(node)) in template:
-            out.append(" ")
-            continue
-        if node.tag not in INLINE:
-            out.append(" ")
-            stack.append(" ")
-        stack.extend(reversed(node.children))
-    return " ".join("".join(out).split())
+            held.append(node)
+        elif node is None:
+            close(chain, main)
+        elif node.cut:
+            held.append(" ")
+        else:
+            inside = main or node.tag in ("article", "main")
+            block = hashes.get(id(node))
+            if block is not None or inside != main:
+                close(chain, main)
+                inner = chain if block is None else (*chain, block)
+                if block is not None:
+                    (inner_parts if inside else parts)[block] = own.get(id(node), 0)
+                stack.append((None, inner, inside))
+                stack.extend((c, inner, inside) for c in reversed(node.children))
+            else:
+                space = [] if node.tag in INLINE else [(" ", chain, main)]
+                stack += space
+                stack.extend((c, chain, main) for c in reversed(node.children))
+                stack += space
+    close((), False)
+    # Beside an article, other text is no part of the surroundings.
+    total = 0 if inner_parts else own.get(id(root), 0)
+    parts = dict.fromkeys(parts, 0) | inner_parts if inner_parts else parts
+    for x in parts.values():
+        total ^= x
+    return out, parts, total
 
 
 def host_of(url: str | None) -> str:
@@ -234,49 +258,74 @@ def page_key() -> Column:
     return F.xxhash64("page_id", "html")
 
 
-def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, page, hash, own, total): the distinct subtrees of each page, the hash of the text that
-    each has outside of its inner blocks, and the xor of all such texts of the page."""
+PARSED = "page_id long, url string, host string, page long, total long, parts array<struct<hash: long, own: long>>, texts array<struct<text: string, within: array<long>, main: boolean>>"
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """Per page: page_id, url, host, page (its key), total, parts and texts, as ``read`` gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hosts, keys, hashes, own, totals = [], [], [], [], []
-            for key, url, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                parts, total = page_subtrees(parse(page or ""))
-                hosts += [host_of(url)] * len(parts)
-                keys += [key] * len(parts)
+        for batch in pieces(batches, 2):
+            hosts, totals, n_parts, hashes, own, n_texts, texts, mains, n_within, within = [], [], [0], [], [], [0], [], [], [0], []
+            for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found, parts, total = read(page or "")
+                hosts.append(host_of(url))
+                totals.append(total)
                 hashes += parts.keys()
                 own += parts.values()
-                totals += [total] * len(parts)
-            longs = [pa.array(x, pa.int64()) for x in (keys, hashes, own, totals)]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *longs], names=["host", "page", "hash", "own", "total"])
+                n_parts.append(len(hashes))
+                for text, chain, main in found:
+                    texts.append(text)
+                    mains.append(main)
+                    within += chain
+                    n_within.append(len(within))
+                n_texts.append(len(texts))
+            longs = lambda x: pa.array(x, pa.int64())
+            lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), pa.array(hosts, pa.string()), batch.column(3), longs(totals),
+                    lists(n_parts, pa.StructArray.from_arrays([longs(hashes), longs(own)], ["hash", "own"])),
+                    lists(n_texts, pa.StructArray.from_arrays([pa.array(texts, pa.string()), lists(n_within, longs(within)), pa.array(mains, pa.bool_())], ["text", "within", "main"])),
+                ],
+                names=["page_id", "url", "host", "page", "total", "parts", "texts"],
+            )
 
-    source = pages.select(page_key().alias("page"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return source.mapInArrow(run, "host string, page long, hash long, own long, total long")
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), page_key().alias("page"))
+    return source.mapInArrow(run, PARSED)
 
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(page, hashes): the template subtrees of each page that has any."""
-    rows = materialize(subtrees(pages))
-    often = rows.groupBy("host", "hash").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= least_pages).select("host", "hash")
-    hits = materialize(rows.join(often, ["host", "hash"], "left_semi").distinct())
+def templates(rows: DataFrame, least_pages: int = LEAST_PAGES) -> tuple[DataFrame, DataFrame]:
+    """The template subtrees of each host, (host, hash), and where they stand, (host, page, hash);
+    ``rows`` is what ``parsed`` gives."""
+    every = rows.select("host", "page", "total", F.explode("parts").alias("x")).select("host", "page", "total", "x.hash", "x.own")
+    # Repeated rows count here, not below: this only narrows what is looked at.
+    often = every.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).select("host", "hash")
+    hits = materialize(every.join(often, ["host", "hash"], "left_semi").distinct())
     around = hits.groupBy("host", "page").agg(F.first("total").bitwiseXOR(F.bit_xor("own")).alias("around"))
-    template = (
+    template = materialize(
         hits.join(around, ["host", "page"]).groupBy("host", "hash").agg(F.count_distinct("around").alias("n"))
         .where(F.col("n") >= least_pages).select("host", "hash")
     )
-    return materialize(hits.join(template, ["host", "hash"], "left_semi").groupBy("page").agg(F.collect_set("hash").alias("hashes")))
+    return template, hits.select("host", "page", "hash")
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """Per page: page_id, url, text, n_chars."""
-    found = templates(pages, least_pages).withColumnRenamed("page", "of_page")
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), page_key().alias("page"))
-    joined = source.join(found, F.col("page") == F.col("of_page"), "left").select("page_id", "url", "html", "hashes")
+def text_of(texts: Column, template: Column) -> Column:
+    """The pieces outside of template subtrees, those in an article if there are any."""
+    left = F.when(template.isNull(), texts).otherwise(F.filter(texts, lambda x: ~F.arrays_overlap(x["within"], template)))
+    kept = F.transform(F.array(left), lambda x: F.when(F.exists(x, lambda y: y["main"]), F.filter(x, lambda y: y["main"])).otherwise(x))[0]
+    return F.array_join(F.transform(kept, lambda x: x["text"]), " ")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [text_of(parse(page or ""), frozenset(own or ())) for page, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """Per page: page_id, url, text, n_chars."""
+    rows = materialize(parsed(pages))
+    template, hits = templates(rows, least_pages)
+    texts = rows.select("page_id", "url", "host", "page", "texts")
+    if template.count() <= MOST_SENT:
+        own = template.groupBy(F.col("host").alias("of_host")).agg(F.collect_list("hash").alias("template"))
+        joined = texts.join(F.broadcast(own), F.col("host") == F.col("of_host"), "left")
+    else:
+        own = hits.join(template, ["host", "hash"], "left_semi").groupBy(F.col("host").alias("of_host"), F.col("page").alias("of_page")).agg(F.collect_list("hash").alias("template"))
+        joined = texts.join(own.hint("merge"), (F.col("page") == F.col("of_page")) & (F.col("host") == F.col("of_host")), "left")
+    return joined.select("page_id", "url", text_of(F.col("texts"), F.col("template")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))

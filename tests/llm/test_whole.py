@@ -35,3 +35,34 @@ def test_any_doc_id_gives_its_passages(spark, module, first):
     parts = [spark.createDataFrame([(i, t)], "doc_id long, text string") for i, t in ((first, f"{passage} ends"), (5, f"begins {passage}"))]
     got = {r.doc_id: r.n_removed for r in module.query(parts[0].union(parts[1])).collect()}
     assert got[first] == 0 and got[5] >= (80 if module is passages else len(passage))
+
+
+def test_only_counting_removes_the_template(spark):
+    own = lambda i: f"Report {i} of the marsh, seen on day {i * 13 % 97}."
+    menu, shop = "<div><p>Home</p><p>Birds</p><p>Ponds</p></div>", "<section><p>Buy our feeders.</p></section>"
+    rows = [(i, f"http://marsh/{i}", f"<body>{menu}<div><p>{own(i)}</p>{shop if i % 4 == 0 else ''}</div></body>") for i in range(60)]
+    rows += [(100 + i, f"http://few/{i}", f"<body>{menu}<div><p>{own(i)}</p></div></body>") for i in range(4)]  # too few pages to tell
+    rows += [(200 + i, f"http://promo/{i}", f"<body><article><p>Win a boat.</p></article><div><p>{own(i)}</p></div></body>") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert all(got[i] == own(i) for i in range(60)) and all(got[100 + i] == f"Home Birds Ponds {own(i)}" for i in range(4))
+    # The article is a notice that all pages share beside text of their own, but that text is outside of it: what is in doubt stays.
+    assert all(got[200 + i] == "Win a boat." for i in range(30))
+
+
+def test_the_join_by_page_gives_the_same(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 2}/{i}", f"<body><div>menu {i % 2}</div><p>Own words {i}.</p></body>") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sent = sorted(map(tuple, html_text.extract(pages).collect()))
+    monkeypatch.setattr(html_text, "MOST_SENT", 0)
+    assert sorted(map(tuple, html_text.extract(pages).collect())) == sent and sent[7][2] == "Own words 7."
+
+
+def test_reader_comments_and_telling_names(spark):
+    rows = [
+        (1, "u", "<main><article><p>Main text 0.</p></article><article class='comment'><p>Reader says hi</p></article></main>"),
+        (2, "u", "<main><div class='notice-board story'><p>The whole story is told here.</p></div><div class='notice'>Closed</div></main>"),
+        (3, "u", "<article><h1>T</h1><p>Text.</p><section id=comments><p>First!</p></section></article>"),
+    ]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Main text 0.", 2: "The whole story is told here.", 3: "T Text."}
