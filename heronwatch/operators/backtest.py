@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import rules
+from . import ranking, rules
 
 WINDOW = 6
 
@@ -82,10 +82,7 @@ def calibration(found: DataFrame, universe: DataFrame, rows: DataFrame, exits: D
     """
     own = found.where(F.col("channel") == channel).withColumn("cooldown", F.explode(F.array(*[F.lit(c) for c in cooldowns])))
     own = own.where(rules.past_cooldown(F.col("cooldown")))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("period", "cooldown").orderBy("priority", F.asc_nulls_last("compa"), "person_id")
-    placed = own.withColumn("position", F.row_number().over(w)).select("person_id", "idx", "period", "cooldown", "position")
+    placed = ranking.placed(own.select("person_id", "idx", "period", "cooldown", "priority", "compa"), ["period", "cooldown"], rules.queue_order()).select("person_id", "idx", "period", "cooldown", "position")
     alerts = placed.withColumn("quota", F.explode(F.filter(F.array(*[F.lit(q) for q in quotas]), lambda q: q >= F.col("position"))))
     by = ["quota", "cooldown"]
     groups = alerts.groupBy(*by).agg(F.count("*").alias("emitted"), F.count_distinct("period").alias("months"))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import placed
+
 CARRIED = ["person_id", "idx", "period"]
 
 
@@ -82,15 +84,14 @@ def _by_rule(catalog: dict, field: str) -> Column:
 def candidates(signals: DataFrame, catalog: dict) -> DataFrame:
     """Rows where a rule fires, with the first rule by priority, its channel and priority, and
     the number of dimensions that fire."""
-    rule = None
-    for name, r in sorted(catalog["rules"].items(), key=lambda x: x[1]["priority"]):
-        rule = (F if rule is None else rule).when(fires(r), F.lit(name))
     dims: dict[str, list[str]] = {}
     for n, s in catalog["signals"].items():
         dims.setdefault(s["dimension"], []).append(n)
     n_dims = reduce(lambda a, b: a + b, [F.when(reduce(lambda a, b: a | b, [F.col(f"s_{s}") for s in group]), 1).otherwise(0) for group in dims.values()])
-    out = signals.withColumn("rule", rule).where("rule IS NOT NULL")
-    return out.withColumns({"channel": _by_rule(catalog, "channel"), "priority": _by_rule(catalog, "priority"), "dimensions": n_dims})
+    by_priority = sorted(catalog["rules"].items(), key=lambda x: x[1]["priority"])
+    # A generator binds the rule: a later condition on rule or channel is not rewritten into conditions on all signals.
+    each = [F.when(fires(r), F.struct(F.lit(n).alias("rule"), F.lit(r["channel"]).alias("channel"), F.lit(r["priority"]).alias("priority"))) for n, r in by_priority]
+    return signals.withColumn("_first", F.explode(F.slice(F.array_compact(F.array(*each)), 1, 1))).select(*signals.columns, "_first.*", n_dims.alias("dimensions"))
 
 
 def with_previous(rows: DataFrame) -> DataFrame:
@@ -112,12 +113,15 @@ def past_cooldown(months: Column) -> Column:
     return F.col("idx_before").isNull() | (F.col("idx") - F.col("idx_before") > months) | (F.col("priority") < F.col("priority_before"))
 
 
+def queue_order() -> list[Column]:
+    return [F.col("priority"), F.asc_nulls_last("compa"), F.col("person_id")]
+
+
 def queued(rows: DataFrame, catalog: dict, *extra: str) -> DataFrame:
     """Position within (period, channel) by priority, pay and id, and what becomes of the row."""
-    w = Window.partitionBy("period", "channel", *extra).orderBy("priority", F.asc_nulls_last("compa"), "person_id")
     quota = by_channel(catalog, "quota", "long")
     state = F.when(quota.isNull(), "on_panel").when(F.col("position") <= quota, "notified").otherwise("waiting")
-    return rows.withColumn("position", F.row_number().over(w)).withColumn("state", state)
+    return placed(rows, ["period", "channel", *extra], queue_order()).withColumn("state", state)
 
 
 def explained(rows: DataFrame, catalog: dict) -> DataFrame:

@@ -35,12 +35,18 @@ def reasons(name: str, f: Field) -> list[Column]:
     return out
 
 
+def bound(rows: DataFrame, cells: dict[str, Column]) -> DataFrame:
+    """``rows`` with the columns ``cells`` worked out once a row: a generator of one row keeps
+    the optimiser from copying an expression to each place that names it."""
+    kept = [c for c in rows.columns if c not in cells]
+    return rows.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cells.items()]))))
+
+
 def judged(conformed: DataFrame, contract: Contract) -> DataFrame:
     """Normalised cells, ``reject_reason`` (the first that holds) and ``_nulled``: the optional
     numbers that were out of range and became null."""
-    # In two steps: the bare text is used several times, and is worked out once.
-    out = conformed.withColumns({n: bare(F.col(n)) for n in contract.fields})
-    out = out.withColumns({n: OF_BARE[f.kind](F.col(n)) for n, f in contract.fields.items() if f.kind != "text"})
+    out = bound(conformed, {n: bare(F.col(n)) for n in contract.fields})
+    out = bound(out, {n: OF_BARE[f.kind](F.col(n)) for n, f in contract.fields.items()})
     ranged = {n: f for n, f in contract.fields.items() if not f.required and (f.low is not None or f.high is not None)}
     nulled = F.array_compact(F.array(*[F.when(_outside(F.col(n), f), F.lit(n)) for n, f in ranged.items()])) if ranged else F.array().cast("array<string>")
     every = [r for n, f in contract.fields.items() for r in reasons(n, f)]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest, fairness, rules
 from ..sources.tables import staged
-from .catalog import CATALOG
+from .catalog import ALERT, CATALOG
 from .early_warning import over_alerts
 from .oracle import with_tables
 from .people import table_360
@@ -57,10 +57,10 @@ def signal_lift(spark, sf_dir):
 
 
 def calibration(spark, sf_dir):
-    """The curve over quotas and cooldowns of the talk channel."""
+    """The curve over quotas and cooldowns of the channel with a quota."""
     rows, exits, universe, cut = _parts(spark, sf_dir)
     found = staged(rules.with_previous(rules.candidates(rules.signal_columns(rows, CATALOG), CATALOG)))
-    return backtest.calibration(found, universe, rows, exits, cut, "talk", QUOTAS, COOLDOWNS)
+    return backtest.calibration(found, universe, rows, exits, cut, ALERT, QUOTAS, COOLDOWNS)
 
 
 def cooldown_cost(spark, sf_dir):
@@ -90,7 +90,7 @@ def newest_recovered(spark, sf_dir):
 def fairness_panel(spark, sf_dir):
     """Counts of every group of six attributes."""
     rows, exits, universe, _ = _parts(spark, sf_dir)
-    return fairness.panel(rows, _alerts(rows), universe, exits, ATTRIBUTES, "talk")
+    return fairness.panel(rows, _alerts(rows), universe, exits, ATTRIBUTES, ALERT)
 
 
 def fairness_audit(spark, sf_dir):
@@ -109,7 +109,7 @@ X = {
 }
 _share = lambda c: f"count(*) FILTER ({c})::DOUBLE / nullif(count(*), 0)"
 _curve = {
-    "pl": (("cand",), f"SELECT person_id, idx, period, cooldown, row_number() OVER (PARTITION BY period, cooldown ORDER BY priority, compa ASC NULLS LAST, person_id) AS position FROM cand, (SELECT unnest({COOLDOWNS}) AS cooldown) WHERE channel = 'talk' AND (idx_before IS NULL OR idx - idx_before > cooldown OR priority < priority_before)"),
+    "pl": (("cand",), f"SELECT person_id, idx, period, cooldown, row_number() OVER (PARTITION BY period, cooldown ORDER BY priority, compa ASC NULLS LAST, person_id) AS position FROM cand, (SELECT unnest({COOLDOWNS}) AS cooldown) WHERE channel = '{ALERT}' AND (idx_before IS NULL OR idx - idx_before > cooldown OR priority < priority_before)"),
     "qa": (("pl",), f"SELECT * FROM pl JOIN (SELECT unnest({QUOTAS}) AS quota) ON position <= quota"),
     "curve": (("qa", "un", "cut", "ex"), f"""SELECT g.*, p.alerts, p.precision_any, p.precision_regretted, (SELECT count(*) FROM ex WHERE left_regretted) AS exits, coalesce(covered, 0) AS covered,
         (SELECT count(DISTINCT person_id) FROM p360 WHERE person_id NOT IN (SELECT person_id FROM ex)) AS stayed, coalesce(stayed_alerted, 0) AS stayed_alerted, emitted::DOUBLE / months AS a_month
@@ -121,8 +121,8 @@ _curve = {
 _members = " UNION ALL ".join(f"SELECT '{a}' AS attribute, coalesce(max({a}), 'unknown') AS value, person_id FROM p360 GROUP BY person_id" for a in ATTRIBUTES)
 _fair = {
     "mb": (("p360",), f"SELECT attribute, CASE WHEN count(*) OVER (PARTITION BY attribute, value) < 40 THEN 'others' ELSE value END AS \"group\", person_id FROM ({_members})"),
-    "fp": (("mb", "nt", "un", "ex"), """SELECT attribute, "group", count(*) AS people, count(a.n) AS alerted, coalesce(sum(a.n), 0)::BIGINT AS alerts, coalesce(sum(u.n), 0)::BIGINT AS exposed, count(l.person_id) AS exits, count(h.person_id) AS covered
-      FROM mb LEFT JOIN (SELECT person_id, count(*) AS n FROM nt WHERE channel = 'talk' GROUP BY 1) a USING (person_id) LEFT JOIN (SELECT person_id, count(*) AS n FROM un GROUP BY 1) u USING (person_id)
+    "fp": (("mb", "nt", "un", "ex"), f"""SELECT attribute, "group", count(*) AS people, count(a.n) AS alerted, coalesce(sum(a.n), 0)::BIGINT AS alerts, coalesce(sum(u.n), 0)::BIGINT AS exposed, count(l.person_id) AS exits, count(h.person_id) AS covered
+      FROM mb LEFT JOIN (SELECT person_id, count(*) AS n FROM nt WHERE channel = '{ALERT}' GROUP BY 1) a USING (person_id) LEFT JOIN (SELECT person_id, count(*) AS n FROM un GROUP BY 1) u USING (person_id)
       LEFT JOIN (SELECT person_id FROM ex WHERE left_regretted) l ON l.person_id = mb.person_id
       LEFT JOIN (SELECT DISTINCT person_id FROM nt JOIN ex USING (person_id) WHERE left_regretted AND idx BETWEEN left_idx - 6 AND left_idx - 1) h ON h.person_id = mb.person_id GROUP BY 1, 2"""),
 }

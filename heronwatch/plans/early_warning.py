@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rules
 from ..sources.testbed import LAST_MONTH
-from .catalog import CATALOG
+from .catalog import ALERT, CATALOG
 from .oracle import with_tables
 from .people import table_360
 
@@ -71,11 +71,11 @@ def recent_cases(spark, sf_dir):
 def reconciled(spark, sf_dir):
     """Figures counted in two ways, with their difference."""
     rows = all_alerts(spark, sf_dir)
-    quota = CATALOG["channels"]["talk"]["quota"]
+    quota = CATALOG["channels"][ALERT]["quota"]
     one = rows.agg(
         F.count("*").alias("alerts"), F.count_distinct("person_id", "idx").alias("keys"), F.sum(F.when(F.col("dimensions") < 2, 1).otherwise(0)).alias("thin"),
         F.sum(F.when((F.col("state") == "notified") & (F.col("position") > quota), 1).otherwise(0)).alias("over"), F.sum(F.when(F.col("state") == "on_panel", 1).otherwise(0)).alias("panel"),
-        F.sum(F.when(F.col("channel") != "talk", 1).otherwise(0)).alias("not_talk"),
+        F.sum(F.when(F.col("channel") != ALERT, 1).otherwise(0)).alias("not_talk"),
     )
     zero = F.lit(0).cast("long")
     lines = [("one_alert_a_month", "keys", F.col("alerts")), ("two_dimensions", "thin", zero), ("quota_holds", "over", zero), ("panels_have_no_quota", "panel", F.col("not_talk"))]
@@ -129,7 +129,7 @@ SQL = {
     "reconciled": over_alerts(
         f"""SELECT figure, found, expected, found = expected AS ok FROM (
           SELECT 'one_alert_a_month' AS figure, count(DISTINCT (person_id, idx)) AS found, count(*) AS expected FROM al UNION ALL SELECT 'two_dimensions', count(*) FILTER (dimensions < 2), 0 FROM al
-          UNION ALL SELECT 'quota_holds', count(*) FILTER (state = 'notified' AND position > {CATALOG["channels"]["talk"]["quota"]}), 0 FROM al
-          UNION ALL SELECT 'panels_have_no_quota', count(*) FILTER (state = 'on_panel'), count(*) FILTER (channel <> 'talk') FROM al)"""
+          UNION ALL SELECT 'quota_holds', count(*) FILTER (state = 'notified' AND position > {CATALOG["channels"][ALERT]["quota"]}), 0 FROM al
+          UNION ALL SELECT 'panels_have_no_quota', count(*) FILTER (state = 'on_panel'), count(*) FILTER (channel <> '{ALERT}') FROM al)"""
     ),
 }

@@ -9,7 +9,7 @@ from ..operators import classify, delivery, diff, readings, rules
 from ..sources.tables import staged, work_folder
 from ..sources.testbed import LAST_MONTH, staging
 from ..streaming import notes as note_stream
-from .catalog import CATALOG
+from .catalog import ALERT, CATALOG
 from .early_warning import over_alerts
 from .oracle import with_tables
 from .people import table_360
@@ -23,7 +23,7 @@ def _notes(spark, sf_dir):
 
 
 def _alerts(spark, sf_dir):
-    return staged(rules.alerts(table_360(spark, sf_dir), CATALOG).where("channel = 'talk'"))
+    return staged(rules.alerts(table_360(spark, sf_dir), CATALOG).where(F.col("channel") == ALERT))
 
 
 def notes_redacted(spark, sf_dir):
@@ -154,7 +154,7 @@ _topics = ", ".join(f"'{t}'" for t in readings.TOPICS)
 _tones = ", ".join(f"'{t}'" for t in readings.TONES)
 X = {
     "nr": (("notes",), f"SELECT *, substr(sha256(r), 1, 24) AS hash FROM (SELECT * EXCLUDE text, {_red('text')} AS r FROM notes)"),
-    "talk": (("al",), "SELECT * FROM al WHERE channel = 'talk'"),
+    "talk": (("al",), f"SELECT * FROM al WHERE channel = '{ALERT}'"),
     "rd": (("made_readings",), f"""SELECT *, CASE WHEN tone0 NOT IN ({_tones}) THEN 'tone' WHEN len(list_filter(topics, lambda x: x NOT IN ({_topics}))) > 0 THEN 'topics' WHEN len(list_filter(signals, lambda x: NOT list_contains(topics, x))) > 0 THEN 'signals'
         WHEN len(list_filter(quotes, lambda q: NOT contains(r, q))) > 0 THEN 'quotes' WHEN NOT confidence BETWEEN 0 AND 1 THEN 'confidence' WHEN tone0 = 'insufficient' AND len(topics) + len(signals) + len(quotes) > 0 THEN 'insufficient' END AS reject_reason
       FROM (SELECT note_id, person_id, idx, confidence, tone AS tone0, r, CASE WHEN tone = 'insufficient' THEN []::VARCHAR[] ELSE [topic] END AS topics, CASE WHEN tone = 'insufficient' OR signal = '' THEN []::VARCHAR[] ELSE [signal] END AS signals,

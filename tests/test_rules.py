@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heronwatch.operators import rules
-from heronwatch.plans.catalog import CATALOG
+from heronwatch.plans.catalog import ALERT, CATALOG
 
 
 def broken(change):
@@ -16,9 +16,9 @@ def broken(change):
 @pytest.mark.parametrize(
     ("change", "said"),
     [
-        (lambda c: c["signals"]["pay_low"].update(expr="gender = 'F'"), "gender"), (lambda c: c["rules"]["R01"].update(any=["nothing"]), "unknown signals"),
-        (lambda c: c["rules"]["R01"].update(any=[]), "one dimension"), (lambda c: c["rules"]["R01"].update(all=[]), "no signal"),
-        (lambda c: c["rules"]["R01"].update(priority=2), "share a priority"), (lambda c: c["rules"]["R01"].update(channel="x"), "channel"), (lambda c: c["channels"]["talk"].update(quota=None), "quota"),
+        (lambda c: c["signals"]["keen"].update(expr="gender = 'F'"), "gender"), (lambda c: c["rules"]["cold_counter"].update(any=["nothing"]), "unknown signals"),
+        (lambda c: c["rules"]["cold_counter"].update(any=[]), "one dimension"), (lambda c: c["rules"]["cold_counter"].update(all=[]), "no signal"),
+        (lambda c: c["rules"]["cold_counter"].update(priority=20), "share a priority"), (lambda c: c["rules"]["cold_counter"].update(channel="x"), "channel"), (lambda c: c["channels"][ALERT].update(quota=None), "quota"),
     ],
 )
 def test_catalog_guarantees(change, said):
@@ -29,9 +29,9 @@ def test_catalog_guarantees(change, said):
 
 def test_cooldown_and_quota(spark):
     months = [("a", i, 3) for i in range(1, 7)] + [("b", 1, 3), ("b", 5, 3), ("c", 1, 3), ("c", 2, 1), ("d", 1, 3), ("e", 1, 3)]
-    rows = spark.createDataFrame([(p, i, f"m{i}", "talk", r, None if p == "e" else 0.5) for p, i, r in months], "person_id string, idx int, period string, channel string, priority int, compa double")
+    rows = spark.createDataFrame([(p, i, f"m{i}", ALERT, r, None if p == "e" else 0.5) for p, i, r in months], "person_id string, idx int, period string, channel string, priority int, compa double")
     catalog = copy.deepcopy(CATALOG)
-    catalog["channels"]["talk"]["quota"] = 2
+    catalog["channels"][ALERT] |= {"quota": 2, "cooldown": 3}
     kept = rules.with_previous(rows).where(rules.past_cooldown(rules.by_channel(catalog, "cooldown", "int")))
     out = {(r.person_id, r.idx): r for r in rules.queued(kept, catalog).collect()}
     assert sorted(out) == [("a", 1), ("b", 1), ("b", 5), ("c", 1), ("c", 2), ("d", 1), ("e", 1)]  # a run stays silent after its first month
