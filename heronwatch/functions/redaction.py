@@ -14,8 +14,12 @@ ID = "\\bP\\d{5}\\b"
 EMAIL = "[\\w.+-]+@[\\w.-]+\\.\\w+"
 AMOUNT = "(?i)\\$\\s?\\d[\\d.,]*|\\b\\d[\\d.,]*\\s?(?:mil|millones|CLP|PEN|COP|MXN|BRL|USD)\\b"
 #: Words inside names that are no names.
-NOT_NAMES = "del das de la las los da do dos van von mac san y e dr sr sra srta lic ing phd md don iii ii iv jr".split()
+PARTICLES = ["da", "das", "de", "del", "do", "dos", "e", "la", "las", "los", "mac", "san", "van", "von", "y"]
+TITLES = ["don", "dr", "ing", "lic", "md", "phd", "sr", "sra", "srta", "ii", "iii", "iv", "jr"]
+NOT_NAMES = [*PARTICLES, *TITLES]
 MOST_OF_ALL = 0.20
+#: Names that a worker may hold, at most: some 100 MB.
+MOST_NAMES = 1_000_000
 
 
 def masked_patterns(text: Column, clients: list[str] = ()) -> Column:
@@ -48,10 +52,14 @@ def masked_names(notes: DataFrame, names: list[str], text: str = "text") -> Data
     ``matches``, the names found. The longest name that begins at a word wins; a name is looked
     up by its first word, so the cost of a note does not grow with the dictionary.
 
-    ``names`` is held by every worker: it is bounded by the people of one directory.
+    ``names`` is held by every worker, so there may be ``MOST_NAMES`` of them; a larger directory
+    is split by its areas and each area's notes are masked with its own names.
     """
     import re
 
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"{len(names)} names are more than a worker may hold; mask area by area")
+
     first: dict[str, list[str]] = {}
     for n in sorted(set(names), key=lambda n: (-len(n), n)):
         first.setdefault(re.match(r"\w+", n)[0] if re.match(r"\w+", n) else n, []).append(n)

@@ -61,6 +61,22 @@ def false_load(alerts: DataFrame, rows: DataFrame, exits: DataFrame, by: list[st
     return out.crossJoin(F.broadcast(n)).select(*by, "stayed", F.coalesce("stayed_alerted", F.lit(0)).alias("stayed_alerted"))
 
 
+def coverage_by(exits: DataFrame, alerts: DataFrame, groups: DataFrame, group: str, window: int = WINDOW) -> DataFrame:
+    """Regretted exits of each group, and how many of them had an alert in the months before:
+    what no group exceeds is the ceiling of the catalogue for it."""
+    lost = exits.where("left_regretted").select("person_id", "left_idx").join(groups, "person_id")
+    hit = lost.join(alerts.select("person_id", "idx"), "person_id").where((F.col("idx") >= F.col("left_idx") - window) & (F.col("idx") < F.col("left_idx")))
+    seen = lost.join(hit.select("person_id", F.lit(1).alias("hit")).distinct(), "person_id", "left")
+    return seen.groupBy(group).agg(F.count("*").alias("exits"), F.count("hit").alias("covered"), (100.0 * F.count("hit") / F.count("*")).alias("covered_pct"))
+
+
+def reach_by(rows: DataFrame, alerts: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """People of each group who were ever on the spine, and how many of them were reached."""
+    people = rows.select("person_id").distinct().join(groups, "person_id")
+    seen = people.join(alerts.select("person_id", F.lit(1).alias("hit")).distinct(), "person_id", "left")
+    return seen.groupBy(group).agg(F.count("*").alias("people"), F.count("hit").alias("reached"), (100.0 * F.count("hit") / F.count("*")).alias("reached_pct"))
+
+
 def signal_lift(universe: DataFrame, cut: DataFrame, exprs: dict[str, str]) -> DataFrame:
     """Lift of every signal over the base rate, in one aggregate: signal, n, rate, base, lift."""
     seen = universe.join(F.broadcast(cut), F.col("idx") <= F.col("cut"))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def prepared(vectors: DataFrame, scale: float, test_from: int) -> tuple[DataFrame, DataFrame]:
-    """(training rows, test rows): features scaled, split by position."""
+def prepared(vectors: DataFrame, scale: float, test_of: int) -> tuple[DataFrame, DataFrame]:
+    """(training rows, test rows): features scaled; every ``test_of``-th position is for testing."""
     rows = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double") / scale).alias("features"), F.col("label").cast("int").alias("label"))
-    return rows.where(F.col("vec_id") < test_from), rows.where(F.col("vec_id") >= test_from)
+    at = F.pmod(F.col("vec_id"), F.lit(test_of))
+    return rows.where(at != 0), rows.where(at == 0)
 
 
 def one_hot(label: Column, classes: int) -> Column:
@@ -56,6 +57,11 @@ def accuracy(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), hit.alias("right"), (hit / F.count("*").cast("double")).alias("accuracy"))
 
 
+def compared(accuracies: DataFrame) -> DataFrame:
+    """``points_behind``: percentage points below the best of the nets (a row each)."""
+    return accuracies.withColumn("points_behind", 100 * (F.col("accuracy") - F.max("accuracy").over(Window.partitionBy())))
+
+
 def confusion(rows: DataFrame, classes: int) -> DataFrame:
     return rows.groupBy("label").pivot("prediction", list(range(classes))).count().na.fill(0)
 

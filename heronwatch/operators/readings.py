@@ -24,6 +24,11 @@ def unread(notes: DataFrame, done: DataFrame, most: int) -> DataFrame:
     return new.orderBy("idx", "note_id").limit(most)
 
 
+def with_notes(notes: DataFrame, readings: DataFrame) -> DataFrame:
+    """Every note with the reading of its content: notes of one content share it."""
+    return notes.join(readings, "hash")
+
+
 def judged(readings: DataFrame) -> DataFrame:
     """Readings with the redacted ``text`` they stand for, and ``reject_reason``: the first rule
     that does not hold. A reading that fails counts as not processed."""

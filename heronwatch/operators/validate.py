@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import NULL_TOKENS, OF_BARE, bare
 from ..sources.contracts import Contract, ContractError, Field
+from ..sources.tables import replace
 
 MOST_REJECTED = 0.05
 
@@ -54,6 +55,15 @@ def judged(conformed: DataFrame, contract: Contract) -> DataFrame:
     return out.withColumns({n: F.when(~_outside(F.col(n), f), F.col(n)) for n, f in ranged.items()})
 
 
+def split_and_write(rows: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """``judged`` rows as two tables, read back: clean ones without a reason, rejected ones with it."""
+    clean, rejected = rows.where("reject_reason IS NULL").drop("reject_reason"), rows.where("reject_reason IS NOT NULL")
+    replace(clean, f"{folder}/clean")
+    replace(rejected, f"{folder}/quarantine")
+    read = rows.sparkSession.read
+    return read.schema(clean.schema).parquet(f"{folder}/clean"), read.schema(rejected.schema).parquet(f"{folder}/quarantine")
+
+
 def deduplicated(clean: DataFrame, contract: Contract, row: str = "_row") -> DataFrame:
     """``repeat``: whether an earlier row of the file has the same key."""
     w = Window.partitionBy(*contract.key).orderBy(row)

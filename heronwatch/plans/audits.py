@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest, fairness, rules
 from ..sources.tables import staged
+from ..sources.testbed import staging
 from .catalog import ALERT, CATALOG
 from .early_warning import over_alerts
 from .oracle import with_tables
@@ -87,6 +88,18 @@ def newest_recovered(spark, sf_dir):
     )
 
 
+def ceiling_by_profile(spark, sf_dir):
+    """Coverage of regretted exits by what people really are, which no rule may read."""
+    rows, exits, _, _ = _parts(spark, sf_dir)
+    return backtest.coverage_by(exits, _alerts(rows).where("state = 'notified'"), staging(spark, sf_dir, "profiles"), "profile")
+
+
+def panel_reach(spark, sf_dir):
+    """Whom the panels reach, of the whole population by profile."""
+    rows = staged(table_360(spark, sf_dir))
+    return backtest.reach_by(rows, _alerts(rows).where("state = 'on_panel'"), staging(spark, sf_dir, "profiles"), "profile")
+
+
 def fairness_panel(spark, sf_dir):
     """Counts of every group of six attributes."""
     rows, exits, universe, _ = _parts(spark, sf_dir)
@@ -98,7 +111,7 @@ def fairness_audit(spark, sf_dir):
     return fairness.audited(fairness_panel(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (observed_exits, outcomes, backtest_summary, signal_lift, calibration, cooldown_cost, newest_recovered, fairness_panel, fairness_audit)}
+QUERIES = {f.__name__: f for f in (observed_exits, outcomes, backtest_summary, signal_lift, calibration, cooldown_cost, newest_recovered, ceiling_by_profile, panel_reach, fairness_panel, fairness_audit)}
 
 X = {
     "ex": (("p360",), "SELECT person_id, min(idx) AS left_idx, bool_or(regretted) AS left_regretted FROM p360 WHERE exit_idx IS NOT NULL AND NOT active GROUP BY 1"),
@@ -142,6 +155,14 @@ SQL = {
         (SELECT count(*)::DOUBLE / count(DISTINCT period) AS a_month FROM nt)""",
         "nt", "un", "cut", extra=X,
     ),
+    "ceiling_by_profile": over_alerts(
+        """SELECT profile, count(*) AS exits, count(h.person_id) AS covered, 100.0::DOUBLE * count(h.person_id) / count(*) AS covered_pct FROM ex JOIN profiles USING (person_id)
+        LEFT JOIN (SELECT DISTINCT person_id FROM nt JOIN ex USING (person_id) WHERE idx BETWEEN left_idx - 6 AND left_idx - 1) h ON h.person_id = ex.person_id WHERE left_regretted GROUP BY 1""", "nt", "ex", "profiles", extra=X,
+    ),
+    "panel_reach": over_alerts(
+        """SELECT profile, count(*) AS people, count(r.person_id) AS reached, 100.0::DOUBLE * count(r.person_id) / count(*) AS reached_pct FROM (SELECT DISTINCT person_id FROM p360) p JOIN profiles USING (person_id)
+        LEFT JOIN (SELECT DISTINCT person_id FROM al WHERE state = 'on_panel') r ON r.person_id = p.person_id GROUP BY 1""", "profiles", extra=X,
+    ),
     "signal_lift": with_tables(
         " UNION ALL ".join(
             f"SELECT '{n}' AS signal, count(*) FILTER ({e}) AS n, count(*) FILTER (({e}) AND leaves_regretted) AS k, {_share('leaves_regretted')} AS base, (count(*) FILTER (({e}) AND leaves_regretted)::DOUBLE / nullif(count(*) FILTER ({e}), 0)) / nullif({_share('leaves_regretted')}, 0) AS lift FROM un WHERE idx <= (SELECT cut FROM cut)"

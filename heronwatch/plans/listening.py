@@ -13,6 +13,7 @@ from .catalog import ALERT, CATALOG
 from .early_warning import over_alerts
 from .oracle import with_tables
 from .people import table_360
+from .vectors import TEST_OF
 
 FIRST_NAMES = ["Ana", "Luis", "Marta", "Iker", "Sofia", "Pablo", "Elena", "Hugo"]
 LAST_NAMES = ["Soto", "Rivas", "Luna", "Prado", "Vega", "Campos", "Rojas", "Ibarra", "Nieto", "Salas", "Torres", "Mora", "Leal"]
@@ -119,37 +120,44 @@ def notes_stream(spark, sf_dir):
 LAYERS = [64, 16, 16, 10]
 
 
+def _split(spark, sf_dir):
+    return classify.prepared(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 1.0, TEST_OF)
+
+
 def classifier(spark, sf_dir):
-    """Accuracy of two nets on rows they have not seen, by net (M1-M5, M7)."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    train, test = classify.prepared(rows, 1.0, 400)
+    """Accuracy of two trained nets on rows they have not seen, by net (M1-M5, M7)."""
+    train, test = _split(spark, sf_dir)
     out = None
     for name, layers in (("deep", LAYERS), ("flat", [64, 10])):
-        weights, _ = classify.train(train, layers)
-        one = classify.predicted(test, weights).withColumn("net", F.lit(name))
+        one = classify.predicted(test, classify.train(train, layers)[0]).withColumn("net", F.lit(name))
         out = one if out is None else out.unionByName(one)
-    return classify.accuracy(staged(out), "net")
+    return classify.compared(classify.accuracy(staged(out), "net"))
+
+
+def loss_curve(spark, sf_dir):
+    """Loss of the deep net after each iteration (M5)."""
+    losses = classify.train(_split(spark, sf_dir)[0], LAYERS)[1]
+    return spark.createDataFrame(list(enumerate(losses)), "iteration int, loss double")
 
 
 def confusion(spark, sf_dir):
-    """Confusion matrix over all vectors (M2, M6)."""
-    train, test = classify.prepared(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 1.0, 400)
+    """Confusion matrix of the deep net over all vectors (M2, M6)."""
+    train, test = _split(spark, sf_dir)
     return classify.confusion(classify.predicted(train.unionByName(test), classify.train(train, LAYERS)[0]), 10)
 
 
 def most_confused(spark, sf_dir):
-    """The five pairs of labels mixed up most."""
-    train, test = classify.prepared(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 1.0, 400)
-    return classify.most_confused(classify.predicted(train.unionByName(test), classify.train(train, LAYERS, iterations=15)[0]))
+    """The five pairs of labels that the deep net mixes up most."""
+    train, test = _split(spark, sf_dir)
+    return classify.most_confused(classify.predicted(train.unionByName(test), classify.train(train, LAYERS)[0]))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (notes_redacted, names_masked, notes_unread, readings_judged, quotes_with_masks, latest_readings, reading_quality, blind_spots, cards, cell_diff, notes_stream, classifier, confusion, most_confused)
+    for f in (notes_redacted, names_masked, notes_unread, readings_judged, quotes_with_masks, latest_readings, reading_quality, blind_spots, cards, cell_diff, notes_stream, classifier, loss_curve, confusion, most_confused)
 }
 
-_amount = r"(?i)\$\s?\d[\d.,]*|\b\d[\d.,]*\s?(?:mil|millones|CLP|PEN|COP|MXN|BRL|USD)\b"
-_red = lambda t: f"regexp_replace(regexp_replace(regexp_replace({t}, '\\bP\\d{{5}}\\b', '[ID]', 'g'), '[\\w.+-]+@[\\w.-]+\\.\\w+', '[EMAIL]', 'g'), '{_amount}', '[AMOUNT]', 'g')"
+_red = lambda t: f"regexp_replace(regexp_replace(regexp_replace({t}, '\\bP\\d{{5}}\\b', '[ID]', 'g'), '[\\w.+-]+@[\\w.-]+\\.\\w+', '[EMAIL]', 'g'), '{redaction.AMOUNT}', '[AMOUNT]', 'g')"
 _topics = ", ".join(f"'{t}'" for t in readings.TOPICS)
 _tones = ", ".join(f"'{t}'" for t in readings.TONES)
 X = {
@@ -164,6 +172,10 @@ X = {
 }
 SQL = {
     "notes_redacted": with_tables("SELECT note_id, hash, length(r) AS length, len(regexp_extract_all(r, '\\[(ID|EMAIL|AMOUNT)\\]'))::BIGINT AS masks FROM nr", "nr", extra=X),
+    # Each note names one planted person, twice, at its start; the invented prose has none of the names.
+    "names_masked": with_tables(
+        "SELECT note_id, substr(sha256(t), 1, 24) AS hash, 1 AS matches, substr(t, 1, 30) AS start FROM (SELECT note_id, 'Today [PERSON_1] spoke of [PERSON_1]. ' || text AS t FROM notes WHERE person_id IN (SELECT person_id FROM directory))", "notes", "directory",
+    ),
     "notes_unread": over_alerts(
         """SELECT note_id, person_id, idx, hash FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY idx, note_id) AS k FROM (SELECT n.* FROM nr n JOIN (SELECT person_id, max(idx) AS a FROM talk GROUP BY 1) t USING (person_id) WHERE idx <= a AND idx > a - 3))
         WHERE k = 1 AND hash NOT IN (SELECT hash FROM nr WHERE note_id % 4 = 0) ORDER BY idx, note_id LIMIT 50""", "nr", "talk", extra=X,

@@ -51,7 +51,12 @@ def conform(raw: DataFrame, contract: Contract, row: str = "_row") -> DataFrame:
     return out.select(*([row] if row in out.columns else []), *[F.col(c).cast("string").alias(c) for c in contract.fields])
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Files of JSON objects, one to a line, typed by a given schema."""
+    return spark.read.schema(schema).json(path)
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A sheet as text only: schema given by position, nothing inferred."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).csv(path, header=True, enforceSchema=True)
+    return spark.read.schema(schema).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path, header=True, enforceSchema=True)

@@ -35,13 +35,9 @@ def replace(df: DataFrame, path: str, *partition_by: str) -> None:
     writer.parquet(path)
 
 
-def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
-
-
-def split_quarantine(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(clean rows without ``reject_reason``, rejected rows with it)."""
-    return judged.where("reject_reason IS NULL").drop("reject_reason"), judged.where("reject_reason IS NOT NULL")
+def append(df: DataFrame, path: str, *partition_by: str) -> None:
+    writer = df.write.mode("append")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
 def inventory(tables: dict[str, DataFrame]) -> DataFrame:

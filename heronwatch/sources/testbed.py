@@ -82,13 +82,21 @@ DEFINITIONS["sheet"] = (
 )
 DEFINITIONS["made_readings"] = (
     ("documents", "customer"),
-    """SELECT note_id, person_id, idx, text, CASE note_id % 5 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' WHEN 2 THEN 'positive' WHEN 3 THEN 'insufficient' ELSE CASE WHEN note_id % 3 = 0 THEN 'angry' ELSE 'negative' END END AS tone,
+    """SELECT note_id, person_id, idx, CASE WHEN note_id % 6 = 1 THEN 'P' || lpad(CAST(note_id % 100000 AS STRING), 5, '0') || ' wrote: ' || text ELSE text END AS text, CASE note_id % 5 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' WHEN 2 THEN 'positive' WHEN 3 THEN 'insufficient' ELSE CASE WHEN note_id % 3 = 0 THEN 'angry' ELSE 'negative' END END AS tone,
       CASE note_id % 4 WHEN 0 THEN 'load' WHEN 1 THEN 'pay' WHEN 2 THEN 'weather' ELSE 'team' END AS topic, CASE note_id % 7 WHEN 0 THEN 'growth' WHEN 1 THEN 'load' ELSE '' END AS signal,
-      CASE WHEN note_id % 9 = 0 THEN 'never said' ELSE substr(text, 1, 20) END AS quote, CASE WHEN note_id % 10 = 0 THEN 1.2 ELSE 0.8 END AS confidence
+      CASE WHEN note_id % 9 = 0 THEN 'never said' WHEN note_id % 6 = 1 THEN '[ID] wrote: ' ELSE substr(text, 1, 20) END AS quote, CASE WHEN note_id % 10 = 0 THEN 1.2 ELSE 0.8 END AS confidence
     FROM (""" + DEFINITIONS["notes"][1] + ") n",
 )
 
 
+#: What sort of customer a person stands for; no rule may read it.
+DEFINITIONS["profiles"] = (
+    ("customer",),
+    """SELECT c_custkey AS person_id, CASE WHEN c_acctbal < 0 THEN 'in debt' WHEN c_acctbal < 3000 THEN 'careful' WHEN c_custkey % 3 = 0 THEN 'restless' ELSE 'settled' END AS profile
+    FROM {customer}""",
+)
+
+
 def staging(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables, sql = DEFINITIONS[name]
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
