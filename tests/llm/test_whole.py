@@ -66,3 +66,29 @@ def test_reader_comments_and_telling_names(spark):
     ]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: "Main text 0.", 2: "The whole story is told here.", 3: "T Text."}
+
+
+def test_dense_region_loses_no_link(spark):
+    """1,500 texts that are 0.76 alike by a template they share, among them pairs just over the limit."""
+    import numpy as np
+
+    from heronwatch.llm import minhash
+
+    rng = np.random.default_rng(3)
+    template = [f"t{k}" for k in range(303)]  # 300 shingles
+    own = {i: [f"o{x}" for x in rng.integers(0, 1 << 40, 45)] for i in range(1500)}
+    pairs = {}
+    for i in range(0, 400, 2):  # the second text has a part of the first one's own words
+        shared = int(rng.integers(4, 15))
+        own[i + 1] = own[i][:shared] + own[i + 1][shared:]
+        pairs[i] = shared
+    texts = {i: template + w for i, w in own.items()}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, words=4).collect()}
+    sets = {i: {tuple(t[k : k + 4]) for k in range(len(t) - 3)} for i, t in texts.items()}
+    want = {i: i for i in texts}
+    for i in pairs:
+        both = len(sets[i] & sets[i + 1])
+        if 100 * both >= 80 * (len(sets[i]) + len(sets[i + 1]) - both):
+            want[i + 1] = i
+    assert 20 < sum(k != v for k, v in want.items()) < 200 and got == want
