@@ -4,13 +4,14 @@ A text's paragraphs (its lines with more than white space) are hashed. Each dige
 one cell of each of three sub-tables; a cell keeps a count, the XOR of its digests and the XOR
 of their checks. The difference of two sketches holds only what the texts do not share, and is
 peeled: a cell with one digest gives it up, which frees its other two cells. If cells stay
-filled, the pair is sketched again with larger tables. The likeness of two texts is the
-Jaccard similarity of their paragraphs, from the number of digests recovered.
+filled, the pair is sketched again with larger tables and other cells, until none is left. The
+likeness of two texts is the Jaccard similarity of their paragraphs, from the digests recovered.
 
 Everything is made of DataFrame functions. Each text is shuffled once and half of it a second
 time; sketches stay in the partition of their document, so peeling shuffles nothing. A null
-text is empty; a null doc_id comes last in the order of documents; rows that repeat in every
-way are one document, returned as often; no paragraphs on either side count as alike.
+text is empty, a very long one is hashed whole; a null doc_id comes last in the order of
+documents; rows that repeat in every way are one document, returned as often; no paragraphs on
+either side count as alike. An empty table gives none; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ LAST = (1 << 63) - 1
 TABLES = 3
 #: Cells of a sub-table in the fingerprint itself and on the first try.
 BASE_CELLS = 8
-#: Later tries: cells of a sub-table for each paragraph of the two texts together.
-RETRIES = (0.6, 2.4, 9.6)
+#: Cells of a sub-table for each paragraph of the two texts together: on the second try, and growth from try to try.
+SECOND, GROWTH = 0.6, 4.0
+#: From this many on, only the choice of cells changes: the table is then far larger than the pair.
+MOST_CELLS_EACH = 40.0
+#: Characters of text for each partition of sketches.
+PARTITION_CHARS = 4 << 20
 #: Passes over the sub-tables, one after the other, within one try.
 PASSES = 4
 
@@ -98,20 +103,22 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Columns: rid, doc_id, copies, n_chars, edited_sha256, own, edited, next (digests)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    ids = base.select("id", "hash", F.length("text").alias("n")).groupBy("id", "hash").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
-    ids = materialize(ranked(ids, ["id", "hash"]))
+    none = F.col("doc_id").isNull()
+    hash_ = F.when(none, F.xxhash64(F.lit(1), text)).otherwise(F.xxhash64(text))  # a null doc_id is not the largest one
+    base = docs.select(none.alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), hash_.alias("hash"), text.alias("text"))
+    ids = base.select("none", "id", "hash", F.length("text").alias("n")).groupBy("none", "id", "hash").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
+    ids = materialize(ranked(ids, ["none", "id", "hash"]))
     n, most = ids.agg(F.count("*"), F.max("copies")).first()
     after = ids.select(F.pmod(F.col("rank") - 1, F.lit(max(n, 1))).alias("rank"), F.col("id").alias("next_id"), F.col("hash").alias("next_hash"))
-    links = ids.join(after, "rank").select("next_id", "next_hash", F.col("id").alias("cur_id"), F.col("hash").alias("cur_hash"), F.floor(F.col("n") / 2).cast("int").alias("half"), "copies")
+    links = ids.join(after, "rank").select(F.col("rank").alias("rid"), "next_id", "next_hash", F.col("id").alias("cur_id"), F.col("hash").alias("cur_hash"), F.floor(F.col("n") / 2).cast("int").alias("half"), "copies")
     own = base.withColumn("own", digests(F.col("text")))
     if (most or 0) > 1:
         own = own.dropDuplicates(["id", "hash"])
-    heads = own.join(links, (own["id"] == links["next_id"]) & (own["hash"] == links["next_hash"])).select("cur_id", "cur_hash", "half", "copies", F.expr("substring(text, 1, half)").alias("head"), F.col("own").alias("next"))
+    heads = own.join(links, (own["id"] == links["next_id"]) & (own["hash"] == links["next_hash"])).select("rid", "cur_id", "cur_hash", "half", "copies", F.expr("substring(text, 1, half)").alias("head"), F.col("own").alias("next"))
     joined = own.join(heads, (own["id"] == heads["cur_id"]) & (own["hash"] == heads["cur_hash"]))
     edited = F.concat(F.expr("substring(text, 1, length(text) - half)"), F.col("head"))
     return joined.select(
-        F.xxhash64("id", "hash").alias("rid"), F.nullif("id", F.lit(LAST)).alias("doc_id"), "copies", F.length("text").cast("long").alias("n_chars"),
+        "rid", F.when(~F.col("none"), F.col("id")).alias("doc_id"), "copies", F.length("text").cast("long").alias("n_chars"),
         F.sha2(edited, 256).alias("edited_sha256"), "own", digests(edited).alias("edited"), "next",
     )
 
@@ -125,23 +132,26 @@ def query(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     rows = materialize(with_next(docs))
     sizes = {0: F.size("own") + F.size("edited"), 1: F.size("own") + F.size("next")}
-    placed = rows.repartition("rid")
+    chars = rows.agg(F.sum("n_chars")).first()[0] or 0
+    # A number of its own: sketches are many times the rows they are made of, which Spark's sizes do not show.
+    placed = rows.repartition(max(1, int(2 * chars // PARTITION_CHARS)), "rid")
     base = placed.select("rid", "own", "edited", "next", *[F.lit(BASE_CELLS).cast("long").alias(f"cells{p}") for p in (0, 1)])
     tried = materialize(_tried(base, 0))
     found = placed.select("rid", "own", "edited", "next").join(tried, "rid", "left")
     # A pair without a row has no cells left: nothing differs.
-    found = found.select("rid", "own", "edited", "next", *[F.when(F.coalesce(f"failed{p}", F.lit(False)), F.lit(None)).otherwise(F.coalesce(f"d{p}", F.lit(0))).cast("long").alias(f"d{p}") for p in (0, 1)])
-    for salt, rate in enumerate(RETRIES, 1):
-        again = [F.when(F.col(f"d{p}").isNull(), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(16.0), sizes[p] * F.lit(rate)))))).otherwise(0).cast("long").alias(f"cells{p}") for p in (0, 1)]
-        failed = found.where("d0 IS NULL OR d1 IS NULL").select("rid", "own", "edited", "next", *again)
-        retried = materialize(_tried(failed, salt)).select("rid", *[F.col(f"d{p}").alias(f"r{p}") for p in (0, 1)], *[F.col(f"failed{p}").alias(f"f{p}") for p in (0, 1)])
-        found = found.join(retried, "rid", "left").select(
-            "rid", "own", "edited", "next",
-            *[F.coalesce(f"d{p}", F.when(~F.col(f"f{p}"), F.col(f"r{p}"))).cast("long").alias(f"d{p}") for p in (0, 1)],
-        )
-    # What three larger tables could not peel is compared directly.
-    exact = {0: F.size(F.array_intersect("own", "edited")), 1: F.size(F.array_intersect("own", "next"))}
-    near = found.select("rid", *[likeness(sizes[p], F.coalesce(f"d{p}", sizes[p] - 2 * exact[p])).alias(f"near{p}") for p in (0, 1)])
+    found = found.select("rid", *[sizes[p].alias(f"size{p}") for p in (0, 1)], *[F.when(F.coalesce(f"failed{p}", F.lit(False)), F.lit(None)).otherwise(F.coalesce(f"d{p}", F.lit(0))).cast("long").alias(f"d{p}") for p in (0, 1)])
+    found, rate, salt = materialize(found), SECOND, 1
+    while found.where("d0 IS NULL OR d1 IS NULL").take(1):
+        again = [F.when(F.col(f"d{p}").isNull(), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(16.0), F.col(f"size{p}") * F.lit(rate)))))).otherwise(0).cast("long").alias(f"cells{p}") for p in (0, 1)]
+        failed = placed.select("rid", "own", "edited", "next").join(found.where("d0 IS NULL OR d1 IS NULL").select("rid", *again), "rid")
+        retried = _tried(failed, salt).select("rid", *[F.col(f"d{p}").alias(f"r{p}") for p in (0, 1)], *[F.col(f"failed{p}").alias(f"f{p}") for p in (0, 1)])
+        found = materialize(
+            found.join(materialize(retried), "rid", "left").select(
+                "rid", "size0", "size1", *[F.coalesce(f"d{p}", F.when(~F.coalesce(f"f{p}", F.lit(False)), F.coalesce(f"r{p}", F.lit(0)))).cast("long").alias(f"d{p}") for p in (0, 1)],
+            )
+        )
+        rate, salt = min(rate * GROWTH, MOST_CELLS_EACH), salt + 1
+    near = found.select("rid", *[likeness(F.col(f"size{p}"), F.col(f"d{p}")).alias(f"near{p}") for p in (0, 1)])
     versions = F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("own").alias("e")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("e")))).alias("x")
     elements = placed.select("rid", versions).select("rid", "x.v", F.explode("x.e").alias("digest")).select("rid", "v", F.lit(BASE_CELLS).cast("long").alias("cells"), F.lit(1).cast("long").alias("sign"), "digest")
     parts = sketched(elements, ["rid", "v"], 0).select("rid", "v", F.struct("cell", "n", "key", "chk").alias("c"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .arrow import pieces
 from .hashing import U, mix, prefix, ranges, text_buffers, word_bounds
-from .repeats import LAST, Shape, cover_positions, key_columns, keyed, marked, removed, spans
+from .repeats import Shape, cover_positions, doc_id, key_columns, keyed, marked, removed, spans
 from .storage import shielded, unshielded
 
 WINDOW = 50
@@ -58,11 +58,11 @@ def query(docs: DataFrame) -> DataFrame:
             for x, y in zip(at[:-1], at[1:], strict=True):
                 words = kept[x:y]
                 hashes.append(hashlib.sha256(b" ".join([raw[s:e] for s, e in zip(start[words].tolist(), end[words].tolist(), strict=True)])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(own)), pa.array(np.diff(own) - np.diff(at)), pa.array(hashes, pa.string())], names=["key", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(own)), pa.array(np.diff(own) - np.diff(at)), pa.array(hashes, pa.string())], names=["key", "tag", "n_words", "n_removed", "kept_sha256"])
 
     rows = marked(keyed(docs), SHAPE, equal_windows).select("key", "text", "tag", "spans")
-    done = rows.mapInArrow(run, "key long, n_words long, n_removed long, kept_sha256 string")
-    return done.select(F.nullif("key", F.lit(LAST)).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    done = rows.mapInArrow(run, "key long, tag int, n_words long, n_removed long, kept_sha256 string")
+    return done.select(doc_id(), "n_words", "n_removed", "kept_sha256")
 
 
 def keep(docs: DataFrame) -> DataFrame:

@@ -102,10 +102,16 @@ def cover_positions(period: int, cover: tuple[int, ...]) -> Callable:
 
 
 def key_columns(docs: DataFrame) -> list[Column]:
-    """key: doc_id, null last; tag: tells rows of one doc_id apart, where there are any."""
+    """key: doc_id, null as the largest; tag: tells rows of one doc_id apart, where there are
+    any, and is odd for a null doc_id."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key")
     repeated = bool(docs.select(key).groupBy("key").count().where("count > 1").take(1))
-    return [key, (F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))) if repeated else F.lit(0)).alias("tag")]
+    tag = F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit(-2)) if repeated else F.lit(0)
+    return [key, F.when(F.col("doc_id").isNull(), tag.bitwiseOR(F.lit(1))).otherwise(tag).alias("tag")]
+
+
+def doc_id() -> Column:
+    return F.when(F.col("tag").bitwiseAND(F.lit(1)) == 0, F.col("key")).alias("doc_id")
 
 
 def keyed(docs: DataFrame) -> DataFrame:

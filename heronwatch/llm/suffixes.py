@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .arrow import pieces
 from .hashing import BYTE_VALUES, INVERSE, powers, prefix, text_buffers
-from .repeats import LAST, Shape, keyed, marked, removed, smallest_grams
+from .repeats import Shape, doc_id, keyed, marked, removed, smallest_grams
 
 WINDOW = 50
 SHAPE = Shape(words=False, window=WINDOW, gram=16, anchors=smallest_grams, grams_are_anchors=True)
@@ -135,9 +135,9 @@ def query(docs: DataFrame) -> DataFrame:
             kept, at = data[~gone].tobytes(), own - sums[own]
             hashes = [hashlib.sha256(kept[x:y]).hexdigest() for x, y in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(np.diff(x).astype(np.int64)) for x in (own, sums[own], spans[own])), pa.array(hashes, pa.string())],
-                names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                [*batch.columns[:2], *(pa.array(np.diff(x).astype(np.int64)) for x in (own, sums[own], spans[own])), pa.array(hashes, pa.string())],
+                names=["key", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    done = marked(keyed(docs), SHAPE, equal_windows).mapInArrow(run, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return done.select(F.nullif("key", F.lit(LAST)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    done = marked(keyed(docs), SHAPE, equal_windows).mapInArrow(run, "key long, tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return done.select(doc_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
