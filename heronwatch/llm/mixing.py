@@ -10,8 +10,9 @@ meets in fewer blocks, until the last few documents of a source are rounded toge
 of all their subsets the one nearest the source's words.
 
 Moves are drawn from a generator seeded by source and block, so reruns agree. Null texts have
-no words; null sources are one source, the last; empty sources get nothing; rows that repeat
-are separate candidates. Rows keep their place whatever their doc_id.
+no words, very long ones count whole; null sources are one source, the last; empty sources get
+nothing; rows that repeat are separate candidates. Rows keep their place whatever their doc_id;
+an empty table gives none, and other columns may have any name.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import ranked
@@ -159,9 +160,12 @@ def query(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """``docs`` mixed: each row as often as it is taken, with its columns unchanged."""
-    taken = copies(docs).groupBy("_order").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    own = shielded(docs, F.xxhash64("doc_id", "text", "source").alias("_order"))
-    # Rows that repeat in every way share their copies: each gives the mean, rounded up.
-    each = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    joined = own.join(taken.where("_copies > 0"), "_order").withColumn("_copy", F.explode(F.sequence(F.lit(1), each)))
-    return unshielded(joined, docs)
+    key = ["_order", "_doc"]
+    taken = copies(docs).select("_order", F.coalesce("doc_id", F.lit(0)).alias("_doc"), "copies").groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    own = shielded(docs, F.xxhash64("doc_id", "text", "source").alias("_order"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_doc"))
+    joined = own.join(taken.where("_copies > 0").hint("merge"), key)
+    # Rows that repeat in every way share their copies, which differ by one at most.
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
+    each = (F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_place") <= F.col("_copies") % F.col("_rows")).cast("long")).cast("int")
+    joined = joined.withColumn("_place", place).withColumn("_each", each).where("_each > 0")
+    return unshielded(joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))), docs)

@@ -6,9 +6,11 @@ narrow ranges; ranges that turn out overfull get further boundaries from a sampl
 own. Exact sizes of the ranges and of the records within each then give every record its
 place in the whole order, and the place gives shard and slot. Texts are never shuffled.
 
-A group of equal texts no larger than a twentieth of a shard stays whole; a larger one is
-split between documents. Null texts count as empty (size 1); null ids come last; rows that
-repeat in every way are alike and each gets a slot of its own.
+A group of equal texts no larger than a twentieth of a shard stays whole, so that no shard is
+further than that (and one record) from its mean; a larger one is split between documents. Null
+texts count as empty (size 1), very long ones have their own size; null ids come last; rows
+that repeat in every way are alike and each gets a slot of its own; an empty table gives none;
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .storage import materialize
 
+#: Share of a shard up to which a group of equal texts stays whole.
+WHOLE_GROUP = 1 / 20
 #: Samples drawn for each range; the driver holds this many times the ranges at most, about.
 SAMPLES_PER_RANGE = 24
 ROWS_PER_RANGE = 100_000
@@ -102,9 +106,9 @@ def by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
     )
     target = total / shards
     # A small group takes the place of its first record: its range may end within the group.
-    heads = (
+    heads = materialize(
         placed.groupBy("text_key").agg(F.min("place").alias("group_place"), F.sum("size").alias("group_size"), F.count("*").alias("copies"))
-        .where((F.col("copies") > 1) & (F.col("group_size") <= target / 20)).select("text_key", "group_place")
+        .where((F.col("copies") > 1) & (F.col("group_size") <= target * WHOLE_GROUP)).select("text_key", "group_place")
     )
     placed = materialize(
         placed.join(heads, "text_key", "left")
