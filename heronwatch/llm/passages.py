@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import pieces
-from .hashing import U, mix, prefix, ranges, text_buffers, word_bounds
+from .hashing import mix, prefix, ranges, text_buffers, word_bounds, word_hashes
 from .repeats import Shape, cover_positions, doc_id, key_columns, keyed, marked, removed, spans
 from .storage import shielded, unshielded
 
@@ -30,12 +30,23 @@ SHAPE = Shape(words=True, window=WINDOW, gram=GRAM, anchors=cover_positions(PERI
 
 
 def equal_windows(contents: list[bytes], n: np.ndarray) -> np.ndarray:
-    """Class numbers of the windows of runs given by the hashes of their words."""
-    values = np.frombuffer(b"".join(contents), np.uint64)
-    lens = n.astype(np.int64) + WINDOW - 1
-    first = np.repeat(np.cumsum(lens) - lens - np.cumsum(n) + n, n) + np.arange(n.sum())
-    p = prefix(values)
-    return np.unique(mix(ranges(p, first, first + WINDOW) + U(1)), return_inverse=True)[1]
+    """Class numbers of the windows of runs given by their words, one space between two."""
+    data = np.frombuffer(b"".join(contents), np.uint8)
+    start, end, row = word_bounds(data, np.cumsum([0, *map(len, contents)]))
+    words = np.searchsorted(row, np.arange(len(contents)))
+    n = n.astype(np.int64)
+    first = np.repeat(words - np.cumsum(n) + n, n) + np.arange(n.sum())
+    p = prefix(word_hashes(data, start, end))
+    cls = np.unique(mix(ranges(p, first, first + WINDOW)), return_inverse=True)[1]
+    # Windows of one hash are the same words.
+    one = np.zeros(int(cls.max()) + 1 if len(cls) else 0, np.int64)
+    one[cls] = np.arange(len(cls))
+    x, y = first, first[one[cls]]
+    raw, a, b, c, d = data.tobytes(), *(z.tolist() for z in (start[x], end[x + WINDOW - 1], start[y], end[y + WINDOW - 1]))
+    if any(raw[i:j] != raw[k:m] for i, j, k, m in zip(a, b, c, d, strict=True)):
+        ids: dict[bytes, int] = {}
+        cls = np.array([ids.setdefault(raw[i:j], len(ids)) for i, j in zip(a, b, strict=True)])
+    return cls
 
 
 def _gone(batch: pa.RecordBatch, text: int) -> tuple[np.ndarray, ...]:

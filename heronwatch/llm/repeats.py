@@ -6,17 +6,20 @@ Units are words or bytes. The work has four steps, none of which compares pairs
    caller says how). Each task packs its anchor hashes by bucket; a hash that several documents
    of the task share is sent once. Buckets tell which hashes stand in several documents.
 2. *Runs.* Around those anchors, windows are grouped into runs that share their smallest
-   inner gram, and a run becomes two independent 64-bit hashes of its whole content. Runs equal
-   in both need one look-up: all windows of a run recur if a smaller document has the same run.
-   A batch sends a run once, with all places where one document has it.
-3. *Extension.* Runs that hold the same gram but differ as wholes may share some windows. The
-   first copies of such runs meet by gram, and the caller finds their equal windows.
+   inner gram. Of equal runs in a batch, only that of the smallest document is sent, once with
+   all its places; the others recur for sure.
+3. *Extension.* Runs meet by gram with their content. Equal contents are one; the caller finds
+   the equal windows of those that differ, so every match is of the content itself.
 4. The windows found become removed units of the document.
 
+A gram that very many documents have would fill one task. A sample of the documents shows such
+grams; their windows are sent one by one, dealt out by a hash of the whole window, so only equal
+windows meet. Which grams these are changes how rows are dealt, never what is found.
+
 Texts with fewer units than a window keep everything; null texts are empty, and a very long text
-is cut into no pieces. A null doc_id counts as larger than all others; rows that repeat a doc_id
-are parts of one document, so neither removes from the other. An empty table gives an empty
-result, and columns other than doc_id and text may have any name.
+is cut into no pieces. A null doc_id counts as the largest; rows that repeat a doc_id are parts
+of one document, so neither removes from the other. An empty table gives an empty result, and
+columns other than doc_id and text may have any name.
 """
 
 from __future__ import annotations
@@ -27,20 +30,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import pieces, released
-from .hashing import BYTE_VALUES, INVERSE, MULT, U, chunks, mix, opened, powers, prefix, ranges, slide, text_buffers, word_bounds, word_hashes
+from .hashing import BYTE_VALUES, INVERSE, U, chunks, mix, opened, powers, prefix, ranges, slide, text_buffers, word_bounds, word_hashes
 
 LAST = (1 << 63) - 1
-#: A gram with more different runs than this is extended by window hashes, not in one task.
-MOST_RUNS = 4_096
+#: One of so many documents is looked at for hot grams: those that so many of them have, and so many grams at most.
+SAMPLE_OF, HOT_IN_SAMPLE, MOST_HOT = 64, 30, 50_000
+#: Runs that are compared at a time, about; a gram is never cut.
+BLOCK_RUNS = 2_000
 #: Bytes of text for each bucket of anchors.
 BUCKET_BYTES = 2 << 20
 #: Bytes of text whose anchors a task packs at a time.
 SLICE_BYTES = 12 << 20
-GRAM_MASK = U((1 << 48) - 1)
+GRAM_MASK = U((1 << 63) - 1)
 #: Bits that tell the anchors of one document apart; a false hit costs a look-up, no more.
 OWN_MASK = U((1 << 32) - 1)
 #: Bits of an anchor hash within its bucket.
@@ -224,13 +229,8 @@ def shared_anchors(texts: DataFrame, shape: Shape, buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, "key long, value long")
 
 
-def _second(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of a hash that has nothing in common with the prefix polynomial."""
-    return prefix(mix(values ^ U(0xA0761D6478BD642F)))
-
-
 def _window_runs(values: np.ndarray, own: np.ndarray, at: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
-    """(run hash, second hash, gram hash, first window, windows) of the runs of windows over the anchors ``at``.
+    """(gram hash, first window, windows) of the runs of windows over the anchors ``at``.
 
     ``own`` are the rows' offsets; positions are those of the whole chunk.
     """
@@ -240,7 +240,7 @@ def _window_runs(values: np.ndarray, own: np.ndarray, at: np.ndarray, shape: Sha
     last = np.minimum(at, own[row + 1] - shape.window)
     ok = last >= first
     if not ok.any():
-        return (np.zeros(0, np.uint64),) * 3 + (np.zeros(0, np.int64),) * 2
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     diff = np.bincount(first[ok], minlength=len(values) + 1) - np.bincount(last[ok] + 1, minlength=len(values) + 1)
     p = np.flatnonzero(np.cumsum(diff) > 0)
     low = slide(h, shape.span, np.minimum)[p]
@@ -255,11 +255,7 @@ def _window_runs(values: np.ndarray, own: np.ndarray, at: np.ndarray, shape: Sha
     new = np.ones(len(p), bool)
     new[1:] = (p[1:] != p[:-1] + 1) | (g[1:] != g[:-1]) | (row[1:] != row[:-1])
     s = np.flatnonzero(new)
-    lo, n = p[s], np.diff(np.append(s, len(p)))
-    tell = n.astype(np.uint64) * U(MULT) + (g[s] - lo).astype(np.uint64) * U(0xD6E8FEB86659FD93)
-    end = lo + n - 1 + shape.window
-    c, d = (mix(ranges(x, lo, end) + tell) for x in (prefix(values), _second(values)))
-    return c, d, h[g[s]], lo, n
+    return h[g[s]] & GRAM_MASK, p[s], np.diff(np.append(s, len(p)))
 
 
 def _classes(*keys: np.ndarray) -> np.ndarray:
@@ -293,48 +289,92 @@ def _lists(group: np.ndarray, values: np.ndarray, groups: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.ravel().astype(np.int32)))
 
 
-RUNS = "run long, second long, gram long, key long, tag int, n int, at array<int>"
+def _one_space(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of texts with one space between words and none around them."""
+    texts = [(t or "").encode() for t in batch.column(column).to_pylist()]
+    bare = [b" ".join(t.split()) for t in texts]
+    return np.frombuffer(b"".join(bare), np.uint8), np.cumsum([0, *map(len, bare)])
+
+
+def hot_grams(texts: DataFrame, shape: Shape) -> np.ndarray:
+    """Grams that very many documents of a sample have, the most frequent first, sorted at last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 0):
+            data, offsets = text_buffers(batch.column(0))
+            for a, b in chunks(offsets):
+                values, own = units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shape.words)
+                at, h = smallest_grams(values, own, shape)
+                row = np.searchsorted(own, at, "right") - 1
+                each = np.unique(np.stack([row.astype(np.uint64), h & GRAM_MASK]), axis=1)
+                gram, n = np.unique(each[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], names=["gram", "n"])
+
+    sample = texts.where(F.pmod(F.xxhash64("key", "tag"), F.lit(SAMPLE_OF)) == 0).select("text")
+    often = sample.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_IN_SAMPLE)
+    found = often.orderBy(F.desc("n"), "gram").limit(MOST_HOT).select("gram").toPandas()["gram"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+
+
+RUNS = "part long, gram long, key long, tag int, n int, at array<int>, content binary"
 
 
 def runs(texts: DataFrame, shared: DataFrame, shape: Shape) -> DataFrame:
-    """(run, second, gram, key, tag, n, at): runs of windows over the shared anchors of each
-    document, ``at`` being the places where it has them.
+    """(part, gram, key, tag, n, at, content): runs of windows over the shared anchors of each
+    document, ``at`` being the places where it has them; runs that can meet have one ``part``.
 
-    Of equal runs in one batch only those of the smallest key are sent as runs: the others recur
-    for sure. What a document has of those comes in one row with a null gram and a random run,
-    ``at`` being the start and end of each span. So a batch sends a run once, however many
-    documents hold it and however often.
+    What recurs for sure is one row for each document of a batch, with a null gram and the start
+    and end of each span in ``at``.
     """
+    hot = hot_grams(texts, shape)
     lists = shared.groupBy("key").agg(F.collect_list("value").alias("values"))
     joined = texts.join(lists, "key").select("key", "tag", "text", "values")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2, SLICE_BYTES):
             keys, tags = batch.column(0), batch.column(1)
-            data, offsets = text_buffers(batch.column(2))
+            data, offsets = _one_space(batch, 2) if shape.words else text_buffers(batch.column(2))
+            raw = data.tobytes()
             lists_at = batch.column(3).offsets.to_numpy()
             wanted = batch.column(3).values.to_numpy(zero_copy_only=False).view(np.uint64)
-            found = []
+            found, contents = [], []
             for a, b in chunks(offsets):
-                values, own = units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shape.words)
+                part = data[offsets[a] : offsets[b]]
+                if shape.words:
+                    start, end, row = word_bounds(part, offsets[a : b + 1] - offsets[a])
+                    values, own = word_hashes(part, start, end), np.searchsorted(row, np.arange(b - a + 1))
+                else:
+                    values, own = units(part, offsets[a : b + 1] - offsets[a], False)
+                    start, end = np.arange(len(part)), np.arange(1, len(part) + 1)
                 at, h = shape.anchors(values, own, shape)
                 row = np.searchsorted(own, at, "right") - 1
                 want = wanted[lists_at[a] : lists_at[b]]
                 want_row = np.repeat(np.arange(b - a), np.diff(lists_at[a : b + 1]))
                 tell = U(0x9E3779B97F4A7C15)
-                hit = np.isin((h & OWN_MASK) + row.astype(np.uint64) * tell, want + want_row.astype(np.uint64) * tell)
-                c, d, g, lo, n = _window_runs(values, own, at[hit], shape)
+                known = lambda h, row: np.isin((h & OWN_MASK) + row.astype(np.uint64) * tell, want + want_row.astype(np.uint64) * tell)  # noqa: B023, E731
+                g, lo, n = _window_runs(values, own, at[known(h, row)], shape)
                 row = np.searchsorted(own, lo, "right") - 1
                 if shape.grams_are_anchors:  # then a run whose gram is not shared cannot recur
-                    hit = np.isin((g & OWN_MASK) + row.astype(np.uint64) * tell, want + want_row.astype(np.uint64) * tell)
-                    c, d, g, lo, n, row = (x[hit] for x in (c, d, g, lo, n, row))
-                found.append((c, d, g & GRAM_MASK, row + a, lo - own[row], n))
-            if not found:
+                    hit = known(g, row)
+                    g, lo, n, row = (x[hit] for x in (g, lo, n, row))
+                part_of = g
+                if len(hot) and (many := np.isin(g, hot)).any():
+                    # One row for each window of a hot gram.
+                    times = np.where(many, n, 1)
+                    inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    g, row, many = (np.repeat(x, times) for x in (g, row, many))
+                    lo, n = np.repeat(lo, times) + inner, np.where(many, 1, np.repeat(n, times))
+                    part_of = np.where(many, mix(ranges(prefix(values), lo, lo + shape.window)) & GRAM_MASK, g)
+                base = int(offsets[a])
+                contents += [raw[base + x : base + y] for x, y in zip(start[lo].tolist(), end[lo + n + shape.window - 2].tolist(), strict=True)]
+                found.append((part_of, g, row + a, lo - own[row], n))
+            if not contents:
                 continue
-            c, d, g, row, lo, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            part_of, g, row, lo, n = (np.concatenate(x) for x in zip(*found, strict=True))
             key = keys.to_numpy(zero_copy_only=False)[row]
-            cls = _classes(d, c)
-            least = np.full(len(cls), LAST)
+            ids: dict[bytes, int] = {}
+            cls = np.array([ids.setdefault(c, len(ids)) for c in contents])
+            least = np.full(len(ids), LAST)
             np.minimum.at(least, cls, key)
             later = key > least[cls]
             # Runs of the smallest keys: one row for each run and document.
@@ -347,63 +387,25 @@ def runs(texts: DataFrame, shared: DataFrame, shape: Shape) -> DataFrame:
             take = pa.array(row[heads])
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(pa.array(x[heads].view(np.int64)) for x in (c, d, g)), keys.take(take), tags.take(take), pa.array(n[heads].astype(np.int32)), places,
+                    *(pa.array(x[heads].view(np.int64)) for x in (part_of, g)), keys.take(take), tags.take(take), pa.array(n[heads].astype(np.int32)), places,
+                    pa.array([contents[i] for i in heads.tolist()], pa.binary()),
                 ],
-                names=["run", "second", "gram", "key", "tag", "n", "at"],
+                names=["part", "gram", "key", "tag", "n", "at", "content"],
             )
             if later.any():
                 r, start, end = _merged(row[later], lo[later], lo[later] + n[later] - 1 + shape.window)
                 docs, group = np.unique(r, return_inverse=True)
-                spread = mix(keys.to_numpy(zero_copy_only=False)[docs].view(np.uint64) + U(batch.num_rows)).view(np.int64)
-                none = pa.nulls(len(docs), pa.int64())
+                spread = mix(keys.to_numpy(zero_copy_only=False)[docs].view(np.uint64)).view(np.int64)
+                none = lambda kind: pa.nulls(len(docs), kind)  # noqa: B023, E731
                 take = pa.array(docs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(spread), none, none, keys.take(take), tags.take(take), pa.nulls(len(docs), pa.int32()), _lists(group, np.stack([start, end], axis=1), len(docs))],
-                    names=["run", "second", "gram", "key", "tag", "n", "at"],
+                    [pa.array(spread), none(pa.int64()), keys.take(take), tags.take(take), none(pa.int32()), _lists(group, np.stack([start, end], axis=1), len(docs)), none(pa.binary())],
+                    names=["part", "gram", "key", "tag", "n", "at", "content"],
                 )
 
     return joined.mapInArrow(run, RUNS)
 
 
-CONTENTS = "gram long, many boolean, key long, tag int, n int, at array<int>, content binary"
-
-
-def contents(texts: DataFrame, firsts: DataFrame, shape: Shape) -> DataFrame:
-    """``firsts`` with the content of each run at its first place: its bytes, or the hashes of its words."""
-    lists = firsts.groupBy("key").agg(F.collect_list(F.struct("gram", "at", "n", "many", "tag")).alias("runs"))
-    joined = texts.join(lists, "key").select("key", "tag", "text", "runs")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2, SLICE_BYTES):
-            data, offsets = text_buffers(batch.column(2))
-            at = batch.column(3).offsets.to_numpy()
-            fields = batch.column(3).values
-            for a, b in chunks(offsets):
-                part = data[offsets[a] : offsets[b]]
-                values, own = units(part, offsets[a : b + 1] - offsets[a], shape.words)
-                flat = (values if shape.words else part).view(np.uint8)
-                width = 8 if shape.words else 1
-                own_fields = fields.slice(at[a], at[b] - at[a])
-                row = np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))
-                same = own_fields.field("tag").to_numpy() == batch.column(1).to_numpy()[row + a]
-                own_fields, row = own_fields.filter(pa.array(same)), row[same]
-                places = own_fields.field("at")
-                lo, n = pc.list_element(places, 0).to_numpy(zero_copy_only=False), own_fields.field("n").to_numpy()
-                s = (own[row] + lo) * width
-                e = s + (n + shape.window - 1) * width
-                raw = flat.tobytes()
-                take = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        own_fields.field("gram"), own_fields.field("many"), batch.column(0).take(take), batch.column(1).take(take),
-                        own_fields.field("n"), places, pa.array([raw[x:y] for x, y in zip(s, e, strict=True)], pa.binary()),
-                    ],
-                    names=["gram", "many", "key", "tag", "n", "at", "content"],
-                )
-
-    return joined.mapInArrow(run, CONTENTS)
-
-
 SPANS = "key long, tag int, at array<int>"
 
 
@@ -424,70 +426,71 @@ def _found(rows: pa.Table, run: np.ndarray, offset: np.ndarray, window: int) ->
     return pa.RecordBatch.from_arrays([pa.array(key[one[has]]), pa.array(tag[one[has]]), _lists(group, np.stack([s, e], axis=1), len(has))], names=["key", "tag", "at"])
 
 
-def extended(content: DataFrame, shape: Shape, equal_windows: Callable) -> DataFrame:
-    """Spans of windows that a smaller document has in another run of the same gram.
+def _starts(n: np.ndarray) -> np.ndarray:
+    return np.cumsum(n) - n
+
+
+def _block(rows: list[pa.RecordBatch], shape: Shape, equal_windows: Callable) -> pa.RecordBatch:
+    """Spans of the windows of whole groups that a smaller document has, too."""
+    t = pa.Table.from_batches(rows)
+    n, key, part = (t.column(c).to_numpy() for c in ("n", "key", "part"))
+    ids: dict[bytes, int] = {}
+    one = np.array([ids.setdefault(c, len(ids)) for c in t.column("content").to_pylist()])  # equal contents are one
+    first = np.full(len(ids), -1)
+    first[one[::-1]] = np.arange(len(one))[::-1]
+    n_one, part_one = n[first], part[first]
+    least_one = np.full(len(ids), LAST)
+    np.minimum.at(least_one, one, key)
+    # Only contents that share their part with others can have windows of others.
+    _, back, times = np.unique(part_one, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(times[back] > 1)
+    least = np.repeat(least_one, n_one)
+    if len(several):
+        contents = list(ids)
+        cls = equal_windows([contents[i] for i in several.tolist()], n_one[several])
+        at = np.repeat(_starts(n_one)[several] - _starts(n_one[several]), n_one[several]) + np.arange(int(n_one[several].sum()))
+        low = np.full(int(cls.max()) + 1, LAST)
+        np.minimum.at(low, cls, least[at])
+        least[at] = low[cls]
+    run = np.repeat(np.arange(len(n)), n)
+    offset = np.arange(len(run)) - np.repeat(_starts(n), n)
+    hit = key[run] > least[_starts(n_one)[one[run]] + offset]
+    return _found(t, run[hit], offset[hit], shape.window)
+
+
+def extended(every: DataFrame, shape: Shape, equal_windows: Callable) -> DataFrame:
+    """Spans of the windows of ``runs`` that a smaller document has.
 
     ``equal_windows(contents, n)`` gives a class number for every window, run after run.
     """
 
-    def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows)
-        n = t.column("n").to_numpy()
-        cls = equal_windows(t.column("content").to_pylist(), n)
-        run = np.repeat(np.arange(len(n)), n)
-        key = t.column("key").to_numpy()[run]
-        offset = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-        least = np.full(int(cls.max()) + 1 if len(cls) else 0, LAST)
-        np.minimum.at(least, cls, key)
-        hit = key > least[cls]
-        return _found(t, run[hit], offset[hit], shape.window)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            gram = batch.column("gram").to_numpy()
+            sure = pc.is_null(batch.column("gram"))
+            if sure.true_count:
+                yield batch.filter(sure).select(["key", "tag", "at"])
+                batch = batch.filter(pc.invert(sure))
+            part = batch.column("part").to_numpy()
             first = 0
-            for cut in [*range(2_000, batch.num_rows, 2_000), batch.num_rows]:
-                cut = int(np.searchsorted(gram[first:], gram[cut - 1], "left")) + first if cut < batch.num_rows else cut
-                part = batch.slice(first, cut - first)
-                if not part.num_rows:
+            for cut in [*range(BLOCK_RUNS, batch.num_rows, BLOCK_RUNS), batch.num_rows]:
+                cut = int(np.searchsorted(part[first:], part[cut - 1], "left")) + first if cut < batch.num_rows else cut
+                piece = batch.slice(first, cut - first)
+                if not piece.num_rows:
                     continue
-                # What is held ends with a whole gram, unless its last gram goes on here.
-                if held and size >= 2_000 and held[-1].column("gram")[-1].as_py() != part.column("gram")[0].as_py():
-                    yield block(held)
+                # What is held ends with a whole group, unless its last group goes on here.
+                if held and size >= BLOCK_RUNS and held[-1].column("part")[-1].as_py() != piece.column("part")[0].as_py():
+                    yield _block(held, shape, equal_windows)
                     held, size = [], 0
-                held.append(part)
-                size += part.num_rows
+                held.append(piece)
+                size += piece.num_rows
                 first = cut
         if held:
-            yield block(held)
+            yield _block(held, shape, equal_windows)
         released()
 
-    few = content.where("NOT many").repartition("gram").sortWithinPartitions("gram")
-    near = few.mapInArrow(run, SPANS)
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column("n").to_numpy()
-            joined = np.frombuffer(b"".join(batch.column("content").to_pylist()), np.uint64 if shape.words else np.uint8)
-            values = joined if shape.words else BYTE_VALUES[joined]
-            lens = n + shape.window - 1
-            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            firsts = np.repeat(np.cumsum(lens) - lens, n) + offset
-            hashes = (mix(ranges(p, firsts, firsts + shape.window)).view(np.int64) for p in (prefix(values), _second(values)))
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), n))
-            yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, hashes), *(batch.column(c).take(rows) for c in ("key", "tag", "at")), pa.array(offset.astype(np.int32))],
-                names=["window", "second", "key", "tag", "at", "offset"],
-            )
-
-    # Grams of very many runs: their windows meet by two independent hashes, each group summed up in part before it is sent.
-    windows = content.where("many").mapInArrow(explode, "window long, second long, key long, tag int, at array<int>, offset int")
-    least = windows.groupBy("window", "second").agg(F.min("key").alias("least"))
-    start = lambda x: x + F.col("offset")
-    far = windows.join(least, ["window", "second"]).where("key > least").select("key", "tag", F.flatten(F.transform("at", lambda x: F.array(start(x), start(x) + shape.window))).alias("at"))
-    return near.unionByName(far)
+    return every.repartition("part").sortWithinPartitions("part").mapInArrow(run, SPANS)
 
 
 def copies(texts: DataFrame) -> DataFrame:
@@ -514,18 +517,7 @@ def spans(texts: DataFrame, shape: Shape, equal_windows: Callable) -> DataFrame:
     a = again.select(F.col("key").alias("a_key"), F.col("tag").alias("a_tag"))
     searched = texts.join(a, (F.col("key") == F.col("a_key")) & (F.col("tag") <= F.col("a_tag")) & (F.col("tag") >= F.col("a_tag")), "left_anti")
     every = runs(searched, shared_anchors(searched, shape, buckets), shape)
-    # A batch sends a run once, so a partition by run has as many rows of a run as there are batches.
-    placed = every.withColumn("least", F.min("key").over(Window.partitionBy("run", "second")))
-    # Counting every column, here as in the other branches, keeps one exchange by run for all.
-    counts = [F.count(c).alias(f"n_{c}") for c in ("tag", "at", "n")]
-    several = placed.where("gram IS NOT NULL AND key <= least").groupBy("gram").agg(*counts, F.min("least").alias("low"), F.max("least").alias("high"))
-    several = several.where("low < high AND n_tag = n_at AND n_at = n_n").select("gram", F.col("n_n").alias("runs"))
-    end = F.col("n") + (shape.window - 1)
-    at = F.when(F.col("gram").isNull(), F.col("at")).otherwise(F.flatten(F.transform("at", lambda x: F.array(x, x + end))))
-    whole = placed.where("gram IS NULL OR key > least").select("key", "tag", at.alias("at"))
-    firsts = placed.where("gram IS NOT NULL AND key <= least").join(several, "gram").select("gram", "key", "tag", "at", "n", (F.col("runs") > MOST_RUNS).alias("many"))
-    found = whole.unionByName(extended(contents(texts, firsts, shape), shape, equal_windows))
-    return found.unionByName(again.select("key", "tag", F.array(F.lit(0), F.col("bytes")).alias("at")))
+    return extended(every, shape, equal_windows).unionByName(again.select("key", "tag", F.array(F.lit(0), F.col("bytes")).alias("at")))
 
 
 def marked(texts: DataFrame, shape: Shape, equal_windows: Callable) -> DataFrame:

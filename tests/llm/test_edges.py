@@ -127,3 +127,32 @@ def test_empty_tables(spark, docs, tokenizer):
         assert f(none).count() == 0, f
     assert bpe.digests(none, *tokenizer).count() == 0
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(("module", "units", "join", "n"), [(passages, lambda t: t.encode().split(), b" ".join, "n_words"), (suffixes, lambda t: list(t.encode()), bytes, "n_bytes")])
+def test_repeats_with_hot_grams(spark, docs, monkeypatch, module, units, join, n):
+    """Windows of grams that many documents have are dealt out one by one, with the same result."""
+    from heronwatch.llm import repeats
+
+    monkeypatch.setattr(repeats, "SAMPLE_OF", 1)
+    monkeypatch.setattr(repeats, "HOT_IN_SAMPLE", 2)
+    line = " ".join(f"common{k}" for k in range(55))
+    rows = [r[:2] for r in ROWS] + [(100 + i, f"{i} own words {i * i} {line} and {i % 4} more {line if i % 5 == 0 else ''}") for i in range(40)]
+    want, got = brute(rows, units, join), {}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(repeats.hot_grams(repeats.keyed(table), module.SHAPE)) > 0
+    for r in module.query(table).collect():
+        got.setdefault(r.doc_id, []).append((r[n], r.n_removed, r.kept_sha256))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_spans_are_maximal_runs(spark):
+    part = "".join(chr(97 + k * 7 % 26) + str(k) for k in range(40))
+    rows = [(1, f"{part}..{part[::-1]}"), (2, f"{part[:60]} between {part[::-1][:70]}{part[5:75]}")]
+    got = {r.doc_id: r for r in suffixes.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone, text = bytearray(len(rows[1][1])), rows[1][1]
+    for p in range(len(text) - 49):
+        if text[p : p + 50] in rows[0][1]:
+            gone[p : p + 50] = b"\1" * 50
+    want = len([x for x in bytes(gone).split(b"\0") if x])
+    assert got[2].n_spans == want > 1 and got[2].n_removed == sum(gone) and got[1].n_spans == 0
