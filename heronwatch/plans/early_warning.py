@@ -108,11 +108,13 @@ def _text(t: str) -> str:
 
 
 _labels = "concat_ws('; ', " + ", ".join(f"CASE WHEN s_{n} THEN {_text(s['label'])} END" for n, s in CATALOG["signals"].items()) + ")"
-_says = "concat_ws(' ', " + ", ".join(
-    f"CASE WHEN s_{n} THEN " + (f"printf({_text(s['says'][0])}, " + ", ".join(f"round(({v.format(t=s.get('t'))})::DOUBLE, {d})" for v, d in zip(s["says"][1], re.findall(r"%\.(\d)f", s["says"][0]), strict=True)) + ")" if s["says"][1] else _text(s["says"][0])) + " END"
+_said = {
+    n: (f"printf({_text(s['says'][0])}, " + ", ".join(f"round(({v.format(t=s.get('t'))})::DOUBLE, {d})" for v, d in zip(s["says"][1], re.findall(r"%\.(\d)f", s["says"][0]), strict=True)) + ")" if s["says"][1] else _text(s["says"][0]))
     for n, s in CATALOG["signals"].items()
-) + ")"
-_of_rule = lambda f: "CASE rule " + " ".join(f"WHEN '{n}' THEN {_text(r[f])}" for n, r in CATALOG["rules"].items()) + " END"
+}
+_says = "concat_ws(' ', " + ", ".join(f"CASE WHEN s_{n} THEN {said} END" for n, said in _said.items()) + ")"
+SIGNS = "list_filter([" + ", ".join(f"CASE WHEN s_{n} THEN {{'signal': {_text(CATALOG['signals'][n]['label'])}, 'evidence': {said}}} END" for n, said in _said.items()) + "], lambda x: x IS NOT NULL)"
+of_rule = _of_rule = lambda f: "CASE rule " + " ".join(f"WHEN '{n}' THEN {_text(r[f])}" for n, r in CATALOG["rules"].items()) + " END"
 _to = "CASE channel " + " ".join(f"WHEN '{n}' THEN {_text(c['to'])}" for n, c in CATALOG["channels"].items()) + " END"
 _quota = "CASE channel " + " ".join(f"WHEN '{n}' THEN {c['quota'] or 'NULL'}" for n, c in CATALOG["channels"].items()) + " END"
 _kinds = " UNION ALL ".join(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import redaction
@@ -10,7 +12,7 @@ from ..sources.tables import staged, work_folder
 from ..sources.testbed import LAST_MONTH, staging
 from ..streaming import notes as note_stream
 from .catalog import ALERT, CATALOG
-from .early_warning import over_alerts
+from .early_warning import SIGNS, of_rule, over_alerts
 from .oracle import with_tables
 from .people import table_360
 from .vectors import TEST_OF
@@ -170,6 +172,8 @@ X = {
     "rj": (("rd",), "SELECT *, CASE WHEN reject_reason IS NULL THEN tone0 ELSE 'not processed' END AS tone, substr(sha256(r), 1, 24) AS hash FROM rd"),
     "lr": (("talk", "rj"), "SELECT * FROM (SELECT t.*, j.idx AS read_idx, j.note_id, j.tone, j.topics, j.quotes, row_number() OVER (PARTITION BY t.person_id, t.idx ORDER BY j.idx DESC NULLS LAST, j.note_id DESC, j.hash) AS k FROM talk t LEFT JOIN rj j ON j.person_id = t.person_id AND j.idx <= t.idx AND j.idx > t.idx - 3) WHERE k = 1"),
 }
+_sentences = lambda t: [x.strip() for x in re.split(delivery.SENTENCE_END, t) if x.strip()]
+_steps = "CASE rule " + " ".join(f"WHEN '{n}' THEN {_sentences(r['action'])}" for n, r in CATALOG["rules"].items()) + " END"
 SQL = {
     "notes_redacted": with_tables("SELECT note_id, hash, length(r) AS length, len(regexp_extract_all(r, '\\[(ID|EMAIL|AMOUNT)\\]'))::BIGINT AS masks FROM nr", "nr", extra=X),
     # Each note names one planted person, twice, at its start; the invented prose has none of the names.
@@ -190,7 +194,14 @@ SQL = {
     "blind_spots": over_alerts(
         f"""SELECT person_id, idx, CASE WHEN b = '' THEN 'None known.' ELSE b END AS blind_spots, steps, CASE WHEN coalesce(tone IN ('not processed', 'insufficient'), true) THEN 0 ELSE len(topics[1:2]) END AS topics, CASE WHEN coalesce(tone IN ('not processed', 'insufficient'), true) THEN 0 ELSE len(quotes[1:1]) END AS quotes
         FROM (SELECT *, concat_ws(' ', CASE WHEN coalesce(months_since_note, 99) >= 3 THEN 'No note for three months or more.' END, CASE WHEN csat_avg_3m IS NULL THEN 'No customer score.' END, CASE WHEN prod_avg_3m IS NULL THEN 'No productivity figure.' END, CASE WHEN tenure < 12 THEN 'Less than a year with us.' END) AS b,
-          CASE rule {' '.join(f"WHEN '{n}' THEN {len([x for x in __import__('re').split(delivery.SENTENCE_END, r['action']) if x.strip()])}" for n, r in CATALOG['rules'].items())} END AS steps FROM lr WHERE state = 'notified' AND idx > {LAST_MONTH - 6})""", "lr", extra=X,
+          CASE rule {' '.join(f"WHEN '{n}' THEN {len(_sentences(r['action']))}" for n, r in CATALOG['rules'].items())} END AS steps FROM lr WHERE state = 'notified' AND idx > {LAST_MONTH - 6})""", "lr", extra=X,
+    ),
+    "cards": over_alerts(
+        f"""SELECT person_id, period, to_json({{'who': coalesce(d.name, person_id::VARCHAR), 'rule': {{'rule': rule, 'rule_name': {of_rule('name')}, 'rule_level': {of_rule('level')}}}, 'signs': {SIGNS},
+          'blind_spots': CASE WHEN len(b) = 0 THEN ['None known.'] ELSE b END, 'context': {{'topics': CASE WHEN hidden THEN [] ELSE topics[1:2] END, 'quotes': CASE WHEN hidden THEN [] ELSE quotes[1:1] END}}, 'steps': {_steps}}})::VARCHAR AS card
+        FROM (SELECT *, coalesce(tone IN ('not processed', 'insufficient'), true) AS hidden, list_filter([CASE WHEN coalesce(months_since_note, 99) >= 3 THEN 'No note for three months or more.' END, CASE WHEN csat_avg_3m IS NULL THEN 'No customer score.' END,
+          CASE WHEN prod_avg_3m IS NULL THEN 'No productivity figure.' END, CASE WHEN tenure < 12 THEN 'Less than a year with us.' END], lambda x: x IS NOT NULL) AS b FROM lr WHERE state = 'notified' AND idx > {LAST_MONTH - 6}) l
+        LEFT JOIN (SELECT person_id, name FROM directory) d USING (person_id)""", "lr", "directory", extra=X | {"lr": (X["lr"][0], X["lr"][1].replace("t.*", "t.* EXCLUDE name"))},
     ),
     "cell_diff": with_tables(
         """SELECT 'productivity' AS "column", count(*) FILTER (person_id % 50 = 0) AS differ, round(max(CASE WHEN person_id % 50 = 0 THEN 1e-6 ELSE 1e-12 END), 6)::DOUBLE AS widest FROM metrics

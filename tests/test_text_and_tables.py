@@ -63,7 +63,24 @@ def test_stream_adds_nothing_twice(spark, tmp_path):
 def test_classifier(spark, small):
     from heronwatch.plans.listening import classifier
 
-    assert all(r.n > 0 and 0 <= r.accuracy <= 1 for r in classifier(spark, small).collect())
+    rows = {r.net: r for r in classifier(spark, small).collect()}  # labels of the test data are drawn at random
+    assert set(rows) == {"deep", "flat"} and all(r.n > 20 and r.right == round(r.accuracy * r.n) for r in rows.values())
+    assert min(r.points_behind for r in rows.values()) <= max(r.points_behind for r in rows.values()) == 0
+
+
+def test_classifier_learns(spark):
+    import numpy as np
+
+    from heronwatch.operators import classify
+
+    rng = np.random.default_rng(8)
+    label = rng.integers(0, 3, 300)
+    x = rng.normal(0, 0.4, (300, 4)) + np.eye(4)[label] * 2
+    rows = spark.createDataFrame([(i, [float(v) for v in a], int(b)) for i, (a, b) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    train, test = classify.prepared(rows, 2.0, 5)
+    assert (train.count(), test.count()) == (240, 60)
+    weights, loss = classify.train(train, [4, 6, 3])
+    assert loss[-1] < loss[0] / 4 and classify.accuracy(classify.predicted(test, weights)).first().accuracy > 0.9
 
 
 def test_registry(spark, small):
