@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+
 
 def month_index(day: Column) -> Column:
     return (F.year(day) * 12 + F.month(day) - 1).cast("long")
@@ -136,9 +138,10 @@ def with_cohorts(rows: DataFrame) -> DataFrame:
 
 
 def person_360(directory, exits, bands, metrics, reviews, first_reviews, courses, notes, last: int, months: int) -> DataFrame:
-    """All of the above on one spine."""
+    """All of the above on one spine. Rows are written before the cohort averages, which read
+    them twice: windows are worked out once, and the plan stays small."""
     rows = spine(directory, exits, last, months)
     rows = with_metrics(rows, metrics)
     rows = with_reviews(rows, reviews, first_reviews)
     rows = with_development(rows, courses, notes)
-    return with_cohorts(with_pay(rows, bands))
+    return with_cohorts(staged(with_pay(rows, bands)))
