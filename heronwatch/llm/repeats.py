@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .arrow import pieces, released
 from .hashing import BYTE_VALUES, INVERSE, U, chunks, mix, opened, powers, prefix, ranges, slide, text_buffers, word_bounds, word_hashes
+from .storage import materialize
 
 LAST = (1 << 63) - 1
 #: One of so many documents is looked at for hot grams: those that so many of them have, and so many grams at most.
@@ -498,7 +499,8 @@ def copies(texts: DataFrame) -> DataFrame:
     hashes with different seeds and the size."""
     own = texts.select("key", "tag", F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(1), "text").alias("second"), F.octet_length("text").alias("bytes"))
     same = ["hash", "second", "bytes"]
-    least = own.groupBy(*same).agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
+    # Written, so that the join has an exchange of its own and the rows of a large group can be split.
+    least = materialize(own.groupBy(*same).agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most"))
     return own.join(least, same).where("key > least").select("key", "tag", "bytes").distinct()
 
 
