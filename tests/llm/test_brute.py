@@ -63,14 +63,8 @@ def test_op5(spark, small, texts):
         assert r.near_edited == pytest.approx(like(paragraphs(t), paragraphs(edited))) and r.near_next == pytest.approx(like(paragraphs(t), paragraphs(other)))
 
 
-def test_op6(spark, small, texts):
-    source = dict(duckdb.sql(f"SELECT doc_id, source FROM '{small}/documents.parquet'").fetchall())
-    size, target, taken = Counter(), {}, Counter()
-    for r in queries.op6_cube_mix(spark, small).collect():
-        assert r["size"] == len(WORD.findall(texts[r.doc_id])) and r.taken <= 3 * r["size"]
-        size[source[r.doc_id]] += r["size"]
-        taken[source[r.doc_id]] += r.taken
-        target[source[r.doc_id]] = r.target
+def targets(size):
+    """Words that each source gives the mix, from the words it has."""
     weight = {s: k % 3 + 1 for k, s in enumerate(sorted(size))}
     full = set()
     while True:
@@ -79,36 +73,59 @@ def test_op6(spark, small, texts):
         if not new:
             break
         full |= new
+    return {s: 3 * size[s] if s in full else level * weight[s] for s in size}
+
+
+def test_op6(spark, small, texts):
+    source = dict(duckdb.sql(f"SELECT doc_id, source FROM '{small}/documents.parquet'").fetchall())
+    size, target, taken = Counter(), {}, Counter()
+    for r in queries.op6_cube_mix(spark, small).collect():
+        assert r["size"] == len(WORD.findall(texts[r.doc_id])) and r.taken <= 3 * r["size"]
+        size[source[r.doc_id]] += r["size"]
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    want = targets(size)
     for s in size:
-        want = 3 * size[s] if s in full else level * weight[s]
-        assert target[s] == pytest.approx(want) and abs(taken[s] - want) < 0.05 * want
+        assert target[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) < 0.05 * want[s]
 
 
-@pytest.mark.parametrize(("query", "words"), [("op7_cover_anchors", True), ("op9_suffix_sort", False)])
-def test_op7_op9(spark, small, texts, query, words):
-    first, want = {}, {}
+def repeated(texts, words):
+    """{id: (units, which of them lie in a window that a smaller id has)}; ids in rising order."""
+    first, out = {}, {}
     for i, t in texts.items():
         u, new = t.encode().split() if words else t.encode(), []
         gone = bytearray(len(u))
         for p in range(len(u) - 49):
-            w = hash(tuple(u[p : p + 50]) if words else u[p : p + 50])
+            w = tuple(u[p : p + 50]) if words else u[p : p + 50]
             if w in first:
                 gone[p : p + 50] = b"\1" * 50
             else:
                 new.append(w)
         first |= dict.fromkeys(new, i)
+        out[i] = u, gone
+    return out
+
+
+@pytest.mark.parametrize(("query", "words"), [("op7_cover_anchors", True), ("op9_suffix_sort", False)])
+def test_op7_op9(spark, small, texts, query, words):
+    want = {}
+    for i, (u, gone) in repeated(texts, words).items():
         kept = [x for x, g in zip(u, gone, strict=True) if not g]
         want[i] = sum(gone), hashlib.sha256(b" ".join(kept) if words else bytes(kept)).hexdigest()
     assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in queries.QUERIES[query](spark, small).collect()} == want
 
 
-def test_op8(spark, small, texts):
+def tiktoken_encoding():
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_op8(spark, small, texts):
+    known = tiktoken_encoding()
     for r in queries.op8_byte_bpe(spark, small).collect():
         ids = known.encode_ordinary(texts[r.doc_id])
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
@@ -159,4 +176,22 @@ def test_pipeline_stages(spark, small, texts):
     assert {r.doc_id for r in kept.collect()} == good and kept.columns == docs.columns
     want, _ = groups({i: texts[i] for i in sorted(good)}, 5)
     near = p.near_dedup(spark, kept, small)
-    assert {r.doc_id for r in near.collect()} == set(want.values())
+    near_texts = {r.doc_id: r.text for r in near.orderBy("doc_id").collect()}
+    assert set(near_texts) == set(want.values())
+    cut = p.substring_dedup(spark, near, small)
+    left = {i: [w for w, g in zip(u, gone, strict=True) if not g] for i, (u, gone) in repeated(near_texts, True).items()}
+    rows = cut.collect()
+    assert {r.doc_id: r.text.encode().split() for r in rows} == {i: w for i, w in left.items() if w} and cut.columns == docs.columns and all(r.n_chars == len(r.text) for r in rows)
+    mixed = p.mix(spark, cut, small)
+    size, taken, times = Counter(), Counter(), Counter()
+    for r in rows:
+        size[r.source] += len(WORD.findall(r.text))
+    for r in mixed.collect():
+        taken[r.source] += len(WORD.findall(r.text))
+        times[r.doc_id] += 1
+    goal = targets(size)
+    assert mixed.columns == docs.columns and max(times.values()) <= 3 and all(abs(taken[s] - goal[s]) < 0.05 * goal[s] for s in size)
+    known = tiktoken_encoding()
+    coded = p.tokenize(spark, mixed, small).collect()
+    cut_texts = {r.doc_id: r.text for r in rows}
+    assert len(coded) == sum(times.values()) and all(r.decoded_same and r.token_ids == known.encode_ordinary(cut_texts[r.doc_id]) and r.n_tokens == len(r.token_ids) for r in coded)

@@ -156,3 +156,46 @@ def test_spans_are_maximal_runs(spark):
             gone[p : p + 50] = b"\1" * 50
     want = len([x for x in bytes(gone).split(b"\0") if x])
     assert got[2].n_spans == want > 1 and got[2].n_removed == sum(gone) and got[1].n_spans == 0
+
+
+def test_round_trip(docs, tokenizer):
+    rows = bpe.round_trip(docs, *tokenizer).collect()
+    assert len(rows) == len(ROWS) and all(r.decoded_same and r.n_tokens == len(r.token_ids) for r in rows) and {r.n_tokens for r in rows if r.doc_id in (4, 5)} == {0}
+
+
+def test_overfull_ranges_are_divided(docs, monkeypatch):
+    want = {(r.doc_id, r.text_crc32): r["size"] for r in shards.by_bytes(docs).collect()}
+    monkeypatch.setattr(shards, "OVERFULL", 0.01)
+    monkeypatch.setattr(shards, "SAMPLES_PER_RANGE", 0.05)
+    rows = shards.by_bytes(docs).collect()
+    assert len(rows) == len(ROWS) and {(r.doc_id, r.text_crc32): r["size"] for r in rows} == want
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows))) for s in {r.shard for r in rows})
+
+
+def test_repeated_rows_share_their_copies(spark):
+    rows = [(1, "a b c", "x")] * 7 + [(2, "d e f", "x"), (3, "g h i " * 50, "y"), (4, "j k l " * 40, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {}
+    for r in mixing.query(docs).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    kept = {}
+    for r in mixing.keep(docs).collect():
+        kept[r.doc_id] = kept.get(r.doc_id, 0) + len(r.text.split())
+    assert kept == {i: n for i, n in taken.items() if n}
+
+
+def test_pipeline_over_odd_rows(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert rows and all(r.decoded_same for r in rows) and {r.doc_id for r in rows} <= {1, 3, 7, 11, None}
+    docs.where("false").select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_largest_doc_id_is_not_null(spark):
+    top = (1 << 63) - 1
+    docs = spark.createDataFrame([(top, "a b c\nd"), (None, "e f g"), (3, "h i j")], "doc_id long, text string")
+    for f in (passages.query, suffixes.query, lookup_sketch.query):
+        assert {r.doc_id for r in f(docs).collect()} == {top, None, 3}, f
