@@ -4,6 +4,9 @@ Anchors are hashes of ``GRAM`` words at the positions whose remainder by ``PERIO
 difference cover: for any two positions some shift below the period puts both on the cover, so
 two equal windows of 50 words share an aligned anchor wherever they begin. From the anchors the
 match is extended to whole windows (see ``repeats``).
+
+Null, empty and blank texts have no words and lose nothing; a very long text is one document;
+repeated rows, null ids, empty tables and clashing names are as in ``repeats``.
 """
 
 from __future__ import annotations
