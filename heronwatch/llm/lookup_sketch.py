@@ -134,16 +134,17 @@ def query(docs: DataFrame) -> DataFrame:
     sizes = {0: F.size("own") + F.size("edited"), 1: F.size("own") + F.size("next")}
     chars = rows.agg(F.sum("n_chars")).first()[0] or 0
     # A number of its own: sketches are many times the rows they are made of, which Spark's sizes do not show.
-    placed = rows.repartition(max(1, int(2 * chars // PARTITION_CHARS)), "rid")
+    by_rid = lambda df: df.repartition(max(1, int(2 * chars // PARTITION_CHARS)), "rid")
+    placed = by_rid(rows)  # what joins these rows is dealt out alike, so that they stay where they are
     base = placed.select("rid", "own", "edited", "next", *[F.lit(BASE_CELLS).cast("long").alias(f"cells{p}") for p in (0, 1)])
     tried = materialize(_tried(base, 0))
-    found = placed.select("rid", "own", "edited", "next").join(tried, "rid", "left")
+    found = placed.select("rid", "own", "edited", "next").join(by_rid(tried), "rid", "left")
     # A pair without a row has no cells left: nothing differs.
     found = found.select("rid", *[sizes[p].alias(f"size{p}") for p in (0, 1)], *[F.when(F.coalesce(f"failed{p}", F.lit(False)), F.lit(None)).otherwise(F.coalesce(f"d{p}", F.lit(0))).cast("long").alias(f"d{p}") for p in (0, 1)])
     found, rate, salt = materialize(found), SECOND, 1
     while found.where("d0 IS NULL OR d1 IS NULL").take(1):
         again = [F.when(F.col(f"d{p}").isNull(), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(16.0), F.col(f"size{p}") * F.lit(rate)))))).otherwise(0).cast("long").alias(f"cells{p}") for p in (0, 1)]
-        failed = placed.select("rid", "own", "edited", "next").join(found.where("d0 IS NULL OR d1 IS NULL").select("rid", *again), "rid")
+        failed = placed.select("rid", "own", "edited", "next").join(by_rid(found.where("d0 IS NULL OR d1 IS NULL").select("rid", *again)), "rid")
         retried = _tried(failed, salt).select("rid", *[F.col(f"d{p}").alias(f"r{p}") for p in (0, 1)], *[F.col(f"failed{p}").alias(f"f{p}") for p in (0, 1)])
         found = materialize(
             found.join(materialize(retried), "rid", "left").select(
@@ -157,7 +158,7 @@ def query(docs: DataFrame) -> DataFrame:
     parts = sketched(elements, ["rid", "v"], 0).select("rid", "v", F.struct("cell", "n", "key", "chk").alias("c"))
     shown = lambda v: F.concat_ws(".", F.transform(F.sort_array(F.collect_list(F.when(F.col("v") == v, F.col("c")))), lambda c: F.concat_ws(":", F.lower(F.hex(c["cell"])), F.lower(F.hex(c["n"])), F.lower(F.hex(c["key"])), F.lower(F.hex(c["chk"])))))
     prints = parts.groupBy("rid").agg(shown(0).alias("fingerprint"), shown(1).alias("edited_fingerprint"))
-    out = placed.select("rid", "doc_id", "copies", "n_chars", "edited_sha256").join(prints, "rid", "left").join(near, "rid", "left")
+    out = placed.select("rid", "doc_id", "copies", "n_chars", "edited_sha256").join(prints, "rid", "left").join(by_rid(near), "rid", "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
         F.col("near0").alias("near_edited"), F.col("near1").alias("near_next"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"),
