@@ -110,11 +110,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     ids = materialize(ranked(ids, ["none", "id", "hash"]))
     n, most = ids.agg(F.count("*"), F.max("copies")).first()
     after = ids.select(F.pmod(F.col("rank") - 1, F.lit(max(n, 1))).alias("rank"), F.col("id").alias("next_id"), F.col("hash").alias("next_hash"))
-    links = ids.join(after, "rank").select(F.col("rank").alias("rid"), "next_id", "next_hash", F.col("id").alias("cur_id"), F.col("hash").alias("cur_hash"), F.floor(F.col("n") / 2).cast("int").alias("half"), "copies")
-    own = base.withColumn("own", digests(F.col("text")))
+    links = ids.join(after, "rank").select(F.col("rank").alias("rid"), "next_id", "next_hash", F.col("id").alias("cur_id"), F.col("hash").alias("cur_hash"), F.floor(F.col("n") / 2).cast("int").alias("half"), "copies", "none")
+    own = base.drop("none").withColumn("own", digests(F.col("text")))  # both uses below share one exchange of these columns
     if (most or 0) > 1:
         own = own.dropDuplicates(["id", "hash"])
-    heads = own.join(links, (own["id"] == links["next_id"]) & (own["hash"] == links["next_hash"])).select("rid", "cur_id", "cur_hash", "half", "copies", F.expr("substring(text, 1, half)").alias("head"), F.col("own").alias("next"))
+    heads = own.join(links, (own["id"] == links["next_id"]) & (own["hash"] == links["next_hash"])).select("rid", "cur_id", "cur_hash", "half", "copies", "none", F.expr("substring(text, 1, half)").alias("head"), F.col("own").alias("next"))
     joined = own.join(heads, (own["id"] == heads["cur_id"]) & (own["hash"] == heads["cur_hash"]))
     edited = F.concat(F.expr("substring(text, 1, length(text) - half)"), F.col("head"))
     return joined.select(
