@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_quality
+from . import line_quality, vector_codes
 from .storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,10 @@ def op10_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_line_quality": op2_line_quality,
@@ -83,8 +87,10 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_sort": op9_suffix_sort,
     "op10_range_shards": op10_range_shards,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 SQL: dict[str, str] = {
     "op2_line_quality": line_quality.SQL,
+    "op11_vector_codes": vector_codes.SQL,
 }
