@@ -87,9 +87,11 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of each maximal run of bytes outside space and 0x09-0x0D."""
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each maximal run of bytes ``inside`` words: by default those other
+    than space and 0x09-0x0D."""
+    if inside is None:
+        inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]

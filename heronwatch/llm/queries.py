@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_quality, vector_codes
+from . import line_quality, phrases, vector_codes
 from .storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_son_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_line_quality": op2_line_quality,
@@ -88,9 +92,11 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_sort": op9_suffix_sort,
     "op10_range_shards": op10_range_shards,
     "op11_vector_codes": op11_vector_codes,
+    "op13_son_phrases": op13_son_phrases,
 }
 
 SQL: dict[str, str] = {
     "op2_line_quality": line_quality.SQL,
     "op11_vector_codes": vector_codes.SQL,
+    "op13_son_phrases": phrases.SQL,
 }
