@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_quality, phrases, vector_codes
+from . import jaccard, line_quality, phrases, vector_codes
 from .storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op13_son_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -92,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_sort": op9_suffix_sort,
     "op10_range_shards": op10_range_shards,
     "op11_vector_codes": op11_vector_codes,
+    "op12_prefix_join": op12_prefix_join,
     "op13_son_phrases": op13_son_phrases,
 }
 
