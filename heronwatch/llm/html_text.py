@@ -3,10 +3,12 @@
 A page is read once, into the pieces of text of its tree: each with the hashes of the block
 subtrees (``div``, ``section``, lists, tables, paragraphs, headings and the like) that hold it.
 A subtree is hashed by tag, text and children. One that stands on at least ``LEAST_PAGES`` pages
-of its host with different surroundings is template and goes with all it holds, whatever its
-share of the pages. The surroundings are the page's text less every subtree that recurs: copies
-of one page, or one article under rotating notices, are one. Hosts with fewer pages have no
-template. What a page's tags and roles mark as no part of an article goes, too: navigation,
+of its host with different surroundings is template, whatever its share of the pages. A template
+container (``div``, ``section``, a list or table of nothing but links and the like) goes with all
+it holds. Prose recurs, too (a license line, a one-word paragraph), so paragraphs, headings, lists
+and tables that recur go only at the beginning or end of a page without an article, and in an
+article never. The surroundings are the page's text less every subtree that recurs: copies of one
+page, or one article under rotating notices, are one. Hosts with fewer pages have no template. What a page's tags and roles mark as no part of an article goes, too: navigation,
 headers and footers of the site, sidebars, adverts, forms, scripts and styles. Names in classes
 mark notices and reader comments, which differ from page to page; they hold for elements with
 less than half of the page's text (comments: nine tenths), so no name costs a page its article.
@@ -57,6 +59,8 @@ CUT_NAMES = frozenset(
 COMMENT_NAMES = frozenset("comment comments disqus respond replies reply".split())
 #: Shares of the page's text from which on an element is not cut by such names; readers may write more than the author.
 MOST_NAMED, MOST_COMMENTS = 0.5, 0.9
+#: Blocks that go as a whole where they recur; other blocks are prose, unless all their text is links.
+BOXES = frozenset("div section aside nav header footer form fieldset details menu".split())
 #: An open element of the first kind ends where one of the second begins.
 BLOCKS = "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 HASHED = CONTAINERS.union(BLOCKS)
@@ -171,12 +175,14 @@ def cut_names(order: list[Node]) -> None:
         node.cut |= length[id(node)] < node.named * length[id(order[0])]
 
 
-def subtree_hashes(order: list[Node]) -> tuple[dict[int, int], dict[int, int]]:
+def subtree_hashes(order: list[Node]) -> tuple[dict[int, int], dict[int, int], set[int]]:
     """By the id of its node: the hash of every block's subtree that has text, and of the shown
-    text that a block (or the root) has outside of its inner blocks."""
+    text that a block (or the root) has outside of its inner blocks; and the nodes whose text, if
+    any, is in links."""
     root = order[0]
     found: dict[int, int] = {}
     own: dict[int, int] = {}
+    linked: set[int] = set()
     content: dict[int, str] = {}
     outside: dict[int, str] = {}
     for node in reversed(order):
@@ -184,6 +190,8 @@ def subtree_hashes(order: list[Node]) -> tuple[dict[int, int], dict[int, int]]:
         inner = "\x1f".join(p for p in parts if p)
         rest = [p if isinstance(c, str) else outside.pop(id(c)) for c, p in zip(node.children, parts, strict=True)]
         text = "" if node.cut else "\x1f".join(p for p in rest if p)
+        if node.tag == "a" or all(id(c) in linked if isinstance(c, Node) else not c.strip() for c in node.children):
+            linked.add(id(node))
         if node.tag in HASHED and inner or node is root:
             h = _hash(f"{node.tag}\x1e{inner}") if node is not root else 0
             if node is not root:
@@ -193,29 +201,31 @@ def subtree_hashes(order: list[Node]) -> tuple[dict[int, int], dict[int, int]]:
             inner, text = f"#{h}", ""
         content[id(node)] = f"<{node.tag}>{inner}" if inner else ""
         outside[id(node)] = text
-    return found, own
+    return found, own, linked
 
 
-def read(page: str) -> tuple[list[tuple[str, tuple[int, ...], bool]], dict[int, int], int]:
-    """What a page holds: its pieces of text in order, each with the subtrees that hold it and
-    whether it is in an ``article`` or ``main``; its distinct shown subtrees with the hash of the
-    text each has outside of inner ones; and the xor of all those texts."""
+def read(page: str) -> tuple[list[tuple[str, tuple[int, ...], tuple[int, ...], bool]], dict[int, int], int]:
+    """What a page holds: its pieces of text in order, each with the containers and the blocks of
+    prose that hold it and whether it is in an ``article`` or ``main``; its distinct shown subtrees
+    with the hash of the text each has outside of inner ones; and the xor of all those texts."""
     root = parse(page)
     order = _in_order(root)
     cut_names(order)
-    hashes, own = subtree_hashes(order)
-    out: list[tuple[str, tuple[int, ...], bool]] = []
+    hashes, own, linked = subtree_hashes(order)
+    out: list[tuple[str, tuple[int, ...], tuple[int, ...], bool]] = []
     parts: dict[int, int] = {}
     inner_parts: dict[int, int] = {}  # those in an article
+    prose_total, articles = 0, False  # texts of an article's prose
     held: list[str] = []
+    none: tuple[tuple[int, ...], tuple[int, ...]] = ((), ())
     # A node is met with the subtrees and the part of the page it lies in; None ends it.
-    stack: list[tuple[Node | str | None, tuple[int, ...], bool]] = [(root, (), False)]
+    stack: list[tuple[Node | str | None, tuple[tuple[int, ...], tuple[int, ...]], bool]] = [(root, none, False)]
 
-    def close(chain: tuple[int, ...], main: bool) -> None:
+    def close(chain: tuple[tuple[int, ...], tuple[int, ...]], main: bool) -> None:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            out.append((text, chain, main))
+            out.append((text, *chain, main))
 
     while stack:
         node, chain, main = stack.pop()
@@ -230,9 +240,18 @@ def read(page: str) -> tuple[list[tuple[str, tuple[int, ...], bool]], dict[int,
             block = hashes.get(id(node))
             if block is not None or inside != main:
                 close(chain, main)
-                inner = chain if block is None else (*chain, block)
+                inner = chain
                 if block is not None:
-                    (inner_parts if inside else parts)[block] = own.get(id(node), 0)
+                    box = node.tag in BOXES or id(node) in linked
+                    if box:
+                        inner = ((*chain[0], block), chain[1])
+                    elif not inside:
+                        inner = (chain[0], (*chain[1], block))
+                    if box or not inside:
+                        (inner_parts if inside else parts)[block] = own.get(id(node), 0)
+                    else:
+                        prose_total ^= own.get(id(node), 0)
+                        articles = True
                 stack.append((None, inner, inside))
                 stack.extend((c, inner, inside) for c in reversed(node.children))
             else:
@@ -240,10 +259,11 @@ def read(page: str) -> tuple[list[tuple[str, tuple[int, ...], bool]], dict[int,
                 stack += space
                 stack.extend((c, chain, main) for c in reversed(node.children))
                 stack += space
-    close((), False)
+    close(none, False)
     # Beside an article, other text is no part of the surroundings.
-    total = 0 if inner_parts else own.get(id(root), 0)
-    parts = dict.fromkeys(parts, 0) | inner_parts if inner_parts else parts
+    articles |= bool(inner_parts)
+    total = prose_total if articles else own.get(id(root), 0)
+    parts = dict.fromkeys(parts, 0) | inner_parts if articles else parts
     for x in parts.values():
         total ^= x
     return out, parts, total
@@ -258,7 +278,7 @@ def page_key() -> Column:
     return F.xxhash64("page_id", "html")
 
 
-PARSED = "page_id long, url string, host string, page long, total long, parts array<struct<hash: long, own: long>>, texts array<struct<text: string, within: array<long>, main: boolean>>"
+PARSED = "page_id long, url string, host string, page long, total long, parts array<struct<hash: long, own: long>>, texts array<struct<text: string, within: array<long>, prose: array<long>, main: boolean>>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -266,7 +286,9 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2):
-            hosts, totals, n_parts, hashes, own, n_texts, texts, mains, n_within, within = [], [], [0], [], [], [0], [], [], [0], []
+            hosts, totals, n_parts, hashes, own, n_texts, texts, mains = [], [], [0], [], [], [0], [], []
+            chains: tuple[list[int], list[int]] = [], []
+            ends: tuple[list[int], list[int]] = [0], [0]
             for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found, parts, total = read(page or "")
                 hosts.append(host_of(url))
@@ -274,19 +296,21 @@ def parsed(pages: DataFrame) -> DataFrame:
                 hashes += parts.keys()
                 own += parts.values()
                 n_parts.append(len(hashes))
-                for text, chain, main in found:
+                for text, within, prose, main in found:
                     texts.append(text)
                     mains.append(main)
-                    within += chain
-                    n_within.append(len(within))
+                    for held, end, chain in zip(chains, ends, (within, prose), strict=True):
+                        held += chain
+                        end.append(len(held))
                 n_texts.append(len(texts))
             longs = lambda x: pa.array(x, pa.int64())
             lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            within, prose = (lists(end, longs(held)) for end, held in zip(ends, chains, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(hosts, pa.string()), batch.column(3), longs(totals),
                     lists(n_parts, pa.StructArray.from_arrays([longs(hashes), longs(own)], ["hash", "own"])),
-                    lists(n_texts, pa.StructArray.from_arrays([pa.array(texts, pa.string()), lists(n_within, longs(within)), pa.array(mains, pa.bool_())], ["text", "within", "main"])),
+                    lists(n_texts, pa.StructArray.from_arrays([pa.array(texts, pa.string()), within, prose, pa.array(mains, pa.bool_())], ["text", "within", "prose", "main"])),
                 ],
                 names=["page_id", "url", "host", "page", "total", "parts", "texts"],
             )
@@ -311,9 +335,21 @@ def templates(rows: DataFrame, least_pages: int = LEAST_PAGES) -> tuple[DataFram
 
 
 def text_of(texts: Column, template: Column) -> Column:
-    """The pieces outside of template subtrees, those in an article if there are any."""
+    """The pieces outside of template containers: those in an article if there are any, else all
+    from the first to the last that is no template prose."""
+
+    def bound(f):  # once for the value of an expression, not wherever it is named
+        return lambda x: F.transform(F.array(x), f)[0]
+
     left = F.when(template.isNull(), texts).otherwise(F.filter(texts, lambda x: ~F.arrays_overlap(x["within"], template)))
-    kept = F.transform(F.array(left), lambda x: F.when(F.exists(x, lambda y: y["main"]), F.filter(x, lambda y: y["main"])).otherwise(x))[0]
+
+    def trimmed(x: Column) -> Column:
+        own = F.transform(x, lambda y: ~F.coalesce(F.arrays_overlap(y["prose"], template), F.lit(False)))
+        ends = bound(lambda o: F.struct(F.array_position(o, True).alias("first"), F.array_position(F.reverse(o), True).alias("last")))(own)
+        inner = lambda e: F.when(e["first"] == 0, F.slice(x, 1, 0)).otherwise(F.slice(x, e["first"].cast("int"), (F.size(x) - e["first"] - e["last"] + 2).cast("int")))
+        return bound(inner)(ends)
+
+    kept = bound(lambda x: F.when(F.exists(x, lambda y: y["main"]), F.filter(x, lambda y: y["main"])).when(template.isNull(), x).otherwise(trimmed(x)))(left)
     return F.array_join(F.transform(kept, lambda x: x["text"]), " ")
 
 

@@ -131,15 +131,39 @@ def test_op8(spark, small, texts):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
-def test_op3(spark, small):
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.1"])
+def test_op3(spark, small, folder):
     import html
 
-    pages = dict(duckdb.sql(f"SELECT page_id, html FROM '{small}/pages.parquet'").fetchall())
-    for r in queries.op3_site_templates(spark, small).collect():
+    folder = small.replace("sf0.001", folder)
+    pages = dict(duckdb.sql(f"SELECT page_id, html FROM '{folder}/pages.parquet'").fetchall())
+    got = queries.op3_site_templates(spark, folder).collect()
+    assert len(got) == len(pages)
+    for r in got:
         inside = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
         assert r.text == " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|br|h1|ul|li)\b[^>]*>", " ", inside))).split())
 
 
+def test_op3_by_templates(spark):
+    """Boxes and menus on a fifth of a host's pages go, in an article as well; prose that recurs stays within."""
+    from heronwatch.llm import html_text
+
+    box, menu, line = "<div>Join <b>our</b> club</div>", "<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul>", "<p>Les.</p>"
+    rows, want = [], {}
+    for i in range(60):
+        one, two, some = f"<p>own a{i}</p>", f"<p>own b{i}</p>", i % 5 == 0
+        if i % 2:
+            page, keep = f"<body>{menu * some}<article>{line}{one}{box * some}{menu * some}{line}{two}{line}</article>{box}</body>", f"Les. own a{i} Les. own b{i} Les."
+        else:
+            page, keep = f"<body>{menu * some}{line}{one}{box * some}{line}{two}{line}</body>", f"own a{i} Les. own b{i}"
+        rows.append((i, "http://x.org/" + str(i), page))
+        want[i] = keep
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == want
+    off = {r.page_id: r.text for r in html_text.extract(pages, least_pages=1_000).collect()}
+    assert all(off[i] != want[i] for i in range(0, 60, 2)) and "club" in off[5]
+
+
 def test_op4_learns_from_both_sides(spark):
     from heronwatch.llm import masked_lm
 
