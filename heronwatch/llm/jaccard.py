@@ -8,8 +8,9 @@ share one are compared. A pair is a candidate where it passes, at some shared n-
 
 * the length filter: the smaller size is ``percent`` of the larger at least;
 * the positional filter: the n-grams left after the shared one, with it, still make the overlap;
-* the suffix filter: parted by hash into ``CELLS`` cells, the n-grams left differ in number by no
-  more than the overlap allows.
+* the suffix filter: parted by hash into cells, the sets differ in number by no more than the
+  overlap allows (those before the shared n-gram count as different). A few cells go with every
+  row of a list; ``CELLS`` of them are looked at once for each pair.
 
 At the first n-gram that a pair shares all three hold if it is similar, so none is lost. Candidates
 are confirmed once, on full sets.
@@ -35,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import pieces, released
+from .bits import Filter, kept
 from .components import components
 from .hashing import U, chunks, mix, text_buffers
 from .minhash import confirmed, shingle_sets
@@ -42,23 +44,26 @@ from .storage import materialize
 
 #: Counters of n-grams, by hash: a byte for each goes to every task.
 COUNTER_BITS, CHUNK_BITS = 23, 16
-#: Cells of the suffix filter: a byte each, eight to a long.
-CELLS = 16
+#: Cells of the suffix filter, a byte each: all of a set's, and those (eight to a long) in a row of a list.
+CELLS, FEW = 256, 16
 #: Sets of a list that are compared with each other in one place.
 BLOCK = 1_000
-#: Shared n-grams that are sent to every task; more are joined by a shuffle.
-MOST_SENT = 500_000
 
 
 def _counted(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash of the set (s1, s2); and, where chunk is not null, the
-    counters of a task, in chunks."""
+    """doc_id, n_shingles, a 128-bit hash of the set (s1, s2), its cells (few in c1 and c2); and,
+    where chunk is not null, the counters of a task, in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << COUNTER_BITS, np.uint16)
 
-        def rows(doc: pa.Array, n: np.ndarray, s1: np.ndarray, s2: np.ndarray, chunk: pa.Array, counters: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([doc, pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), chunk, counters], names=["doc_id", "n_shingles", "s1", "s2", "chunk", "counters"])
+        def rows(doc: pa.Array, n: np.ndarray, s1: np.ndarray, s2: np.ndarray, cells: np.ndarray, chunk: pa.Array, counters: pa.Array) -> pa.RecordBatch:
+            few = np.minimum(cells.reshape(len(cells), FEW, CELLS // FEW).sum(axis=2), 255).astype(np.uint8).view(np.int64)
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CELLS), len(cells), [None, pa.py_buffer(np.minimum(cells, 255).astype(np.uint8).tobytes())])
+            return pa.RecordBatch.from_arrays(
+                [doc, pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(few[:, 0]), pa.array(few[:, 1]), packed.cast(pa.binary()), chunk, counters],
+                names=["doc_id", "n_shingles", "s1", "s2", "c1", "c2", "cells", "chunk", "counters"],
+            )
 
         for batch in pieces(batches, 1):
             data, offsets = text_buffers(batch.column(1))
@@ -73,15 +78,16 @@ def _counted(docs: DataFrame, words: int) -> DataFrame:
                     starts = np.concatenate([[0], np.cumsum(count)])[filled]
                     s1[filled] = mix(np.add.reduceat(sh, starts) + count[filled].astype(np.uint64))
                     s2[filled] = mix(np.add.reduceat(mix(sh ^ U(0xABCDEF)), starts))
-                yield rows(batch.column(0)[a:b], count.astype(np.int64), s1, s2, pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary()))
+                cells = np.bincount(row * CELLS + ((sh >> U(8)) & U(CELLS - 1)).astype(np.int64), minlength=(b - a) * CELLS).reshape(-1, CELLS)
+                yield rows(batch.column(0)[a:b], count.astype(np.int64), s1, s2, cells, pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary()))
         parts = seen.reshape(-1, 1 << CHUNK_BITS)
         full = np.flatnonzero(parts.any(axis=1))
         none = np.zeros(len(full), np.uint64)
-        yield rows(pa.nulls(len(full), pa.int64()), none.view(np.int64), none, none, pa.array(full, pa.int32()), pa.array([zlib.compress(parts[c].tobytes(), 1) for c in full], pa.binary()))
+        yield rows(pa.nulls(len(full), pa.int64()), none.view(np.int64), none, none, np.zeros((len(full), CELLS), np.int64), pa.array(full, pa.int32()), pa.array([zlib.compress(parts[c].tobytes(), 1) for c in full], pa.binary()))
         released()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, chunk int, counters binary")
+    return source.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, c1 long, c2 long, cells binary, chunk int, counters binary")
 
 
 def _levels(counters: DataFrame) -> np.ndarray:
@@ -104,8 +110,8 @@ def _levels(counters: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """shingle, s1, s2, size, pos, c1, c2: the first n-grams of every set, rarest first, with the
-    cells of those after each. Equal sets of a batch come once."""
+    """shingle, s1, s2, size, pos: the first n-grams of every set, rarest first. Equal sets of a
+    batch come once."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,42 +136,33 @@ def _prefixes(docs: DataFrame, words: int, percent: int, levels: np.ndarray) ->
                 pos = np.arange(len(sh)) - starts[row]
                 size = count[row]
                 head = (pos < size - (percent * size + 99) // 100 + 1) & once[row]
-                cell = ((sh >> U(20)) & U(CELLS - 1)).astype(np.int64)
-                left = np.bincount(row * CELLS + cell, minlength=(b - a) * CELLS).reshape(-1, CELLS)[row[head]]
-                mine = np.zeros((head.sum(), CELLS), np.int64)
-                mine[np.arange(len(mine)), cell[head]] = 1
-                before = np.cumsum(mine, axis=0)
-                first = np.flatnonzero(pos[head] == 0)
-                base = np.repeat(before[first] - mine[first], np.diff(np.append(first, len(mine))), axis=0)
-                cells = np.minimum(left - (before - base), 255).astype(np.uint8).view(np.int64)
                 set_at = np.searchsorted(filled, row[head])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sh[head].view(np.int64)), pa.array(s1[set_at].view(np.int64)), pa.array(s2[set_at].view(np.int64)), pa.array(size[head].astype(np.int32)), pa.array(pos[head].astype(np.int32)), pa.array(cells[:, 0]), pa.array(cells[:, 1])],
-                    names=["shingle", "s1", "s2", "size", "pos", "c1", "c2"],
+                    [pa.array(sh[head].view(np.int64)), pa.array(s1[set_at].view(np.int64)), pa.array(s2[set_at].view(np.int64)), pa.array(size[head].astype(np.int32)), pa.array(pos[head].astype(np.int32))],
+                    names=["shingle", "s1", "s2", "size", "pos"],
                 )
         released()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "shingle long, s1 long, s2 long, size int, pos int, c1 long, c2 long")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "shingle long, s1 long, s2 long, size int, pos int")
 
 
 def lists(docs: DataFrame, sets: DataFrame, words: int, percent: int, levels: np.ndarray) -> DataFrame:
     """shingle, node, size, pos, c1, c2: the sets that share an n-gram of their prefixes."""
     rows = materialize(_prefixes(docs.where("doc_id IS NOT NULL"), words, percent, levels))
-    ends = [f(c).alias(f"{n}{c}") for c in ("s1", "s2") for n, f in (("low", F.min), ("high", F.max))]
-    shared = materialize(rows.groupBy("shingle").agg(*ends).where("lows1 <> highs1 OR lows2 <> highs2").select("shingle"))
-    small = shared.limit(MOST_SENT + 1).count() <= MOST_SENT
-    rows = rows.join(F.broadcast(shared) if small else shared.hint("merge"), "shingle", "left_semi")
-    return materialize(rows.dropDuplicates(["shingle", "s1", "s2"]).join(sets.select("s1", "s2", "node"), ["s1", "s2"]).select("shingle", "node", "size", "pos", "c1", "c2"))
+    shared = materialize(rows.groupBy("shingle").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("shingle"))
+    # Most n-grams of most prefixes are in one set only: few rows are left to exchange.
+    rows = kept(rows, "shingle", Filter.of(shared)).hint("merge").join(shared, "shingle", "left_semi")
+    return materialize(rows.dropDuplicates(["shingle", "s1", "s2"]).join(sets, ["s1", "s2"]).select("shingle", "node", "size", "pos", "c1", "c2"))
 
 
 def _passes(x: str, y: str, percent: int) -> Column:
     """The three filters, for the rows with columns of prefix ``x`` and ``y``."""
     size, other, pos, at = (F.col(f"{p}{c}") for c in ("size", "pos") for p in (x, y))
     need = F.ceil(F.lit(percent) * (size + other) / F.lit(100 + percent))
-    left, right = size - pos - 1, other - at - 1
+    left, right = size - pos, other - at
     byte = lambda p, c, k: F.shiftright(F.col(f"{p}{c}"), 8 * k).bitwiseAND(F.lit(255))
     apart = sum((F.abs(byte(x, c, k) - byte(y, c, k)) for c in ("c1", "c2") for k in range(8)), F.lit(0))
-    return (100 * F.least(size, other) >= percent * F.greatest(size, other)) & (F.least(left, right) + 1 >= need) & (apart <= left + right - 2 * (need - 1))
+    return (100 * F.least(size, other) >= percent * F.greatest(size, other)) & (F.least(left, right) >= need) & (apart <= size + other - 2 * need)
 
 
 def _starred(rows: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -179,6 +176,15 @@ def _starred(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     return met.select(F.least("node", "hnode").alias("a"), F.greatest("node", "hnode").alias("b")).distinct()
 
 
+def _apart(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """By how many n-grams sets differ at least: the differences of their cells added up."""
+    out = np.zeros(len(i), np.int64)
+    for a in range(0, len(i), 4096):
+        b = slice(a, a + 4096)
+        out[b] = np.abs(x[i[b]].astype(np.int16) - y[j[b]]).sum(axis=1)
+    return out
+
+
 def _near(key: np.ndarray, block: np.ndarray, columns: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one key, in different components (and blocks, where the key has two), that
     pass the filters; rows of a key are next to each other."""
@@ -191,10 +197,9 @@ def _near(key: np.ndarray, block: np.ndarray, columns: dict[str, np.ndarray], pe
         ok = (component[i] != component[j]) & (~two | (block[i] != block[j])) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
         i, j = i[ok], j[ok]
         need = -(-percent * (size[i] + size[j]) // (100 + percent))
-        left, right = size[i] - pos[i] - 1, size[j] - pos[j] - 1
-        ok = np.minimum(left, right) + 1 >= need
-        i, j, most = i[ok], j[ok], (left + right - 2 * (need - 1))[ok]
-        ok = np.abs(cells[i] - cells[j]).sum(axis=1) <= most
+        ok = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need
+        i, j, most = i[ok], j[ok], (size[i] + size[j] - 2 * need)[ok]
+        ok = _apart(cells, i, cells, j) <= most
         found.append((i[ok], j[ok]))
         k += 1
     if not found:
@@ -202,22 +207,42 @@ def _near(key: np.ndarray, block: np.ndarray, columns: dict[str, np.ndarray], pe
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _blocked(rows: DataFrame, percent: int) -> DataFrame:
+def _unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
+
+
+def _fitting(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` that pass the suffix filter on all cells."""
+    side = lambda c: cells.select(F.col("node").alias(c), F.col("cells").alias(f"cells_{c}"), F.col("size").alias(f"size_{c}"))
+    both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").select("a", "b", "size_a", "size_b", "cells_a", "cells_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = sum(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
+            every = np.arange(batch.num_rows)
+            apart = _apart(_unpacked(batch.column(4)), every, _unpacked(batch.column(5)), every)
+            yield batch.select([0, 1]).filter(pa.array(apart <= size - 2 * -(-percent * size // (100 + percent))))
+        released()
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _blocked(rows: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of a list in different components that pass the filters. A long list is
-    cut into blocks, and every two of them meet in one place."""
+    cut into blocks, and every two of them meet in one place. ``cells`` has those of each node."""
     several = materialize(rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle", "n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = rows.hint("merge").join(several, "shingle").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("shingle", "node", "component", "size", "pos", "c1", "c2", "block", meets)
+    dealt = dealt.hint("merge").join(cells, "node").select("shingle", "node", "component", "size", "pos", "cells", "block", meets)
     key = ["shingle", "i", "j"]
-    dealt = dealt.select("shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "size", "pos", "c1", "c2", "block")
+    dealt = dealt.select("shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "size", "pos", "block", "cells")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(t: pa.Table) -> pa.RecordBatch:
-            own = {c: t.column(c).to_numpy().astype(np.int64) for c in t.column_names}
+            own = {c: t.column(c).to_numpy().astype(np.int64) for c in t.column_names if c != "cells"}
             keys = np.stack([own[c] for c in key], axis=1)
-            own["cells"] = np.stack([own["c1"], own["c2"]], axis=1).view(np.uint8).reshape(-1, CELLS).astype(np.int16)
+            own["cells"] = _unpacked(t.column("cells"))
             i, j = _near(keys, own["block"], own, percent)
             x, y = own["node"][i], own["node"][j]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -249,14 +274,18 @@ class _Sets:
             raise ValueError("percent must be 1 to 100, words 1 or more")
         self.words, self.percent = words, percent
         counted = materialize(_counted(docs, words))
-        self.rows = counted.where("chunk IS NULL").drop("chunk", "counters")
-        self.filled = self.rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-        self.sets = self.filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
+        self.rows = counted.where("chunk IS NULL")
+        filled = self.rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        same = [F.min(c).alias(c) for c in ("c1", "c2")]
+        self.sets = materialize(filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), *same))
         levels = _levels(counted.where("chunk IS NOT NULL").select("chunk", "counters"))
         self.lists = lists(docs, self.sets, words, percent, levels)
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        ends = self.lists.select(F.col("node").alias("doc_id")).distinct()
-        self.texts = materialize(texts.join(ends.hint("merge"), "doc_id", "left_semi"))
+        ends = materialize(self.lists.select("node").distinct())
+        known = Filter.of(ends)
+        own = filled.join(self.sets.select("node", "s1", "s2"), ["s1", "s2"]).where("doc_id = node").select("node", F.col("n_shingles").alias("size"), "cells")
+        self.cells = materialize(kept(own, "node", known).dropDuplicates(["node"]))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+        self.texts = materialize(kept(texts, "doc_id", known).join(ends.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi"))
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         return materialize(confirmed(pairs, self.texts, self.words, self.percent))
@@ -267,11 +296,22 @@ class _Sets:
             return self.lists.withColumn("component", F.col("node"))
         return self.lists.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
+    def of_documents(self) -> DataFrame:
+        """doc_id, node of every document with a set. Both sides are written, so that the rows of a
+        set that very many documents have can be split."""
+        return self.rows.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "s1", "s2").hint("merge").join(self.sets.select("s1", "s2", "node"), ["s1", "s2"]).select("doc_id", "node")
+
+    def repeated(self) -> DataFrame:
+        """(a, b): sets of one doc_id that rows with different texts share."""
+        own = materialize(self.of_documents())
+        several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
+        return own.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
 
 def links(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(a, b): all linked pairs of different sets, by the smallest doc_id of each, a < b."""
     own = _Sets(docs, words, percent)
-    return own.confirmed(_blocked(own.of(None), percent))
+    return own.confirmed(_blocked(own.of(None), own.cells.select("node", "cells"), percent))
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -280,15 +320,14 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     parts, tried = None, None
     for step in range(3):
         rows = materialize(own.of(parts))
-        pairs = _starred(rows, percent, step) if step < 2 else _blocked(rows, percent)
+        pairs = _fitting(_starred(rows, percent, step), own.cells, percent) if step < 2 else _blocked(rows, own.cells.select("node", "cells"), percent)
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = own.confirmed(pairs)
         if parts is not None:  # components stand for their links
             found = found.unionByName(parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-        parts = materialize(components(found))
-    linked = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    same = own.filled.join(own.sets, ["s1", "s2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    final = components(linked.unionByName(same.distinct()))
-    out = own.rows.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        parts = materialize(components(found if step < 2 else found.unionByName(own.repeated())))
+    documents = own.of_documents().distinct().hint("merge").join(parts, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component"))
+    # A repeated doc_id with other texts has one component, the smallest of its sets and their links.
+    out = own.rows.select("doc_id", "n_shingles").join(documents, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

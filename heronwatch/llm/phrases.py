@@ -27,14 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import pieces, released
+from .bits import Filter
 from .hashing import BYTE_VALUES, MULT, U, chunks, lower_ascii, mix, prefix, ranges, text_buffers, word_bounds, word_hashes
 from .storage import materialize
 
 LEAST, LONGEST, TOP, INSIDE_PERCENT = 30, 4, 2_000, 80
 #: Shards: few, so that a shard's support stays above one; a power of two of them fits in a key.
 SHARDS, SHARD_BITS, LEVEL_BITS = 10, 4, 3
-#: Two bits of this many are set for each locally frequent phrase: 8 MB for every task.
-FILTER_BITS, CHUNK_BITS = 26, 20
 #: Hashes that a task adds up at a time.
 HELD = 4_000_000
 #: Bytes: in a word, between words, between pieces.
@@ -68,25 +67,6 @@ class Words:
             yield k, mix(hashed + U(k)), whole
 
 
-class Filter:
-    """A set of hashes in a fixed number of bits: may hold more, never fewer."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
-
-    @staticmethod
-    def places(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        top = hashed >> U(SHARD_BITS + LEVEL_BITS)
-        return top & U((1 << FILTER_BITS) - 1), (top >> U(FILTER_BITS)) & U((1 << FILTER_BITS) - 1)
-
-    def has(self, hashed: np.ndarray) -> np.ndarray:
-        a, b = self.places(hashed)
-        return ((self.bits[a >> U(3)] >> (a & U(7)).astype(np.uint8)) & (self.bits[b >> U(3)] >> (b & U(7)).astype(np.uint8)) & 1).astype(bool)
-
-    def __or__(self, other: Filter) -> Filter:
-        return Filter(self.bits | other.bits)
-
-
 def _source(docs: DataFrame, shards: int) -> DataFrame:
     shard = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(shards)).cast("int")
     return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), shard.alias("shard"))
@@ -106,7 +86,7 @@ def _passing(words: Words, longest: int, known: Filter | None, filtered: int) ->
         if known is not None and (1 < k <= filtered or filtered == longest):
             at = np.flatnonzero(ok)
             ok = np.zeros(len(ok), bool)
-            ok[at] = known.has(hashed[at])
+            ok[at] = known.has(hashed[at] >> U(SHARD_BITS + LEVEL_BITS))
         yield k, hashed, ok
         before = ok
 
@@ -148,28 +128,7 @@ def _mined(source: DataFrame, levels: range, known: Filter | None, supports: lis
 
 
 def _filter(keys: DataFrame) -> Filter:
-    """The filter of the phrases of ``keys``; each chunk of its bits is made in one place."""
-    top = F.shiftrightunsigned("key", SHARD_BITS + LEVEL_BITS)
-    size = (1 << FILTER_BITS) - 1
-    place = F.explode(F.array(top.bitwiseAND(size), F.shiftrightunsigned(top, FILTER_BITS).bitwiseAND(size)))
-    bits = keys.select(place.alias("place")).withColumn("chunk", F.shiftright("place", CHUNK_BITS).cast("int"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            place, chunk = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            for c in np.unique(chunk):
-                own = found.setdefault(int(c), np.zeros(1 << CHUNK_BITS, bool))
-                own[place[chunk == c] & ((1 << CHUNK_BITS) - 1)] = True
-        packed = [np.packbits(v, bitorder="little").tobytes() for v in found.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "bits"])
-        released()
-
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    width = 1 << (CHUNK_BITS - 3)
-    for r in bits.repartition("chunk").mapInArrow(run, "chunk int, bits binary").toLocalIterator():  # of a fixed size
-        out[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(r.bits, np.uint8)
-    return Filter(out)
+    return Filter.of(keys.select(F.shiftrightunsigned("key", SHARD_BITS + LEVEL_BITS)))
 
 
 def _counted(source: DataFrame, longest: int, known: Filter) -> DataFrame:

@@ -37,8 +37,8 @@ PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 #: Labels whose totals are sent to every task; more are joined by a shuffle.
 MOST_LABELS = 100_000
 LARGEST = (1 << 63) - 1
-#: Sums travel as limbs of LIMB bits, the last one with the sign.
-LIMB, LIMBS = 40, 5
+#: Sums travel as limbs of LIMB bits with the sign of the sum; as many as the largest double could need.
+LIMB, LIMBS = 40, 32
 SCHEMA = "vec_id long, code string, error long, label_error long, codebooks_sha256 string"
 
 
@@ -131,11 +131,12 @@ def _totals(rows: DataFrame, books: list[list[list[int]]], width: int, scale: in
         keys, slots, limbs = [], [], []
         for (p, e), values in found.items():
             for i, v in enumerate(values):
-                for j in range(LIMBS):
+                left, slot = abs(v), i * LIMBS
+                while left:
                     keys.append(p * ENTRIES + e)
-                    slots.append(i * LIMBS + j)
-                    limbs.append(v & ((1 << LIMB) - 1) if j < LIMBS - 1 else v)
-                    v >>= LIMB
+                    slots.append(slot)
+                    limbs.append((left & ((1 << LIMB) - 1)) * (1 if v > 0 else -1))
+                    left, slot = left >> LIMB, slot + 1
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(slots, pa.int32()), pa.array(limbs, pa.int64())], names=["key", "slot", "limb"])
         released()
 
