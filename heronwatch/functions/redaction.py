@@ -1,13 +1,11 @@
-"""Personal data out of free text: patterns as columns, names by a broadcast dictionary."""
+"""Personal data out of free text: patterns as columns, names by a join with a dictionary."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..sources.tables import staged
 
 #: The patterns of what is masked, in this order.
 ID = "\\bP\\d{5}\\b"
@@ -18,8 +16,10 @@ PARTICLES = ["da", "das", "de", "del", "do", "dos", "e", "la", "las", "los", "ma
 TITLES = ["don", "dr", "ing", "lic", "md", "phd", "sr", "sra", "srta", "ii", "iii", "iv", "jr"]
 NOT_NAMES = [*PARTICLES, *TITLES]
 MOST_OF_ALL = 0.20
-#: Names that a worker may hold, at most: some 100 MB.
-MOST_NAMES = 1_000_000
+#: Names that are sent to every task; a larger dictionary is joined by a shuffle.
+MOST_SENT = 100_000
+#: A text is words and what is between them, in turn.
+TOKENS = "(?U)\\w+|\\W+"
 
 
 def masked_patterns(text: Column, clients: list[str] = ()) -> Column:
@@ -41,51 +41,62 @@ def content_hash(text: Column) -> Column:
 
 
 def name_dictionary(directory: DataFrame, name: str = "name") -> DataFrame:
-    """Full names and their capitalised parts of three letters or more, particles left out."""
-    full = F.btrim(F.col(name))
+    """Full names and their capitalised parts of three letters or more, particles left out; names
+    begin and end with a letter or digit."""
+    full = F.regexp_replace(F.col(name), "(?U)^\\W+|\\W+$", "")
     parts = F.filter(F.split(full, "\\s+"), lambda t: (F.length(t) >= 3) & t.rlike("^\\p{Lu}") & ~F.lower(F.regexp_replace(t, "[.,]", "")).isin(NOT_NAMES))
+    parts = F.transform(parts, lambda t: F.regexp_replace(t, "(?U)^\\W+|\\W+$", ""))
     return directory.select(F.explode(F.array_union(F.array(full), parts)).alias("name")).where("length(name) >= 3").distinct()
 
 
-def masked_names(notes: DataFrame, names: list[str], text: str = "text") -> DataFrame:
-    """``notes`` with names masked ``[PERSON_n]``, numbered by first appearance in the note, and
-    ``matches``, the names found. The longest name that begins at a word wins; a name is looked
-    up by its first word, so the cost of a note does not grow with the dictionary.
+def name_matches(texts: DataFrame, names: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
+    """_key, found: where names stand in ``texts`` (_key, _tokens), as (i, k, name) from token i on
+    over k tokens, in order; of those that begin alike the longest comes first.
 
-    ``names`` is held by every worker, so there may be ``MOST_NAMES`` of them; a larger directory
-    is split by its areas and each area's notes are masked with its own names.
+    Texts are exploded to runs of as many tokens as names have, which meet the names by equality.
+    """
+    known = names.select(F.col("name").alias("_name")).where("_name IS NOT NULL AND _name <> ''").distinct()
+    sizes = sorted(r.k for r in known.select(F.size(F.regexp_extract_all("_name", F.lit(TOKENS), 0)).alias("k")).distinct().collect())  # lengths of names in words
+    if not sizes:
+        return texts.sparkSession.createDataFrame([], "_key binary, _found array<struct<i: int, less: int, k: int, name: string>>")
+    words = texts.select("_key", "_tokens", F.posexplode("_tokens").alias("_i", "_word")).where(F.col("_word").rlike("(?U)^\\w"))
+    run = lambda k: F.array_join(F.slice("_tokens", F.col("_i") + 1, k), "")
+    runs = words.select("_key", "_i", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), run(k).alias("name")) for k in sizes])).alias("x"))
+    runs = runs.select("_key", "_i", "x.k", F.col("x.name").alias("_name"))
+    small = known.limit(most_sent + 1).count() <= most_sent
+    met = runs.join(F.broadcast(known) if small else known.hint("merge"), "_name")
+    at = F.struct((F.col("_i") + 1).alias("i"), (-F.col("k")).alias("less"), "k", F.col("_name").alias("name"))
+    return met.groupBy("_key").agg(F.sort_array(F.collect_list(at)).alias("_found"))  # no more than the words of one text
+
+
+def _folded(tokens: Column, found: Column) -> Column:
+    """The text with its names masked, leftmost first, and the names in order of appearance."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        seen = F.when(F.array_contains(acc["seen"], x["name"]), acc["seen"]).otherwise(F.array_append(acc["seen"], x["name"]))
+        before = F.array_join(F.slice(tokens, acc["at"], x["i"] - acc["at"]), "")
+        mask = F.concat(F.lit("[PERSON_"), F.array_position(seen, x["name"]).cast("string"), F.lit("]"))
+        taken = F.struct((x["i"] + x["k"]).alias("at"), seen.alias("seen"), F.concat(acc["out"], F.array(before, mask)).alias("out"))
+        return F.when(x["i"] >= acc["at"], taken).otherwise(acc)
+
+    rest = lambda acc: F.array_join(F.slice(tokens, acc["at"], F.greatest(F.size(tokens) - acc["at"] + 1, F.lit(0))), "")
+    return F.aggregate(found, start, step, lambda acc: F.struct(F.concat(F.array_join(acc["out"], ""), rest(acc)).alias("text"), acc["seen"].alias("matches")))
+
+
+def masked_names(notes: DataFrame, names: DataFrame, text: str = "text", most_sent: int = MOST_SENT) -> DataFrame:
+    """``notes`` with names masked ``[PERSON_n]``, numbered by first appearance in the note, and
+    ``matches``, the names found. The leftmost name wins, of those that begin alike the longest;
+    a name begins and ends at a word's edge. ``names`` is a table with a column name, of any size.
+    Equal texts are worked on once; a null text stays null and has no names.
     """
-    import re
-
-    if len(names) > MOST_NAMES:
-        raise ValueError(f"{len(names)} names are more than a worker may hold; mask area by area")
-
-    first: dict[str, list[str]] = {}
-    for n in sorted(set(names), key=lambda n: (-len(n), n)):
-        first.setdefault(re.match(r"\w+", n)[0] if re.match(r"\w+", n) else n, []).append(n)
-    schema = T.StructType([*notes.drop("matches").schema.fields, T.StructField("matches", T.ArrayType(T.StringType()))])
-
-    def one(t: str | None) -> tuple[str | None, list[str]]:
-        if t is None:
-            return None, []
-        out, seen, at = [], {}, 0
-        for m in re.finditer(r"\w+", t):
-            if m.start() < at or m[0] not in first:
-                continue
-            for n in first[m[0]]:
-                end = m.start() + len(n)
-                if t.startswith(n, m.start()) and (end == len(t) or not (t[end].isalnum() or t[end] == "_")):
-                    out += [t[at : m.start()], f"[PERSON_{seen.setdefault(n, len(seen) + 1)}]"]
-                    at = end
-                    break
-        return "".join([*out, t[at:]]), list(seen)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            done = [one(t if isinstance(t, str) else None) for t in batch[text]]
-            yield batch.assign(**{text: [d[0] for d in done], "matches": [d[1] for d in done]})
-
-    return notes.drop("matches").mapInPandas(run, schema)
+    keyed = notes.drop("matches").withColumn("_key", F.unhex(F.sha2(F.col(text), 256)))
+    texts = keyed.where(F.col(text).isNotNull()).select("_key", F.col(text).alias("_text")).dropDuplicates(["_key"])
+    texts = staged(texts.select("_key", F.regexp_extract_all("_text", F.lit(TOKENS), 0).alias("_tokens")))
+    done = texts.join(name_matches(texts, names, most_sent), "_key").select("_key", _folded(F.col("_tokens"), F.col("_found")).alias("_done"))
+    out = keyed.join(done, "_key", "left")
+    matches = F.coalesce("_done.matches", F.array().cast("array<string>"))
+    return out.select(*[F.coalesce("_done.text", F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in notes.drop("matches").columns], matches.alias("matches"))
 
 
 def stop_if_one_name_rules(masked: DataFrame, most: float = MOST_OF_ALL) -> None:

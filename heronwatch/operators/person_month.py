@@ -60,7 +60,7 @@ def with_metrics(rows: DataFrame, metrics: DataFrame) -> DataFrame:
     """Monthly metrics with 3-month averages, the averages before those, and the deltas."""
     out = rows.join(metrics, ["person_id", "idx"], "left")
     now, before = _last_rows(3), _last_rows(3, 3)
-    trend = lambda c: F.round(F.avg(c).over(now) - F.avg(c).over(before), 6)
+    trend = lambda c: F.round(F.avg(c).over(now) - F.avg(c).over(before), 6) + F.lit(0.0)  # noqa: E731  (no nought below nought)
     return out.withColumns({
         "prod_avg_3m": F.round(F.avg("productivity").over(now), 6),
         "prod_avg_3m_before": F.round(F.avg("productivity").over(before), 6),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import NULL_TOKENS, OF_BARE, bare
@@ -114,6 +116,59 @@ def stop_if_bad(rows: DataFrame, contract: Contract, most: float = MOST_REJECTED
         raise ContractError(f"{contract.name}: {bad} of {n} rows rejected; " + ", ".join(f"{r[0]} ({r[1]})" for r in top))
 
 
+@dataclass(frozen=True)
+class Landed:
+    """A source after its one pass: its two tables, and what was counted on the way."""
+
+    source: str
+    clean: DataFrame
+    quarantine: DataFrame
+    counts: dict[tuple[str, str, str], int]  # (kind, column, detail): rows
+
+    def report(self) -> DataFrame:
+        """source, kind, column, detail, rows of all counts that are not 0, and of the totals."""
+        rows = [(self.source, *k, n) for k, n in self.counts.items() if n or k[0] in ("rows_in", "rejected")]
+        return self.clean.sparkSession.createDataFrame(rows, "source string, kind string, column string, detail string, rows long")
+
+
+def _watched(contract: Contract) -> tuple[dict[tuple[str, str, str], Column], dict[tuple[str, str, str], Column]]:
+    """What is counted of the cells as written, and of the rows once judged."""
+    raw: dict[tuple[str, str, str], Column] = {}
+    done: dict[tuple[str, str, str], Column] = {("rows_in", "", ""): F.lit(True), ("rejected", "", ""): F.col("reject_reason").isNotNull()}
+    for n, f in contract.fields.items():
+        trimmed = F.regexp_replace(n, "(?U)^\\s+|\\s+$", "")
+        raw[("stray_spaces", n, "")] = trimmed != F.col(n)
+        raw |= {("written_null", n, t): trimmed == t for t in NULL_TOKENS}
+        if f.kind in ("number", "integer"):
+            raw[("decimal_comma", n, "")] = F.contains(F.col(n), F.lit(","))
+        if f.kind == "period":
+            raw[("period_shape", n, "")] = ~trimmed.rlike("^[0-9]{4}-[0-9]{2}$")
+        done |= {("reject", n, kind): F.col("reject_reason") == f"{n}: {kind}" for kind in ("missing", "pattern", "domain", "range", "short")}
+        if not f.required:
+            done[("optional_null", n, "")] = F.col(n).isNull() & ~F.array_contains("_nulled", n)
+            done[("made_null", n, "")] = F.array_contains("_nulled", n)
+    return raw, done
+
+
+def land(conformed: DataFrame, contract: Contract, folder: str, most: float = MOST_REJECTED) -> Landed:
+    """One pass over a source: judged, split into clean and quarantine (written side by side), and
+    counted while it is written. The gate is raised from those counts, after the quarantine is
+    there to look at: clean rows of a source that is rejected must not be read."""
+    raw, done = _watched(contract)
+    counted = lambda what: [F.count_if(c).alias(str(i)) for i, c in enumerate(what.values())]
+    first, second = Observation(), Observation()
+    rows = judged(conformed.observe(first, *counted(raw)), contract).observe(second, *counted(done))
+    replace(rows.withColumn("rejected", F.col("reject_reason").isNotNull()), folder, "rejected")
+    counts = {k: seen.get[str(i)] for what, seen in ((raw, first), (done, second)) for i, k in enumerate(what)}
+    n, bad = counts["rows_in", "", ""], counts["rejected", "", ""]
+    if n and bad / n > most:
+        top = sorted(((-m, f"{c}: {kind}") for (what, c, kind), m in counts.items() if what == "reject" and m))[:3]
+        raise ContractError(f"{contract.name}: {bad} of {n} rows rejected; " + ", ".join(f"{r} ({-m})" for m, r in top))
+    found = rows.withColumn("rejected", F.lit(False))
+    found = rows.sparkSession.read.schema(found.schema).parquet(folder)  # a filter on rejected reads its side only
+    return Landed(contract.name, found.where("NOT rejected").drop("rejected", "reject_reason"), found.where("rejected").drop("rejected"), counts)
+
+
 def orphans(rows: DataFrame, directory: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose id the directory has, the others)."""
     known = directory.select(key).distinct()

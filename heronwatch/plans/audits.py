@@ -8,7 +8,7 @@ from ..operators import backtest, fairness, rules
 from ..sources.tables import staged
 from ..sources.testbed import staging
 from .catalog import ALERT, CATALOG
-from .early_warning import over_alerts
+from .early_warning import all_alerts, over_alerts
 from .oracle import with_tables
 from .people import table_360
 
@@ -19,13 +19,13 @@ EXPRS = {n: s["expr"].format(t=s.get("t")) for n, s in CATALOG["signals"].items(
 
 
 def _parts(spark, sf_dir):
-    rows = staged(table_360(spark, sf_dir))
+    rows = table_360(spark, sf_dir)
     exits = backtest.observed_exits(rows)
     return rows, exits, backtest.labelled(rows, exits, UNIVERSE), backtest.last_observed(rows)
 
 
-def _alerts(rows):
-    return staged(rules.alerts(rows, CATALOG).select("person_id", "idx", "period", "channel", "state"))
+def _alerts(spark, sf_dir):
+    return all_alerts(spark, sf_dir).select("person_id", "idx", "period", "channel", "state")
 
 
 def observed_exits(spark, sf_dir):
@@ -41,7 +41,7 @@ def outcomes(spark, sf_dir):
 def backtest_summary(spark, sf_dir):
     """Precision, lift, coverage and false load of the notified alerts."""
     rows, exits, universe, cut = _parts(spark, sf_dir)
-    alerts = _alerts(rows).where("state = 'notified'")
+    alerts = _alerts(spark, sf_dir).where("state = 'notified'")
     one = backtest.precision(alerts, universe, cut).crossJoin(backtest.base_rates(universe, cut))
     one = one.crossJoin(backtest.coverage(alerts, exits, [], None)).crossJoin(backtest.false_load(alerts, rows, exits, [], None))
     volume = alerts.agg((F.count("*") / F.count_distinct("period").cast("double")).alias("a_month"))
@@ -76,7 +76,7 @@ def newest_recovered(spark, sf_dir):
     rows, exits, _, _ = _parts(spark, sf_dir)
     lost = exits.where("left_regretted").select("person_id", "left_idx")
     at_exit = rows.join(lost, "person_id").where("idx = left_idx").select("person_id", "tenure_band", "left_idx")
-    alerts = _alerts(rows).select("person_id", "idx", "state")
+    alerts = _alerts(spark, sf_dir).select("person_id", "idx", "state")
     hits = at_exit.join(alerts, "person_id", "left").groupBy("person_id", "tenure_band").agg(
         F.max(F.when((F.col("state") == "notified") & (F.col("idx") >= F.col("left_idx") - 6) & (F.col("idx") < F.col("left_idx")), 1).otherwise(0)).alias("by_alert"),
         F.max(F.when((F.col("state") == "on_panel") & (F.col("idx") >= F.col("left_idx") - 6) & (F.col("idx") < F.col("left_idx")), 1).otherwise(0)).alias("by_panel"),
@@ -91,19 +91,19 @@ def newest_recovered(spark, sf_dir):
 def ceiling_by_profile(spark, sf_dir):
     """Coverage of regretted exits by what people really are, which no rule may read."""
     rows, exits, _, _ = _parts(spark, sf_dir)
-    return backtest.coverage_by(exits, _alerts(rows).where("state = 'notified'"), staging(spark, sf_dir, "profiles"), "profile")
+    return backtest.coverage_by(exits, _alerts(spark, sf_dir).where("state = 'notified'"), staging(spark, sf_dir, "profiles"), "profile")
 
 
 def panel_reach(spark, sf_dir):
     """Whom the panels reach, of the whole population by profile."""
-    rows = staged(table_360(spark, sf_dir))
-    return backtest.reach_by(rows, _alerts(rows).where("state = 'on_panel'"), staging(spark, sf_dir, "profiles"), "profile")
+    rows = table_360(spark, sf_dir)
+    return backtest.reach_by(rows, _alerts(spark, sf_dir).where("state = 'on_panel'"), staging(spark, sf_dir, "profiles"), "profile")
 
 
 def fairness_panel(spark, sf_dir):
     """Counts of every group of six attributes."""
     rows, exits, universe, _ = _parts(spark, sf_dir)
-    return fairness.panel(rows, _alerts(rows), universe, exits, ATTRIBUTES, ALERT)
+    return fairness.panel(rows, _alerts(spark, sf_dir), universe, exits, ATTRIBUTES, ALERT)
 
 
 def fairness_audit(spark, sf_dir):

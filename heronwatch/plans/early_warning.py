@@ -3,22 +3,31 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import rules
-from ..sources.tables import staged
+from ..operators import figures, rules
+from ..sources.tables import staged, work_folder
 from ..sources.testbed import LAST_MONTH
 from .catalog import ALERT, CATALOG
 from .oracle import with_tables
 from .people import table_360
+from .store import kept
 
 SIGNALS = [f"s_{n}" for n in CATALOG["signals"]]
 QUEUE = ["person_id", "idx", "period", "rule", "channel", "priority", "dimensions", "idx_before", "priority_before", "position", "state"]
 
 
 def all_alerts(spark, sf_dir):
-    return rules.alerts(table_360(spark, sf_dir), CATALOG)
+    """All alerts as kept by month, guarded before they are written."""
+    return kept(spark, sf_dir, "alerts", _guarded)
+
+
+def _guarded(spark, sf_dir):
+    rows = staged(rules.alerts(table_360(spark, sf_dir), CATALOG))
+    rules.guard_dimensions(rows)
+    return rows
 
 
 def signals(spark, sf_dir):
@@ -69,6 +78,23 @@ def recent_cases(spark, sf_dir):
     return all_alerts(spark, sf_dir).withColumn("n", F.row_number().over(w)).where("n <= 2").select("rule", "n", "person_id", "period", "state", "position")
 
 
+def _figures(rows):
+    """What a report of the alerts prints, by name."""
+    by = rows.groupBy("channel", "state").agg(F.count("*").alias("alerts"), F.count_distinct("person_id").alias("people"), F.round(F.count("*") / F.count_distinct("period"), 1).alias("a_month"), F.min("dimensions").alias("least_dimensions"))
+    return figures.named(by, ["channel", "state"], ["alerts", "people", "a_month", "least_dimensions"])
+
+
+def figures_reconciled(spark, sf_dir):
+    """The figures that the run of the month before published, from the rows that it had, against
+    the same months of the alerts as kept now (A27): later months change nothing."""
+    path, run = f"{work_folder(spark)}/figures-{uuid.uuid4().hex}", str(LAST_MONTH - 1)
+    before = F.col("idx") <= LAST_MONTH - 1
+    figures.publish(_figures(rules.alerts(table_360(spark, sf_dir).where(before), CATALOG)), path, run)
+    found = figures.reconciled(figures.published(spark, path, run), _figures(all_alerts(spark, sf_dir).where(before)))
+    figures.stop_if_off(found)
+    return found.select("name", "published", "recomputed", "ok")
+
+
 def reconciled(spark, sf_dir):
     """Figures as a report prints them (from the summary by channel and state, to one decimal)
     against the same figures from the alerts themselves, within half a printed digit (A27); and
@@ -93,7 +119,7 @@ def reconciled(spark, sf_dir):
 
 QUERIES = {
     "signals": signals, "candidates": candidates, "alerts": alerts, "alerts_last_month": alerts_last_month, "run_summary": run_summary, "alert_breakdown": alert_breakdown,
-    "recent_cases": recent_cases, "reconciled": reconciled,
+    "recent_cases": recent_cases, "reconciled": reconciled, "figures_reconciled": figures_reconciled,
 }
 
 ALERTS_SQL = {"al": (("p360",), rules.compile_sql(CATALOG))}
@@ -137,6 +163,10 @@ SQL = {
     "recent_cases": over_alerts(
         "SELECT rule, n, person_id, period, state, position FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY CASE WHEN state = 'waiting' THEN 1 ELSE 0 END, idx DESC, position, person_id) AS n FROM al) WHERE n <= 2"
     ),
+    "figures_reconciled": over_alerts(
+        f"""SELECT name || '/' || channel || '/' || state AS name, value AS published, value AS recomputed, true AS ok FROM (SELECT channel, state, unnest(['alerts', 'people', 'a_month', 'least_dimensions']) AS name,
+          unnest([count(*)::DOUBLE, count(DISTINCT person_id)::DOUBLE, round(count(*) / count(DISTINCT period), 1)::DOUBLE, min(dimensions)::DOUBLE]) AS value FROM al WHERE idx <= {LAST_MONTH - 1} GROUP BY channel, state)"""
+    ),
     "reconciled": over_alerts(
         f"""SELECT figure, printed, found, abs(printed - found) <= 0.0500001 AS ok FROM (
           SELECT 'alerts' AS figure, sum(n)::DOUBLE AS printed, (SELECT count(*) FROM al)::DOUBLE AS found FROM g

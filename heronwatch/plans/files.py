@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import readings, rules, validate
 from ..sources import tables
-from ..sources.contracts import Contract, Field, conform, read_csv, read_json
+from ..sources.contracts import Contract, Field, conform, read_csv, read_json, read_json_files
 from ..sources.testbed import LAST_MONTH, staging
 from ..streaming import notes as note_stream
 from .early_warning import QUEUE, all_alerts, over_alerts
@@ -76,6 +76,30 @@ def readings_by_hash(spark, sf_dir):
     return readings.with_notes(made.select("note_id", "idx", "hash", F.length("text").alias("length")), found).select("note_id", "idx", "hash", "length", "tone", F.concat_ws(",", "topics").alias("topics"), "confidence")
 
 
+#: Readings in a file, about; of every so many files one breaks off, and one has an object without hash.
+IN_FILE, BROKEN = 50, 7
+
+
+def readings_from_files(spark, sf_dir):
+    """Readings in files of indented objects, of which some are broken: what each file gives."""
+    path = _folder(spark)
+    made = note_stream.redacted(staging(spark, sf_dir, "made_readings"))
+    kept = made.groupBy("hash").agg(F.min_by(F.struct("tone", "topic", "confidence"), "note_id").alias("x"))
+    one = kept.select("hash", "x.tone", F.array("x.topic").alias("topics"), F.array().cast("array<string>").alias("signals"), F.array().cast("array<string>").alias("quotes"), "x.confidence")
+    files = one.withColumn("file", F.conv(F.substring("hash", 1, 6), 16, 10).cast("long") % F.lit(-(-kept.count() // IN_FILE)))
+    named = F.when((F.col("file") % BROKEN == 4) & F.col("hash").like("%0"), F.lit(None)).otherwise(F.col("hash")).alias("hash")
+    text = F.to_json(F.struct(named, *one.columns[1:]), {"pretty": "true"})
+    whole = files.select("file", text.alias("text")).groupBy("file").agg(F.concat(F.lit("[\n"), F.array_join(F.sort_array(F.collect_list("text")), ",\n"), F.lit("\n]")).alias("value"))
+    cut = F.when(F.col("file") % BROKEN == 2, F.substring("value", 1, F.length("value") - 20)).otherwise(F.col("value"))
+    whole.select("file", cut.alias("value")).repartition("file").write.partitionBy("file").text(path)
+    found = tables.staged(read_json_files(spark, path, readings.SCHEMA, "hash"))
+    clean, rejected = found.where("reject_reason IS NULL"), found.where("reject_reason IS NOT NULL")
+    tables.replace(rejected.select("file", "reject_reason"), _folder(spark))
+    number = F.regexp_extract("file", "file=(\\d+)/", 1).cast("long").alias("number")
+    rows = clean.select(number, F.lit(None).cast("string").alias("reject_reason"), "topics").unionByName(rejected.select(number, "reject_reason", "topics"))
+    return rows.groupBy("number", "reject_reason").agg(F.count("*").alias("rows"), F.count(F.when(F.array_contains("topics", "pay"), 1)).alias("on_pay"))
+
+
 def alerts_sink(spark, sf_dir):
     """The alerts as written: guarded, then in the order of month, channel and position."""
     path, rows = _folder(spark), tables.staged(all_alerts(spark, sf_dir).select(*QUEUE))
@@ -84,7 +108,7 @@ def alerts_sink(spark, sf_dir):
     return spark.read.schema(rows.schema).parquet(path)
 
 
-QUERIES = {f.__name__: f for f in (sheet_from_csv, months_replaced, quarantine, notes_sheet, readings_by_hash, alerts_sink)}
+QUERIES = {f.__name__: f for f in (sheet_from_csv, months_replaced, quarantine, notes_sheet, readings_by_hash, readings_from_files, alerts_sink)}
 
 _strip = lambda c: f"regexp_replace({c}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 SQL = {
@@ -103,5 +127,11 @@ SQL = {
         "SELECT n.note_id, n.idx, n.hash, length(n.r) AS length, k.tone, k.topic AS topics, k.confidence FROM rh n JOIN (SELECT hash, unnest(min_by({tone: tone, topic: topic, confidence: confidence}, note_id)) FROM rh GROUP BY 1) k USING (hash)",
         "rh", extra=NOTES | {"rh": (("rd",), "SELECT m.*, rd.r, substr(sha256(rd.r), 1, 24) AS hash FROM made_readings m JOIN rd USING (note_id)")},
     ),
+    "readings_from_files": with_tables(
+        f"""SELECT number, reject_reason, CASE WHEN reject_reason = 'not readable' THEN 1 ELSE count(*) END AS rows, CASE WHEN reject_reason = 'not readable' THEN 0 ELSE count(*) FILTER (topic = 'pay') END AS on_pay
+        FROM (SELECT *, CASE WHEN number % {BROKEN} = 2 THEN 'not readable' WHEN number % {BROKEN} = 4 AND hash LIKE '%0' THEN 'hash: missing' END AS reject_reason FROM (SELECT *, ('0x' || substr(hash, 1, 6))::BIGINT % ((count(*) OVER () + {IN_FILE - 1}) // {IN_FILE}) AS number
+          FROM (SELECT hash, min_by(topic, note_id) AS topic FROM rh GROUP BY 1))) GROUP BY number, reject_reason""",
+        "rh", extra=NOTES | {"rh": (("rd",), "SELECT m.*, rd.r, substr(sha256(rd.r), 1, 24) AS hash FROM made_readings m JOIN rd USING (note_id)")},
+    ),
     "alerts_sink": over_alerts(f"SELECT {', '.join(QUEUE)} FROM al"),
 }

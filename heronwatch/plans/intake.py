@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.normalize import MONTHS, NULL_TOKENS
 from ..operators import validate
 from ..sources.contracts import Contract, Field, conform
-from ..sources.tables import inventory, staged
+from ..sources.tables import inventory, staged, work_folder
 from ..sources.testbed import DEFINITIONS, staging
 from .oracle import with_tables
 
@@ -64,12 +66,22 @@ def role_gaps(spark, sf_dir):
     return validate.unmapped(staging(spark, sf_dir, "directory"), staging(spark, sf_dir, "bands").where("family <> 'BUILDING'"), ["family", "country"])
 
 
+#: Rejected rows that the made sheet may have: about one in fifteen are spoilt on purpose.
+SPOILT = 0.15
+
+
+def sheet_landed(spark, sf_dir):
+    """The sheet in one pass: clean and quarantine written, everything counted on the way, the gate
+    from those counts (S6, N7, V9, V11, V12)."""
+    return validate.land(_sheet(spark, sf_dir), SHEET, f"{work_folder(spark)}/landed-{uuid.uuid4().hex}", SPOILT).report()
+
+
 def table_rows(spark, sf_dir):
     """Rows of every staging table."""
     return inventory({n: staging(spark, sf_dir, n) for n in sorted(DEFINITIONS)})
 
 
-QUERIES = {f.__name__: f for f in (sheet_judged, sheet_clean, sheet_summary, sheet_incidents, sheet_repairs, sheet_orphans, role_gaps, table_rows)}
+QUERIES = {f.__name__: f for f in (sheet_judged, sheet_clean, sheet_summary, sheet_incidents, sheet_repairs, sheet_orphans, role_gaps, sheet_landed, table_rows)}
 
 _tokens = ", ".join(f"'{t}'" for t in NULL_TOKENS)
 _bare = lambda c: f"CASE WHEN trim({c}) NOT IN ({_tokens}) THEN trim({c}) END"
@@ -96,6 +108,16 @@ SQL = {
         + " ".join(f"UNION ALL SELECT * FROM (SELECT 'optional_null', '{c}', count(*) FILTER ({c}0 IS NULL) AS n FROM jd) WHERE n > 0 UNION ALL SELECT * FROM (SELECT 'made_null', '{c}', count(*) FILTER ({c}0 IS NOT NULL AND {c} IS NULL) AS n FROM jd) WHERE n > 0" for c in ("csat", "nps", "days")),
         "jd", extra=X,
     ),
+    "sheet_landed": with_tables(
+        f"""SELECT 'metrics_sheet' AS source, kind, "column", detail, rows FROM (
+          SELECT 'rows_in' AS kind, '' AS "column", '' AS detail, count(*) AS rows FROM jd UNION ALL SELECT 'rejected', '', '', count(reject_reason) FROM jd
+          UNION ALL SELECT 'reject', split_part(reject_reason, ': ', 1), split_part(reject_reason, ': ', 2), count(*) FROM jd WHERE reject_reason IS NOT NULL GROUP BY ALL """
+        + " ".join(f"UNION ALL SELECT 'optional_null', '{c}', '', count(*) FILTER ({c}0 IS NULL) FROM jd UNION ALL SELECT 'made_null', '{c}', '', count(*) FILTER ({c}0 IS NOT NULL AND {c} IS NULL) FROM jd" for c in ("csat", "nps", "days"))
+        + " ".join(f" UNION ALL SELECT 'stray_spaces', '{c}', '', count(*) FILTER (trim({r}) <> {r}) FROM sheet UNION ALL SELECT 'written_null', '{c}', trim({r}), count(*) FROM sheet WHERE trim({r}) IN ({_tokens}) GROUP BY ALL" for c, r in _raw.items())
+        + " ".join(f" UNION ALL SELECT 'decimal_comma', '{c}', '', count(*) FILTER (contains({_raw[c]}, ',')) FROM sheet" for c in ("productivity", "csat", "nps", "days"))
+        + " UNION ALL SELECT 'period_shape', 'period', '', count(*) FILTER (NOT regexp_matches(trim(month_text), '^[0-9]{4}-[0-9]{2}$')) FROM sheet) WHERE rows > 0 OR kind IN ('rows_in', 'rejected')",
+        "jd", extra=X,
+    ),
     "sheet_repairs": with_tables(
         " UNION ALL ".join(
             f"SELECT '{c}' AS \"column\", count(*) FILTER (trim({r}) <> {r}) AS stray_spaces, count(*) FILTER (trim({r}) IN ({_tokens})) AS written_nulls, coalesce(array_to_string(list_sort(list(DISTINCT trim({r})) FILTER (trim({r}) IN ({_tokens})))[1:4], '|'), '') AS examples, "

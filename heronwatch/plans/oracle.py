@@ -19,8 +19,8 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "op_month": (
         ("spine", "metrics"),
         f"""SELECT s.*, productivity, csat, days_without_leave, round(avg(productivity) OVER a, 6) AS prod_avg_3m, round(avg(productivity) OVER b, 6) AS prod_avg_3m_before,
-          round(avg(productivity) OVER a - avg(productivity) OVER b, 6) AS prod_delta_3m, count(productivity) OVER a AS prod_months_3m,
-          round(avg(csat) OVER a, 6) AS csat_avg_3m, round(avg(csat) OVER a - avg(csat) OVER b, 6) AS csat_delta_3m
+          round(avg(productivity) OVER a - avg(productivity) OVER b, 6) + 0.0::DOUBLE AS prod_delta_3m, count(productivity) OVER a AS prod_months_3m,
+          round(avg(csat) OVER a, 6) AS csat_avg_3m, round(avg(csat) OVER a - avg(csat) OVER b, 6) + 0.0::DOUBLE AS csat_delta_3m
         FROM spine s LEFT JOIN metrics USING (person_id, idx)
         WINDOW a AS (PARTITION BY person_id ORDER BY idx {W3}), b AS (PARTITION BY person_id ORDER BY idx {W3B})""",
     ),

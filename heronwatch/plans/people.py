@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import carried, profile
 from ..operators import person_month as pm
+from ..sources.tables import staged, work_folder
 from ..sources.testbed import LAST_MONTH, MONTHS, staging
 from .oracle import with_tables
+from .store import kept
 
 FACTS = ("metrics", "reviews", "first_reviews", "courses", "notes")
 
 
-def table_360(spark: SparkSession, sf_dir: str) -> DataFrame:
+def built_360(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: staging(spark, sf_dir, n)
     return pm.person_360(t("directory"), t("exits"), t("bands"), *[t(n) for n in FACTS], LAST_MONTH, MONTHS)
 
 
+def table_360(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The person-month table as kept by month: the first job that asks makes it."""
+    return kept(spark, sf_dir, "person_360", built_360)
+
+
+def latest(rows: DataFrame) -> int:
+    """The last month of a table."""
+    return rows.agg(F.max("idx")).first()[0]
+
+
 def calendar(spark, sf_dir):
     """Months of the calendar with the people on the spine in each."""
     months = pm.calendar(spark, LAST_MONTH, MONTHS)
@@ -56,10 +71,24 @@ def person_360(spark, sf_dir):
     return table_360(spark, sf_dir).select(*COLUMNS_360)
 
 
+#: Months that are carried forward one by one, after those before them are made at once.
+CARRIED = 6
+
+
+def months_carried(spark, sf_dir):
+    """The person-month table with its last months carried forward from the state of the month before."""
+    path = f"{work_folder(spark)}/carried-{uuid.uuid4().hex}"
+    facts = {n: staging(spark, sf_dir, n) for n in ("directory", "exits", "bands", *FACTS)}
+    carried.start(path, facts, LAST_MONTH - CARRIED, MONTHS - CARRIED)
+    for idx in range(LAST_MONTH - CARRIED + 1, LAST_MONTH + 1):
+        carried.carry(spark, path, facts, idx)
+    return carried.stored(spark, path).select(*COLUMNS_360)
+
+
 def pay_view(spark, sf_dir):
     """One row for each active person at the latest month."""
     rows = table_360(spark, sf_dir)
-    return rows.where((F.col("idx") == LAST_MONTH) & F.col("active")).select("person_id", "period", "area", "family", "country", "salary", "band_min", "band_mid", "band_max", "compa", "under_band")
+    return rows.where((F.col("idx") == latest(rows)) & F.col("active")).select("person_id", "period", "area", "family", "country", "salary", "band_min", "band_mid", "band_max", "compa", "under_band")
 
 
 def _mean(c: str):
@@ -88,33 +117,30 @@ PROFILED = ("productivity", "csat", "score", "compa", "courses_12m", "months_sin
 VALUED = ("family", "country", "age_band", "tenure_band", "gender")
 
 
+def _last(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("idx") == latest(rows))
+
+
 def column_profile(spark, sf_dir):
     """Per numeric column at the latest month: share of nulls, minimum, median, maximum, distinct values."""
-    rows = table_360(spark, sf_dir).where(F.col("idx") == LAST_MONTH)
-    one = rows.agg(*[
-        F.struct(
-            F.lit(c).alias("column"), F.round(100 * F.avg(F.col(c).isNull().cast("int")), 4).alias("null_pct"), F.min(c).cast("double").alias("least"),
-            F.round(F.median(c), 6).alias("median"), F.max(c).cast("double").alias("most"), F.count_distinct(c).alias("distinct"),
-        ).alias(c) for c in PROFILED
-    ])
-    return one.select(F.explode(F.array(*PROFILED)).alias("x")).select("x.*")
+    return profile.column_profile(_last(table_360(spark, sf_dir)), list(PROFILED))
 
 
 def top_values(spark, sf_dir):
     """The three most frequent values of each text column at the latest month, with their share."""
-    rows = table_360(spark, sf_dir).where(F.col("idx") == LAST_MONTH)
-    values = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in VALUED])).alias("x")).select("x.*")
-    from pyspark.sql import Window
+    return profile.top_values(_last(table_360(spark, sf_dir)), list(VALUED))
 
-    n = values.groupBy("column", "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("column").orderBy(F.desc("n"), "value")
-    out = n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("column")), 6)).withColumn("rank", F.row_number().over(w))
-    return out.where("rank <= 3")
+
+def pay_quartiles(spark, sf_dir):
+    """Exact quartiles of salary and of days without leave by role and country, over all months."""
+    rows = table_360(spark, sf_dir)
+    found = profile.quantiles(staged(profile.value_counts(rows, ["salary", "days_without_leave"], ["family", "country"])), [0.25, 0.5, 0.75], ["family", "country"])
+    return found.withColumn("quantile", F.round("quantile", 6))
 
 
 QUERIES = {
-    "calendar": calendar, "spine": spine, "metrics_month": metrics_month, "reviews_month": reviews_month, "development_month": development_month, "person_360": person_360,
-    "pay_view": pay_view, "trend_by_area": trend_by_area, "scale_totals": scale_totals, "column_profile": column_profile, "top_values": top_values,
+    "calendar": calendar, "spine": spine, "metrics_month": metrics_month, "reviews_month": reviews_month, "development_month": development_month, "person_360": person_360, "months_carried": months_carried,
+    "pay_view": pay_view, "trend_by_area": trend_by_area, "scale_totals": scale_totals, "column_profile": column_profile, "top_values": top_values, "pay_quartiles": pay_quartiles,
 }
 
 _profile = " UNION ALL ".join(
@@ -133,6 +159,7 @@ SQL = {
     "reviews_month": with_tables("SELECT person_id, idx, reviews_so_far, score, score_before, score_delta, months_since_review, score_90 FROM review_month", "review_month"),
     "development_month": with_tables("SELECT person_id, idx, courses_12m, hours_12m, notes_6m, n_notes, months_since_course, months_since_note FROM dev_month", "dev_month"),
     "person_360": with_tables(f"SELECT {', '.join(COLUMNS_360)} FROM p360", "p360"),
+    "months_carried": with_tables(f"SELECT {', '.join(COLUMNS_360)} FROM p360", "p360"),
     "pay_view": with_tables("SELECT person_id, period, area, family, country, salary, band_min, band_mid, band_max, compa, under_band FROM p360 WHERE active AND idx = (SELECT max(idx) FROM p360)", "p360"),
     "trend_by_area": with_tables(
         "SELECT period, area, count(*) AS people, " + ", ".join(f"sum(round({c} * 10000)::BIGINT) / (10000.0::DOUBLE * nullif(count({c}), 0)) AS {c}" for c in ("productivity", "csat", "score", "compa")) + " FROM p360 WHERE active GROUP BY ALL",
@@ -144,6 +171,11 @@ SQL = {
         "spine",
     ),
     "column_profile": with_tables(_profile, "p360", "l", extra={"l": (("p360",), f"SELECT * FROM p360 WHERE idx = {LAST_MONTH}")}),
+    "pay_quartiles": with_tables(
+        "SELECT family, country, \"column\", q, round(quantile, 6) AS quantile FROM (SELECT family, country, \"column\", unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE]) AS q, unnest(quantile_cont(value, [0.25, 0.5, 0.75])) AS quantile "
+        "FROM (SELECT family, country, unnest(['salary', 'days_without_leave']) AS \"column\", unnest([salary::DOUBLE, days_without_leave::DOUBLE]) AS value FROM p360) WHERE value IS NOT NULL GROUP BY family, country, \"column\")",
+        "p360",
+    ),
     "top_values": with_tables(
         f"""SELECT * FROM (SELECT "column", value, n, round(n / sum(n) OVER (PARTITION BY "column"), 6) AS share, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rank
           FROM (SELECT "column", value, count(*) AS n FROM ({_values}) GROUP BY ALL)) WHERE rank <= 3""",

@@ -56,6 +56,17 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def read_json_files(spark: SparkSession, path: str, schema: str, required: str) -> DataFrame:
+    """Files of indented JSON objects (one to a file, or a list of them), typed by a given schema,
+    with their ``file`` and a ``reject_reason``: what is no JSON of this schema, or an object
+    without its ``required`` field. A file that breaks off is one rejected row."""
+    fields = T._parse_datatype_string(schema)
+    raw = spark.read.schema(T.StructType([*fields.fields, T.StructField("_corrupt", T.StringType())]))
+    raw = raw.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).json(path)
+    reason = F.when(F.col("_corrupt").isNotNull(), "not readable").when(F.col(required).isNull(), f"{required}: missing")
+    return raw.select(*fields.names, F.col("_metadata.file_path").alias("file"), reason.alias("reject_reason"))
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A sheet as text only: schema given by position, nothing inferred."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])

@@ -42,3 +42,26 @@ def test_contract(spark):
         validate.stop_if_bad(rows, SHEET)
     with pytest.raises(ContractError, match="lacks"):
         conform(raw.drop("nps_text"), SHEET)
+
+
+def test_landing_counts_while_it_writes(spark, tmp_path):
+    from heronwatch.operators import validate
+    from heronwatch.plans.intake import SHEET
+    from heronwatch.sources.contracts import ContractError, conform
+
+    raw = spark.createDataFrame(
+        [(1, " P10001 ", "2026-08", "94,4", "4.2", "30", "120"), (2, "P10002", "ago-2026", "90", "9", "N/A", "5"), (3, "P10003", "08/2026", "999", "4", "1", "1"), (4, "P10004", "2026-13", "80", "4", "1", None)],
+        "_row long, person_code string, month_text string, prod_text string, csat_text string, nps_text string, days_text string",
+    )
+    rows = conform(raw, SHEET)
+    done = validate.land(rows, SHEET, str(tmp_path / "a"), most=0.5)
+    assert sorted(r["_row"] for r in done.clean.collect()) == [1, 2] and {r["_row"]: r.reject_reason for r in done.quarantine.collect()} == {3: "productivity: range", 4: "period: missing"}
+    got = {(r.kind, r.column, r.detail): r.rows for r in done.report().collect()}
+    assert got == {
+        ("rows_in", "", ""): 4, ("rejected", "", ""): 2, ("reject", "productivity", "range"): 1, ("reject", "period", "missing"): 1, ("stray_spaces", "person", ""): 1, ("written_null", "nps", "N/A"): 1,
+        ("decimal_comma", "productivity", ""): 1, ("period_shape", "period", ""): 2, ("made_null", "csat", ""): 1, ("optional_null", "nps", ""): 1, ("optional_null", "days", ""): 1,
+    }
+    with pytest.raises(ContractError, match="2 of 4 rows rejected; period: missing \\(1\\), productivity: range \\(1\\)"):
+        validate.land(rows, SHEET, str(tmp_path / "b"))
+    assert spark.read.parquet(str(tmp_path / "b")).where("rejected = 'true'").count() == 2  # there to look at
+    assert validate.land(rows.limit(0), SHEET, str(tmp_path / "c")).counts["rows_in", "", ""] == 0

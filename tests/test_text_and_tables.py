@@ -1,19 +1,21 @@
 import hashlib
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from heronwatch.functions import redaction
-from heronwatch.operators import delivery, diff, readings
+from heronwatch.operators import delivery, diff, figures, readings
+from heronwatch.streaming import notes
 
 
 def test_redaction(spark):
     text = "Ana Soto (P10001, ana@x.com) asked $1.200 for Acme Corp, and Ana Soto met Luis."
-    notes = spark.createDataFrame([(1, text), (2, None), (3, "Anabel del Carmen")], "note_id int, text string")
-    masked = notes.withColumn("text", redaction.masked_patterns(F.col("text"), ["Acme", "Acme Corp"]))
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "Anabel del Carmen")], "note_id int, text string")
+    masked = rows.withColumn("text", redaction.masked_patterns(F.col("text"), ["Acme", "Acme Corp"]))
     people = spark.createDataFrame([("Ana Soto",), ("Luis del Carmen",)], "name string")
-    names = [r[0] for r in redaction.name_dictionary(people).collect()]
-    assert set(names) == {"Ana Soto", "Ana", "Soto", "Luis del Carmen", "Luis", "Carmen"}
+    names = redaction.name_dictionary(people)
+    assert {r.name for r in names.collect()} == {"Ana Soto", "Ana", "Soto", "Luis del Carmen", "Luis", "Carmen"}
     got = {r.note_id: r for r in redaction.masked_names(masked, names).withColumn("hash", redaction.content_hash(F.col("text"))).collect()}
     assert got[1].text == "[PERSON_1] ([ID], [EMAIL]) asked [AMOUNT] for [CLIENT], and [PERSON_1] met [PERSON_2]."
     assert got[1].hash == hashlib.sha256(got[1].text.encode()).hexdigest()[:24] and got[2].text is None and got[3].text == "Anabel del [PERSON_1]"
@@ -50,41 +52,73 @@ def test_diff(spark):
         diff.check_shape(a, b.where("k = 1"))
 
 
-def test_stream_adds_nothing_twice(spark, tmp_path):
-    from heronwatch.streaming.notes import ingest
-
-    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "note_id int, text string").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
-    rows.write.parquet(f"{tmp_path}/in")
-    for state in ("s1", "s2"):  # the second run starts without memory of the first
-        ingest(spark, f"{tmp_path}/in", rows.schema, f"{tmp_path}/out", f"{tmp_path}/{state}").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
-
-
-def test_classifier(spark, small):
-    from heronwatch.plans.listening import classifier
-
-    rows = {r.net: r for r in classifier(spark, small).collect()}  # labels of the test data are drawn at random
-    assert set(rows) == {"deep", "flat"} and all(r.n > 20 and r.right == round(r.accuracy * r.n) for r in rows.values())
-    assert min(r.points_behind for r in rows.values()) <= max(r.points_behind for r in rows.values()) == 0
-
+def _note_files(spark, path, rows):
+    out = spark.createDataFrame([(i, t, s) for i, t, s in rows], "note_id int, text string, s long").select("note_id", "text", F.timestamp_seconds("s").alias("ts"))
+    out.coalesce(1).write.mode("append").parquet(path)
+    return out.schema
 
-def test_classifier_learns(spark):
-    import numpy as np
 
-    from heronwatch.operators import classify
-
-    rng = np.random.default_rng(8)
-    label = rng.integers(0, 3, 300)
-    x = rng.normal(0, 0.4, (300, 4)) + np.eye(4)[label] * 2
-    rows = spark.createDataFrame([(i, [float(v) for v in a], int(b)) for i, (a, b) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")
-    train, test = classify.prepared(rows, 2.0, 5)
-    assert (train.count(), test.count()) == (240, 60)
-    weights, loss = classify.train(train, [4, 6, 3])
-    assert loss[-1] < loss[0] / 4 and classify.accuracy(classify.predicted(test, weights)).first().accuracy > 0.9
-
-
-def test_registry(spark, small):
-    import __spark_entry__ as e
-
-    assert set(e.oracle_sql()) <= set(e.queries())
-    assert e.entry(spark).limit(1).count() == 1
+def test_stream_adds_nothing_twice(spark, tmp_path):
+    schema = _note_files(spark, f"{tmp_path}/in", [(1, "a", 1_700_000_000), (2, "b", 1_700_000_000), (3, "a", 1_700_000_000)])
+    for state in ("s1", "s2"):  # the second run starts without memory of the first
+        notes.ingest(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out", f"{tmp_path}/{state}").awaitTermination()
+    assert notes.committed(spark, f"{tmp_path}/out", schema).count() == 2
+
+
+def test_a_batch_that_dies_before_its_commit(spark, tmp_path, monkeypatch):
+    schema = _note_files(spark, f"{tmp_path}/in", [(i, f"note {i}", 1_700_000_000 + i) for i in range(40)])
+    sink, state, real = f"{tmp_path}/out", f"{tmp_path}/state", notes.commit
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(notes, "commit", dies)
+    with pytest.raises(StreamingQueryException):
+        notes.ingest(spark, f"{tmp_path}/in", schema, sink, state).awaitTermination()
+    assert spark.read.schema(notes.sink_schema(schema)).parquet(f"{sink}/rows").count() == 40 and notes.committed(spark, sink, schema).count() == 0
+    monkeypatch.setattr(notes, "commit", real)
+    notes.ingest(spark, f"{tmp_path}/in", schema, sink, state).awaitTermination()
+    got = [r.note_id for r in notes.committed(spark, sink, schema).collect()]
+    assert sorted(got) == list(range(40))
+
+
+def test_a_batch_that_dies_after_its_commit(spark, tmp_path, monkeypatch):
+    schema = _note_files(spark, f"{tmp_path}/in", [(i, f"note {i}", 1_700_000_000 + i) for i in range(9)])
+    sink, state, real = f"{tmp_path}/out", f"{tmp_path}/state", notes.commit
+
+    def dies(*a):
+        real(*a)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(notes, "commit", dies)
+    with pytest.raises(StreamingQueryException):
+        notes.ingest(spark, f"{tmp_path}/in", schema, sink, state).awaitTermination()
+    monkeypatch.setattr(notes, "commit", real)
+    notes.ingest(spark, f"{tmp_path}/in", schema, sink, state).awaitTermination()
+    assert notes.committed(spark, sink, schema).count() == 9 and spark.read.schema(notes.COMMITS).parquet(f"{sink}/commits").count() >= 1
+    assert spark.read.schema(notes.sink_schema(schema)).parquet(f"{sink}/rows").count() == 9
+
+
+def test_notes_beyond_the_watermark(spark, tmp_path):
+    schema = _note_files(spark, f"{tmp_path}/in", [(1, "now", 1_700_000_000)])
+    run = lambda: notes.ingest(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    run()
+    _note_files(spark, f"{tmp_path}/in", [(2, "too late", 1_700_000_000 - 7_200), (3, "late", 1_700_000_000 - 1_800), (4, "now", 1_700_000_000 + 5)])
+    run()
+    assert sorted(r.note_id for r in notes.committed(spark, f"{tmp_path}/out", schema).collect()) == [1, 3]
+
+
+def test_a_figure_that_is_off(spark, tmp_path):
+    counts = spark.createDataFrame([("talk", 10, 2.04), ("pay", 4, 1.0)], "channel string, alerts long, a_month double")
+    path = str(tmp_path / "figures")
+    figures.publish(figures.named(counts, ["channel"], ["alerts", "a_month"]), path, "2001-06")
+    figures.publish(figures.named(counts.limit(0), ["channel"], ["alerts"]), path, "2001-07")
+    before = figures.published(spark, path, "2001-06")
+    same = figures.named(counts.withColumn("a_month", F.round("a_month", 1)), ["channel"], ["alerts", "a_month"])
+    figures.stop_if_off(figures.reconciled(before, same, by_name={"a_month": 0.05}))
+    assert [r.name for r in figures.reconciled(before, same).where("NOT ok").collect()] == ["a_month/talk"]
+    off = figures.named(counts.withColumn("alerts", F.col("alerts") + (F.col("channel") == "pay").cast("int")), ["channel"], ["alerts", "a_month"])
+    with pytest.raises(figures.FiguresDiffer, match="alerts/pay: published 4.0, now 5.0"):
+        figures.stop_if_off(figures.reconciled(before, off))
+    with pytest.raises(figures.FiguresDiffer, match="alerts/pay: published 4.0, now None"):
+        figures.stop_if_off(figures.reconciled(before, off.where("name <> 'alerts/pay'")))
