@@ -2,8 +2,10 @@
 
 A text is split by the published pattern; every distinct piece of a batch is encoded once by
 the library (bytes mapped to printable characters, merged by rank) and its ids are kept in a
-bounded table, so frequent pieces cost one lookup. Decoding reverses the byte table: ids give
-bytes, and bytes give text, so characters that were split over several ids come back whole.
+bounded table (by pieces and by their characters), so frequent pieces cost one lookup. Decoding
+reverses the byte table: ids give printable stand-ins, those give bytes, and bytes give text, so
+characters that were split over several ids come back whole. Offsets say which characters each id
+covers; a split character belongs to all its ids.
 
 Nulls count as empty texts and give no ids; empty tables give none. A very long text is
 encoded as a whole, alone in its piece of a batch. Rows that repeat are coded alike. Columns of
@@ -27,8 +29,8 @@ from pyspark.sql import types as T
 
 from .arrow import pieces
 
-#: Pieces kept per worker before the table starts anew.
-KEPT_PIECES = 200_000
+#: Pieces, and their characters, kept per worker before the table starts anew.
+KEPT_PIECES, KEPT_CHARACTERS = 200_000, 4_000_000
 _coders: dict[tuple[str, str], Coder] = {}
 
 
@@ -57,7 +59,12 @@ class Coder:
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1:
                 merges.append(self._parents(token, rank, ranks))
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.names = {rank: name(token) for token, rank in ranks.items()}
+        self.bytes_of = np.zeros(max(map(ord, chars.values())) + 1, np.uint8)  # the byte table, reversed
+        for byte, char in chars.items():
+            self.bytes_of[ord(char)] = byte
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.lengths[list(ranks.values())] = [len(t) for t in ranks]
         self.library = Tokenizer(
             models.BPE(vocab={name(t): r for t, r in ranks.items()}, merges=[(name(a), name(b)) for a, b in merges], ignore_merges=True)
         )
@@ -70,6 +77,7 @@ class Coder:
         self.library.decoder = self.whole.decoder = decoders.ByteLevel()
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     @staticmethod
     def _parents(token: bytes, rank: int, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
@@ -87,8 +95,9 @@ class Coder:
             return b"".join(map(known.__getitem__, pieces))
         except KeyError:
             pass
-        if len(known) > KEPT_PIECES:
+        if len(known) > KEPT_PIECES or self.held > KEPT_CHARACTERS:
             known.clear()
+            self.held = 0
         new = [p for p in dict.fromkeys(pieces) if p not in known]
         coded = self.whole.encode(new, is_pretokenized=True, add_special_tokens=False)
         ids, words = np.array(coded.ids, dtype="<u4").tobytes(), np.array(coded.word_ids)
@@ -96,16 +105,23 @@ class Coder:
         start = 0
         for piece, end in zip(new, ends, strict=True):
             known[piece] = ids[start:end]
+            self.held += len(piece)
             start = end
         return b"".join(map(known.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
+        """Bytes of little-endian ids: their stand-ins through the reversed byte table."""
+        printed = "".join(map(self.names.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
+        return self.bytes_of[np.frombuffer(printed.encode("utf-16-le"), np.uint16)].tobytes()
 
-    def offsets(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
-        """Ids with the characters that each covers; a split character belongs to all its ids."""
-        coded = self.library.encode(text, add_special_tokens=False)
-        return coded.ids, coded.offsets
+    def offsets(self, ids: bytes, text: bytes) -> np.ndarray:
+        """(start, end) of the characters that each id covers, of a UTF-8 text and its ids."""
+        end = np.cumsum(self.lengths[np.frombuffer(ids, "<u4")])
+        if not len(end):
+            return np.zeros((0, 2), "<u4")
+        character = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80) - 1  # of each byte
+        start = np.concatenate([[0], end[:-1]])
+        return np.stack([character[start], character[end - 1] + 1], axis=1).astype("<u4")
 
 
 def _lists(coded: list[bytes]) -> pa.ListArray:
@@ -137,12 +153,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks_path, pattern)
         for batch in pieces(batches, where):
-            texts = (t or "" for t in batch.column(where).to_pylist())
+            texts = [t or "" for t in batch.column(where).to_pylist()]
+            coded = [own.encode(t) for t in texts]
+            columns = [_lists(coded)]
             if offsets:
-                coded = [own.offsets(t) for t in texts]
-                columns = [pa.array([c[0] for c in coded], pa.list_(pa.int32())), pa.array([[{"start": a, "end": b} for a, b in c[1]] for c in coded], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-            else:
-                columns = [_lists([own.encode(t) for t in texts])]
+                spans = np.concatenate([np.zeros((0, 2), "<u4"), *(own.offsets(c, t.encode()) for c, t in zip(coded, texts, strict=True))]).astype(np.int32)
+                pair = pa.StructArray.from_arrays([pa.array(spans[:, 0]), pa.array(spans[:, 1])], ["start", "end"])
+                columns.append(pa.ListArray.from_arrays(columns[0].offsets, pair))
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
@@ -156,7 +173,7 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str, *, ids: str = "token
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks_path, pattern)
         for batch in pieces(batches, where):
-            texts = [b"".join(map(own.tokens.__getitem__, x or ())).decode("utf-8", "replace") for x in batch.column(where).to_pylist()]
+            texts = [own.decode(np.array(x or (), "<u4").tobytes()).decode("utf-8", "replace") for x in batch.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(text, T.StringType(), False)]))
@@ -181,21 +198,25 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Per document: n_tokens, SHA-256 of the ids and of the bytes decoded from them."""
+    """Per document: n_tokens, SHA-256 of the ids, of the bytes decoded from them and of the
+    offsets (pairs of unsigned 32-bit integers), and the number of characters that several ids share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks_path, pattern)
+        sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in pieces(batches, 1):
-            rows = [], [], []
+            rows: tuple[list, ...] = [], [], [], [], []
             for t in batch.column(1).to_pylist():
+                text = (t or "").encode()
                 ids = own.encode(t or "")
-                rows[0].append(len(ids) // 4)
-                rows[1].append(hashlib.sha256(ids).hexdigest())
-                rows[2].append(hashlib.sha256(own.decode(ids)).hexdigest())
+                spans = own.offsets(ids, text)
+                split = np.unique(spans[1:, 0][spans[1:, 0] < spans[:-1, 1]])
+                for column, x in zip(rows, (len(ids) // 4, sha(ids), sha(own.decode(ids)), sha(spans.tobytes()), len(split)), strict=True):
+                    column.append(x)
+            kinds = pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [batch.column(0), *(pa.array(x, k) for x, k in zip(rows, kinds, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", "n_split"]
             )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string, n_split long")

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,26 @@ def test_bpe(docs, tokenizer):
     assert all(r.decoded == (r.text or "") and len(r.spans) == len(r.token_ids) for r in back.collect())
 
 
+def test_bpe_splits_and_offsets(docs, tokenizer):
+    own = bpe.Coder(*tokenizer)
+    odd = ["", "naïve 日本語 \U0001f9ff\U0001f9ff x", "\u0000\u00ad\u0120Ġ é", "\U00013000" * 3, "a" * 5000 + "ß", "  \n\n\t 12345678 don't"]
+    for text in odd + [t or "" for _, t, *_ in ROWS]:
+        ids, raw = own.encode(text), text.encode()
+        assert own.decode(ids) == raw
+        want = own.library.encode(text, add_special_tokens=False)
+        assert [tuple(x) for x in own.offsets(ids, raw).tolist()] == want.offsets and np.frombuffer(ids, "<u4").tolist() == want.ids
+    split = own.encode("\U00013000")
+    assert len(split) > 4 and len({tuple(x) for x in own.offsets(split, "\U00013000".encode()).tolist()}) == 1
+
+
+def test_bpe_table_is_bounded(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_CHARACTERS", 50)
+    own = bpe.Coder(*tokenizer)
+    for i in range(40):
+        assert own.decode(own.encode(f"w{i}" * 30)) == (f"w{i}" * 30).encode()
+    assert own.held <= 50 + 30 * 3 * 2
+
+
 def test_shards(docs):
     rows = shards.by_bytes(docs).collect()
     assert len(rows) == len(ROWS) and all(0 <= r.shard < 16 and r.law == "bytes" for r in rows)
