@@ -103,5 +103,6 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op2_line_quality": line_quality.SQL,
     "op11_vector_codes": vector_codes.SQL,
+    "op12_prefix_join": jaccard.sql(words=3, percent=90),
     "op13_son_phrases": phrases.SQL,
 }
