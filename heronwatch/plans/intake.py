@@ -66,6 +66,16 @@ def role_gaps(spark, sf_dir):
     return validate.unmapped(staging(spark, sf_dir, "directory"), staging(spark, sf_dir, "bands").where("family <> 'BUILDING'"), ["family", "country"])
 
 
+VISITS = Contract(
+    "visits_sheet", ("who", "day"), {"who": Field("text", True, pattern="^P[0-9]{5}$"), "day": Field("date", True), "kept": Field("boolean")}, {"day_text": "day", "kept_text": "kept"},
+)
+
+
+def visits_judged(spark, sf_dir):
+    """A sheet with dates in five forms and yes or no in many words."""
+    return validate.judged(conform(staging(spark, sf_dir, "visits"), VISITS), VISITS).select("_row", "who", "day", "kept", "reject_reason")
+
+
 #: Rejected rows that the made sheet may have: about one in fifteen are spoilt on purpose.
 SPOILT = 0.15
 
@@ -81,7 +91,7 @@ def table_rows(spark, sf_dir):
     return inventory({n: staging(spark, sf_dir, n) for n in sorted(DEFINITIONS)})
 
 
-QUERIES = {f.__name__: f for f in (sheet_judged, sheet_clean, sheet_summary, sheet_incidents, sheet_repairs, sheet_orphans, role_gaps, sheet_landed, table_rows)}
+QUERIES = {f.__name__: f for f in (sheet_judged, sheet_clean, sheet_summary, sheet_incidents, sheet_repairs, sheet_orphans, role_gaps, visits_judged, sheet_landed, table_rows)}
 
 _tokens = ", ".join(f"'{t}'" for t in NULL_TOKENS)
 _bare = lambda c: f"CASE WHEN trim({c}) NOT IN ({_tokens}) THEN trim({c}) END"
@@ -108,6 +118,10 @@ SQL = {
         + " ".join(f"UNION ALL SELECT * FROM (SELECT 'optional_null', '{c}', count(*) FILTER ({c}0 IS NULL) AS n FROM jd) WHERE n > 0 UNION ALL SELECT * FROM (SELECT 'made_null', '{c}', count(*) FILTER ({c}0 IS NOT NULL AND {c} IS NULL) AS n FROM jd) WHERE n > 0" for c in ("csat", "nps", "days")),
         "jd", extra=X,
     ),
+    "visits_judged": with_tables(
+        """SELECT _row, who, day, CASE WHEN _row % 9 < 6 THEN true WHEN _row % 9 <> 7 THEN false END AS kept, CASE WHEN day IS NULL THEN 'day: missing' END AS reject_reason
+        FROM (SELECT v.*, CASE WHEN _row % 7 < 5 THEN CAST(o_orderdate AS DATE) END AS day FROM visits v JOIN orders ON o_orderkey = _row)""", "visits",
+    ),
     "sheet_landed": with_tables(
         f"""SELECT 'metrics_sheet' AS source, kind, "column", detail, rows FROM (
           SELECT 'rows_in' AS kind, '' AS "column", '' AS detail, count(*) AS rows FROM jd UNION ALL SELECT 'rejected', '', '', count(reject_reason) FROM jd

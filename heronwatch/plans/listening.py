@@ -20,6 +20,9 @@ from .vectors import TEST_OF
 FIRST_NAMES = ["Ana", "Luis", "Marta", "Iker", "Sofia", "Pablo", "Elena", "Hugo"]
 LAST_NAMES = ["Soto", "Rivas", "Luna", "Prado", "Vega", "Campos", "Rojas", "Ibarra", "Nieto", "Salas", "Torres", "Mora", "Leal"]
 
+#: Clients whose names must not leave the notes.
+CLIENTS = ["Acme", "Acme Corp", "Nordwind", "Sol y Mar"]
+WITH_CLIENTS = "concat('For Acme Corp, not Acmes: Nordwind/Acme (P00042) and Sol y Mar. ', text)"
 #: Names at both ends of a text, two that touch, a part of one, one name within a longer word, one before a sign.
 PLANTED = "concat(name, ' met ', first, 'bel and ', other_first, ' ', name, ' ', other_last, '; ', other_name, '-', last, ', not ', last, 'mayor. ', text, ' ', other_name)"
 
@@ -37,6 +40,13 @@ def notes_redacted(spark, sf_dir):
     return _notes(spark, sf_dir).select("note_id", "hash", F.length("text").alias("length"), F.regexp_count("text", F.lit("\\[(ID|EMAIL|AMOUNT)\\]")).cast("long").alias("masks"))
 
 
+def clients_masked(spark, sf_dir):
+    """Client names of a list masked after the patterns, the longest first."""
+    text = redaction.masked_patterns(F.col("text"), CLIENTS)
+    out = staging(spark, sf_dir, "notes").select("note_id", F.expr(WITH_CLIENTS).alias("text")).select("note_id", text.alias("text"))
+    return out.select("note_id", redaction.content_hash(F.col("text")).alias("hash"), F.regexp_count("text", F.lit("\\[CLIENT\\]")).cast("long").alias("clients"), F.substring("text", 1, 70).alias("start"))
+
+
 def names_masked(spark, sf_dir):
     """Names of the directory planted in the notes, several to a note, and masked again."""
     pick = lambda names, c, n: F.element_at(F.array(*map(F.lit, names)), (F.floor(F.col(c) / n) % len(names) + 1).cast("int"))
@@ -176,7 +186,7 @@ def most_confused(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (notes_redacted, names_masked, notes_unread, readings_judged, quotes_with_masks, latest_readings, reading_quality, blind_spots, cards, cell_diff, cell_diff_local, notes_stream, classifier, loss_curve, confusion, most_confused)
+    for f in (notes_redacted, clients_masked, names_masked, notes_unread, readings_judged, quotes_with_masks, latest_readings, reading_quality, blind_spots, cards, cell_diff, cell_diff_local, notes_stream, classifier, loss_curve, confusion, most_confused)
 }
 
 _red = lambda t: f"regexp_replace(regexp_replace(regexp_replace({t}, '\\bP\\d{{5}}\\b', '[ID]', 'g'), '[\\w.+-]+@[\\w.-]+\\.\\w+', '[EMAIL]', 'g'), '{redaction.AMOUNT}', '[AMOUNT]', 'g')"
@@ -196,6 +206,10 @@ _sentences = lambda t: [x.strip() for x in re.split(delivery.SENTENCE_END, t) if
 _steps = "CASE rule " + " ".join(f"WHEN '{n}' THEN {_sentences(r['action'])}" for n, r in CATALOG["rules"].items()) + " END"
 SQL = {
     "notes_redacted": with_tables("SELECT note_id, hash, length(r) AS length, len(regexp_extract_all(r, '\\[(ID|EMAIL|AMOUNT)\\]'))::BIGINT AS masks FROM nr", "nr", extra=X),
+    "clients_masked": with_tables(
+        f"""SELECT note_id, substr(sha256(t), 1, 24) AS hash, len(regexp_extract_all(t, '\\[CLIENT\\]'))::BIGINT AS clients, substr(t, 1, 70) AS start
+        FROM (SELECT note_id, regexp_replace({_red('t0')}, '\\b(?:Acme Corp|Sol y Mar|Nordwind|Acme)\\b', '[CLIENT]', 'g') AS t FROM (SELECT note_id, {WITH_CLIENTS} AS t0 FROM notes))""", "notes",
+    ),
     "names_masked": with_tables(
         f"""SELECT note_id, substr(sha256(masked), 1, 24) AS hash, len(firsts)::INT AS matches, array_to_string(firsts, ',') AS names, substr(masked, 1, 60) AS start
         FROM (SELECT note_id, firsts, list_reduce(list_transform(list_zip(parts, list_append(found, '')), lambda z: CASE WHEN z[2] = '' THEN z[1] ELSE z[1] || '[PERSON_' || list_position(firsts, z[2]) || ']' END), lambda x, y: x || y) AS masked

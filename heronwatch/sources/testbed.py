@@ -97,6 +97,17 @@ DEFINITIONS["profiles"] = (
 )
 
 
+#: Visits as people write them down: dates in five forms, two that are none, and yes or no in many words.
+_visit = "CAST(year(o_orderdate) AS STRING) AS yy, CAST(month(o_orderdate) AS STRING) AS mm, CAST(day(o_orderdate) AS STRING) AS dd"
+DEFINITIONS["visits"] = (
+    ("orders",),
+    f"""SELECT _row, who, CASE _row % 7 WHEN 0 THEN yy || '-' || mm || '-' || dd WHEN 1 THEN dd || '/' || mm || '/' || yy WHEN 2 THEN dd || '-' || mm || '-' || yy WHEN 3 THEN yy || '/' || mm || '/' || dd
+        WHEN 4 THEN yy || '-' || mm || '-' || dd || ' 7:05:09' WHEN 5 THEN '31/02/' || yy ELSE dd || '/' || mm || '/' || substr(yy, 3, 2) END AS day_text,
+      CASE _row % 9 WHEN 0 THEN 'SI' WHEN 1 THEN 'sí' WHEN 2 THEN ' Yes ' WHEN 3 THEN '1' WHEN 4 THEN 'true' WHEN 5 THEN 'Verdadero' WHEN 6 THEN 'no' WHEN 7 THEN 'N/A' ELSE 'maybe' END AS kept_text
+    FROM (SELECT o_orderkey AS _row, 'P' || lpad(CAST(o_custkey AS STRING), 5, '0') AS who, {_visit} FROM {{orders}}) v""",
+)
+
+
 def staging(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables, sql = DEFINITIONS[name]
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
