@@ -16,9 +16,8 @@ At the first n-gram that a pair shares all three hold if it is similar, so none
 are confirmed once, on full sets.
 
 ``join`` wants components, and a link inside a component adds nothing. So lists are first compared
-with one of their sets (twice, the second time between components), and then, block by block, all
-their sets that are still in different components: every pair that could join two is confirmed, in
-lists of any size. ``links`` confirms all pairs instead.
+with two of their sets, and then, block by block, all their sets that are still in different
+components: every pair that could join two is confirmed, in lists of any size. ``links`` confirms all pairs instead.
 
 Null, empty and blank texts have an empty set and no links; very long texts count whole. Rows
 without doc_id are not compared (no component); rows that repeat a doc_id are one node; an empty
@@ -165,10 +164,10 @@ def _passes(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(size, other) >= percent * F.greatest(size, other)) & (F.least(left, right) >= need) & (apart <= size + other - 2 * need)
 
 
-def _starred(rows: DataFrame, percent: int, turn: int) -> DataFrame:
-    """(a, b): the sets of a list with its first and its last component's first set."""
+def _starred(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the sets of a list with two of them, the first and the last in an order by hash."""
     kept = ["node", "size", "pos", "c1", "c2"]
-    key = F.struct(F.xxhash64("component", F.lit(turn)).alias("order"), "component", F.xxhash64("node", F.lit(turn)).alias("tie"), *kept)
+    key = F.struct(F.xxhash64("node").alias("order"), "component", *kept)
     ends = rows.groupBy("shingle").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low.node <> high.node")
     ends = ends.select("shingle", F.explode(F.array("low", "high")).alias("h")).select("shingle", F.col("h.component").alias("hcomponent"), *[F.col(f"h.{c}").alias(f"h{c}") for c in kept])
     # Written, so that the join has an exchange of its own and long lists can be split.
@@ -284,11 +283,13 @@ class _Sets:
         known = Filter.of(ends)
         own = filled.join(self.sets.select("node", "s1", "s2"), ["s1", "s2"]).where("doc_id = node").select("node", F.col("n_shingles").alias("size"), "cells")
         self.cells = materialize(kept(own, "node", known).dropDuplicates(["node"]))
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-        self.texts = materialize(kept(texts, "doc_id", known).join(ends.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi"))
+        self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        return materialize(confirmed(pairs, self.texts, self.words, self.percent))
+        """The linked ones of ``pairs`` (written). Only texts of sets that are in a pair are exchanged."""
+        ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        texts = kept(self.texts, "doc_id", Filter.of(ends)).join(ends.hint("merge"), "doc_id", "left_semi")
+        return materialize(confirmed(pairs, materialize(texts), self.words, self.percent))
 
     def of(self, parts: DataFrame | None) -> DataFrame:
         """The lists with the component of each set."""
@@ -301,11 +302,11 @@ class _Sets:
         set that very many documents have can be split."""
         return self.rows.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "s1", "s2").hint("merge").join(self.sets.select("s1", "s2", "node"), ["s1", "s2"]).select("doc_id", "node")
 
-    def repeated(self) -> DataFrame:
+    @staticmethod
+    def repeated(documents: DataFrame) -> DataFrame:
         """(a, b): sets of one doc_id that rows with different texts share."""
-        own = materialize(self.of_documents())
-        several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
-        return own.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+        several = documents.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
+        return documents.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
 def links(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -317,17 +318,14 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     own = _Sets(docs, words, percent)
-    parts, tried = None, None
-    for step in range(3):
-        rows = materialize(own.of(parts))
-        pairs = _fitting(_starred(rows, percent, step), own.cells, percent) if step < 2 else _blocked(rows, own.cells.select("node", "cells"), percent)
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = own.confirmed(pairs)
-        if parts is not None:  # components stand for their links
-            found = found.unionByName(parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-        parts = materialize(components(found if step < 2 else found.unionByName(own.repeated())))
-    documents = own.of_documents().distinct().hint("merge").join(parts, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component"))
+    documents = materialize(own.of_documents())
+    first = materialize(_fitting(_starred(own.of(None), percent), own.cells, percent))
+    parts = materialize(components(own.confirmed(first)))
+    rest = materialize(_blocked(materialize(own.of(parts)), own.cells.select("node", "cells"), percent).join(first, ["a", "b"], "left_anti"))
+    # Components stand for the links that made them.
+    linked = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    parts = materialize(components(linked.unionByName(own.confirmed(rest)).unionByName(own.repeated(documents))))
+    documents = documents.hint("merge").join(parts, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component"))
     # A repeated doc_id with other texts has one component, the smallest of its sets and their links.
     out = own.rows.select("doc_id", "n_shingles").join(documents, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
