@@ -34,8 +34,8 @@ from .storage import materialize
 LEAST, LONGEST, TOP, INSIDE_PERCENT = 30, 4, 2_000, 80
 #: Shards: few, so that a shard's support stays above one; a power of two of them fits in a key.
 SHARDS, SHARD_BITS, LEVEL_BITS = 10, 4, 3
-#: Hashes that a task adds up at a time.
-HELD = 4_000_000
+#: Hashes that a task adds up at a time, sums that it hands on at a time, bytes of text that it counts at a time.
+HELD, SENT, COUNTED = 1_000_000, 100_000, 1 << 20
 #: Bytes: in a word, between words, between pieces.
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 32]] = 1
@@ -100,9 +100,10 @@ def _mined(source: DataFrame, levels: range, known: Filter | None, supports: lis
         have = Filter(sent.value) if sent else None
         held, n = [], 0
 
-        def added() -> pa.RecordBatch:
+        def added() -> Iterator[pa.RecordBatch]:
             keys, times = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times.astype(np.int64))], names=["key", "n"])
+            for a in range(0, len(keys), SENT):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + SENT].view(np.int64)), pa.array(times[a : a + SENT].astype(np.int64))], names=["key", "n"])
 
         for batch in pieces(batches, 0):
             data, offsets = text_buffers(batch.column(0))
@@ -116,10 +117,10 @@ def _mined(source: DataFrame, levels: range, known: Filter | None, supports: lis
                         held.append((hashed[ok] & U(~low & (1 << 64) - 1)) | U(k << SHARD_BITS) | own)
                         n += len(held[-1])
                 if n >= HELD:
-                    yield added()
+                    yield from added()
                     held, n = [], 0
         if n:
-            yield added()
+            yield from added()
         released()
 
     counts = source.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -138,7 +139,7 @@ def _counted(source: DataFrame, longest: int, known: Filter) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = Filter(sent.value)
-        for batch in pieces(batches, 0):
+        for batch in pieces(batches, 0, COUNTED):
             data, offsets = text_buffers(batch.column(0))
             langs = _lang_hashes(batch.column(1))
             words = Words(data, offsets, langs, twice=True)
