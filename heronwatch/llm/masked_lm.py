@@ -8,10 +8,10 @@ and there follows the corpus: its share of all words of that group. The score of
 the sum of the log-probabilities of all its words, each given both sides.
 
 What is gathered grows with the corpus: counts cover every word of every document, stay a
-table, and meet the rare words of the documents in a join. Training covers every document: in
-each of ``ROUNDS`` rounds a hash masks another part of all positions, each task takes gradient
-steps over its own and hands on the weights it moved, and averages by trained words, in two
-steps, start the next round. The driver holds the model and the known words, of fixed size.
+table, and meet the rare words of the documents in a join. Training covers every position of
+every document: in each of ``ROUNDS`` rounds a hash masks another part of them, and the rounds
+have all; each task takes gradient steps over its own and hands on the weights it moved, and
+averages by trained words, in two steps, start the next round. The driver holds the model and the known words, of fixed size.
 
 Words are maximal runs of bytes outside ASCII white space, lower-cased in A-Z. Null, empty and
 blank texts have no words, the sum 0 and a null mean; very long texts count whole; rows that
@@ -39,11 +39,9 @@ KNOWN, GROUP = 4_096, 64
 GROUPS, LENGTHS = KNOWN // GROUP, 8
 #: Kinds of words to the network: known ones, lengths of others, and no word.
 KINDS = KNOWN + LENGTHS + 1
-#: A position is trained in one of so many rounds ...
-PARTS = 4
-#: ... of which so many are done.
+#: Every position is trained in one of so many rounds.
 ROUNDS = 2
-BATCH = 4_096
+BATCH = 16_384
 RATE = 0.08
 #: Tasks whose weights meet in one task, about, before all meet.
 BINS = 256
@@ -105,9 +103,20 @@ def vocabulary(every: DataFrame) -> Vocabulary:
     return Vocabulary(hashes[order], order, np.log(mass / mass.sum()), np.log(inner / inner.sum(axis=1, keepdims=True)), rare)
 
 
-def _log_softmax(y: np.ndarray) -> np.ndarray:
-    y = y - y.max(axis=1, keepdims=True)
-    return y - np.log(np.exp(y).sum(axis=1, keepdims=True))
+def _softmax(y: np.ndarray) -> np.ndarray:
+    """In place."""
+    y -= y.max(axis=1, keepdims=True)
+    np.exp(y, out=y)
+    y /= y.sum(axis=1, keepdims=True)
+    return y
+
+
+def _log_softmax_at(y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of one column of each row; ``y`` is lost."""
+    y -= y.max(axis=1, keepdims=True)
+    own = y[np.arange(len(y)), at]
+    np.exp(y, out=y)
+    return own - np.log(y.sum(axis=1))
 
 
 class Network:
@@ -143,15 +152,15 @@ class Network:
         """Of each word's group and, for known words, of the word within it."""
         h = self.hidden(around)
         group = np.where(kind < KNOWN, kind // GROUP, kind - KNOWN + GROUPS)
-        out = _log_softmax(h @ self.out)[np.arange(len(kind)), group].astype(float)
+        out = _log_softmax_at(h @ self.out, group).astype(float)
         for g, at in _segments(kind):
-            out[at] += _log_softmax(h[at] @ self.inner[g])[np.arange(len(at)), kind[at] % GROUP]
+            out[at] += _log_softmax_at(h[at] @ self.inner[g], kind[at] % GROUP)
         return out
 
 
 def _segments(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Positions of the known words of each group."""
-    order = np.argsort(kind, kind="stable")
+    order = np.argsort(kind.astype(np.uint16), kind="stable")
     cuts = np.searchsorted(kind[order], np.arange(GROUPS + 1) * GROUP)
     for g in np.flatnonzero(np.diff(cuts)):
         yield int(g), order[cuts[g] : cuts[g + 1]]
@@ -173,25 +182,29 @@ class Trainer:
         net, n = self.net, len(kind)
         h = net.hidden(around)
         group = np.where(kind < KNOWN, kind // GROUP, kind - KNOWN + GROUPS)
-        y = np.exp(_log_softmax(h @ net.out))
+        y = _softmax(h @ net.out)
         y[np.arange(n), group] -= 1
         y /= n
         back = y @ net.out.T
         inner = []
         for g, at in _segments(kind):
-            own = np.exp(_log_softmax(h[at] @ net.inner[g]))
+            here = h[at]
+            own = _softmax(here @ net.inner[g])
             own[np.arange(len(at)), kind[at] % GROUP] -= 1
             own /= n
             back[at] += own @ net.inner[g].T
-            inner.append((g, h[at].T @ own))
+            inner.append((g, here.T @ own))
             self.as_output[g] += len(at)
         z = back[:, :HIDDEN] * (h[:, :HIDDEN] > 0)
-        scale = np.stack([(z * net.embed[around[j]]).sum(axis=0) for j in range(2 * REACH)])
+        scale = np.stack([np.einsum("ij,ij->j", z, net.embed[around[j]]) for j in range(2 * REACH)])
         # Sums of the gradients of each kind: sorted, then added up run by run.
-        flat = around.ravel()
+        flat = around.astype(np.uint16).ravel()
         order = np.argsort(flat, kind="stable")
-        rows, first, times = np.unique(flat[order], return_index=True, return_counts=True)
-        each = (z[None] * net.scale[:, None]).reshape(-1, HIDDEN)[order]
+        times = np.bincount(flat, minlength=KINDS)
+        rows = np.flatnonzero(times)
+        times = times[rows]
+        first = np.cumsum(times) - times
+        each = (z[None] * net.scale[:, None]).reshape(-1, HIDDEN).take(order, axis=0)
         self._move(0, net.embed, rows, np.add.reduceat(each, first, axis=0))
         self._move(1, net.scale, slice(None), scale)
         self._move(2, net.out, slice(None), h.T @ y)
@@ -263,7 +276,7 @@ def train(texts: DataFrame, vocab: Vocabulary) -> Network:
                     if not len(h):
                         continue
                     place = (np.arange(len(h)) - np.searchsorted(row, np.arange(row[-1] + 1))[row]).astype(np.uint64)
-                    at = np.flatnonzero(mix(h + place * U(0x9E3779B97F4A7C15)) % U(PARTS) == part)
+                    at = np.flatnonzero(mix(h + place * U(0x9E3779B97F4A7C15)) % U(ROUNDS) == part)
                     kind = vocab.look_up(h, length)
                     around = surroundings(kind, row, at)
                     for s in range(0, len(at), BATCH):

@@ -71,3 +71,11 @@ def test_gradients(corpus):
         down = loss()
         weights[at] = old
         assert (up - down) / 2e-3 == pytest.approx(want, rel=0.05, abs=2e-4)
+
+
+def test_every_position_is_trained(spark):
+    """Texts of two words of their own: the vector of each moves only where the other is trained."""
+    docs = spark.createDataFrame([(f"x{i} y{i}",) for i in range(2000)], "text string").coalesce(1)
+    vocab = lm.vocabulary(lm.counts(docs))
+    moved = (lm.train(docs, vocab).embed != lm.Network.start(vocab).embed).any(axis=1)
+    assert moved[:4000].all()
