@@ -60,7 +60,7 @@ class Filter:
 
         out = np.zeros(1 << (BITS - 3), np.uint8)
         places = keys.mapInArrow(dealt, "chunk int, place int").repartition("chunk")
-        for r in places.mapInArrow(packed, "chunk int, bits binary").toLocalIterator():  # of a fixed size
+        for r in places.mapInArrow(packed, "chunk int, bits binary").collect():  # of a fixed size
             out[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(r.bits, np.uint8)
         return Filter(out)
 

@@ -58,14 +58,21 @@ def _contract(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "u long, v long")
 
 
+def _done(edges: DataFrame) -> bool:
+    """Whether ``edges`` are stars: every u has one v, and no v is a u."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    roles = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+    return not roles.where("up > 1 OR (up > 0 AND least = 0)").agg(F.count("*")).first()[0]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in ``links`` (two long columns): the smallest reachable
     node, itself included. Rounds grow with the logarithm of the longest path."""
     a, b = links.columns[:2]
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    edges = materialize(_contract(edges))
-    state = None
-    while True:
+    # What was written comes back in fewer tasks, whose stars meet once more.
+    edges = materialize(_contract(materialize(_contract(edges))))
+    while not _done(edges):
         # Every larger neighbour of a node moves to the node's smallest neighbour ...
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written, so that the join below has an exchange of its own: the rows of a node with very many neighbours can be split.
@@ -76,9 +83,5 @@ def components(links: DataFrame) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = materialize(small.where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(roots)
