@@ -38,7 +38,7 @@ from .arrow import pieces, released
 from .bits import Filter, kept
 from .components import components
 from .hashing import U, chunks, mix, text_buffers
-from .minhash import confirmed, shingle_sets
+from .shingles import confirmed, shingle_sets
 from .storage import materialize
 
 #: Counters of n-grams, by hash: a byte for each goes to every task.
@@ -49,6 +49,18 @@ CELLS, FEW = 256, 16
 BLOCK = 1_000
 
 
+def cells_of(row: np.ndarray, shingle: np.ndarray, rows: int) -> np.ndarray:
+    """How many shingles of each of ``rows`` sets are in each cell."""
+    return np.bincount(row * CELLS + ((shingle >> U(8)) & U(CELLS - 1)).astype(np.int64), minlength=rows * CELLS).reshape(-1, CELLS)
+
+
+def packed_cells(cells: np.ndarray) -> list[pa.Array]:
+    """Columns c1, c2 (few) and cells."""
+    few = np.minimum(cells.reshape(len(cells), FEW, CELLS // FEW).sum(axis=2), 255).astype(np.uint8).view(np.int64)
+    packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CELLS), len(cells), [None, pa.py_buffer(np.minimum(cells, 255).astype(np.uint8).tobytes())])
+    return [pa.array(few[:, 0]), pa.array(few[:, 1]), packed.cast(pa.binary())]
+
+
 def _counted(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit hash of the set (s1, s2), its cells (few in c1 and c2); and,
     where chunk is not null, the counters of a task, in chunks."""
@@ -57,10 +69,8 @@ def _counted(docs: DataFrame, words: int) -> DataFrame:
         seen = np.zeros(1 << COUNTER_BITS, np.uint16)
 
         def rows(doc: pa.Array, n: np.ndarray, s1: np.ndarray, s2: np.ndarray, cells: np.ndarray, chunk: pa.Array, counters: pa.Array) -> pa.RecordBatch:
-            few = np.minimum(cells.reshape(len(cells), FEW, CELLS // FEW).sum(axis=2), 255).astype(np.uint8).view(np.int64)
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CELLS), len(cells), [None, pa.py_buffer(np.minimum(cells, 255).astype(np.uint8).tobytes())])
             return pa.RecordBatch.from_arrays(
-                [doc, pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(few[:, 0]), pa.array(few[:, 1]), packed.cast(pa.binary()), chunk, counters],
+                [doc, pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), *packed_cells(cells), chunk, counters],
                 names=["doc_id", "n_shingles", "s1", "s2", "c1", "c2", "cells", "chunk", "counters"],
             )
 
@@ -77,8 +87,7 @@ def _counted(docs: DataFrame, words: int) -> DataFrame:
                     starts = np.concatenate([[0], np.cumsum(count)])[filled]
                     s1[filled] = mix(np.add.reduceat(sh, starts) + count[filled].astype(np.uint64))
                     s2[filled] = mix(np.add.reduceat(mix(sh ^ U(0xABCDEF)), starts))
-                cells = np.bincount(row * CELLS + ((sh >> U(8)) & U(CELLS - 1)).astype(np.int64), minlength=(b - a) * CELLS).reshape(-1, CELLS)
-                yield rows(batch.column(0)[a:b], count.astype(np.int64), s1, s2, cells, pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary()))
+                yield rows(batch.column(0)[a:b], count.astype(np.int64), s1, s2, cells_of(row, sh, b - a), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary()))
         parts = seen.reshape(-1, 1 << CHUNK_BITS)
         full = np.flatnonzero(parts.any(axis=1))
         none = np.zeros(len(full), np.uint64)
@@ -103,7 +112,7 @@ def _levels(counters: DataFrame) -> np.ndarray:
         released()
 
     out, width = np.zeros(1 << COUNTER_BITS, np.uint8), 1 << CHUNK_BITS
-    for r in counters.repartition("chunk").mapInArrow(run, "chunk int, steps binary").toLocalIterator():  # of a fixed size
+    for r in counters.repartition("chunk").mapInArrow(run, "chunk int, steps binary").collect():  # of a fixed size
         out[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(r.steps, np.uint8)
     return out
 
@@ -164,7 +173,7 @@ def _passes(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(size, other) >= percent * F.greatest(size, other)) & (F.least(left, right) >= need) & (apart <= size + other - 2 * need)
 
 
-def _starred(rows: DataFrame, percent: int) -> DataFrame:
+def starred(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): the sets of a list with two of them, the first and the last in an order by hash."""
     kept = ["node", "size", "pos", "c1", "c2"]
     key = F.struct(F.xxhash64("node").alias("order"), "component", *kept)
@@ -210,7 +219,7 @@ def _unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
 
 
-def _fitting(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+def fitting(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` that pass the suffix filter on all cells."""
     side = lambda c: cells.select(F.col("node").alias(c), F.col("cells").alias(f"cells_{c}"), F.col("size").alias(f"size_{c}"))
     both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").select("a", "b", "size_a", "size_b", "cells_a", "cells_b")
@@ -226,7 +235,7 @@ def _fitting(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _blocked(rows: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+def blocked(rows: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of a list in different components that pass the filters. A long list is
     cut into blocks, and every two of them meet in one place. ``cells`` has those of each node."""
     several = materialize(rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle", "n"))
@@ -312,16 +321,16 @@ class _Sets:
 def links(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(a, b): all linked pairs of different sets, by the smallest doc_id of each, a < b."""
     own = _Sets(docs, words, percent)
-    return own.confirmed(_blocked(own.of(None), own.cells.select("node", "cells"), percent))
+    return own.confirmed(blocked(own.of(None), own.cells.select("node", "cells"), percent))
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     own = _Sets(docs, words, percent)
     documents = materialize(own.of_documents())
-    first = materialize(_fitting(_starred(own.of(None), percent), own.cells, percent))
+    first = materialize(fitting(starred(own.of(None), percent), own.cells, percent))
     parts = materialize(components(own.confirmed(first)))
-    rest = materialize(_blocked(materialize(own.of(parts)), own.cells.select("node", "cells"), percent).join(first, ["a", "b"], "left_anti"))
+    rest = materialize(blocked(materialize(own.of(parts)), own.cells.select("node", "cells"), percent).join(first, ["a", "b"], "left_anti"))
     # Components stand for the links that made them.
     linked = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     parts = materialize(components(linked.unionByName(own.confirmed(rest)).unionByName(own.repeated(documents))))

@@ -8,11 +8,10 @@ prefixes count; where many do, the nearest rows are those that share the longest
 confirmed on full sets: first the best one of each set, then those that would join two components.
 
 A region where more labels share the least prefix than a row has neighbours is crowded. There the
-order goes by whole sets: similar sets share one of their rarest shingles, so every crowded set
-stands in one order for each of them, next to the others that have it (``crowd_sets``). Where few
-have a shingle all of them meet; where many do, each set meets its neighbours in as many chance
-orders as it has rare shingles, in rounds with new orders until a round links nothing more. Sets
-of one component need no more links.
+join goes by whole sets, and is exact: similar sets share one of their rarest shingles, so every
+crowded set stands in the list of each of them (``crowd_sets``), and lists are compared as in
+``jaccard``: first with two of their sets, together with the best candidates, then all pairs that
+are still in different components, block by block, in lists of any size.
 
 Equal sets are one node, so copies make no pairs. Null, empty and blank texts have an empty
 set and no links; very long texts count whole. Rows without doc_id are not compared; rows that
@@ -31,57 +30,20 @@ from pyspark.sql import functions as F
 
 from .arrow import pieces, released
 from .components import components
-from .hashing import U, chunks, lower_ascii, mix, text_buffers, word_bounds, word_hashes
+from .hashing import U, chunks, mix, text_buffers
+from .jaccard import blocked, cells_of, fitting, packed_cells, starred
+from .shingles import confirmed, shingle_sets
 from .storage import materialize, shielded, unshielded
 
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
 #: Rows after a row, in each order, that become its candidates; regions of more are crowded.
 NEAREST = 6
-#: Sets that meet at a shingle of a crowd: so many after each, in lists of about so many.
-IN_LIST, LIST = 3, 1_000
 #: Marks in column b: a row at the edge of a partition, a row of a crowded region.
 EDGE, CROWD = -1, -2
 _rng = np.random.default_rng(77)
 _FACTORS = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * U(2) + U(1)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct shingles of every row, sorted by row and hash.
-
-    A row with fewer words than a shingle has one: the whole sequence.
-    """
-    low = lower_ascii(data)
-    start, end, row = word_bounds(low, offsets)
-    h = word_hashes(low, start, end)
-    n = len(h)
-    rows = len(offsets) - 1
-    counts = np.bincount(row, minlength=rows)
-    parts_r, parts_h = [], []
-    if n >= words:
-        whole = row[: n - words + 1] == row[words - 1 :]
-        s = np.zeros(n - words + 1, np.uint64)
-        for k in range(words):
-            s = s * U(0x9E3779B97F4A7C15) + h[k : k + len(s)]
-        parts_r.append(row[: len(s)][whole])
-        parts_h.append(mix(s[whole]))
-    first = np.concatenate([[0], np.cumsum(counts)])
-    for r in np.flatnonzero((counts > 0) & (counts < words)):
-        s = U(counts[r])
-        with np.errstate(over="ignore"):
-            for x in h[first[r] : first[r + 1]]:
-                s = s * U(0x9E3779B97F4A7C15) + x
-        parts_r.append(np.array([r]))
-        parts_h.append(mix(np.array([s])))
-    if not parts_r:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    row, sh = np.concatenate(parts_r), np.concatenate(parts_h)
-    order = np.lexsort((sh, row))
-    row, sh = row[order], sh[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (sh[1:] != sh[:-1])
-    return row[new], sh[new]
-
-
 def features(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit hash of the set (s1, s2) and its labels."""
 
@@ -184,9 +146,9 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, crowd
 
 
-def crowd_sets(crowd: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, size, shingle, n): the rarest shingles of each set of ``crowd`` (node), those that
-    several of its sets have; n counts them.
+def crowd_sets(crowd: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(shingle, node, size, pos, c1, c2): the rarest shingles of each set of ``crowd`` (node), those
+    that several of its sets have, with their places in the order; and (node, size, cells) of each set.
 
     Shingles have one order for all sets, the rarest first. Similar sets share percent of the
     larger one at least, so they share one of the first size - percent * size + 1 of each.
@@ -195,56 +157,21 @@ def crowd_sets(crowd: DataFrame, texts: DataFrame, words: int, percent: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1, 1 << 20):
             row, sh = shingle_sets(*text_buffers(batch.column(1)), words)
-            size = np.bincount(row, minlength=batch.num_rows)[row]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(size), pa.array(sh.view(np.int64))], names=["node", "size", "shingle"])
-
-    rows = crowd.join(texts.select(F.col("doc_id").alias("node"), "text"), "node").select("node", "text").mapInArrow(run, "node long, size long, shingle long")
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            each = pa.ListArray.from_arrays(pa.array(ends), pa.array(sh.view(np.int64)))
+            cells = packed_cells(cells_of(row, sh, batch.num_rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), *cells, each], names=["node", "size", "c1", "c2", "cells", "each"])
+
+    own = crowd.join(texts.select(F.col("doc_id").alias("node"), "text"), "node").select("node", "text")
+    own = materialize(own.mapInArrow(run, "node long, size int, c1 long, c2 long, cells binary, each array<long>"))
+    # Rows that repeat a doc_id with other texts are one node with several sets.
+    own = own.withColumn("set", F.xxhash64("each")).dropDuplicates(["node", "set"])
+    rows = own.select("node", "set", "size", F.explode("each").alias("shingle"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("n"))
-    sets = rows.join(often, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))
+    sets = rows.join(often, "shingle").groupBy("node", "set", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))
     first = (F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100) + 1).cast("int")
-    return sets.select("node", "size", F.explode(F.slice("all", 1, first)).alias("x")).where("x.n > 1").select("node", "size", "x.shingle", "x.n")
-
-
-def crowd_pairs(sets: DataFrame, parts: DataFrame, percent: int, turn: int) -> DataFrame:
-    """(a, b): sets of different components that are next to each other among those that have a
-    shingle, in an order of the ``turn``'s own. ``parts`` has node and component."""
-    rows = sets.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # Very many are dealt out over several lists, and in other ways the next time.
-    tie = F.xxhash64("shingle", "node", F.lit(turn))
-    rows = rows.withColumn("tie", tie).withColumn("list", F.pmod(F.col("tie"), F.ceil(F.col("n") / LIST)))
-    w = Window.partitionBy("shingle", "list").orderBy("tie")
-    other = F.struct("node", "component", "size")
-    after = [f"o{k}" for k in range(1, IN_LIST + 1)]
-    met = rows.select("node", "component", "size", *[F.lead(other, k).over(w).alias(o) for k, o in enumerate(after, 1)])
-    met = met.select("node", "component", "size", F.explode(F.array(*after)).alias("o")).where("o IS NOT NULL")
-    fits = 100 * F.least("size", "o.size") >= percent * F.greatest("size", "o.size")
-    return met.where((F.col("component") != F.col("o.component")) & fits).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets are similar: 100 * |A & B| >= percent * |A | B|."""
-    joined = (
-        pairs.select("a", "b").hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").hint("merge")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2):
-            keep = np.zeros(batch.num_rows, bool)
-            for first in range(0, batch.num_rows, 64):
-                part = batch.slice(first, 64)
-                sides = []
-                for c in (2, 3):
-                    data, offsets = text_buffers(part.column(c))
-                    row, sh = shingle_sets(data, offsets, words)
-                    sides.append((sh, np.searchsorted(row, np.arange(part.num_rows + 1))))
-                for i in range(part.num_rows):
-                    x, y = (s[at[i] : at[i + 1]] for s, at in sides)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[first + i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
-
-    return joined.mapInArrow(run, "a long, b long")
+    sets = sets.select("node", "set", F.posexplode(F.slice("all", 1, first)).alias("pos", "x")).where("x.n > 1")
+    return sets.join(own.select("node", "set", "size", "c1", "c2"), ["node", "set"]).select("x.shingle", "node", "size", "pos", "c1", "c2"), own.select("node", "size", "cells")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -259,24 +186,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     texts = materialize(texts.join(ends.hint("merge"), "doc_id", "left_semi"))  # ends grow with the corpus: no broadcast
     each = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "support"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "support"))).alias("e")).select("e.*")
     best = each.groupBy("x").agg(F.max(F.struct("support", (-F.col("y")).alias("y"))).alias("m")).select("x", (-F.col("m.y")).alias("y"))
-    first = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = materialize(confirmed(first, texts, words, percent))
-    parts = materialize(components(links))
+    first = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    crowded = bool(crowd.take(1))
+    if crowded:
+        lists, cells = crowd_sets(crowd, texts, words, percent)
+        lists = materialize(lists)
+        first = first.unionByName(fitting(starred(lists.withColumn("component", F.col("node")), percent), cells, percent))
+    first = materialize(first.distinct())
+    parts = materialize(components(confirmed(first, texts, words, percent)))
     of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    rest = (
-        pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    )
-    more = materialize(confirmed(rest, texts, words, percent))
+    rest = pairs.select("a", "b")
+    if crowded:  # the lists have all pairs of two crowded sets
+        inside = lambda c: crowd.select(F.col("node").alias(c), F.lit(True).alias(f"in{c}"))
+        rest = rest.join(inside("a"), "a", "left").join(inside("b"), "b", "left").where("ina IS NULL OR inb IS NULL").select("a", "b")
+    rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    if crowded:
+        now = lists.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rest = rest.unionByName(blocked(materialize(now), cells.select("node", "cells"), percent))
+    more = confirmed(materialize(rest.join(first, ["a", "b"], "left_anti")), texts, words, percent)
     # Components stand for the links that made them.
-    links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    if crowd.take(1):
-        parts = materialize(components(links))
-        own, turn = materialize(crowd_sets(crowd, texts, words, percent)), 0
-        while (found := materialize(confirmed(crowd_pairs(own, parts, percent, turn), texts, words, percent))).take(1):
-            parts = materialize(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)))
-            turn += 1
-        links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    links = materialize(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     # Copies of a set hang on its smallest document; a repeated doc_id joins the sets of its rows.
     same = filled.join(sets.select("s1", "s2", "node"), ["s1", "s2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     final = components(links.unionByName(same.distinct()))
