@@ -235,9 +235,20 @@ def fitting(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def blocked(rows: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of a list in different components that pass the filters. A long list is
-    cut into blocks, and every two of them meet in one place. ``cells`` has those of each node."""
+def _nearest(component: np.ndarray, cells: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) the one of each component whose cells differ least."""
+    own = np.concatenate([component[i], component[j]])
+    order = np.lexsort((np.tile(_apart(cells, i, cells, j), 2), own))
+    head = np.ones(len(own), bool)
+    head[1:] = own[order][1:] != own[order][:-1]
+    at = np.unique(order[head] % max(len(i), 1))
+    return i[at], j[at]
+
+
+def blocked(rows: DataFrame, cells: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
+    """(a, b): all pairs of a list in different components that pass the filters, or of those the
+    nearest one of each component. A long list is cut into blocks, and every two of them meet in
+    one place. ``cells`` has those of each node."""
     several = materialize(rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle", "n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = rows.hint("merge").join(several, "shingle").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -252,6 +263,8 @@ def blocked(rows: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
             keys = np.stack([own[c] for c in key], axis=1)
             own["cells"] = _unpacked(t.column("cells"))
             i, j = _near(keys, own["block"], own, percent)
+            if nearest:
+                i, j = _nearest(own["component"], own["cells"], i, j)
             x, y = own["node"][i], own["node"][j]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 

@@ -193,7 +193,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         lists = materialize(lists)
         first = first.unionByName(fitting(starred(lists.withColumn("component", F.col("node")), percent), cells, percent))
     first = materialize(first.distinct())
-    parts = materialize(components(confirmed(first, texts, words, percent)))
+    links = materialize(confirmed(first, texts, words, percent))
+    parts = materialize(components(links))
+    if crowded:  # the nearest set of each component first: most of a large group is then one, and needs no more links
+        own = cells.select("node", "cells")
+        placed = lambda parts: materialize(lists.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        near = materialize(blocked(placed(parts), own, percent, nearest=True).join(first, ["a", "b"], "left_anti"))
+        first = first.unionByName(near)
+        parts = materialize(components(links.unionByName(confirmed(near, texts, words, percent))))
     of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     rest = pairs.select("a", "b")
     if crowded:  # the lists have all pairs of two crowded sets
@@ -201,8 +208,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         rest = rest.join(inside("a"), "a", "left").join(inside("b"), "b", "left").where("ina IS NULL OR inb IS NULL").select("a", "b")
     rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     if crowded:
-        now = lists.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rest = rest.unionByName(blocked(materialize(now), cells.select("node", "cells"), percent))
+        rest = rest.unionByName(blocked(placed(parts), own, percent))
     more = confirmed(materialize(rest.join(first, ["a", "b"], "left_anti")), texts, words, percent)
     # Components stand for the links that made them.
     links = materialize(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
