@@ -7,7 +7,8 @@ Units are words or bytes. The work has four steps, none of which compares pairs
    of the task share is sent once. Buckets tell which hashes stand in several documents.
 2. *Runs.* Around those anchors, windows are grouped into runs that share their smallest
    inner gram. Of equal runs in a batch, only that of the smallest document is sent, once with
-   all its places; the others recur for sure.
+   all its places; the others recur for sure. A task sends the runs of a bucket of grams as one
+   compressed row.
 3. *Extension.* Runs meet by gram with their content. Equal contents are one; the caller finds
    the equal windows of those that differ, so every match is of the content itself.
 4. The windows found become removed units of the document.
@@ -44,9 +45,12 @@ SAMPLE_OF, HOT_IN_SAMPLE, MOST_HOT = 64, 30, 50_000
 BLOCK_RUNS = 2_000
 #: Bytes of text for each bucket of anchors.
 BUCKET_BYTES = 2 << 20
+#: Bytes of text for each bucket of runs: the runs of a bucket are unpacked in one place.
+RUN_BUCKET_BYTES = 16 << 20
 #: Bytes of text whose anchors a task packs at a time.
 SLICE_BYTES = 12 << 20
 GRAM_MASK = U((1 << 63) - 1)
+CODEC = pa.Codec("zstd", compression_level=3)
 #: Bits that tell the anchors of one document apart; a false hit costs a look-up, no more.
 OWN_MASK = U((1 << 32) - 1)
 #: Bits of an anchor hash within its bucket.
@@ -317,16 +321,50 @@ def hot_grams(texts: DataFrame, shape: Shape) -> np.ndarray:
     return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
-RUNS = "part long, gram long, key long, tag int, n int, at array<int>, content binary"
+def _packed_runs(part: np.ndarray, key: np.ndarray, tag: np.ndarray, n: np.ndarray, places: pa.ListArray, contents: list[bytes]) -> bytes:
+    """The runs of one bucket; column by column they compress better than rows."""
+    at = places.flatten().to_numpy()
+    columns = [
+        np.array([len(part), len(at)], "<u4").tobytes(), _planes(part, "<u4"), _planes(np.diff(key, prepend=0)), _planes(tag, "<i4"), _planes(n, "<u4"),
+        _planes(places.value_lengths().to_numpy(), "<u4"), _planes(np.array([len(c) for c in contents]), "<u4"), _planes(at, "<u4"), *contents,
+    ]
+    raw = b"".join(columns)
+    return np.array([len(raw)], "<u8").tobytes() + CODEC.compress(raw, asbytes=True)
 
 
-def runs(texts: DataFrame, shared: DataFrame, shape: Shape) -> DataFrame:
-    """(part, gram, key, tag, n, at, content): runs of windows over the shared anchors of each
-    document, ``at`` being the places where it has them; runs that can meet have one ``part``.
+def _unpacked_runs(packed: bytes) -> pa.RecordBatch:
+    """(part, key, tag, n, at, content) of what ``_packed_runs`` gave."""
+    raw = CODEC.decompress(packed[8:], int(np.frombuffer(packed, "<u8", 1)[0]), asbytes=True)
+    rows, places = np.frombuffer(raw, "<u4", 2).tolist()
+    first = 8
 
-    What recurs for sure is one row for each document of a batch, with a null gram and the start
-    and end of each span in ``at``.
+    def column(count: int, width: int) -> np.ndarray:
+        nonlocal first
+        first += count * width
+        return _from_planes(raw[first - count * width : first], f"<u{width}").astype(np.int64)
+
+    part, key, tag, n, times, sizes = (column(rows, w) for w in (4, 8, 4, 4, 4, 4))
+    at = column(places, 4)
+    offsets = lambda x: np.concatenate([[0], np.cumsum(x)]).astype(np.int32)
+    content = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets(sizes)), pa.py_buffer(raw[first:])])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part), pa.array(np.cumsum(key)), pa.array(tag.astype(np.uint32).view(np.int32)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets(times)), pa.array(at.astype(np.int32))), content],
+        names=["part", "key", "tag", "n", "at", "content"],
+    )
+
+
+RUNS = "bucket int, packed binary, key long, tag int, at array<int>"
+
+
+def runs(texts: DataFrame, shared: DataFrame, shape: Shape, buckets: int) -> DataFrame:
+    """(bucket, packed, ...): runs of windows over the shared anchors of each document with the
+    places where it has them, in one row for each bucket of a batch; runs that can meet have one
+    ``part``, and so one bucket. ``buckets`` is a power of two.
+
+    What recurs for sure is one row for each document of a batch: key, tag and the start and end
+    of each span in ``at``, with nothing packed.
     """
+    mask = U((buckets << VALUE_BITS) - 1)
     hot = hot_grams(texts, shape)
     lists = shared.groupBy("key").agg(F.collect_list("value").alias("values"))
     joined = texts.join(lists, "key").select("key", "tag", "text", "values")
@@ -368,10 +406,10 @@ def runs(texts: DataFrame, shared: DataFrame, shape: Shape) -> DataFrame:
                     part_of = np.where(many, mix(ranges(prefix(values), lo, lo + shape.window)) & GRAM_MASK, g)
                 base = int(offsets[a])
                 contents += [raw[base + x : base + y] for x, y in zip(start[lo].tolist(), end[lo + n + shape.window - 2].tolist(), strict=True)]
-                found.append((part_of, g, row + a, lo - own[row], n))
+                found.append((part_of, row + a, lo - own[row], n))
             if not contents:
                 continue
-            part_of, g, row, lo, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            part_of, row, lo, n = (np.concatenate(x) for x in zip(*found, strict=True))
             key = keys.to_numpy(zero_copy_only=False)[row]
             ids: dict[bytes, int] = {}
             cls = np.array([ids.setdefault(c, len(ids)) for c in contents])
@@ -385,23 +423,30 @@ def runs(texts: DataFrame, shared: DataFrame, shape: Shape) -> DataFrame:
             head[1:] = (cls[own][1:] != cls[own][:-1]) | (row[own][1:] != row[own][:-1])
             heads = own[head]
             places = _lists(np.cumsum(head) - 1, lo[own], len(heads))
-            take = pa.array(row[heads])
+            tag = tags.to_numpy(zero_copy_only=False)[row]
+            value = part_of[heads] & mask
+            bucket = (value % U(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            ids, starts = np.unique(bucket[order], return_index=True)
+            ends = np.append(starts[1:], len(order))
+            heads, value, places = heads[order], value[order] // U(buckets), places.take(pa.array(order))
+            packed = []
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                one = heads[s:e]
+                packed.append(_packed_runs(value[s:e], key[one], tag[one], n[one], places[s:e], [contents[i] for i in one.tolist()]))
+            none = lambda kind: pa.nulls(len(ids), kind)  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
-                [
-                    *(pa.array(x[heads].view(np.int64)) for x in (part_of, g)), keys.take(take), tags.take(take), pa.array(n[heads].astype(np.int32)), places,
-                    pa.array([contents[i] for i in heads.tolist()], pa.binary()),
-                ],
-                names=["part", "gram", "key", "tag", "n", "at", "content"],
+                [pa.array(ids), pa.array(packed, pa.binary()), none(pa.int64()), none(pa.int32()), none(pa.list_(pa.int32()))],
+                names=["bucket", "packed", "key", "tag", "at"],
             )
             if later.any():
                 r, start, end = _merged(row[later], lo[later], lo[later] + n[later] - 1 + shape.window)
                 docs, group = np.unique(r, return_inverse=True)
-                spread = mix(keys.to_numpy(zero_copy_only=False)[docs].view(np.uint64)).view(np.int64)
-                none = lambda kind: pa.nulls(len(docs), kind)  # noqa: B023, E731
+                spread = (mix(keys.to_numpy(zero_copy_only=False)[docs].view(np.uint64)) % U(buckets)).astype(np.int32)
                 take = pa.array(docs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(spread), none(pa.int64()), keys.take(take), tags.take(take), none(pa.int32()), _lists(group, np.stack([start, end], axis=1), len(docs)), none(pa.binary())],
-                    names=["part", "gram", "key", "tag", "n", "at", "content"],
+                    [pa.array(spread), pa.nulls(len(docs), pa.binary()), keys.take(take), tags.take(take), _lists(group, np.stack([start, end], axis=1), len(docs))],
+                    names=["bucket", "packed", "key", "tag", "at"],
                 )
 
     return joined.mapInArrow(run, RUNS)
@@ -431,9 +476,8 @@ def _starts(n: np.ndarray) -> np.ndarray:
     return np.cumsum(n) - n
 
 
-def _block(rows: list[pa.RecordBatch], shape: Shape, equal_windows: Callable) -> pa.RecordBatch:
+def _block(t: pa.Table, shape: Shape, equal_windows: Callable) -> pa.RecordBatch:
     """Spans of the windows of whole groups that a smaller document has, too."""
-    t = pa.Table.from_batches(rows)
     n, key, part = (t.column(c).to_numpy() for c in ("n", "key", "part"))
     ids: dict[bytes, int] = {}
     one = np.array([ids.setdefault(c, len(ids)) for c in t.column("content").to_pylist()])  # equal contents are one
@@ -465,33 +509,37 @@ def extended(every: DataFrame, shape: Shape, equal_windows: Callable) -> DataFra
     ``equal_windows(contents, n)`` gives a class number for every window, run after run.
     """
 
+    def met(packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """Of all runs of a bucket, a block of whole groups at a time."""
+        t = pa.Table.from_batches([_unpacked_runs(x) for x in packed]).combine_chunks()
+        order = np.argsort(t.column("part").to_numpy(), kind="stable")
+        t = t.take(pa.array(order))
+        part = t.column("part").to_numpy()
+        first = 0
+        while first < len(part):
+            last = int(np.searchsorted(part, part[min(first + BLOCK_RUNS, len(part)) - 1], "right"))
+            yield _block(t.slice(first, last - first), shape, equal_windows)
+            first = last
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+        held: list[bytes] = []
+        at = None
         for batch in batches:
-            sure = pc.is_null(batch.column("gram"))
+            sure = pc.is_null(batch.column("packed"))
             if sure.true_count:
                 yield batch.filter(sure).select(["key", "tag", "at"])
                 batch = batch.filter(pc.invert(sure))
-            part = batch.column("part").to_numpy()
-            first = 0
-            for cut in [*range(BLOCK_RUNS, batch.num_rows, BLOCK_RUNS), batch.num_rows]:
-                cut = int(np.searchsorted(part[first:], part[cut - 1], "left")) + first if cut < batch.num_rows else cut
-                piece = batch.slice(first, cut - first)
-                if not piece.num_rows:
-                    continue
-                # What is held ends with a whole group, unless its last group goes on here.
-                if held and size >= BLOCK_RUNS and held[-1].column("part")[-1].as_py() != piece.column("part")[0].as_py():
-                    yield _block(held, shape, equal_windows)
-                    held, size = [], 0
-                held.append(piece)
-                size += piece.num_rows
-                first = cut
+            for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                if held and bucket != at:
+                    yield from met(held)
+                    held = []
+                at = bucket
+                held.append(packed)
         if held:
-            yield _block(held, shape, equal_windows)
+            yield from met(held)
         released()
 
-    return every.repartition("part").sortWithinPartitions("part").mapInArrow(run, SPANS)
+    return every.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, SPANS)
 
 
 def copies(texts: DataFrame) -> DataFrame:
@@ -512,13 +560,13 @@ def spans(texts: DataFrame, shape: Shape, equal_windows: Callable) -> DataFrame:
     what ``keyed`` returns. Copies of a text need no search: all of it recurs.
     """
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 << max(8, (total // BUCKET_BYTES).bit_length())
+    buckets, run_buckets = (1 << max(8, (total // x).bit_length()) for x in (BUCKET_BYTES, RUN_BUCKET_BYTES))
     again = copies(texts)
     # Texts are dealt out by key once; the condition on tag is no equality, so that this stays
     # the one exchange of texts that all joins by key share.
     a = again.select(F.col("key").alias("a_key"), F.col("tag").alias("a_tag"))
     searched = texts.join(a, (F.col("key") == F.col("a_key")) & (F.col("tag") <= F.col("a_tag")) & (F.col("tag") >= F.col("a_tag")), "left_anti")
-    every = runs(searched, shared_anchors(searched, shape, buckets), shape)
+    every = runs(searched, shared_anchors(searched, shape, buckets), shape, run_buckets)
     return extended(every, shape, equal_windows).unionByName(again.select("key", "tag", F.array(F.lit(0), F.col("bytes")).alias("at")))
 
 
