@@ -13,7 +13,8 @@ share one are compared. A pair is a candidate where it passes, at some shared n-
   row of a list; ``CELLS`` of them are looked at once for each pair.
 
 At the first n-gram that a pair shares all three hold if it is similar, so none is lost. Candidates
-are confirmed once, on full sets.
+are confirmed once, on full sets. In a larger corpus more of the rare n-grams are shared by chance,
+so a set leaves a list, unless that is long, where no other set of it passes the filters with it.
 
 ``join`` wants components, and a link inside a component adds nothing. So lists are first compared
 with two of their sets, and then, block by block, all their sets that are still in different
@@ -47,6 +48,8 @@ COUNTER_BITS, CHUNK_BITS = 23, 16
 CELLS, FEW = 256, 16
 #: Sets of a list that are compared with each other in one place.
 BLOCK = 1_000
+#: Lists of so many rows at most lose the sets that pass with no other.
+SHORT = 128
 
 
 def cells_of(row: np.ndarray, shingle: np.ndarray, rows: int) -> np.ndarray:
@@ -157,10 +160,57 @@ def _prefixes(docs: DataFrame, words: int, percent: int, levels: np.ndarray) ->
 def lists(docs: DataFrame, sets: DataFrame, words: int, percent: int, levels: np.ndarray) -> DataFrame:
     """shingle, node, size, pos, c1, c2: the sets that share an n-gram of their prefixes."""
     rows = materialize(_prefixes(docs.where("doc_id IS NOT NULL"), words, percent, levels))
-    shared = materialize(rows.groupBy("shingle").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("shingle"))
+    shared = materialize(rows.groupBy("shingle").agg(F.min("s1").alias("low"), F.max("s1").alias("high"), F.count("*").alias("n")).where("low <> high").select("shingle", "n"))
     # Most n-grams of most prefixes are in one set only: few rows are left to exchange.
-    rows = kept(rows, "shingle", Filter.of(shared)).hint("merge").join(shared, "shingle", "left_semi")
-    return materialize(rows.dropDuplicates(["shingle", "s1", "s2"]).join(sets, ["s1", "s2"]).select("shingle", "node", "size", "pos", "c1", "c2"))
+    rows = kept(rows, "shingle", Filter.of(shared.select("shingle"))).hint("merge").join(shared, "shingle")
+    met = rows.dropDuplicates(["shingle", "s1", "s2"]).join(sets, ["s1", "s2"]).select("shingle", "node", "size", "pos", "c1", "c2", "n")
+    return materialize(partnered(met, percent))
+
+
+def _pass_with(size: np.ndarray, pos: np.ndarray, few: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the rows ``i`` and ``j`` of a list pass the three filters with each other."""
+    both = size[i] + size[j]
+    need = -(-percent * both // (100 + percent))
+    ok = (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need)
+    at = np.flatnonzero(ok)
+    ok[at] = np.abs(few[i[at]] - few[j[at]]).sum(axis=1) <= (both - 2 * need)[at]
+    return ok
+
+
+def partnered(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of lists without those of short lists that pass the filters with no other set of it;
+    ``n`` is the length of the list or more. The rows of a long list stay, dealt out one by one."""
+
+    def partners(t: pa.Table) -> pa.Table:
+        shingle, size, pos = (t.column(c).to_numpy().astype(np.int64) for c in ("shingle", "size", "pos"))
+        few = np.stack([t.column(c).to_numpy() for c in ("c1", "c2")], axis=1).view(np.uint8).astype(np.int16)
+        keep, at, k = np.zeros(len(shingle), bool), np.arange(len(shingle)), 1
+        while len(at := at[at + k < len(shingle)]) and len(at := at[shingle[at] == shingle[at + k]]):
+            found = at[_pass_with(size, pos, few, at, at + k, percent)]
+            keep[found] = keep[found + k] = True
+            k += 1
+        return t.filter(pa.array(keep))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            short = batch.column("n").to_numpy() <= SHORT
+            yield batch.filter(pa.array(~short))
+            now = pa.Table.from_batches([batch.filter(pa.array(short))])
+            now = now if last is None else pa.concat_tables([last, now])
+            if not now.num_rows:
+                continue
+            shingle = now.column("shingle").to_numpy()
+            whole = int(np.searchsorted(shingle, shingle[-1], "left"))
+            if whole:
+                yield from partners(now.slice(0, whole)).to_batches()
+            last = now.slice(whole)
+        if last is not None and last.num_rows:
+            yield from partners(last).to_batches()
+        released()
+
+    dealt = rows.repartition("shingle", F.when(F.col("n") > SHORT, F.xxhash64("node")))
+    return dealt.sortWithinPartitions("shingle").mapInArrow(run, rows.schema).drop("n")
 
 
 def _passes(x: str, y: str, percent: int) -> Column:

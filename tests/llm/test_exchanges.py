@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heronwatch.llm import passages, repeats, suffixes
+from heronwatch.llm import jaccard, passages, repeats, suffixes
 
 
 @pytest.mark.parametrize("module", [suffixes, passages])
@@ -26,3 +26,21 @@ def test_runs_are_exchanged_packed(spark, module):
             contents += len(run["content"])
         sent += len(r.packed)
     assert contents > 100_000 and sent < contents / 2
+
+
+def test_chance_sharing_leaves_lists(spark, monkeypatch):
+    """Lists of op12 keep the sets that can be similar, not those that share an n-gram by chance;
+    links stay those of brute force, with lists taken as short or long."""
+    rng = np.random.default_rng(8)
+    texts = [[f"w{x}" for x in rng.integers(0, 25, rng.integers(40, 300))] for _ in range(500)]
+    texts += [t[:-1] + ["end"] for t in texts[:30]]
+    sets = [{tuple(t[k : k + 3]) for k in range(len(t) - 2)} for t in texts]
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    own = jaccard._Sets(docs, 3, 90)
+    assert len(want) >= 30 and {i for pair in want for i in pair} <= {r.node for r in own.lists.select("node").collect()}
+    assert own.cells.count() < len(texts) / 2
+    assert {(r.a, r.b) for r in jaccard.links(docs, 3, 90).collect()} == want
+    monkeypatch.setattr(jaccard, "SHORT", 2)
+    assert jaccard._Sets(docs, 3, 90).cells.count() > len(texts) / 2
+    assert {(r.a, r.b) for r in jaccard.links(docs, 3, 90).collect()} == want
