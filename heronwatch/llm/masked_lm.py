@@ -43,6 +43,8 @@ KINDS = KNOWN + LENGTHS + 1
 ROUNDS = 2
 BATCH = 16_384
 RATE = 0.08
+#: Logits of a batch that differ by less are shifted alike.
+SPAN = 60
 #: Tasks whose weights meet in one task, about, before all meet.
 BINS = 256
 
@@ -103,20 +105,27 @@ def vocabulary(every: DataFrame) -> Vocabulary:
     return Vocabulary(hashes[order], order, np.log(mass / mass.sum()), np.log(inner / inner.sum(axis=1, keepdims=True)), rare)
 
 
-def _softmax(y: np.ndarray) -> np.ndarray:
-    """In place."""
-    y -= y.max(axis=1, keepdims=True)
+def _shift(y: np.ndarray) -> None:
+    """Rows less a number of their own or of all, in place, so that neither they nor their sum of exponentials overflow or vanish."""
+    most = y.max()
+    y -= most if most - y.min() < SPAN else y.max(axis=1, keepdims=True)
+
+
+def _softmax_less(y: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Softmax less one in the column ``at`` of each row, by ``n``; in place."""
+    _shift(y)
     np.exp(y, out=y)
-    y /= y.sum(axis=1, keepdims=True)
+    y *= (1 / (n * (y @ np.ones(y.shape[1], y.dtype))))[:, None]
+    y[np.arange(len(y)), at] -= y.dtype.type(1 / n)
     return y
 
 
 def _log_softmax_at(y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of one column of each row; ``y`` is lost."""
-    y -= y.max(axis=1, keepdims=True)
+    _shift(y)
     own = y[np.arange(len(y)), at]
     np.exp(y, out=y)
-    return own - np.log(y.sum(axis=1))
+    return own - np.log(y @ np.ones(y.shape[1], y.dtype))
 
 
 class Network:
@@ -142,9 +151,9 @@ class Network:
     def hidden(self, around: np.ndarray) -> np.ndarray:
         """Hidden layer and a one for the bias, by position."""
         h = np.ones((around.shape[1], HIDDEN + 1), np.float32)
-        z = self.embed[around[0]] * self.scale[0]
+        z = self.embed.take(around[0], axis=0) * self.scale[0]
         for j in range(1, 2 * REACH):
-            z += self.embed[around[j]] * self.scale[j]
+            z += self.embed.take(around[j], axis=0) * self.scale[j]
         np.maximum(z, 0, out=h[:, :HIDDEN])
         return h
 
@@ -154,7 +163,7 @@ class Network:
         group = np.where(kind < KNOWN, kind // GROUP, kind - KNOWN + GROUPS)
         out = _log_softmax_at(h @ self.out, group).astype(float)
         for g, at in _segments(kind):
-            out[at] += _log_softmax_at(h[at] @ self.inner[g], kind[at] % GROUP)
+            out[at] += _log_softmax_at(h.take(at, axis=0) @ self.inner[g], kind[at] % GROUP)
         return out
 
 
@@ -182,21 +191,17 @@ class Trainer:
         net, n = self.net, len(kind)
         h = net.hidden(around)
         group = np.where(kind < KNOWN, kind // GROUP, kind - KNOWN + GROUPS)
-        y = _softmax(h @ net.out)
-        y[np.arange(n), group] -= 1
-        y /= n
+        y = _softmax_less(h @ net.out, group, n)
         back = y @ net.out.T
         inner = []
         for g, at in _segments(kind):
-            here = h[at]
-            own = _softmax(here @ net.inner[g])
-            own[np.arange(len(at)), kind[at] % GROUP] -= 1
-            own /= n
+            here = h.take(at, axis=0)
+            own = _softmax_less(here @ net.inner[g], kind[at] % GROUP, n)
             back[at] += own @ net.inner[g].T
             inner.append((g, here.T @ own))
             self.as_output[g] += len(at)
         z = back[:, :HIDDEN] * (h[:, :HIDDEN] > 0)
-        scale = np.stack([np.einsum("ij,ij->j", z, net.embed[around[j]]) for j in range(2 * REACH)])
+        scale = np.stack([np.einsum("ij,ij->j", z, net.embed.take(around[j], axis=0)) for j in range(2 * REACH)])
         # Sums of the gradients of each kind: sorted, then added up run by run.
         flat = around.astype(np.uint16).ravel()
         order = np.argsort(flat, kind="stable")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heronwatch.llm import jaccard, passages, repeats, suffixes
+from heronwatch.llm import jaccard, masked_lm, passages, repeats, suffixes
 
 
 @pytest.mark.parametrize("module", [suffixes, passages])
@@ -44,3 +44,20 @@ def test_chance_sharing_leaves_lists(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SHORT", 2)
     assert jaccard._Sets(docs, 3, 90).cells.count() > len(texts) / 2
     assert {(r.a, r.b) for r in jaccard.links(docs, 3, 90).collect()} == want
+
+
+@pytest.mark.parametrize("wide", [1.0, 300.0])
+def test_softmax_shifts_a_batch_once(wide):
+    """op4's softmax takes no maximum of each row where logits are close; far apart they stay finite and right."""
+    rng = np.random.default_rng(6)
+    y = rng.normal(0, wide, (500, 72)).astype(np.float32)
+    y[:, 0] += np.linspace(-wide, wide, 500)
+    at, shifted = rng.integers(0, 72, 500), y.copy()
+    masked_lm._shift(shifted)
+    assert (len(np.unique((y - shifted).round(2))) == 1) == (wide == 1.0)
+    exact = y.astype(float) - y.max(axis=1, keepdims=True)
+    exact -= np.log(np.exp(exact).sum(axis=1, keepdims=True))
+    assert np.allclose(masked_lm._log_softmax_at(y.copy(), at), exact[np.arange(500), at], rtol=1e-4, atol=1e-4)
+    want = np.exp(exact)
+    want[np.arange(500), at] -= 1
+    assert np.allclose(masked_lm._softmax_less(y.copy(), at, 500), want / 500, atol=1e-8, rtol=1e-3)
