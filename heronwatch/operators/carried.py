@@ -24,46 +24,35 @@ REVIEW = ("reviews_so_far", "score", "score_before", "review_at")
 SINCE = {"last_course": "n_courses", "last_note": "n_notes"}
 
 
-def month_facts(facts: Facts, idx: Column) -> Facts:
-    """Per person and month: metrics, courses and notes of the months where ``idx`` holds."""
-    taken = facts["courses"].where(idx).groupBy("person_id", "idx").agg(F.count("*").alias("n_courses"), F.sum("hours").alias("n_hours"))
-    heard = facts["notes"].where(idx).groupBy("person_id", "idx").agg(F.count("*").alias("n_notes"))
-    return {"metrics": facts["metrics"].where(idx), "courses": taken, "notes": heard}
-
-
-def _with_facts(rows: DataFrame, facts: Facts, idx: Column) -> DataFrame:
-    for one in month_facts(facts, idx).values():
-        rows = rows.join(one, ["person_id", "idx"], "left")
-    return rows.na.fill(0, ["n_courses", "n_hours", "n_notes"])
+def _by_month(facts: Facts, last: int, months: int) -> DataFrame:
+    return pm.facts_by_month(*[facts[n] for n in ("directory", "exits", "metrics", "reviews", "courses", "notes")], last, months)
 
 
 def state_at(facts: Facts, last: int, months: int) -> DataFrame:
     """The state after month ``last``, from the facts of all months of a calendar of ``months``."""
-    rows = _with_facts(pm.spine(facts["directory"], facts["exits"], last, months), facts, F.col("idx") <= last)
+    rows = _by_month({**facts, "reviews": facts["reviews"].where(F.col("idx") <= last)}, last, months)
+    on, most = F.col("on"), max(RECENT.values())
     seen = rows.groupBy("person_id").agg(
-        F.sort_array(F.collect_list(F.struct("idx", *RECENT))).alias("seen"), F.max("idx").alias("at"),
-        *[F.max(F.when(F.col(n) > 0, F.col("idx"))).alias(c) for c, n in SINCE.items()],
-    )
-    recent = [F.slice(f"seen.{c}", F.greatest(F.size("seen") - n + 1, F.lit(1)), n).alias(f"past_{c}") for c, n in RECENT.items()]
-    seen = seen.select("person_id", F.lit(True).alias("entered"), "at", *recent, *SINCE)
-    history = pm.review_history(facts["reviews"].where(F.col("idx") <= last))
-    known = history.groupBy("person_id").agg(F.max("review").alias("r"), F.sum("reviews").alias("reviews_so_far"))
-    known = known.select("person_id", "reviews_so_far", F.col("r.score").alias("score"), F.col("r.score_before").alias("score_before"), F.col("r.at").alias("review_at"))
-    out = seen.join(known, "person_id", "full").where(F.col("at").isNull() | (F.col("at") == last))
-    return out.select("person_id", F.coalesce("entered", F.lit(False)).alias("entered"), *[f"past_{c}" for c in RECENT], *SINCE, *REVIEW)
-
-
-def _reviewed(state: DataFrame, reviews: DataFrame, idx: int) -> DataFrame:
-    """The state with the reviews of month ``idx``: the last one in force, and the one before it."""
-    own = pm.review_history(reviews.where(F.col("idx") == idx)).select("person_id", F.col("review").alias("_r"), F.col("reviews").alias("_n"))
-    both = state.join(own, "person_id", "full")
-    new = F.col("_n") > 0
-    before = F.when(F.col("_n") > 1, F.col("_r.score_before")).otherwise(F.col("score"))
-    return both.select(
-        *[c for c in state.columns if c not in REVIEW], (F.coalesce("reviews_so_far", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("reviews_so_far"),
-        F.when(new, F.col("_r.score")).otherwise(F.col("score")).alias("score"), F.when(new, before).otherwise(F.col("score_before")).alias("score_before"),
-        F.when(new, F.lit(idx).cast("long")).otherwise(F.col("review_at")).alias("review_at"),
+        F.sort_array(F.collect_list(F.when(on & (F.col("idx") > last - most), F.struct("idx", *RECENT)))).alias("seen"), F.max(F.when(on, F.col("idx"))).alias("at"),
+        *[F.max(F.when(on & (F.col(n) > 0), F.col("idx"))).alias(c) for c, n in SINCE.items()],
+        F.max(F.when(F.col("review_no").isNotNull(), F.struct("review_no", "score", "score_before", "idx"))).alias("r"), F.sum("reviews").alias("reviews_so_far"),
     )
+    # Who came and has left is not carried on; who has not come yet is if there are reviews.
+    out = seen.where(F.when(F.col("at").isNull(), F.col("r").isNotNull()).otherwise(F.col("at") == last))
+    recent = [F.when(F.col("at").isNotNull(), F.slice(f"seen.{c}", F.greatest(F.size("seen") - n + 1, F.lit(1)), n)).alias(f"past_{c}") for c, n in RECENT.items()]
+    known = [F.col("r.score").alias("score"), F.col("r.score_before").alias("score_before"), F.col("r.idx").alias("review_at")]
+    return out.select("person_id", F.col("at").isNotNull().alias("entered"), *recent, *SINCE, "reviews_so_far", *known)
+
+
+def _reviewed(idx: int) -> dict[str, Column]:
+    """The review in force after month ``idx``, from the state and the month's own reviews (``own_``)."""
+    new = F.coalesce(F.col("own_reviews") > 0, F.lit(False))
+    before = F.when(F.col("own_reviews") > 1, F.col("own_score_before")).otherwise(F.col("score"))
+    return {
+        "reviews_so_far": F.coalesce("reviews_so_far", F.lit(0).cast("long")) + F.coalesce("own_reviews", F.lit(0).cast("long")),
+        "score": F.when(new, F.col("own_score")).otherwise(F.col("score")), "score_before": F.when(new, before).otherwise(F.col("score_before")),
+        "review_at": F.when(new, F.lit(idx).cast("long")).otherwise(F.col("review_at")),
+    }
 
 
 def _mean(values: Column, first: int, n: int) -> Column:
@@ -76,11 +65,12 @@ def _mean(values: Column, first: int, n: int) -> Column:
 
 def month(state: DataFrame, facts: Facts, idx: int) -> tuple[DataFrame, DataFrame]:
     """(rows of the person-month table of month ``idx``, the state after it)."""
-    here = _with_facts(pm.spine(facts["directory"], facts["exits"], idx, 1), facts, F.col("idx") == idx)
-    every = here.join(_reviewed(state, facts["reviews"], idx), "person_id", "full")
-    on, past = F.col("idx").isNotNull(), lambda c: F.coalesce(f"past_{c}", F.array().cast(T.ArrayType(here.schema[c].dataType)))
+    own = {n: df.where(F.col("idx") == idx) if n in ("metrics", "reviews", "courses", "notes") else df for n, df in facts.items()}
+    here = _by_month(own, idx, 1).drop("review_no").withColumnsRenamed({c: f"own_{c}" for c in ("score", "score_before", "reviews")})
+    every = state.join(here, "person_id", "full").withColumn("on", F.coalesce("on", F.lit(False))).withColumn("idx", F.lit(idx).cast("long"))
+    on, past = F.col("on"), lambda c: F.coalesce(f"past_{c}", F.array().cast(T.ArrayType(here.schema[c].dataType)))
+    every = every.where(on | F.col("entered").isNotNull() | (F.col("own_reviews") > 0)).withColumns(_reviewed(idx))
     every = every.withColumns({f"past_{c}": F.when(on, F.array_append(past(c), F.col(c))).otherwise(past(c)) for c in RECENT})
-    every = every.withColumn("reviews_so_far", F.coalesce("reviews_so_far", F.lit(0).cast("long")))  # nothing was known of who comes new
     every = staged(every.withColumns({c: F.when(on & (F.col(n) > 0), F.col("idx")).otherwise(F.col(c)) for c, n in SINCE.items()}))
     # Who was on the spine and is no more has left.
     kept = every.where(on | ~F.coalesce("entered", F.lit(False)))
@@ -94,13 +84,13 @@ def month(state: DataFrame, facts: Facts, idx: int) -> tuple[DataFrame, DataFram
         "prod_avg_3m": F.round(now("productivity"), 6), "prod_avg_3m_before": F.round(before("productivity"), 6), "prod_delta_3m": delta("productivity"),
         "prod_months_3m": F.size(F.filter(F.slice("past_productivity", F.greatest(F.size("past_productivity") - 2, F.lit(1)), 3), lambda x: x.isNotNull())).cast("long"),
         "csat_avg_3m": F.round(now("csat"), 6), "csat_delta_3m": delta("csat"),
-        "months_since_review": F.col("idx") - F.col("review_at"), "score_delta": F.round(F.col("score") - F.col("score_before"), 6),
+        "months_since_review": F.col("idx") - F.col("review_at"),
         "courses_12m": total("n_courses"), "hours_12m": total("n_hours"), "notes_6m": total("n_notes"),
         "months_since_course": F.col("idx") - F.col("last_course"), "months_since_note": F.col("idx") - F.col("last_note"),
     })
-    rows = rows.join(facts["first_reviews"], "person_id", "left").withColumn("score_90", F.when(F.col("idx_90") <= F.col("idx"), F.col("score_90")))
-    rows = rows.drop("idx_90", "n_courses", "n_hours", "review_at", "entered", *SINCE, *[f"past_{c}" for c in RECENT])
-    return pm.with_cohorts(staged(pm.with_pay(rows, facts["bands"]))), after
+    rows = rows.drop("on", "n_courses", "n_hours", "own_score", "own_score_before", "own_reviews", "review_at", "entered", *SINCE, *[f"past_{c}" for c in RECENT])
+    rows = staged(pm.with_people(rows, facts["directory"], facts["exits"], facts["bands"], facts["first_reviews"]))
+    return pm.with_cohorts(rows, pm.cohorts(rows)), after
 
 
 def start(path: str, facts: Facts, last: int, months: int) -> None:
