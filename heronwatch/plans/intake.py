@@ -56,7 +56,8 @@ def sheet_repairs(spark, sf_dir):
 
 def sheet_orphans(spark, sf_dir):
     """Clean rows of people whom the directory lacks; here, the directory ends early."""
-    people = staging(spark, sf_dir, "directory").where("person_id % 10 <> 0").select(F.format_string("P%05d", "person_id").alias("person"))
+    code = F.concat(F.lit("P"), F.lpad(F.col("person_id").cast("string"), 5, "0"))  # as the sheet writes it: five digits, the first ones of a longer id
+    people = staging(spark, sf_dir, "directory").where("person_id % 10 <> 0").select(code.alias("person"))
     rows = validate.judged(_sheet(spark, sf_dir), SHEET).where("reject_reason IS NULL")
     return validate.orphans(rows, people, "person")[1].groupBy("person").agg(F.count("*").alias("rows"))
 
