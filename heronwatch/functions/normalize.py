@@ -12,48 +12,45 @@ MONTHS = ["ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sep", "oct",
 NUMBER = "^[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+#: White space as Unicode has it, no-break spaces included.
+SPACE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def trimmed(x: Column) -> Column:
+    return F.btrim(x.cast("string"), F.lit(SPACE))
+
+
 def bare(x: Column) -> Column:
     """Text without white space around it, no-break spaces included; hand-written nulls are null."""
-    t = F.regexp_replace(x.cast("string"), "(?U)^\\s+|\\s+$", "")
+    return said(trimmed(x))
+
+
+def said(t: Column) -> Column:
     return F.when(~t.isin(NULL_TOKENS), t)
 
 
-def number(x: Column) -> Column:
-    """``94,4`` and ``94.4`` and ``1,234.5`` and ``12%``; a comma alone is the decimal sign."""
-    return _number(bare(x))
+def _compact(x: Column) -> Column:
+    return F.translate(x, "% \t\n\x0b\f\r", "")
 
 
-def _number(x: Column) -> Column:
-    t = F.regexp_replace(x, "[%\\s]", "")
+def _dotted(t: Column) -> Column:
     comma, dot = F.instr(t, ",") > 0, F.instr(t, ".") > 0
     # ``1.234,5`` reads as 1.2345: with both signs, commas are taken for thousands.
-    t = F.when(comma & ~dot, F.replace(t, F.lit(","), F.lit("."))).otherwise(F.replace(t, F.lit(","), F.lit("")))
-    return F.when(t.rlike(NUMBER), t.try_cast("double"))
-
-
-def integer(x: Column) -> Column:
-    """A number rounded half to even."""
-    return _integer(bare(x))
+    return F.when(comma & ~dot, F.translate(t, ",", ".")).otherwise(F.translate(t, ",", ""))
 
 
-def _integer(x: Column) -> Column:
-    return F.bround(_number(x), 0).try_cast("long")
+def _parsed(t: Column) -> Column:
+    return F.when(t.rlike(NUMBER), t.try_cast("double"))
 
 
-def boolean(x: Column) -> Column:
-    """Any text but a yes is false."""
-    return _boolean(bare(x))
+def _rounded(x: Column) -> Column:
+    return F.bround(x, 0).try_cast("long")
 
 
 def _boolean(x: Column) -> Column:
     return F.lower(x).isin(TRUE_TOKENS)
 
 
-def date(x: Column) -> Column:
-    """ISO, day first with slashes or dashes, year first with slashes, or ISO with a time."""
-    return _date(bare(x))
-
-
 def _date(t: Column) -> Column:
     forms = [("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "y-M-d"), ("^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "d/M/y"), ("^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "d-M-y"), ("^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "y/M/d")]
     tries = [F.when(t.rlike(p), F.try_to_date(t, f)) for p, f in forms]
@@ -61,21 +58,50 @@ def _date(t: Column) -> Column:
     return F.coalesce(*tries, stamp)
 
 
-def period(x: Column) -> Column:
-    """``2026-8``, ``ago-2026``, ``ago.-2026`` or ``8/2026`` as ``2026-08``."""
-    return _period(bare(x))
+def _parts(x: Column) -> Column:
+    """The year, the number of the month and its name, one of the latter empty; blanks if it is no period."""
+    return F.regexp_replace(F.lower(x), "^(?:([0-9]{4})-([0-9]{1,2})|([a-z]{3})\\.?-([0-9]{4})|([0-9]{1,2})/([0-9]{4})|(?s:.*))$", "$1$4$6 $2$5 $3")
 
 
-def _period(x: Column) -> Column:
-    t = F.lower(x)
-    part = lambda p, g: F.nullif(F.regexp_extract(t, p, g), F.lit(""))
-    iso, named, slash = "^([0-9]{4})-([0-9]{1,2})$", "^([a-z]{3})\\.?-([0-9]{4})$", "^([0-9]{1,2})/([0-9]{4})$"
-    name = part(named, 1)
-    by_name = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), name), F.lit(0).cast("long")).cast("int")
-    year = F.coalesce(part(iso, 1), part(named, 2), part(slash, 2)).cast("int")
-    month = F.coalesce(part(iso, 2).cast("int"), by_name, part(slash, 1).cast("int"))
-    return F.when(month.between(1, 12), F.format_string("%04d-%02d", year, month))
+def _of_parts(t: Column) -> Column:
+    part = lambda i: F.split_part(t, F.lit(" "), F.lit(i))
+    by_name = F.array_position(F.array(*map(F.lit, MONTHS)), part(3)).cast("int")  # 0 without a name
+    month = F.coalesce(part(2).try_cast("int"), by_name)
+    return F.when(month.between(1, 12), F.format_string("%04d-%02d", part(1).try_cast("int"), month))
 
 
-#: Kind of a contract -> column function of text that ``bare`` has gone over.
-OF_BARE = {"text": lambda x: x, "number": _number, "integer": _integer, "boolean": _boolean, "date": _date, "period": _period}
+#: Kind of a contract -> steps from text that ``bare`` has gone over to a value. A step names the one before it
+#: more than once: over many rows, bind each before the next.
+STEPS = {"text": (), "number": (_compact, _dotted, _parsed), "integer": (_compact, _dotted, _parsed, _rounded), "boolean": (_boolean,), "date": (_date,), "period": (_parts, _of_parts)}
+
+
+def _normal(x: Column, kind: str) -> Column:
+    x = bare(x)
+    for step in STEPS[kind]:
+        x = step(x)
+    return x
+
+
+def number(x: Column) -> Column:
+    """``94,4`` and ``94.4`` and ``1,234.5`` and ``12%``; a comma alone is the decimal sign."""
+    return _normal(x, "number")
+
+
+def integer(x: Column) -> Column:
+    """A number rounded half to even."""
+    return _normal(x, "integer")
+
+
+def boolean(x: Column) -> Column:
+    """Any text but a yes is false."""
+    return _normal(x, "boolean")
+
+
+def date(x: Column) -> Column:
+    """ISO, day first with slashes or dashes, year first with slashes, or ISO with a time."""
+    return _normal(x, "date")
+
+
+def period(x: Column) -> Column:
+    """``2026-8``, ``ago-2026``, ``ago.-2026`` or ``8/2026`` as ``2026-08``."""
+    return _normal(x, "period")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import NULL_TOKENS, OF_BARE, bare
+from ..functions.normalize import NULL_TOKENS, STEPS, said, trimmed
 from ..sources.contracts import Contract, ContractError, Field
 from ..sources.tables import replace
 
@@ -48,8 +48,10 @@ def bound(rows: DataFrame, cells: dict[str, Column]) -> DataFrame:
 def judged(conformed: DataFrame, contract: Contract) -> DataFrame:
     """Normalised cells, ``reject_reason`` (the first that holds) and ``_nulled``: the optional
     numbers that were out of range and became null."""
-    out = bound(conformed, {n: bare(F.col(n)) for n in contract.fields})
-    out = bound(out, {n: OF_BARE[f.kind](F.col(n)) for n, f in contract.fields.items()})
+    out = bound(conformed, {n: trimmed(F.col(n)) for n in contract.fields})
+    out = bound(out, {n: said(F.col(n)) for n in contract.fields})
+    for k in range(max(len(STEPS[f.kind]) for f in contract.fields.values())):
+        out = bound(out, {n: STEPS[f.kind][k](F.col(n)) if k < len(STEPS[f.kind]) else F.col(n) for n, f in contract.fields.items()})
     ranged = {n: f for n, f in contract.fields.items() if not f.required and (f.low is not None or f.high is not None)}
     nulled = F.array_compact(F.array(*[F.when(_outside(F.col(n), f), F.lit(n)) for n, f in ranged.items()])) if ranged else F.array().cast("array<string>")
     every = [r for n, f in contract.fields.items() for r in reasons(n, f)]
@@ -58,12 +60,16 @@ def judged(conformed: DataFrame, contract: Contract) -> DataFrame:
 
 
 def split_and_write(rows: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """``judged`` rows as two tables, read back: clean ones without a reason, rejected ones with it."""
-    clean, rejected = rows.where("reject_reason IS NULL").drop("reject_reason"), rows.where("reject_reason IS NOT NULL")
-    replace(clean, f"{folder}/clean")
-    replace(rejected, f"{folder}/quarantine")
-    read = rows.sparkSession.read
-    return read.schema(clean.schema).parquet(f"{folder}/clean"), read.schema(rejected.schema).parquet(f"{folder}/quarantine")
+    """``judged`` rows as two tables, written side by side in one pass and read back: clean ones
+    without a reason, rejected ones with it."""
+    replace(rows.withColumn("rejected", F.col("reject_reason").isNotNull()), folder, "rejected")
+    return _sides(rows, folder)
+
+
+def _sides(rows: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    found = rows.withColumn("rejected", F.lit(False))
+    found = rows.sparkSession.read.schema(found.schema).parquet(folder)  # a filter on rejected reads its side only
+    return found.where("NOT rejected").drop("rejected", "reject_reason"), found.where("rejected").drop("rejected")
 
 
 def deduplicated(clean: DataFrame, contract: Contract, row: str = "_row") -> DataFrame:
@@ -73,13 +79,13 @@ def deduplicated(clean: DataFrame, contract: Contract, row: str = "_row") -> Dat
 
 
 def summary(rows: DataFrame, contract: Contract) -> DataFrame:
-    """One row: source, rows_in, valid, rejected, repeats, reject_rate, from ``judged`` rows."""
-    clean = deduplicated(rows.where("reject_reason IS NULL"), contract)
-    bad = rows.where("reject_reason IS NOT NULL").withColumn("repeat", F.lit(False))
-    return clean.unionByName(bad).agg(
-        F.lit(contract.name).alias("source"), F.count("*").alias("rows_in"), F.sum(F.when(F.col("reject_reason").isNull() & ~F.col("repeat"), 1).otherwise(0)).alias("valid"),
-        F.count("reject_reason").alias("rejected"), F.sum(F.col("repeat").cast("long")).alias("repeats"), F.try_divide(F.count("reject_reason").cast("double"), F.count("*").cast("double")).alias("reject_rate"),
-    )
+    """One row: source, rows_in, valid, rejected, repeats, reject_rate, from ``judged`` rows, which
+    are read once: of the clean rows of a key the first is valid, the others are repeats."""
+    by_key = rows.groupBy(*contract.key).agg(F.count("*").alias("n"), F.count("reject_reason").alias("bad"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    one = by_key.agg(total("n").alias("rows_in"), total(F.when(F.col("n") > F.col("bad"), 1).otherwise(0)).alias("valid"), total("bad").alias("rejected"))
+    repeats, rate = F.col("rows_in") - F.col("rejected") - F.col("valid"), F.try_divide(F.col("rejected").cast("double"), F.col("rows_in").cast("double"))
+    return one.select(F.lit(contract.name).alias("source"), "rows_in", "valid", "rejected", repeats.alias("repeats"), rate.alias("reject_rate"))
 
 
 def incidents(rows: DataFrame, conformed: DataFrame, contract: Contract) -> DataFrame:
@@ -164,9 +170,7 @@ def land(conformed: DataFrame, contract: Contract, folder: str, most: float = MO
     if n and bad / n > most:
         top = sorted(((-m, f"{c}: {kind}") for (what, c, kind), m in counts.items() if what == "reject" and m))[:3]
         raise ContractError(f"{contract.name}: {bad} of {n} rows rejected; " + ", ".join(f"{r} ({-m})" for m, r in top))
-    found = rows.withColumn("rejected", F.lit(False))
-    found = rows.sparkSession.read.schema(found.schema).parquet(folder)  # a filter on rejected reads its side only
-    return Landed(contract.name, found.where("NOT rejected").drop("rejected", "reject_reason"), found.where("rejected").drop("rejected"), counts)
+    return Landed(contract.name, *_sides(rows, folder), counts)
 
 
 def orphans(rows: DataFrame, directory: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

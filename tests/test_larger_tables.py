@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from heronwatch.operators import person_month as pm
+from heronwatch.operators import validate
 from heronwatch.plans import people, store
+from heronwatch.sources.contracts import Contract, Field, conform
 from heronwatch.sources.testbed import LAST_MONTH, staging
 
 
@@ -68,3 +70,37 @@ def test_state_of_months_has_no_exchange_by_month(spark, small):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert found and not any("idx" in line for line in found)
+
+
+KEYED = Contract("keyed", ("who", "day"), {"who": Field("text", True), "day": Field("text"), "n": Field("number", True, low=0)})
+
+
+def judged_rows(spark):
+    rows = [("a", "1", "1"), ("a", "1", "2"), ("a", None, "1"), ("a", None, "3"), ("a", "2", "-4"), (None, "2", "1"), ("b", "1", "x"), ("b", "1", "5")]
+    return validate.judged(conform(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "_row int, who string, day string, n string"), KEYED), KEYED)
+
+
+def test_summary_reads_rows_once(spark):
+    found = validate.summary(judged_rows(spark), KEYED)
+    assert found.columns == ["source", "rows_in", "valid", "rejected", "repeats", "reject_rate"] and found.collect() == [("keyed", 8, 3, 3, 2, 0.375)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Union" not in plan
+    assert validate.summary(judged_rows(spark).limit(0), KEYED).collect() == [("keyed", 0, 0, 0, 0, None)]
+
+
+def test_cells_are_worked_out_once(spark):
+    plan = judged_rows(spark).where("reject_reason IS NULL")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 0 and plan.count("RLIKE") <= 2
+
+
+def test_both_sides_are_written_in_one_pass(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(n):
+        seen.add(1)
+        return n
+
+    rows = judged_rows(spark).withColumn("_row", F.udf(look, "int")("_row"))
+    clean, rejected = validate.split_and_write(rows, str(tmp_path))
+    assert seen.value == 8
+    assert {r._row for r in clean.collect()} == {0, 1, 2, 3, 7} and {r._row for r in rejected.collect()} == {4, 5, 6} and "reject_reason" not in clean.columns
