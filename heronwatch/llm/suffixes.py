@@ -3,8 +3,10 @@
 Anchors narrow the corpus to the parts that can repeat; the suffixes that start there are
 sorted. Prefix polynomial hashes give the longest common extension of two suffixes by binary
 search, so a comparison in the mergesort takes logarithmic time; suffixes that share their
-first eight bytes are merged that way, the rest by those bytes. Neighbours in the sorted order
-that agree on 50 bytes by hash are verified byte by byte.
+first eight bytes are merged that way, the rest by those bytes. A suffix whose 50 bytes have a
+hash that no other has is equal to none and is not sorted, and suffixes that share their first
+bytes and that hash alike need no merging. Neighbours in the sorted order that agree on 50 bytes
+by hash are verified byte by byte.
 
 Null and empty texts have no bytes and lose nothing; a very long text is one document; repeated
 rows, null ids, empty tables and clashing names are as in ``repeats``.
@@ -36,6 +38,10 @@ class Suffixes:
         self.p = prefix(BYTE_VALUES[data])
         self.inverse = powers(INVERSE, len(self.p))
 
+    def hashes(self, x: np.ndarray) -> np.ndarray:
+        """Hashes of the first ``depth`` bytes of suffixes."""
+        return (self.p[x + self.depth] - self.p[x]) * self.inverse[x]
+
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the longest common extension of suffixes ``x`` and ``y``, up to depth."""
         low = np.zeros(len(x), np.int64)
@@ -67,10 +73,13 @@ class Suffixes:
         new[1:] = lead[1:] != lead[:-1]
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(order)))
+        h = self.hashes(start)[order]
+        # Segments of suffixes with one hash are in order already.
+        mixed = np.minimum.reduceat(h, first) != np.maximum.reduceat(h, first) if len(first) else np.zeros(0, bool)
         seg = np.repeat(first, size)  # first place of the own segment
-        end = np.repeat(first + size, size)
+        end = np.repeat(np.where(mixed, first + size, first), size)
         width = 1
-        longest = int(size.max()) if len(size) else 0
+        longest = int(size[mixed].max()) if mixed.any() else 0
         while width < longest:
             act = np.flatnonzero(end - seg > width)
             r = act - seg[act]
@@ -110,15 +119,19 @@ def equal_windows(contents: list[bytes], n: np.ndarray) -> np.ndarray:
     lens = n.astype(np.int64) + WINDOW - 1
     start = np.repeat(np.cumsum(lens) - lens - np.cumsum(n) + n, n) + np.arange(n.sum())
     s = Suffixes(data, WINDOW)
-    order = s.sorted(start)
+    h = s.hashes(start)
+    _, back, times = np.unique(h, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(times[back] > 1)  # a hash that no other window has is equal to none
+    order = several[s.sorted(start[several])]
     x, y = start[order[:-1]], start[order[1:]]
-    same = s.common(x, y) >= WINDOW
+    same = h[order[:-1]] == h[order[1:]]
     near = np.flatnonzero(same)
     if not s.verified(x[near], y[near]).all():  # two texts with one hash: compare the bytes themselves
         raw = data.tobytes()
         return np.unique(np.array([raw[i : i + WINDOW] for i in start.tolist()], object), return_inverse=True)[1]
-    cls = np.zeros(len(start), np.int64)
-    cls[order[1:]] = np.cumsum(~same)
+    cls = np.arange(len(start), dtype=np.int64)
+    if len(order):
+        cls[order] = len(start) + np.concatenate([[0], np.cumsum(~same)])
     return cls
 
 
