@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from heronwatch.operators import person_month as pm
 from heronwatch.operators import validate
-from heronwatch.plans import people, store
+from heronwatch.plans import audits, people, store
 from heronwatch.sources.contracts import Contract, Field, conform
 from heronwatch.sources.testbed import LAST_MONTH, staging
 
@@ -104,3 +104,25 @@ def test_both_sides_are_written_in_one_pass(spark, tmp_path):
     clean, rejected = validate.split_and_write(rows, str(tmp_path))
     assert seen.value == 8
     assert {r._row for r in clean.collect()} == {0, 1, 2, 3, 7} and {r._row for r in rejected.collect()} == {4, 5, 6} and "reject_reason" not in clean.columns
+
+
+def test_signal_lift_exchanges_flags(spark, small):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = audits.signal_lift(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = next(line for line in plan[plan.index("Join LeftOuter") :].splitlines() if "Project" in line)
+    assert "AS f_silent" in join and "person_id" in join and ", training_ratio#" not in join
+
+
+def test_cooldown_cost_ranks_by_one_quota(spark, small, monkeypatch):
+    asked, calibration = [], audits.backtest.calibration
+
+    def watched(*args):
+        asked.append(args[6])
+        assert set(args[0].columns) == {"person_id", "idx", "period", "channel", "priority", "compa", "idx_before", "priority_before"}
+        return calibration(*args)
+
+    monkeypatch.setattr(audits.backtest, "calibration", watched)
+    assert {r.cooldown for r in audits.cooldown_cost(spark, small).collect()} <= {3, 6} and asked == [audits.QUOTAS[-1:]]
